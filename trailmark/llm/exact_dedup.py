@@ -67,7 +67,9 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", dige
     if digest:
         slim = slim.withColumn("xd_digest", F.sha2(normalised(F.col("xd_text")).cast("binary"), 256))
     rows = checkpointed(_hashed(slim))
-    joined = rows.join(_groups(rows), "xd_full", "left")
+    # Rows proved to be alone have no hash; kept out of the join, they can't meet in the task of its null keys.
+    lone = rows.where("xd_full is null").withColumns({"xd_size": F.lit(None).cast("long"), "xd_keep": F.lit(None).cast("long")})
+    joined = rows.where("xd_full is not null").join(_groups(rows), "xd_full", "left").unionByName(lone)
     keep = F.when(F.col("xd_size").isNull(), F.col("xd_id")).otherwise(F.col("xd_keep"))
     extra = [F.col("xd_digest").alias("text_sha256")] if digest else []
     return joined.select(
