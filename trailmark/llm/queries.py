@@ -5,15 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, secret_scan, url_filter
-from .common import read_table
+from . import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, token_counts, url_filter
+from .common import LOWER, UPPER, alnum_words, read_table
+
+
+#: Exponents of the token shares that op1 and the pipeline aim for: flatter sources and languages, topics as they are.
+MIX_ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), MIX_ALPHA)
+    return mixed.select("row.doc_id", "topic", "n_tokens", "weight", "rate", "copies")
+
+
+def op2_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_suffix_sums(token_counts.length_histogram(read_table(spark, sf_dir, "documents")))
+
+
+def op3_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    test = language_id.held_out()
+    filters = language_id.fit(docs.where(~test))
+    found = language_id.identify(docs.select("doc_id", test.alias("held_out"), "text"), filters)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", F.col("score").cast("double").alias("score"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.visible_text(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", "visible_text", F.length("visible_text").cast("long").alias("n_chars"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -31,14 +62,67 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_token_histogram": op2_token_histogram,
+    "op3_language_filters": op3_language_filters,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_text": op5_html_text,
+    "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_url_filter": op10_url_filter,
 }
 
+
+def _mixing_sql(sweeps: int = mixing.SWEEPS) -> str:
+    """The fitting of op1, one table for each scaling step."""
+    topic = "CASE " + " ".join(f"WHEN regexp_matches(body, '{p}') THEN '{name}'" for name, p in mixing.TOPICS) + f" ELSE '{mixing.OTHER}' END"
+    steps = ["w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM cells) AS w FROM cells)"]
+    for i in range(3 * sweeps):
+        d = mixing.DIMENSIONS[i % 3]
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN m > 0 THEN w * share / m ELSE 0 END AS w FROM w{i} JOIN (SELECT {d}, sum(w) AS m FROM w{i} GROUP BY {d}) USING ({d}) JOIN goal_{d} USING ({d}))")
+    goals = [
+        f"goal_{d} AS MATERIALIZED (SELECT {d}, share / sum(share) OVER () AS share FROM (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE, {MIX_ALPHA[d]}) ELSE 0 END AS share FROM cells GROUP BY {d}))"
+        for d in mixing.DIMENSIONS
+    ]
+    return rf"""
+        WITH docs AS MATERIALIZED (
+          SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {topic} AS topic,
+            len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+          FROM (SELECT *, coalesce(text, '') AS body FROM documents)),
+        cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+        {", ".join(goals + steps)},
+        rates AS (SELECT source, lang, topic, round(CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END * (SELECT sum(tokens) FROM cells), 6) AS rate FROM w{3 * sweeps})
+        SELECT doc_id, topic, n_tokens, rate AS weight, rate,
+          (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || doc_id), 1, 8))::UBIGINT / 4294967296.0 < round(rate - floor(rate), 6) THEN 1 ELSE 0 END)::BIGINT AS copies
+        FROM docs JOIN rates USING (source, lang, topic)"""
+
+
+def _license_sql() -> str:
+    """op6 without its filters: every block against every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    templates = ", ".join(f"({i}, '{label}', {quoted(sorted(set(alnum_words(t))))})" for i, (label, t) in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"('{label}', {quoted(alnum_words(p))})" for p, label in license_scan.PHRASES)
+    b, st = license_scan.BLOCK, license_scan.STRIDE
+    return rf"""
+        WITH docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        phrases(label, p) AS (VALUES {phrases}), templates(id, label, t) AS (VALUES {templates}),
+        spots AS (SELECT doc_id, label, i - 1 AS start FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs, phrases) WHERE w[i : i + len(p) - 1] = p),
+        base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM spots GROUP BY doc_id),
+        blocks AS (SELECT doc_id, list_distinct(w[i + 1 : i + {b}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {st}), {st})) AS i FROM docs)),
+        found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM blocks, templates WHERE len(list_intersect(b, t)) >= ceil({license_scan.THRESHOLD} * len(t))),
+        named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM spots) GROUP BY doc_id),
+        base_named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM spots) GROUP BY doc_id),
+        best AS (SELECT doc_id, round(max(c), 6) AS c FROM found GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+          coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+        FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN base_named USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": _mixing_sql(),
+    "op6_license_scan": _license_sql(),
     "op4_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
