@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, has_rows, only_keys, space_words, without_keys
+from .common import checkpointed, has_rows, only_keys, small_batches, space_words, without_keys
 
 SLOTS = 1 << 22
 HOT_ROWS = 1 << 18
@@ -45,6 +45,7 @@ SALT_ROWS = 12  # log2 of the rows of a frequent token that share a salt
 BINS = 128
 GROUP = 64
 GROUP_TOKENS = 1_000_000
+BATCH = 1000  # texts or token sets that Python holds at once
 #: Odd multipliers of a hash (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -53,7 +54,7 @@ class WordHash(dict):
     """Word to 64-bit hash, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -316,6 +317,11 @@ def _cross_group_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, comp
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row of `docs`, for shingles of k words and a similarity of percent / 100."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _similar_components(docs, id_col, text, k, percent)
+
+
+def _similar_components(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     prints = checkpointed(fingerprints(texts, k))
@@ -328,7 +334,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     single = without_keys(texts.where("id is not null"), "id", copies)
     rows = prefix_rows(single, k, percent, shared).repartition(F.col("token"), F.col("salt"))
     lead = rows.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("hot", -F.col("node"), "n", "pos")).alias("lead")).where("k > 1 or salt > 0")
-    rows = checkpointed(rows.join(lead, ["token", "salt"]).select("token", "salt", "node", "n", "pos", (-F.col("lead.col2")).alias("leader")))
+    # Both sides read the same columns, so that they share one exchange and the texts are read once.
+    rows = checkpointed(rows.join(lead, ["token", "salt"]).select("token", "salt", "node", "n", "pos", "hot", (-F.col("lead.col2")).alias("leader")))
     # Step 3: leaders of a frequent token's salts meet at the token's own leader.
     heads = rows.where("node = leader").groupBy("token").agg(F.min("leader").alias("head"), F.max("leader").alias("last")).where("head <> last")
     stars = rows.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
