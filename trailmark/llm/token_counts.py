@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of that vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-RANGE = 1024
+RANGE = 256
 
 
 def load_encoding(path: str):
@@ -50,8 +52,8 @@ def token_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABUL
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length, n_docs)"""
-    return token_lengths(docs, text, vocabulary).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(length, n_docs), checkpointed, so that its uses don't encode the texts again."""
+    return checkpointed(token_lengths(docs, text, vocabulary).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
