@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words
 
-BLOCK, STRIDE, THRESHOLD = 64, 32, 0.9
+BLOCK, STRIDE, THRESHOLD = 64, 32, 0.92
 # Base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 # Lines of public license notices.
