@@ -240,7 +240,7 @@ def ts19_injected_times(spark, d):
 
 @query("""
   g AS (SELECT l_orderkey AS ride_id, l_linenumber AS clip_name, l_partkey, l_linenumber * 20 AS clip_start, unnest(range(0, l_quantity::INT, 5)) AS video_sec FROM lineitem WHERE l_quantity::INT > 0)
-  SELECT ride_id, clip_name, count(*) AS n, sum(clip_start + video_sec) AS total FROM g WHERE clip_start + video_sec <= 100 GROUP BY ride_id, clip_name""")
+  SELECT ride_id, clip_name, count(*) AS n, sum(clip_start + video_sec)::BIGINT AS total FROM g WHERE clip_start + video_sec <= 100 GROUP BY ride_id, clip_name""")
 def ts20_frame_grid(spark, d):
     clips = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ride_id"), F.col("l_linenumber").alias("clip_name"), (F.col("l_linenumber") * 20).alias("clip_start"), F.col("l_quantity").alias("duration_secs"), F.lit(100).alias("ride_secs"))
     return timeseries.frame_grid(clips, step=5).groupBy("ride_id", "clip_name").agg(F.count(F.lit(1)).alias("n"), F.sum("ride_sec").alias("total"))
