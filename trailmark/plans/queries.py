@@ -1037,3 +1037,113 @@ def src9_fn36_cached_hits(spark, d):
 def src19_snk8_frame_files(spark, d):
     rows = points(spark, d).groupBy("ride_id").agg(F.transform(F.array_sort(F.collect_list("seq")), lambda x: F.struct((x % 300).alias("ride_secs"), x.cast("string").alias("file"))).alias("frames"))
     return readers.frame_files(rows).select("ride_id", "ride_sec", F.col("file").cast("long").alias("file"))
+
+
+# --- sources and names, continued -----------------------------------------------------------------------------------
+
+
+@query("""
+  o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS a, o_orderdate + INTERVAL 1 DAY AS b FROM orders)
+  SELECT 'GX' || o_orderkey || '.MP4' AS clip_name, CASE WHEN a IS NULL AND o_orderkey % 2 = 0 THEN NULL ELSE coalesce(a, b) END AS creation_time, (o_orderkey % 100)::DOUBLE AS duration_secs, (1000 + o_orderkey % 9)::INT AS width, round(60000 / 1001, 6) AS fps FROM o""")
+def src4_clip_catalogue(spark, d):
+    k = F.col("o_orderkey")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tags = lambda c: F.struct(c.alias("creation_time"))
+    stream = lambda kind, made: F.struct(F.lit(kind).alias("codec_type"), (1000 + k % 9).cast("int").alias("width"), F.lit(720).alias("height"), F.lit("60000/1001").alias("r_frame_rate"), tags(made).alias("tags"))
+    none = F.lit(None).cast("string")
+    probes = table(spark, d, "orders").select(
+        F.concat(F.lit("/r/GX"), k, F.lit(".MP4")).alias("path"),
+        F.struct((k % 100).cast("string").alias("duration"), tags(F.when(k % 3 != 0, iso(F.col("o_orderdate")))).alias("tags")).alias("format"),
+        F.array(stream("audio", iso(F.col("o_orderdate"))), stream("video", none), stream("video", F.when(k % 2 != 0, iso(F.expr("o_orderdate + interval 1 day"))))).alias("streams"),
+    )
+    return rounded(readers.clip_catalogue(probes), 6, "fps").select("clip_name", "creation_time", "duration_secs", "width", "fps")
+
+
+@query("SELECT ride_id, seq, CASE WHEN seq % 3 < 2 THEN (seq % 6)::INT * 2 ELSE (seq % 6)::INT END AS visual, 2 AS scale_version FROM points WHERE event_type = 'click'")
+def src8_fn4_upgraded_labels(spark, d):
+    k = F.col("seq")
+    rows = points(spark, d).where("event_type = 'click'").select("ride_id", "seq", (k % 6).cast("int").alias("visual"), (k % 5).cast("int").alias("action"), F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, 1).otherwise(2).cast("int").alias("scale_version"))
+    return readers.upgraded_labels(rows).select("ride_id", "seq", "visual", "scale_version")
+
+
+@query("""
+  SELECT ride_id, seq, CASE WHEN seq % 2 = 0 THEN 'id' || seq ELSE 'GX' || seq % 7 || '@' || round_even(value, 0)::BIGINT END AS id, CASE WHEN seq % 3 = 0 THEN 'a,b' ELSE event_type END AS sources, 'pending' AS status, 0 AS rating, '' AS notes FROM points""")
+def src10_src12_lenient_moments(spark, d):
+    k = F.col("seq")
+    none = F.lit(None)
+    rows = points(spark, d).select("ride_id", "seq", F.when(k % 2 == 0, F.concat(F.lit("id"), k)).alias("id"), F.concat(F.lit("GX"), k % 7, F.lit(".MP4")).alias("clip_name"), F.lit(None).cast("double").alias("anchor_video_secs"), (F.col("value") - 1).alias("video_start"), (F.col("value") + 1).alias("video_end"), F.col("event_type").alias("source"), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("sources"), none.cast("string").alias("status"), none.cast("int").alias("rating"), none.cast("string").alias("notes"), none.cast("double").alias("portrait_crop_bias"))
+    out = readers.lenient_moments(readers.hydrated(rows))
+    return out.select("ride_id", "seq", "id", F.array_join("sources", ",").alias("sources"), "status", "rating", "notes")
+
+
+@query("""
+  r AS (SELECT o_custkey AS date_folder, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN NULL ELSE 'q' END AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'x_scoped.json' ELSE 'legacy.json' END AS f, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 50 END AS n, o_orderkey % 7 AS old FROM orders),
+  k AS (SELECT *, row_number() OVER (PARTITION BY date_folder ORDER BY CASE WHEN f = 'x_scoped.json' THEN 0 ELSE 1 END, f, o_orderkey) AS rn FROM r WHERE coalesce(provider, 'p') = 'p')
+  SELECT date_folder, coalesce(n, old)::INT AS n_model_hits FROM k WHERE rn = 1""")
+def src15_preferred_reports(spark, d):
+    k = F.col("o_orderkey")
+    name = F.when(k % 2 == 0, "x_scoped.json").otherwise("legacy.json")
+    best = table(spark, d, "orders").select(F.col("o_custkey").alias("date_folder"), k, F.when(k % 3 == 0, "p").when(k % 3 == 2, "q").alias("provider"), F.lit(None).cast("string").alias("model"), F.concat(name, F.format_string("#%012d", k)).alias("file"), F.when(k % 5 != 0, (k % 50).cast("int")).alias("n_model_hits"), (k % 7).cast("int").alias("n_gemini_hits"), F.lit(0).alias("n_model_only"), F.lit(0).alias("n_gemini_only"), name.alias("bare"))
+    kept = readers.preferred_reports(best.withColumn("file", F.concat(F.regexp_extract("file", "#(.*)$", 1), F.lit("/"), "bare")), "p", "m", "x_scoped.json")
+    return kept.select("date_folder", "n_model_hits")
+
+
+@query("""
+  SELECT n_nationkey AS way_id, n_name AS name, count(*) AS n_vertices FROM nation, (SELECT unnest(range(0, 3))) GROUP BY ALL""")
+def src17_osm_ways(spark, d):
+    p = lambda i: F.struct((F.col("n_nationkey") + i).cast("double").alias("lat"), F.lit(float(i)).alias("lon"))
+    element = F.struct(F.lit("way").alias("type"), F.col("n_nationkey").cast("long").alias("id"), F.create_map(F.lit("name"), F.col("n_name")).alias("tags"), F.array(p(0), p(1), p(2)).alias("geometry"))
+    short = F.struct(F.lit("way").alias("type"), F.lit(-1).cast("long").alias("id"), F.create_map(F.lit("name"), F.lit("one point")).alias("tags"), F.array(p(0)).alias("geometry"))
+    osm = table(spark, d, "nation").select(F.array(element, short).alias("elements"))
+    return readers.osm_ways(osm).groupBy(F.col("way_id").cast("int").alias("way_id"), "name").agg(F.count(F.lit(1)).alias("n_vertices"))
+
+
+@query("""
+  c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Ward ' || c_custkey ELSE c_name END AS q, c_mktsegment AS town, c_name || ', far' AS disp FROM customer)
+  SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN upper(q) WHEN c_custkey % 3 = 0 THEN upper(town) ELSE upper(split_part(disp, ',', 1)) END AS locality, CASE WHEN c_custkey % 5 = 0 THEN 'own' WHEN c_custkey % 5 = 1 THEN 'HOME' ELSE town END AS lockup FROM c""")
+def fn18_fn26_locality_and_lockup(spark, d):
+    c = F.col("c_custkey")
+    keys = {k: F.lit(None).cast("string") for k in s.LOCALITY_KEYS} | {"quarter": F.when(c % 2 == 0, F.concat(F.lit("Ward "), c)).otherwise(F.col("c_name")), "town": F.when(c % 3 == 0, F.col("c_mktsegment"))}
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.struct(*[v.alias(k) for k, v in keys.items()]).alias("a"), F.concat("c_name", F.lit(", far")).alias("disp"))
+    lockup = s.lockup(F.when(c % 5 == 0, "own"), F.when(c % 5 == 1, "UNKNOWN").otherwise(F.col("c_mktsegment")), "HOME")
+    return rows.select("c_custkey", s.locality(F.col("a"), F.col("disp")).alias("locality"), lockup.alias("lockup"))
+
+
+@query("""
+  SELECT ride_id, seq, CASE WHEN seq % 4 = 0 THEN 1.5 ELSE value END AS anchor, CASE WHEN seq % 3 = 0 THEN 2.0 ELSE value - 1 END AS start_, CASE WHEN seq % 3 = 0 THEN 9.0 ELSE value + 1 END AS end_, event_type IN ('click', 'view') AS included FROM points""")
+def fn25_effective_moments(spark, d):
+    k = F.col("seq")
+    status = F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "view", "auto").when(F.col("event_type") == "error", "rejected")
+    a, b, e, inc = s.effective(F.col("value"), F.when(k % 4 == 0, 1.5), F.col("value") - 1, F.col("value") + 1, F.when(k % 3 == 0, F.array(F.lit(2.0), F.lit(9.0))), status)
+    return points(spark, d).select("ride_id", "seq", a.alias("anchor"), b.alias("start_"), e.alias("end_"), inc.alias("included"))
+
+
+@query("""
+  SELECT ride_id, seq, event_type FROM points WHERE event_type IN ('view', 'click') OR event_type = 'error'""")
+def fn32_chapter_filter(spark, d):
+    p = points(spark, d).withColumn("clip_name", F.when(F.col("event_type") != "error", F.col("event_type")))
+    known = spark.createDataFrame([("view",), ("click",), ("",)], "clip_name string")
+    return joins.in_chapters(p, known, keep_unnamed=True).select("ride_id", "seq", "event_type")
+
+
+@query("""
+  f AS (SELECT c_nationkey::VARCHAR AS ride_folder, c_custkey, 'GX' || lpad(c_custkey::VARCHAR, 6, '0') AS base, c_custkey % 2 = 0 AS has_proxy FROM customer)
+  SELECT c_custkey, CASE WHEN has_proxy THEN 'GL' || base[3:] || '.LRV' ELSE base || '.MP4' END AS proxy_name FROM f""")
+def j18_proxies(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("ride_folder"), "c_custkey", F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("n"))
+    full = c.select("ride_folder", F.concat(F.lit("/r/GX"), "n", F.lit(".MP4")).alias("path"))
+    small = c.where("c_custkey % 2 = 0").select("ride_folder", F.concat(F.lit("/r/GL"), "n", F.lit(".LRV")).alias("path"))
+    out = readers.proxies(full.unionByName(small))
+    return out.select(F.regexp_extract("path", r"GX(\d+)", 1).cast("long").alias("c_custkey"), F.regexp_extract("proxy_path", r"[^/]*$", 0).alias("proxy_name"))
+
+
+@query("SELECT ride_id, seq, (seq % 60 < 50 AND seq % 7 BETWEEN 1 AND 5 AND seq % 6 BETWEEN 1 AND 5) AS valid FROM points")
+def bi5_valid_scores(spark, d):
+    k = F.col("seq")
+    rows = points(spark, d).select("ride_id", "seq", (k % 60).alias("frame_index"), (k % 7).alias("visual"), (k % 6).alias("action"), F.lit(None).cast("int").alias("crop_x"))
+    return rows.select("ride_id", "seq", scoring.valid_frame().alias("valid"))
+
+
+@query("SELECT ride_id, seq, batch_id FROM (SELECT ride_id, seq, ((row_number() OVER (PARTITION BY ride_id ORDER BY ts, seq) - 1) // 50)::INT AS batch_id FROM points)")
+def bi1_batches(spark, d):
+    return joins.batches(points(spark, d), 50, ["ride_id"], ["ts", "seq"]).select("ride_id", "seq", "batch_id")
