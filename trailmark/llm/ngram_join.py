@@ -40,12 +40,12 @@ from .common import checkpointed, has_rows, only_keys, small_batches, space_word
 SLOTS = 1 << 22
 HOT_ROWS = 1 << 18
 LOCAL = 3  # a token's documents within a chunk, from which the chunk reports it
-CHUNK = 1_000_000
+CHUNK = 500_000
 SALT_ROWS = 12  # log2 of the rows of a frequent token that share a salt
 BINS = 128
 GROUP = 64
 GROUP_TOKENS = 1_000_000
-BATCH = 1000  # texts or token sets that Python holds at once
+BATCH = 500  # texts or token sets that Python holds at once
 #: Odd multipliers of a hash (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -54,7 +54,7 @@ class WordHash(dict):
     """Word to 64-bit hash, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -335,10 +335,14 @@ def _similar_components(docs: DataFrame, id_col: str, text: str, k: int, percent
     rows = prefix_rows(single, k, percent, shared).repartition(F.col("token"), F.col("salt"))
     lead = rows.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("hot", -F.col("node"), "n", "pos")).alias("lead")).where("k > 1 or salt > 0")
     # Both sides read the same columns, so that they share one exchange and the texts are read once.
-    rows = checkpointed(rows.join(lead, ["token", "salt"]).select("token", "salt", "node", "n", "pos", "hot", (-F.col("lead.col2")).alias("leader")))
+    rows = rows.join(lead, ["token", "salt"])
+    leader, size, at = -F.col("lead.col2"), F.col("lead.n"), F.col("lead.pos")
+    reach = F.least(F.col("n") - F.col("pos"), size - at)  # of the overlap, if this is the first shared token
+    near = (leader != F.col("node")) & _sizes(F.col("n"), size, percent) & ((100 + percent) * reach >= percent * (F.col("n") + size))
+    rows = checkpointed(rows.select("token", "salt", "node", "n", "pos", "hot", leader.alias("leader"), near.alias("near")))
     # Step 3: leaders of a frequent token's salts meet at the token's own leader.
     heads = rows.where("node = leader").groupBy("token").agg(F.min("leader").alias("head"), F.max("leader").alias("last")).where("head <> last")
-    stars = rows.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    stars = rows.where("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     tops = rows.where("node = leader").join(heads, "token").where("leader <> head").select(F.col("leader").alias("a"), F.col("head").alias("b"))
     likely = plausible(stars.unionByName(tops).distinct(), nodes, percent)
     best = likely.withColumn("ratio", F.col("bound") / (F.col("n_a") + F.col("n_b"))).groupBy("a").agg(F.max(F.struct("ratio", -F.col("b"), "n_a", "n_b")).alias("x"))
