@@ -295,7 +295,7 @@ def test_frequency_table_only_steers(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(60)) + f" end{i % 5}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = components(rows, 4, 85)
-    for name, value in (("HOT_ROWS", 3), ("SALT_ROWS", 1), ("CHUNK", 100), ("LOCAL", 1), ("GROUP", 2)):
+    for name, value in (("HOT_ROWS", 3), ("WORD_ROWS", 2), ("SALT_ROWS", 1), ("CHUNK", 100), ("LOCAL", 1), ("GROUP", 2)):
         monkeypatch.setattr(ngram_join, name, value)
         got = ngram_join.similar_components(df, k=4, percent=85).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want

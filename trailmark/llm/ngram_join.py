@@ -4,8 +4,9 @@ A document is the set of its distinct k-word shingles, as 64-bit hashes ("tokens
 Jaccard similarity reaches the threshold; components are the transitive closure. The search is exact.
 
 1. Equal sets are one node, named by its smallest document id, so copies cost nothing further.
-2. Tokens get one global order, frequent ones last. It is read from a table of a fixed number of slots that holds the
-   logarithm of document frequencies seen to be high. The table only steers work: any order gives the same result.
+2. Tokens get one global order, those likely to be shared last. Two bounded tables give it: the logarithm of document
+   frequencies seen to be high, by token slot, and the shares of the most frequent words, whose product estimates how
+   often a token arises by chance. The tables only steer work: any order gives the same result.
    Two linked sets share a token within their first n - ceil(t n) + 1 tokens in this order (prefix filter); only those
    tokens are shuffled. Frequent tokens are salted by their frequency, so that no group of rows is large.
 3. Partition: within each prefix token, one set with many frequent tokens leads, and each set is compared with its most
@@ -17,7 +18,7 @@ Jaccard similarity reaches the threshold; components are the transitive closure.
    are opened, and their members compared exactly. Groups of a set's own component are never opened.
 6. Components come from alternating large-star and small-star steps with a checkpoint each.
 
-Nothing that grows with the corpus reaches the driver except the frequency table, of at most `HOT_ROWS` rows.
+Nothing that grows with the corpus reaches the driver; the two tables have at most `HOT_ROWS` and `WORD_ROWS` rows.
 
 Nulls: null, empty and blank texts have an empty set and link with nothing. Rows with a null id are compared through
 other rows with an equal set only; alone they have a null component. Repeated rows share their component. The id names
@@ -39,6 +40,9 @@ from .common import checkpointed, has_rows, only_keys, small_batches, space_word
 
 SLOTS = 1 << 22
 HOT_ROWS = 1 << 18
+WORD_ROWS = 1 << 16
+WORD_LOCAL = 10  # a word's places within a chunk, from which the chunk reports it
+RARE = -17.0  # log2 of the share of a word that isn't in the table
 LOCAL = 3  # a token's documents within a chunk, from which the chunk reports it
 CHUNK = 500_000
 SALT_ROWS = 12  # log2 of the rows of a frequent token that share a salt
@@ -60,19 +64,27 @@ class WordHash(dict):
         return h
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; with fewer words, of the whole sequence as one."""
+def word_hashes(text: str | None, hashes: WordHash) -> np.ndarray:
     words = space_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each k-word shingle of the words `h`; with fewer words, one for the whole sequence; none for none."""
+    if not len(h):
+        return h
     n = max(1, len(h) - k + 1)
     x = np.full(n, 0 if len(h) >= k else len(h), np.uint64)
     for i in range(min(k, len(h))):
         x += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(31))) * MIX[i % 8]
         x ^= x >> np.uint64(29)
         x *= MIX[(i + 3) % 8]
-    return np.unique(x ^ (x >> np.uint64(32)))
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_set(text: str | None, k: int, hashes: WordHash) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles."""
+    return np.unique(shingle_hashes(word_hashes(text, hashes), k))
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
@@ -92,75 +104,106 @@ def needed(a, b, percent: int):
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """For each document (id, n, two halves of its set's 128-bit hash, histogram), with a null `token`; and, from
-    each chunk, (token, n): tokens that several of its documents hold, and how many."""
+    """For each document (id, n, two halves of its set's 128-bit hash, histogram). From each chunk of them also, with a
+    `token` or a `word`, (n): tokens that several of its documents hold, and frequent words, with their counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, chunk, held = WordHash(), [], 0
-        columns = ["id", "n", "hi", "lo", "hist", "token"]
+    columns = ["id", "n", "hi", "lo", "hist", "token", "word"]
 
-        def common() -> pd.DataFrame:
-            token, n = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            token, n = token[n >= LOCAL], n[n >= LOCAL]
-            return pd.DataFrame({"id": None, "n": n, "hi": None, "lo": None, "hist": None, "token": token.view(np.int64)}, columns=columns)
+    def counted(name: str, chunk: list[np.ndarray], least: int) -> pd.DataFrame:
+        value, n = np.unique(np.concatenate(chunk), return_counts=True)
+        return pd.DataFrame({name: value[n >= least].view(np.int64), "n": n[n >= least]}).reindex(columns=columns)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, words, tokens, held = WordHash(), [], [], 0
         for batch in batches:
             out = []
             for i, text in zip(batch["id"].tolist(), batch["text"], strict=True):
-                s = shingle_set(text, k, hashes)
+                h = word_hashes(text, hashes)
+                s = np.unique(shingle_hashes(h, k))
                 i = None if i is None or i != i else int(i)
                 if not len(s):
-                    out.append((i, 0, None, None, None, None))
+                    out.append((i, 0, None, None, None, None, None))
                     continue
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 hi, lo = (int.from_bytes(d[j : j + 8], "little", signed=True) for j in (0, 8))
-                out.append((i, len(s), hi, lo, packed(histogram(s)), None))
-                chunk.append(s)
+                out.append((i, len(s), hi, lo, packed(histogram(s)), None, None))
+                words.append(h)
+                tokens.append(s)
                 held += len(s)
                 if held >= CHUNK:
-                    yield common()
-                    chunk, held = [], 0
-            yield pd.DataFrame(out, columns=columns).astype({"id": "Int64", "n": "Int64", "hi": "Int64", "lo": "Int64", "token": "Int64"})
-        yield common()
-
-    return docs.mapInPandas(run, "id long, n long, hi long, lo long, hist binary, token long")
-
-
-def frequency_table(reports: DataFrame) -> np.ndarray:
-    """log2 of the document frequency by token slot, 0 where it isn't high; from the at most HOT_ROWS most frequent."""
-    hot = reports.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8").select(F.expr(f"cast(shiftrightunsigned(token, {64 - SLOTS.bit_length() + 1}) as int)").alias("slot"), F.floor(F.log2("n")).cast("int").alias("level"))
+                    yield counted("token", tokens, LOCAL)
+                    yield counted("word", words, WORD_LOCAL)
+                    words, tokens, held = [], [], 0
+            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(("id", "n", "hi", "lo", "token", "word"), "Int64"))
+        if tokens:
+            yield counted("token", tokens, LOCAL)
+            yield counted("word", words, WORD_LOCAL)
+
+    return docs.mapInPandas(run, "id long, n long, hi long, lo long, hist binary, token long, word long")
+
+
+class Order:
+    """The global order of tokens: log2 of how many documents are likely to share one."""
+
+    def __init__(self, slots: np.ndarray, words: dict[int, int], total: int):
+        self.slots = slots
+        self.words = np.array(sorted(words), np.uint64)
+        self.share = np.array([np.log2(max(words[w], 1) / max(total, 1)) for w in sorted(words)], np.float32)
+        self.total = np.float32(np.log2(max(total, 1)))
+        self.shift = np.uint64(64 - SLOTS.bit_length() + 1)
+
+    def levels(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, level, measured) of the words `h`: distinct tokens, their place in the order, and the logarithm of
+        their measured frequency, 0 where it isn't high."""
+        x = shingle_hashes(h, k)
+        share = np.full(len(h), RARE, np.float32)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            share = np.where(self.words[at] == h, self.share[at], share)
+        chance = np.full(len(x), self.total, np.float32)
+        for i in range(min(k, len(h))):
+            chance += share[i : i + len(x)]
+        tokens, first = np.unique(x, return_index=True)
+        measured = self.slots[(tokens >> self.shift).astype(np.int64)]
+        level = np.floor(chance[first]).astype(np.int64)
+        return tokens, np.where(measured > 0, np.maximum(level, measured), level), measured
+
+
+def token_order(prints: DataFrame) -> Order:
+    """The order from the reports among `prints`; at most HOT_ROWS and WORD_ROWS rows come to the driver."""
+    hot = prints.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8")
+    hot = hot.select(F.expr(f"cast(shiftrightunsigned(token, {64 - SLOTS.bit_length() + 1}) as int)").alias("slot"), F.floor(F.log2("n")).cast("int").alias("level"))
     hot = checkpointed(hot.groupBy("slot").agg(F.max("level").alias("level")))
     sizes = {r["level"]: r["k"] for r in hot.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()}
     least = 0
     while sum(v for level, v in sizes.items() if level >= least) > HOT_ROWS:
         least += 1
-    table = np.zeros(SLOTS, np.uint8)
+    slots = np.zeros(SLOTS, np.uint8)
     for r in hot.where(F.col("level") >= least).toLocalIterator():
-        table[r["slot"]] = r["level"]
-    return table
+        slots[r["slot"]] = r["level"]
+    words = prints.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORD_ROWS)
+    total = prints.where("token is null and word is null").agg(F.sum("n").alias("n")).first()["n"] or 1
+    return Order(slots, {r["word"] % (1 << 64): r["n"] for r in words.collect()}, total)
 
 
-def prefix_rows(nodes: DataFrame, k: int, percent: int, table) -> DataFrame:
+def prefix_rows(nodes: DataFrame, k: int, percent: int, order) -> DataFrame:
     """(token, salt, node, n, pos, hot): each node's prefix in the global order. hot: how many of its prefix tokens
-    are frequent."""
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+    are measured as frequent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, level_of = WordHash(), table.value
+        hashes, by = WordHash(), order.value
         for batch in batches:
             parts, held = [], 0
             for i, text in zip(batch["id"].tolist(), batch["text"], strict=True):
-                s = shingle_set(text, k, hashes)
-                n = len(s)
+                tokens, level, measured = by.levels(word_hashes(text, hashes), k)
+                n = len(tokens)
                 if not n:
                     continue
-                level = level_of[(s >> shift).astype(np.int64)]
                 size = n - -(-percent * n // 100) + 1
                 first = np.argsort(level, kind="stable")[:size]
-                token, level = s[first], level[first]
-                salts = np.left_shift(1, np.maximum(level.astype(np.int64) - SALT_ROWS, 0))
+                salts = np.left_shift(1, np.clip(level[first] - SALT_ROWS, 0, 30))
                 salt = np.where(salts > 1, 1 + (int(i) * 0x9E3779B1 >> 7) % salts, 0)  # 0: the token isn't salted
-                parts.append((token.view(np.int64), salt, np.full(size, i), np.full(size, n), np.arange(size), np.full(size, int((level > 0).sum()))))
+                parts.append((tokens[first].view(np.int64), salt, np.full(size, i), np.full(size, n), np.arange(size), np.full(size, int((measured[first] > 0).sum()))))
                 held += size
                 if held > 200_000:
                     yield _frame(parts)
@@ -325,8 +368,8 @@ def _similar_components(docs: DataFrame, id_col: str, text: str, k: int, percent
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     prints = checkpointed(fingerprints(texts, k))
-    shared = spark.sparkContext.broadcast(frequency_table(prints.where("token is not null")))
-    prints = prints.where("token is null").drop("token")
+    shared = spark.sparkContext.broadcast(token_order(prints))
+    prints = prints.where("token is null and word is null").drop("token", "word")
     sets_of = prints.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("hist").alias("hist"))
     sets_of = checkpointed(sets_of)
     nodes = sets_of.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.first("hist").alias("hist"))
