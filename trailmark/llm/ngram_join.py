@@ -46,7 +46,8 @@ RARE = -17.0  # log2 of the share of a word that isn't in the table
 LOCAL = 3  # a token's documents within a chunk, from which the chunk reports it
 CHUNK = 500_000
 SALT_ROWS = 12  # log2 of the rows of a frequent token that share a salt
-BINS = 128
+BINS = 64
+FULL = 255  # a histogram count at its limit, which bounds nothing
 GROUP = 64
 GROUP_TOKENS = 1_000_000
 BATCH = 500  # texts or token sets that Python holds at once
@@ -92,7 +93,7 @@ def histogram(tokens: np.ndarray) -> np.ndarray:
 
 
 def packed(hist: np.ndarray) -> bytes:
-    return np.minimum(hist, 65535).astype("<u2").tobytes()
+    return np.minimum(hist, FULL).astype(np.uint8).tobytes()
 
 
 def needed(a, b, percent: int):
@@ -242,9 +243,9 @@ def histogram_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Upper bound of an intersection from two histograms; unbounded where a count is at its limit."""
     if not len(a):
         return pd.Series([], dtype="int64")
-    x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), BINS).astype(np.int64) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), BINS).astype(np.int64) for s in (a, b))
     low = np.minimum(x, y)
-    return pd.Series(np.where((low == 65535).any(axis=1), np.int64(1) << 60, low.sum(axis=1)))
+    return pd.Series(np.where((low == FULL).any(axis=1), np.int64(1) << 60, low.sum(axis=1)))
 
 
 @F.pandas_udf(T.LongType())
