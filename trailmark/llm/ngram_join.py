@@ -405,5 +405,6 @@ def _similar_components(docs: DataFrame, id_col: str, text: str, k: int, percent
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with the document of smallest id of each component, all columns kept."""
     found = similar_components(docs, id_col, text, k, percent)
-    gone = checkpointed(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct())
-    return without_keys(docs, id_col, gone)
+    gone = checkpointed(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct())
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    return without_keys(packed, "id", gone).select("row.*")
