@@ -12,7 +12,7 @@ Jaccard similarity reaches the threshold; components are the transitive closure.
 3. Partition: within each prefix token, one set with many frequent tokens leads, and each set is compared with its most
    promising leader. Verified links give components, which are split into groups of about `GROUP` similar documents.
 4. Matrix: for each (token, group) the least position and the size range of its members; for each group the union of
-   its members' tokens, and the union's histogram over `BINS` token classes.
+   its members' tokens, and the union's histogram over token classes.
 5. A set queries the groups of other components that share one of its prefix tokens. Position and size bounds, then
    the histogram, then the overlap with the token union bound its similarity with every member; only qualifying groups
    are opened, and their members compared exactly. Groups of a set's own component are never opened.
@@ -46,7 +46,7 @@ RARE = -17.0  # log2 of the share of a word that isn't in the table
 LOCAL = 3  # a token's documents within a chunk, from which the chunk reports it
 CHUNK = 500_000
 SALT_ROWS = 12  # log2 of the rows of a frequent token that share a salt
-BINS = 64
+BINS, MOST_BINS = 64, 4096  # of a histogram; powers of two, so that a long one folds to a shorter one
 FULL = 255  # a histogram count at its limit, which bounds nothing
 GROUP = 64
 GROUP_TOKENS = 1_000_000
@@ -89,7 +89,9 @@ def shingle_set(text: str | None, k: int, hashes: WordHash) -> np.ndarray:
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS)
+    """Counts of tokens by class, with about 4 to 8 tokens in each where the bounds on bins allow."""
+    bins = min(MOST_BINS, max(BINS, 1 << (len(tokens) // 8).bit_length()))
+    return np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins)
 
 
 def packed(hist: np.ndarray) -> bytes:
@@ -241,11 +243,12 @@ def _rows(column: pd.Series, dtype: str) -> list[np.ndarray]:
 @F.pandas_udf(T.LongType())
 def histogram_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Upper bound of an intersection from two histograms; unbounded where a count is at its limit."""
-    if not len(a):
-        return pd.Series([], dtype="int64")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), BINS).astype(np.int64) for s in (a, b))
-    low = np.minimum(x, y)
-    return pd.Series(np.where((low == FULL).any(axis=1), np.int64(1) << 60, low.sum(axis=1)))
+    found = []
+    for x, y in zip(_rows(a, "u1"), _rows(b, "u1"), strict=True):
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        full = x.max() == FULL or y.max() == FULL
+        found.append(1 << 60 if full else int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)).sum()))
+    return pd.Series(found, dtype="int64")
 
 
 @F.pandas_udf(T.LongType())
