@@ -206,6 +206,22 @@ def test_render(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<pre><div>line 1</div><div>  line 2</div></pre>", "line 1\n  line 2"),
+        ("<pre>\nx  y\n<ul><li>a<li>b</ul>z</pre>", "x  y\n- a\n- b\nz"),
+        ("<pre>k\n<table>\n<tr>\n<td>a<td>b\n</table></pre>", "k\n\na  b"),
+        ("<table><tr>loose<td>a<td>b<tr><div>block</div><td>c</table>", "loose\nblock\na  b\nc"),
+        ("<html><head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+        ("<head><title>T</title>\nplain <b>text</b>", "plain text"),
+        ("<head><meta charset=utf-8><template><p>no</p></template><style>no</style></head>yes", "yes"),
+    ],
+)
+def test_render_keeps_visible_text(html, want):
+    assert html_text.render(html) == want
+
+
 def test_render_extremes(spark):
     assert html_text.render("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert html_text.render("<p>" + LONG) == LONG

@@ -8,6 +8,9 @@ and hang below it; table cells are padded so that columns align; preformatted te
 Pages are independent: one pass without a shuffle, and a hot host or page costs nothing more than its rows. Nesting
 needs no recursion.
 
+A head ends at its end tag or at the first text or tag that can't stand in one. What stands in a table or row outside
+its cells comes before the table.
+
 Nulls: a null page has a null text, an empty one an empty text. Malformed markup never fails: an unknown end tag is
 ignored, and what is left open at the end of the page is closed there.
 """
@@ -29,6 +32,9 @@ UNSEEN = frozenset("audio canvas datalist head iframe math noembed noframes obje
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option search section summary ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table".split())
 LISTS = frozenset("ul ol menu dir".split())
+TABULAR = frozenset("table thead tbody tfoot tr".split())
+#: What may stand in a head; any other start tag, or text, ends one that is open.
+METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Start tag to the open elements that it closes, and the elements beyond which it doesn't look (fixed values).
 IMPLIED = {
     **dict.fromkeys((BLOCKS | SPACED | {"hr"}) - {"option", "optgroup", "html", "body", "caption"}, ({"p"}, {"button", "td", "th", "table", "caption"})),
@@ -60,8 +66,9 @@ class Element:
         self.number = 0
 
 
-def lines_of(parts: list) -> list[str]:
-    """Lines of a block from its parts; a blank line stands around spaced blocks, once between two."""
+def lines_of(parts: list, pre: bool = False) -> list[str]:
+    """Lines of a block from its parts; a blank line stands around spaced blocks, once between two. `pre` keeps the white
+    space of inline text, but for a line end before a block or at the end."""
     out: list[str] = []
     text: list[str] = []
     gap = False
@@ -77,7 +84,10 @@ def lines_of(parts: list) -> list[str]:
     def flow() -> None:
         run = "".join(text)
         text.clear()
-        if run:
+        if run and pre:
+            lines = run.split(BREAK)
+            put(lines[: len(lines) - (len(lines) > 1 and not lines[-1])], False)
+        elif run:
             lines = [SPACE.sub(" ", x).strip(" ") for x in run.split(BREAK)]
             while lines and not lines[-1]:
                 lines.pop()
@@ -118,7 +128,17 @@ class Renderer(HTMLParser):
         self.open = [Element("")]
         self.unseen = 0  # open elements that aren't seen
 
+    def end_head(self) -> None:
+        """Closes an open head whose end tag was left out; what stands in its other elements, as a template, stays there."""
+        i = len(self.open) - 1
+        while self.open[i].name == "noscript":
+            i -= 1
+        if self.open[i].name == "head":
+            self.close_down_to(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in METADATA:
+            self.end_head()
         closes, limits = IMPLIED.get(tag, ((), ()))
         if closes:
             for i in range(len(self.open) - 1, 0, -1):
@@ -156,7 +176,9 @@ class Renderer(HTMLParser):
                 return  # an end tag in a cell closes nothing outside it
 
     def handle_data(self, data: str) -> None:
-        if self.unseen:
+        if self.unseen and data.strip():
+            self.end_head()
+        if self.unseen or (self.open[-1].pre and self.open[-1].name in TABULAR and not data.strip()):
             return
         data = data.replace(BREAK, "�")
         if self.open[-1].pre:
@@ -179,31 +201,32 @@ class Renderer(HTMLParser):
             self.unseen -= 1
             return
         if e.name in ("td", "th"):
-            above.rows.append(lines_of(e.parts))
+            above.rows.append(lines_of(e.parts, e.pre))
         elif e.name == "tr":
             above.rows.append(e.rows)
+            above.parts.extend(e.parts)
         elif e.name in ("thead", "tbody", "tfoot"):
             above.rows.extend(e.rows)
             above.parts.extend(e.parts)
         elif e.name == "table":
             rows = [r if r and isinstance(r[0], list) else [r] if r else [] for r in e.rows]
-            above.parts.append((lines_of(e.parts) + table_lines(rows), True))
+            above.parts.append((lines_of(e.parts, e.pre) + table_lines(rows), True))
         elif e.rows:  # cells without a row, rows without a table
             above.rows.extend(e.rows)
             above.parts.extend(e.parts)
         elif e.name == "pre":
-            lines = "".join(p for p in e.parts if isinstance(p, str)).split(BREAK)
-            above.parts.append((lines[(not lines[0]) : len(lines) - (not lines[-1])] if len(lines) > 1 else lines, True))
+            first = next((k for k, p in enumerate(e.parts) if p != ""), 0)
+            above.parts.append((lines_of(e.parts[first + (e.parts[first : first + 1] == [BREAK]) :], True), True))
         elif e.name == "li":
             holder = next((x for x in reversed(self.open) if x.name in LISTS), above)
             holder.number += 1
             mark = f"{holder.number}. " if holder.name == "ol" else "- "
-            lines = lines_of(e.parts) or [""]
+            lines = lines_of(e.parts, e.pre) or [""]
             above.parts.append(([(mark if not k else " " * len(mark)) + x if x or not k else "" for k, x in enumerate(lines)], False))
         elif e.name == "dd" or e.name == "blockquote":
-            above.parts.append((["    " + x if x else "" for x in lines_of(e.parts)], e.name in SPACED))
+            above.parts.append((["    " + x if x else "" for x in lines_of(e.parts, e.pre)], e.name in SPACED))
         elif e.name in BLOCKS or e.name in SPACED:
-            above.parts.append((lines_of(e.parts), e.name in SPACED))
+            above.parts.append((lines_of(e.parts, e.pre), e.name in SPACED))
         else:
             above.parts.extend(e.parts)
 
