@@ -43,6 +43,28 @@ def test_language_id_keeps_texts_with_letters(stages):
     assert sorted(after) == sorted((i, t) for i, t in before if t and any(c.isalpha() for c in t))
 
 
+def test_language_id_drops_noise_and_other_languages(spark, sf_dir):
+    import random
+
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(80)) for _ in range(5)]
+    other = ["Кошка сидела на коврике", "猫坐在垫子上整天", "1234 !!"]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise + other)], "doc_id long, text string")
+    out = corpus_pipeline.language_id(spark, docs.unionByName(rows, allowMissingColumns=True), sf_dir)
+    # Brute force: the same least scores and filters, one text at a time.
+    model = corpus_pipeline.calibrated(docs)
+    assert 0 < model.least["en"] < 0.7
+    want = [(i, t) for i, t in pairs(docs.unionByName(rows, allowMissingColumns=True)) if (p := model.predict(t))[1] > 0 and p[1] >= model.least.get(p[0], 0)]
+    assert sorted(pairs(out)) == sorted(want) == sorted((i, t) for i, t in pairs(docs) if t and any(c.isalpha() for c in t))
+
+
+def test_language_id_keeps_letters_without_labels(spark, sf_dir):
+    rows = [(1, "Some text", None), (2, "12 !", None), (3, None, None), (4, "语言", None)]
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sf_dir)
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 4]
+
+
 def test_exact_dedup_keeps_one_of_each(stages):
     before, after = map(pairs, stages["exact_dedup"])
     best = {}

@@ -10,6 +10,9 @@ The filters are fitted on at most about `max_docs` labelled documents of each la
 of them; their size is fixed by `slots`, so they may be broadcast. Prediction reads nothing but text. Texts are worked
 on in pieces of bounded length, so a very long text needs no more memory than many short ones.
 
+A corpus is cleaned by the score (`drop_unidentified`): noise and languages that weren't learned hit few n-grams. The
+least score of a language comes from labelled rows, scored by filters that were fitted without them.
+
 Nulls and empties: a null text, or one without a letter, is `und` with score 0. Rows without a language, text or id are
 not learned from. A text whose n-grams are all unknown gets the language with most training documents (the first by
 name on ties), with score 0; ties go to the first language by name. Without labelled rows every document is `und`.
@@ -34,6 +37,10 @@ HASHES = 3
 SIZES = (2, 4)  # lengths of n-grams
 MIN_SHARE = 2e-5  # of a language's n-grams of one length, from which an n-gram is typical
 MIN_RATIO = 0.1  # to the largest share of the n-gram in any language
+FOLDS = 5  # one of them calibrates the least scores
+LOW = 0.001  # quantile of the scores of a language's labelled rows, the base of its least score
+MARGIN = 0.5  # of that quantile, still kept: texts of a few words score far lower than others
+MIN_SCORED = 20  # labelled rows that a least score needs
 PIECE = 1 << 19  # characters that are worked on at once
 #: Odd multipliers of the hashes (fixed values).
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -79,6 +86,7 @@ class Filters:
 
     def __init__(self, langs: list[str], masks: np.ndarray, default: int):
         self.langs, self.masks, self.default = langs, masks, default
+        self.least: dict[str, float] = {}  # score by language, below which a text is in none of them
         fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))]) if langs else np.empty(0)
         self.chance = fill**HASHES
 
@@ -109,6 +117,13 @@ class Filters:
         best = int(np.argmax(share))
         return (self.langs[best], float(round(share[best], 6))) if share[best] > 0 else (self.langs[self.default], 0.0)
 
+    def tells(self, text: str | None) -> bool:
+        """Whether the text is in a language that was learned; if there is none, whether it has a letter."""
+        if not self.langs:
+            return any(c.isalpha() for c in text or "")
+        lang, score = self.predict(text)
+        return score > 0 and score >= self.least.get(lang, 0.0)
+
 
 def training_rows(docs: DataFrame, lang: str, text: str, id_col: str, max_docs: int) -> tuple[DataFrame, dict[str, int]]:
     """(lang, text) of a sample of bounded size of each language, and the languages' document counts."""
@@ -149,6 +164,19 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "
     return Filters(langs, masks, langs.index(min(counts, key=lambda k: (-counts[k], k))))
 
 
+def calibrated(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_docs: int = MAX_DOCS, slots: int = SLOTS) -> Filters:
+    """Filters of all labelled rows of `docs`, with least scores. Those come from filters fitted without one fold of the
+    ids and the labelled rows of that fold, so that rows learned by heart don't raise them; a language in which fewer
+    than `MIN_SCORED` of these are found has none."""
+    filters = fit(docs, lang, text, id_col, max_docs, slots)
+    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(FOLDS)) == 0
+    rows, _ = training_rows(docs.where(fold), lang, text, id_col, max_docs)
+    scored = identify(rows, fit(docs.where(~fold), lang, text, id_col, max_docs, slots))
+    low = scored.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("k"), F.percentile("score", F.lit(LOW)).alias("q"))
+    filters.least = {r["lang_pred"]: MARGIN * r["q"] for r in low.where(F.col("k") >= MIN_SCORED).collect()}
+    return filters
+
+
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """`docs` packed as struct `row`, with `lang_pred` and `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
@@ -169,5 +197,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_unidentified(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """`docs` without those in which no language can be told: no letter at all."""
-    return identify(docs, filters, text).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """`docs` without those in which none of the languages can be told: no letter, no known n-gram, or a score below the
+    language's least. Without any language, those without a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("boolean")
+    def tells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        for texts in batches:
+            yield pd.Series([model.tells(t) for t in texts], dtype=bool)
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("li_text"))
+    return packed.where(tells("li_text")).select("row.*")
