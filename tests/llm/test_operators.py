@@ -249,6 +249,22 @@ def test_license_filters_lose_nothing():
         assert set(index.matches(w)) == want
 
 
+def test_long_templates_match_wherever_they_start(spark):
+    templates = license_scan.TEMPLATES + license_scan.NOTICES
+    assert all(len(alnum(t)) > 100 for label, t in license_scan.NOTICES if label != "apache-2")
+    index = license_scan.Index(templates, {}, license_scan.THRESHOLD)
+    for label, t in license_scan.NOTICES + (("long", " ".join(f"t{i}" for i in range(150))),):
+        words = [w.encode() for w in alnum(t)]
+        by = license_scan.Index((*templates, (label, t)), {}, license_scan.THRESHOLD) if label == "long" else index
+        for before in (0, 1, 31, 32, 33, 63, 100, 127, 128, 200, 255, 257):
+            for after in (0, 1, 300):
+                assert (label, 1.0) in {(x, c) for _, x, c in by.matches([b"x"] * before + words + [b"y"] * after)}, (label, before, after)
+    docs = spark.createDataFrame([(1, license_scan.NOTICES[2][1]), (2, "word " * 33 + license_scan.NOTICES[2][1]), (3, "no license")], "doc_id long, text string")
+    body = ((license_scan.NOTICES[2]),)
+    got = {r["row"]["doc_id"]: {b["label"] for b in r["blocks"]} for r in license_scan.find_licenses(docs, templates=body).collect()}
+    assert got == {1: {"bsd"}, 2: {"bsd"}, 3: set()}
+
+
 def test_license_digest(spark):
     rows = [(1, "Under the MIT License, under the mit-license."), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."), (5, "the license is under version mit"), (5, "the license is under version mit"), (None, "GNU General Public License, version 3, licensed under the"), (6, "word " * 5000 + "apache license version 2")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, labels int")

@@ -1,6 +1,8 @@
 """Operator 6, license scans, by an exact set-similarity join of text blocks with license templates.
 
-Blocks are runs of `BLOCK` words, one every `STRIDE`, so that any run of STRIDE words lies within one. A block matches a
+Blocks are runs of `BLOCK` words, one every `STRIDE`, so that any run of STRIDE words lies within one. For a template of
+more words both are doubled until the stride has as many, so that a run as long as the template always lies within one
+of its blocks, wherever it starts. A block matches a
 template when it contains at least `THRESHOLD` of the template's distinct tokens. Template tokens are ordered by their
 document frequency over the whole table, rare ones first. Three filters leave few blocks to compare, and lose none:
 
@@ -47,6 +49,37 @@ TEMPLATES = (
 )
 
 
+# Whole notices, for `find_licenses(docs, templates=TEMPLATES + NOTICES)`; the query's SQL has the lines alone.
+NOTICES = (
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+)
+
+
+def stride_of(n_words: int) -> int:
+    """The stride of the blocks for a template of so many words, at least as long as it."""
+    stride = STRIDE
+    while stride < n_words:
+        stride *= 2
+    return stride
+
+
 def token_frequencies(docs: DataFrame, text: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """Documents that hold each token of the vocabulary; at most one row for each token comes back."""
 
@@ -62,32 +95,40 @@ def token_frequencies(docs: DataFrame, text: str, vocabulary: frozenset[bytes])
 
 
 class Index:
-    """Templates by prefix token, in the global order."""
+    """Templates by stride of their blocks and prefix token, in the global order."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        sets = [(label, set(alnum_words(t))) for label, t in templates]
-        tokens = sorted(set().union(*[s for _, s in sets]), key=lambda t: (frequency.get(t, 0), t))
+        sets = [(label, set(alnum_words(t)), stride_of(len(alnum_words(t)))) for label, t in templates]
+        tokens = sorted(set().union(*[s for _, s, _ in sets]), key=lambda t: (frequency.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(tokens)}
-        self.by_token: dict[bytes, list] = defaultdict(list)
-        for label, s in sets:
+        self.by_stride: dict[int, dict[bytes, list]] = {}
+        for label, s, stride in sets:
+            by_token = self.by_stride.setdefault(stride, defaultdict(list))
             least = -int(-threshold * len(s) // 1)
             ordered = sorted(s, key=self.rank.get)
             for i, t in enumerate(ordered[: len(s) - least + 1]):
-                self.by_token[t].append((label, s, least, i))
-        self.prefix = frozenset(self.by_token)
+                by_token[t].append((label, s, least, i))
+        self.prefix = frozenset().union(*self.by_stride.values())
 
     def matches(self, words: list[bytes]) -> list[tuple[int, str, float]]:
         """(start of the block, label, containment) of every matching block and template."""
         if self.prefix.isdisjoint(words):
             return []
-        near = [i for i, w in enumerate(words) if w in self.prefix]
-        starts = sorted({s for i in near for s in range(max(0, (i - BLOCK) // STRIDE + 1) * STRIDE, i + 1, STRIDE) if s == 0 or s + STRIDE < len(words)})
+        found = []
+        for stride, by_token in self.by_stride.items():
+            found += self._matches(words, stride, by_token)
+        return found
+
+    def _matches(self, words: list[bytes], stride: int, by_token: dict[bytes, list]) -> list[tuple[int, str, float]]:
+        length = BLOCK // STRIDE * stride
+        near = [i for i, w in enumerate(words) if w in by_token]
+        starts = sorted({s for i in near for s in range(max(0, (i - length) // stride + 1) * stride, i + 1, stride) if s == 0 or s + stride < len(words)})
         found = []
         for start in starts:
-            block = sorted({w for w in words[start : start + BLOCK] if w in self.rank}, key=self.rank.get)
+            block = sorted({w for w in words[start : start + length] if w in self.rank}, key=self.rank.get)
             seen = set()
             for j, token in enumerate(block):
-                for label, template, least, i in self.by_token.get(token, ()):
+                for label, template, least, i in by_token.get(token, ()):
                     if id(template) in seen:
                         continue
                     seen.add(id(template))  # later shared tokens bound it no better than this first one
