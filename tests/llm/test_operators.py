@@ -140,6 +140,22 @@ def test_filters_miss_nothing_and_long_texts_agree():
         language_id.PIECE = piece
 
 
+def test_more_than_64_languages_and_long_texts_are_learned(spark):
+    rng = random.Random(9)
+    # Each language has letters of its own, in words of two to six; the last one is rare.
+    alphabets = [[chr(0x4E00 + 8 * i + j) for j in range(8)] for i in range(70)]
+    say = lambda i, n: " ".join("".join(rng.choice(alphabets[i]) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    rows = [(2 * i + k, say(i, 60), f"l{i:02}") for i in range(70) for k in range(2 if i < 69 else 1)]
+    # A long text that only turns to its own letters after 20,000 characters.
+    tail = "".join(chr(0xAC00 + rng.randrange(12)) + " " * (j % 4 == 3) for j in range(40_000))
+    rows.append((900, "ab " * 7000 + tail, "long"))
+    filters = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), slots=1 << 16)
+    assert len(filters.langs) == 71 and filters.masks.shape == (2, 1 << 16)
+    for i in range(70):
+        assert filters.predict(say(i, 30))[0] == f"l{i:02}"
+    assert filters.predict("".join(chr(0xAC00 + rng.randrange(12)) for _ in range(100)))[0] == "long"
+
+
 # --- 4 exact dedup ----------------------------------------------------------------------------------------------------
 
 

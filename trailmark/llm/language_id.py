@@ -2,12 +2,13 @@
 
 A Bloom filter for each language holds the character n-grams that are typical of it. The filters are bit-sliced: one
 array has, at each position, a mask with a bit for each language, so that one look-up of an n-gram's positions and an AND
-of the masks return all languages that contain it. A document's n-grams are looked up over its whole text; for each
+of the masks return all languages that contain it. Each 64 languages have an array of their own, and the largest corrected
+share over all arrays decides. A document's n-grams are looked up over its whole text; for each
 language the hits are counted (popcount of its bit) and corrected for the share that its filter's fill would let
 through by chance. The highest corrected count decides.
 
 The filters are fitted on at most about `max_docs` labelled documents of each language, drawn by hash of the id over all
-of them; their size is fixed by `slots`, so they may be broadcast. Prediction reads nothing but text. Texts are worked
+of them, whole texts; their size is 8 bytes for each of the `slots` and each 64 languages, so they may be broadcast. Prediction reads nothing but text. Texts are worked
 on in pieces of bounded length, so a very long text needs no more memory than many short ones.
 
 A corpus is cleaned by the score (`drop_unidentified`): noise and languages that weren't learned hit few n-grams. The
@@ -31,7 +32,6 @@ from .common import checkpointed
 
 UNKNOWN = "und"
 MAX_DOCS = 3000  # of each language, for training
-MAX_CHARS = 20_000  # of each training document
 SLOTS = 1 << 21
 HASHES = 3
 SIZES = (2, 4)  # lengths of n-grams
@@ -42,6 +42,8 @@ LOW = 0.001  # quantile of the scores of a language's labelled rows, the base of
 MARGIN = 0.5  # of that quantile, still kept: texts of a few words score far lower than others
 MIN_SCORED = 20  # labelled rows that a least score needs
 PIECE = 1 << 19  # characters that are worked on at once
+COUNTED = 1 << 22  # characters of training texts whose n-grams are counted at once
+BITS = 64  # languages of an array
 #: Odd multipliers of the hashes (fixed values).
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _BLANK = np.uint32(32)
@@ -81,36 +83,42 @@ def positions(grams: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((grams * ODD[j]) >> np.uint64(40)).astype(np.int64) & (slots - 1) for j in range(HASHES)]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """Parts of a text of bounded length, each with the end of the one before, so that no n-gram is lost."""
+    overlap = max(SIZES) - 1
+    for start in range(0, len(text), PIECE):
+        yield text[max(0, start - overlap) : start + PIECE]
+
+
 class Filters:
-    """Bit-sliced filters: masks by slot, and the languages of the bits."""
+    """Bit-sliced filters: masks by array and slot (or by slot alone), and the languages of the bits, array by array."""
 
     def __init__(self, langs: list[str], masks: np.ndarray, default: int):
-        self.langs, self.masks, self.default = langs, masks, default
+        self.langs, self.masks, self.default = langs, np.atleast_2d(masks), default
         self.least: dict[str, float] = {}  # score by language, below which a text is in none of them
-        fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))]) if langs else np.empty(0)
+        fill = np.array([((self.masks[i // BITS] >> np.uint64(i % BITS)) & np.uint64(1)).mean() for i in range(len(langs))]) if langs else np.empty(0)
         self.chance = fill**HASHES
 
-    def containing(self, grams: np.ndarray) -> np.ndarray:
-        """Mask of the languages that contain each n-gram."""
-        found = None
-        for at in positions(grams, len(self.masks)):
-            found = self.masks[at] if found is None else found & self.masks[at]
+    def containing(self, grams: np.ndarray, array: int = 0) -> np.ndarray:
+        """Mask of the languages of an array that contain each n-gram."""
+        found, masks = None, self.masks[array]
+        for at in positions(grams, len(masks)):
+            found = masks[at] if found is None else found & masks[at]
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
         hits, total, some = np.zeros(len(self.langs)), 0, False
-        overlap = max(SIZES) - 1
-        for start in range(0, len(text), PIECE):
-            c = letters(text[max(0, start - overlap) : start + PIECE])
+        for piece in pieces(text):
+            c = letters(piece)
             some = some or bool((c != _BLANK).any())
             for size in SIZES:
                 grams = ngrams(c, size)
                 if len(grams):
-                    found = self.containing(grams)
+                    found = [self.containing(grams, array) for array in range(len(self.masks))]
                     total += len(grams)
-                    hits += [np.count_nonzero(found & np.uint64(1 << i)) for i in range(len(self.langs))]
+                    hits += [np.count_nonzero(found[i // BITS] & np.uint64(1 << i % BITS)) for i in range(len(self.langs))]
         if not some:
             return UNKNOWN, 0.0
         share = np.clip((hits / total - self.chance) / (1 - self.chance), 0, 1)
@@ -128,39 +136,53 @@ class Filters:
 def training_rows(docs: DataFrame, lang: str, text: str, id_col: str, max_docs: int) -> tuple[DataFrame, dict[str, int]]:
     """(lang, text) of a sample of bounded size of each language, and the languages' document counts."""
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null and id is not null")
-    counts = {r["lang"]: r["k"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "lang").limit(64).collect()}
+    sizes = checkpointed(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("k")))
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, max_docs / n) * (1 << 30)))]) if counts else F.create_map().cast("map<string,int>")
-    return labelled.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, MAX_CHARS).alias("text")), counts
+    share = F.least(F.lit(1.0), max_docs / F.col("k")) * (1 << 30)
+    drawn = labelled.join(F.broadcast(sizes), "lang").where(draw < share.cast("long"))  # sizes: a row for each language
+    return drawn.select("lang", "text"), {r["lang"]: r["k"] for r in sizes.collect()}
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_docs: int = MAX_DOCS, slots: int = SLOTS) -> Filters:
-    """Filters of the languages of `docs`, the 64 most frequent if there are more."""
+    """Filters of all languages of `docs`."""
     rows, counts = training_rows(docs, lang, text, id_col, max_docs)
 
+    def counted_in(name: str, texts: list[str]) -> Iterator[pd.DataFrame]:
+        c = letters(" ".join(texts))
+        for size in SIZES:
+            gram, n = np.unique(ngrams(c, size), return_counts=True)
+            yield pd.DataFrame({"lang": name, "size": size, "gram": gram.view(np.int64), "n": n})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, texts in batch.groupby("lang")["text"]:
-                c = letters(" ".join(texts))
-                for size in SIZES:
-                    gram, n = np.unique(ngrams(c, size), return_counts=True)
-                    yield pd.DataFrame({"lang": name, "size": size, "gram": gram.view(np.int64), "n": n})
+                held, size = [], 0
+                for piece in (p for t in texts for p in pieces(t)):
+                    held.append(piece)
+                    size += len(piece)
+                    if size >= COUNTED:
+                        yield from counted_in(name, held)
+                        held, size = [], 0
+                yield from counted_in(name, held)
 
     langs = sorted(counts)
-    masks = np.zeros(slots, np.uint64)
+    masks = np.zeros((max(1, -(-len(langs) // BITS)), slots), np.uint64)
     if not langs:
         return Filters([], masks, 0)
     counted = checkpointed(rows.mapInPandas(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))  # totals: 64 languages at most
+    shares = counted.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))  # totals: a row for each language and length
     top = shares.groupBy("size", "gram").agg(F.max("share").alias("top"))
     typical = shares.where(F.col("share") >= MIN_SHARE).join(top, ["size", "gram"]).where(F.col("share") >= MIN_RATIO * F.col("top"))
     # 1 / MIN_SHARE bounds the typical n-grams of a language and length, and so the rows that come to the driver.
     bit = {name: i for i, name in enumerate(langs)}
     for r in typical.groupBy("gram").agg(F.collect_set("lang").alias("langs")).toLocalIterator():
-        mask = np.uint64(sum(1 << bit[name] for name in r["langs"]))
+        own: dict[int, int] = {}
+        for name in r["langs"]:
+            own[bit[name] // BITS] = own.get(bit[name] // BITS, 0) | 1 << bit[name] % BITS
         for at in positions(np.array([r["gram"]], np.int64).view(np.uint64), slots):
-            masks[at] |= mask
+            for array, mask in own.items():
+                masks[array, at] |= np.uint64(mask)
     return Filters(langs, masks, langs.index(min(counts, key=lambda k: (-counts[k], k))))
 
 
