@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +21,9 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(ALNUM_TABLE).split() if text else []
 
 
-def space_words(text: str | None) -> list[bytes]:
+def space_words(text: str | bytes | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, as UTF-8; none for a null text."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+    return (text.encode("utf-8", "replace") if isinstance(text, str) else text).lower().split() if text else []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,38 +33,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the cluster's shared checkpoint folder and cut from its lineage.
 
-    The folder is `spark.checkpoint.dir`; only a session that names none (a test) gets a local one.
+    The folder is the one in `spark.checkpoint.dir`. Where a session names none, one of the machine's own serves if master
+    is local (a test); on a cluster that is an error, since other machines don't see it.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, plans that start hand Python at most `rows` rows at once: for rows that are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of `df` as one struct `row`, so that their names can't clash with those of `more` beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[x.alias(name) for name, x in more.items()])
+
+
 # --- a bounded filter on keys -------------------------------------------------------------------------------------
 
+#: Keys beyond which no filter is built, and a shuffled join alone finds them.
+MOST_KEYS = 1 << 22
+MOST_BITS = 1 << 24
+
 
-def key_filter(keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
-    """(word, mask): a one-hash Bloom filter of 64-bit `key`s with `bits` bits, in bits / 64 rows at most.
+def bits_for(n_keys: int) -> int:
+    """Bits of a filter of so many keys: eight for each at least, up to `MOST_BITS`, a power of two."""
+    return min(MOST_BITS, 1 << max(16, (8 * n_keys).bit_length()))
 
-    The row bound makes it safe to broadcast at any input size. Beyond about `bits` keys it
-    passes everything, which costs work in the exact step behind it and never a row.
+
+def key_filter(keys: DataFrame, key: str, bits: int = MOST_BITS) -> DataFrame:
+    """(kf_word, kf_mask): a one-hash Bloom filter of 64-bit `key`s with `bits` bits, in bits / 64 rows at most.
+
+    `bits` is at most MOST_BITS, so it has at most 262,144 rows and is safe to broadcast at any input size.
     """
     pos = F.pmod(F.col(key), F.lit(bits))
     return (
@@ -77,7 +81,7 @@ def key_filter(keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
     )
 
 
-def marked(df: DataFrame, key: Column, filt: DataFrame, name: str, bits: int = 1 << 24) -> DataFrame:
+def marked(df: DataFrame, key: Column, filt: DataFrame, name: str, bits: int = MOST_BITS) -> DataFrame:
     """`df` with boolean `name`: false when `key` is surely not in the filter's keys. A null key is false."""
     word = F.shiftright(F.pmod(key, F.lit(bits)), 6).cast("int")
     joined = df.withColumn("kf_key", key).withColumn("kf_at", word)
@@ -86,17 +90,24 @@ def marked(df: DataFrame, key: Column, filt: DataFrame, name: str, bits: int = 1
     return joined.withColumn(name, hit).drop("kf_key", "kf_at", "kf_word", "kf_mask")
 
 
-def only_keys(df: DataFrame, on: str, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows of `df` whose `on` is in `keys` (distinct, same column name): filtered by the bounded filter first,
-    so that only likely rows, with their wide columns, are shuffled for the exact semi join."""
-    hashed = keys.select(F.xxhash64(on).alias("kf_h"))
-    maybe = marked(df, F.xxhash64(on), key_filter(hashed, "kf_h", bits), "kf_maybe", bits)
-    return maybe.where("kf_maybe").drop("kf_maybe").join(keys.select(on), on, "left_semi")
-
-
-def without_keys(df: DataFrame, on: str, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows of `df` whose `on` is null or not in `keys`. Rows that the bounded filter clears are not shuffled."""
-    hashed = keys.select(F.xxhash64(on).alias("kf_h"))
-    maybe = marked(df, F.xxhash64(on), key_filter(hashed, "kf_h", bits), "kf_maybe", bits)
-    rest = maybe.where("kf_maybe").join(keys.select(on), on, "left_anti")
+def likely_keys(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose `on` is in `keys` (one column of that name), and few others: what a filter of `keys` passes,
+    without a shuffle of `df`; beyond `MOST_KEYS` keys exactly the rows, by a shuffled join."""
+    n = keys.count()
+    if n > MOST_KEYS:
+        return df.join(keys, on, "left_semi")
+    bits = bits_for(n)
+    filt = key_filter(keys.select(F.xxhash64(on).alias("kf_h")), "kf_h", bits)
+    return marked(df, F.xxhash64(on), filt, "kf_maybe", bits).where("kf_maybe").drop("kf_maybe")
+
+
+def without_keys(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose `on` is null or not in `keys` (one column of that name). Rows that a filter of at most `MOST_KEYS` keys clears are not shuffled."""
+    n = keys.count()
+    if n > MOST_KEYS:
+        return df.join(keys, on, "left_anti")
+    bits = bits_for(n)
+    filt = key_filter(keys.select(F.xxhash64(on).alias("kf_h")), "kf_h", bits)
+    maybe = marked(df, F.xxhash64(on), filt, "kf_maybe", bits)
+    rest = maybe.where("kf_maybe").join(keys, on, "left_anti")
     return maybe.where("not kf_maybe").unionByName(rest).drop("kf_maybe")

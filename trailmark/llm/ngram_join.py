@@ -3,26 +3,29 @@
 A document is the set of its distinct k-word shingles, as 64-bit hashes ("tokens"). Two documents link when their
 Jaccard similarity reaches the threshold; components are the transitive closure. The search is exact.
 
-1. Equal sets are one node, named by its smallest document id, so copies cost nothing further.
-2. Tokens get one global order, those likely to be shared last. Two bounded tables give it: the logarithm of document
-   frequencies seen to be high, by token slot, and the shares of the most frequent words, whose product estimates how
-   often a token arises by chance. The tables only steer work: any order gives the same result.
-   Two linked sets share a token within their first n - ceil(t n) + 1 tokens in this order (prefix filter); only those
-   tokens are shuffled. Frequent tokens are salted by their frequency, so that no group of rows is large.
-3. Partition: within each prefix token, one set with many frequent tokens leads, and each set is compared with its most
-   promising leader. Verified links give components, which are split into groups of about `GROUP` similar documents.
-4. Matrix: for each (token, group) the least position and the size range of its members; for each group the union of
-   its members' tokens, and the union's histogram over token classes.
-5. A set queries the groups of other components that share one of its prefix tokens. Position and size bounds, then
-   the histogram, then the overlap with the token union bound its similarity with every member; only qualifying groups
-   are opened, and their members compared exactly. Groups of a set's own component are never opened.
-6. Components come from alternating large-star and small-star steps with a checkpoint each.
-
-Nothing that grows with the corpus reaches the driver; the two tables have at most `HOT_ROWS` and `WORD_ROWS` rows.
-
-Nulls: null, empty and blank texts have an empty set and link with nothing. Rows with a null id are compared through
-other rows with an equal set only; alone they have a null component. Repeated rows share their component. The id names
-a document: where two rows of one id differ, the id is linked by both texts. An empty table gives an empty result.
+1. Equal sets are one node, so copies cost nothing further. Each row is a document of its own; its id only names things.
+2. Tokens have one global order: those whose hash falls in a fixed share of the hash space first, within them by document
+   frequency. Two linked sets share a token within their first n - ceil(t n) + 1 tokens in any order (prefix filter). A
+   set's prefix nearly always lies in that share, its pool; only pools are shuffled and counted. A set whose pool doesn't
+   reach takes all its tokens. Tokens that no other pool holds come first and link nothing, so they are dropped: a
+   document of mostly its own wording leaves the join here, and work stays in proportion to what is really shared.
+3. Partition: each set tries the leader of its size band with which it shares most prefix tokens. Verified links make
+   components of similar sets, which are split into groups of about `GROUP`.
+4. Matrix: for each (token, group) the least position and the size range of the members whose prefix holds the token; for
+   each group the union of its members' tokens.
+5. A set queries the groups of other components. The shared prefix tokens, counted in the matrix, bound its overlap
+   with every member; then its overlap with the group's token union does; only qualifying groups are opened, and their
+   members compared exactly. Groups of a set's own component are never opened.
+6. Links between components are closed by alternating large-star and small-star steps.
+
+Nothing that grows with the corpus reaches the driver. Joins on a token may meet a hot one: both sides are shuffled for
+the join alone, so Spark splits skewed partitions, and counts combine before they are shuffled.
+
+Nulls: null, empty and blank texts have an empty set, link with nothing and are components of their own. A row with a
+null id is compared like any other and named by its component; alone, or among null ids only, its component is null.
+Repeated rows share their component. Of rows with one id and different texts, each is in the component of its text. A
+very long text is one row of 64-bit tokens, a bounded multiple of its own size. Ids are of any type with an order. An
+empty table gives an empty result. Input columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,28 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, has_rows, only_keys, small_batches, space_words, without_keys
-
-SLOTS = 1 << 22
-HOT_ROWS = 1 << 18
-WORD_ROWS = 1 << 16
-WORD_LOCAL = 10  # a word's places within a chunk, from which the chunk reports it
-RARE = -17.0  # log2 of the share of a word that isn't in the table
-LOCAL = 3  # a token's documents within a chunk, from which the chunk reports it
-CHUNK = 500_000
-SALT_ROWS = 12  # log2 of the rows of a frequent token that share a salt
-BINS, MOST_BINS = 64, 4096  # of a histogram; powers of two, so that a long one folds to a shorter one
-FULL = 255  # a histogram count at its limit, which bounds nothing
+from .common import checkpointed, has_rows, likely_keys, packed, space_words, without_keys
+
+POOL = 1.6  # share of the tokens in pools, in prefix lengths
 GROUP = 64
 GROUP_TOKENS = 1_000_000
-BATCH = 500  # texts or token sets that Python holds at once
+SIGN = 1 << 63
 #: Odd multipliers of a hash (fixed values).
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
 class WordHash(dict):
@@ -65,7 +60,7 @@ class WordHash(dict):
         return h
 
 
-def word_hashes(text: str | None, hashes: WordHash) -> np.ndarray:
+def word_hashes(text: str | bytes | None, hashes: WordHash) -> np.ndarray:
     words = space_words(text)
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
@@ -83,213 +78,148 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHash) -> np.ndarray:
+def shingle_set(text: str | bytes | None, k: int, hashes: WordHash) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
     return np.unique(shingle_hashes(word_hashes(text, hashes), k))
 
 
-def histogram(tokens: np.ndarray) -> np.ndarray:
-    """Counts of tokens by class, with about 4 to 8 tokens in each where the bounds on bins allow."""
-    bins = min(MOST_BINS, max(BINS, 1 << (len(tokens) // 8).bit_length()))
-    return np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins)
+def set_hash(tokens: np.ndarray) -> tuple[int, int]:
+    """Two signed halves of the 128-bit hash of a sorted set."""
+    d = xxhash.xxh3_128_digest(tokens.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def packed(hist: np.ndarray) -> bytes:
-    return np.minimum(hist, FULL).astype(np.uint8).tobytes()
+# --- passes over the texts ----------------------------------------------------------------------------------------
 
 
-def needed(a, b, percent: int):
-    """Least intersection of sets of sizes a and b at the threshold."""
-    return -(-percent * (a + b) // (100 + percent))
+def pool_limit(percent: int) -> int:
+    """The unsigned hash below which tokens come first in the order."""
+    return min(SIGN * 2 - 1, int(POOL * (100 - percent) / 100 * SIGN * 2))
 
 
-# --- passes over the texts ----------------------------------------------------------------------------------------
+def prefix_length(n, percent: int):
+    """Tokens of a set of n of which a linked set holds one, in any global order."""
+    return n - -(-percent * n // 100) + 1
 
 
-def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """For each document (id, n, two halves of its set's 128-bit hash, histogram). From each chunk of them also, with a
-    `token` or a `word`, (n): tokens that several of its documents hold, and frequent words, with their counts."""
+def row_key(id_col: str, text: str) -> Column:
+    """A hash of id and text, by which a later pass finds the row again."""
+    known = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return F.md5(F.concat(known, F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
-    columns = ["id", "n", "hi", "lo", "hist", "token", "word"]
 
-    def counted(name: str, chunk: list[np.ndarray], least: int) -> pd.DataFrame:
-        value, n = np.unique(np.concatenate(chunk), return_counts=True)
-        return pd.DataFrame({name: value[n >= least].view(np.int64), "n": n[n >= least]}).reindex(columns=columns)
+def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, key, text) of every row."""
+    return docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("key"), F.col(text).cast("binary").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, words, tokens, held = WordHash(), [], [], 0
-        for batch in batches:
-            out = []
-            for i, text in zip(batch["id"].tolist(), batch["text"], strict=True):
-                h = word_hashes(text, hashes)
-                s = np.unique(shingle_hashes(h, k))
-                i = None if i is None or i != i else int(i)
-                if not len(s):
-                    out.append((i, 0, None, None, None, None, None))
-                    continue
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                hi, lo = (int.from_bytes(d[j : j + 8], "little", signed=True) for j in (0, 8))
-                out.append((i, len(s), hi, lo, packed(histogram(s)), None, None))
-                words.append(h)
-                tokens.append(s)
-                held += len(s)
-                if held >= CHUNK:
-                    yield counted("token", tokens, LOCAL)
-                    yield counted("word", words, WORD_LOCAL)
-                    words, tokens, held = [], [], 0
-            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(("id", "n", "hi", "lo", "token", "word"), "Int64"))
-        if tokens:
-            yield counted("token", tokens, LOCAL)
-            yield counted("word", words, WORD_LOCAL)
-
-    return docs.mapInPandas(run, "id long, n long, hi long, lo long, hist binary, token long, word long")
-
-
-class Order:
-    """The global order of tokens: log2 of how many documents are likely to share one."""
-
-    def __init__(self, slots: np.ndarray, words: dict[int, int], total: int):
-        self.slots = slots
-        self.words = np.array(sorted(words), np.uint64)
-        self.share = np.array([np.log2(max(words[w], 1) / max(total, 1)) for w in sorted(words)], np.float32)
-        self.total = np.float32(np.log2(max(total, 1)))
-        self.shift = np.uint64(64 - SLOTS.bit_length() + 1)
-
-    def levels(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, level, measured) of the words `h`: distinct tokens, their place in the order, and the logarithm of
-        their measured frequency, 0 where it isn't high."""
-        x = shingle_hashes(h, k)
-        share = np.full(len(h), RARE, np.float32)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            share = np.where(self.words[at] == h, self.share[at], share)
-        chance = np.full(len(x), self.total, np.float32)
-        for i in range(min(k, len(h))):
-            chance += share[i : i + len(x)]
-        tokens, first = np.unique(x, return_index=True)
-        measured = self.slots[(tokens >> self.shift).astype(np.int64)]
-        level = np.floor(chance[first]).astype(np.int64)
-        return tokens, np.where(measured > 0, np.maximum(level, measured), level), measured
-
-
-def token_order(prints: DataFrame) -> Order:
-    """The order from the reports among `prints`; at most HOT_ROWS and WORD_ROWS rows come to the driver."""
-    hot = prints.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8")
-    hot = hot.select(F.expr(f"cast(shiftrightunsigned(token, {64 - SLOTS.bit_length() + 1}) as int)").alias("slot"), F.floor(F.log2("n")).cast("int").alias("level"))
-    hot = checkpointed(hot.groupBy("slot").agg(F.max("level").alias("level")))
-    sizes = {r["level"]: r["k"] for r in hot.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()}
-    least = 0
-    while sum(v for level, v in sizes.items() if level >= least) > HOT_ROWS:
-        least += 1
-    slots = np.zeros(SLOTS, np.uint8)
-    for r in hot.where(F.col("level") >= least).toLocalIterator():
-        slots[r["slot"]] = r["level"]
-    words = prints.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORD_ROWS)
-    total = prints.where("token is null and word is null").agg(F.sum("n").alias("n")).first()["n"] or 1
-    return Order(slots, {r["word"] % (1 << 64): r["n"] for r in words.collect()}, total)
-
-
-def prefix_rows(nodes: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """(token, salt, node, n, pos, hot): each node's prefix in the global order. hot: how many of its prefix tokens
-    are measured as frequent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, by = WordHash(), order.value
+
+def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, key, n, two halves of the set's hash, n_first, pool) of keyed `docs`. n_first: tokens in the pools' share;
+    pool: those, or all tokens if a prefix needs more. Pool tokens have their top bit flipped, so that signed order is theirs."""
+    limit = np.uint64(pool_limit(percent))
+    schema = T.StructType([docs.schema["id"], docs.schema["key"]] + [T.StructField(c, T.LongType()) for c in ("n", "hi", "lo", "n_first")] + [T.StructField("pool", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
         for batch in batches:
-            parts, held = [], 0
-            for i, text in zip(batch["id"].tolist(), batch["text"], strict=True):
-                tokens, level, measured = by.levels(word_hashes(text, hashes), k)
-                n = len(tokens)
-                if not n:
-                    continue
-                size = n - -(-percent * n // 100) + 1
-                first = np.argsort(level, kind="stable")[:size]
-                salts = np.left_shift(1, np.clip(level[first] - SALT_ROWS, 0, 30))
-                salt = np.where(salts > 1, 1 + (int(i) * 0x9E3779B1 >> 7) % salts, 0)  # 0: the token isn't salted
-                parts.append((tokens[first].view(np.int64), salt, np.full(size, i), np.full(size, n), np.arange(size), np.full(size, int((measured[first] > 0).sum()))))
-                held += size
-                if held > 200_000:
-                    yield _frame(parts)
-                    parts, held = [], 0
-            if parts:
-                yield _frame(parts)
-
-    def _frame(parts):
-        return pd.DataFrame(dict(zip(("token", "salt", "node", "n", "pos", "hot"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    return nodes.mapInPandas(run, "token long, salt int, node long, n int, pos int, hot int")
-
-
-def token_sets(nodes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, n, tokens) of the nodes in `ids` (node)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if not batch.num_rows:
+                continue
+            pools, facts = [np.empty(0, np.uint64)], []
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py(), k, hashes)
+                n, first = len(s), int(np.searchsorted(s, limit))
+                pools.append(s[:first] if first >= prefix_length(n, percent) else s)
+                facts.append((n, *(set_hash(s) if n else (0, 0)), first))
+            ends = np.cumsum([len(p) for p in pools]).astype(np.int32)
+            values = (np.concatenate(pools) ^ np.uint64(SIGN)).view(np.int64)
+            pool = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            columns = [pa.array(x, pa.int64()) for x in zip(*facts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *columns, pool], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def token_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of `nodes` (node, key, hi, lo), from the keyed `docs`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            sets = [shingle_set(t, k, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["id"], "tokens": [s.tobytes() for s in sets]})
+            sets = [shingle_set(t.as_py(), k, hashes) for t in batch.column("text")]
+            halves = [set_hash(s) for s in sets]
+            columns = [pa.array([h[i] for h in halves], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=["hi", "lo", "tokens"])
 
-    wanted = only_keys(nodes, "id", ids.select(F.col("node").alias("id")))
-    return wanted.mapInPandas(run, "node long, tokens binary")
+    found = likely_keys(docs.select("key", "text"), "key", nodes.select("key")).mapInArrow(run, "hi long, lo long, tokens binary")
+    found = found.groupBy("hi", "lo").agg(F.first("tokens").alias("tokens"))  # repeated rows have the same
+    return nodes.select("node", "hi", "lo").join(found, ["hi", "lo"]).select("node", "tokens")
 
 
 # --- bounds -------------------------------------------------------------------------------------------------------
 
 
-def _rows(column: pd.Series, dtype: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype) for x in column]
+def _ceil_div(a: Column, b: int) -> Column:
+    return F.ceil(a / b)
 
 
-@F.pandas_udf(T.LongType())
-def histogram_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Upper bound of an intersection from two histograms; unbounded where a count is at its limit."""
-    found = []
-    for x, y in zip(_rows(a, "u1"), _rows(b, "u1"), strict=True):
-        x, y = (x, y) if len(x) <= len(y) else (y, x)
-        full = x.max() == FULL or y.max() == FULL
-        found.append(1 << 60 if full else int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)).sum()))
-    return pd.Series(found, dtype="int64")
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """Tokens that sets of sizes a and b share if they are linked."""
+    return _ceil_div(percent * (a + b), 100 + percent)
 
 
-@F.pandas_udf(T.LongType())
-def token_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two sorted token sets."""
-    found = []
-    for x, y in zip(_rows(a, "<u8"), _rows(b, "<u8"), strict=True):
-        small, large = (x, y) if len(x) <= len(y) else (y, x)
-        at = np.searchsorted(large, small)
-        found.append(int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0)
-    return pd.Series(found, dtype="int64")
+def least_shared(a: Column, b: Column, percent: int) -> Column:
+    """Tokens that the prefixes of linked sets of sizes a and b share: of two sets, the one whose prefix ends first in the
+    order has in the other's prefix all that it shares up to there, and at most ceil(t n) - 1 tokens come after."""
+    return least_overlap(a, b, percent) - F.greatest(_ceil_div(percent * a, 100), _ceil_div(percent * b, 100)) + 1
 
 
-def _linkable(overlap: Column, a: Column, b: Column, percent: int) -> Column:
+def sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def linkable(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     """100 * intersection >= percent * union."""
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _rows(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in column]
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and histograms don't rule out, with the bound of their overlap."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("hist").alias(f"h_{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes(F.col("n_a"), F.col("n_b"), percent))
-    bound = joined.withColumn("bound", histogram_overlap("h_a", "h_b")).drop("h_a", "h_b")
-    return bound.where(_linkable(F.least("bound", "n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent))
+@F.pandas_udf(T.LongType())
+def token_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the intersection of two sorted token sets."""
+    found = []
+    for x, y in zip(_rows(a), _rows(b), strict=True):
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        at = np.searchsorted(large, small)
+        found.append(int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0)
+    return pd.Series(found, dtype="int64")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among plausible pairs, by exact comparison."""
+    """Links (a, b) among pairs (a, b, n_a, n_b), by exact comparison."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("tokens").alias(f"t_{s}"))
     joined = pairs.select("a", "b", "n_a", "n_b").join(side("a"), "a").join(side("b"), "b")
     same = joined.withColumn("same", token_overlap("t_a", "t_b"))
-    return same.where(_linkable(F.col("same"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return same.where(linkable(F.col("same"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 # --- components ---------------------------------------------------------------------------------------------------
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """(node, comp) from links (a, b) of which each a has one and b < a: b's of b's by pointer jumping, roots included."""
+    at = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    while True:
+        above = at.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        at = checkpointed(at.join(above, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")))
+        if not has_rows(at.where("moved")):
+            at = at.select("node", "comp")
+            return at.unionByName(at.select(F.col("comp").alias("node"), "comp").distinct())
+        at = at.select("node", "comp")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each linked node reaches."""
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -311,103 +241,154 @@ def components(links: DataFrame) -> DataFrame:
 # --- the join -----------------------------------------------------------------------------------------------------
 
 
-def _group_unions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(grp, union, u_hist) of groups (grp, node) of bounded size."""
+def prefix_rows(nodes: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, pos), from pools (node, pool) and facts (node, n, n_first): the tokens of each node's prefix that other pools hold too, with their place in it."""
+    limit = F.lit(pool_limit(percent) - SIGN)
+    rows = nodes.select("node", F.explode("pool").alias("token"))
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(often, "token").select("node", F.struct((F.col("token") >= limit).alias("rest"), "df", "token").alias("x"))
+    # A document's own shared tokens, in the global order; their number is bounded by the document.
+    own = shared.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    own = own.join(facts.select("node", "n", "n_first"), "node").withColumn("p", F.col("n") - _ceil_div(percent * F.col("n"), 100) + 1)
+    first = F.size(F.filter("xs", lambda x: ~x["rest"]))
+    own = own.withColumns({"s_first": first, "s_rest": F.size("xs") - first})
+    # Tokens that no other pool holds stand before these in each part of the order.
+    alone_first, alone_rest = F.col("n_first") - F.col("s_first"), F.col("n") - F.col("n_first") - F.col("s_rest")
+    take_first = F.least(F.greatest(F.least("p", "n_first") - alone_first, F.lit(0)), F.col("s_first"))
+    take_rest = F.when(F.col("n_first") < F.col("p"), F.least(F.greatest(F.col("p") - F.col("n_first") - alone_rest, F.lit(0)), F.col("s_rest"))).otherwise(0)
+    part = lambda start, length, before: F.transform(F.slice("xs", start, length.cast("int")), lambda x, i: F.struct(x["token"].alias("token"), (before + i).cast("int").alias("pos")))
+    places = F.concat(part(F.lit(1), take_first, alone_first), part(F.col("s_first") + 1, take_rest, F.col("n_first") + alone_rest))
+    return own.select("node", "n", F.explode(places).alias("x")).select("x.token", "node", "n", "x.pos")
+
+
+def first_reach(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
+    """Whether sets can be linked of which this is the first shared token."""
+    return (100 + percent) * F.least(n_a - pos_a, n_b - pos_b) >= percent * (n_a + n_b)
+
+
+def leaders(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b): to each set the leader, a smaller node, with which its prefix shares most."""
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    lead = rows.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
+    lead = lead.select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "lead")
+    size, at = F.col("lead.n"), F.col("lead.pos")
+    tried = rows.join(lead, ["token", "band"]).where((F.col("lead.node") < F.col("node")) & sizes_fit(F.col("n"), size, percent))
+    tried = tried.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("n_a"), size.alias("n_b"), first_reach(F.col("n"), F.col("pos"), size, at, percent).alias("near"))
+    pairs = tried.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("near").alias("near"))
+    pairs = pairs.where(F.col("near") & (F.col("c") >= least_shared(F.col("n_a"), F.col("n_b"), percent)))
+    best = pairs.groupBy("a").agg(F.max(F.struct(F.col("c") / (F.col("n_a") + F.col("n_b")), -F.col("b"), "n_a", "n_b")).alias("x"))
+    return best.select("a", (-F.col("x.col2")).alias("b"), "x.n_a", "x.n_b")
+
+
+def qualifying(placed: DataFrame, percent: int) -> DataFrame:
+    """(q, n_q, comp, part, g_lo, g_hi): sets and the groups of other components that may hold a link, by the counts of
+    the token-group matrix of `placed` (token, node, n, pos, comp, part, size)."""
+    t = percent
+    spread = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    placed = placed.join(spread, "token", "left_semi")
+    matrix = placed.groupBy("token", "comp", "part", "size").agg(F.min("pos").alias("g_pos"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
+    asks = placed.select("token", F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("pos").alias("q_pos"), F.struct("size", "comp").alias("rank"))
+    # Member sizes that fit the query lie from `low` to `high`.
+    low = lambda: F.greatest(F.col("g_lo"), _ceil_div(F.col("n_q") * t, 100))
+    high = lambda: F.least(F.col("g_hi"), F.floor(F.col("n_q") * 100 / t))
+    met = asks.join(matrix, "token").where((F.col("rank") < F.struct("size", "comp")) & (low() <= high()))
+    near = ((100 + t) * (F.col("n_q") - F.col("q_pos")) >= t * (F.col("n_q") + low())) & ((100 + t) * (high() - F.col("g_pos")) >= t * (F.col("n_q") + high()))
+    counted = met.select("q", "n_q", "comp", "part", "g_lo", "g_hi", near.alias("near")).groupBy("q", "n_q", "comp", "part").agg(F.count(F.lit(1)).alias("c"), F.max("near").alias("near"), F.min("g_lo").alias("g_lo"), F.max("g_hi").alias("g_hi"))
+    # The least count is lowest at the smallest or at the largest size.
+    least = F.least(least_shared(F.col("n_q"), low(), t), least_shared(F.col("n_q"), high(), t))
+    return counted.where(F.col("near") & (F.col("c") >= least)).select("q", "n_q", "comp", "part", low().alias("g_lo"), high().alias("g_hi"))
+
+
+def group_unions(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(comp, part, union) of groups (comp, part, node) of bounded size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        union = np.unique(np.concatenate(_rows(pdf["tokens"], "<u8")))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[:1], "union": [union.tobytes()], "u_hist": [packed(histogram(union))]})
-
-    return members.select("grp", "node").join(sets, "node").groupBy("grp").applyInPandas(run, "grp string, union binary, u_hist binary")
-
-
-def _cross_group_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between sets of different components of step 3, through the token-group matrix."""
-    split = F.greatest(F.ceil(F.col("c_size") / GROUP), F.ceil(F.col("c_tokens") / GROUP_TOKENS))
-    members = nodes.select("node", "n").join(comps, "node").withColumnRenamed("n", "n_node")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c_size"), F.sum("n_node").alias("c_tokens"))
-    members = members.join(sizes, "comp").select("node", "comp", "c_size", F.concat_ws(":", "comp", F.pmod(F.xxhash64("node"), split)).alias("grp"))
-    members = checkpointed(members)
-    placed = rows.join(members, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "c_size": F.coalesce("c_size", F.lit(1)), "grp": F.coalesce("grp", F.concat(F.lit("="), F.col("node").cast("string")))})
-    placed = checkpointed(placed.select("token", "node", "n", "pos", "comp", "c_size", "grp"))
-    spans = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    placed = placed.join(spans, "token", "left_semi")
-    matrix = placed.groupBy("token", "grp", "comp", "c_size").agg(F.min("pos").alias("g_pos"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    matrix = matrix.select("token", "grp", "g_pos", "g_lo", "g_hi", F.struct("c_size", "comp").alias("g_rank"))
-    query = placed.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("pos").alias("q_pos"), F.struct("c_size", "comp").alias("q_rank"))
-    t = percent
-    low = F.greatest(F.col("g_lo"), F.ceil(F.col("q_n") * t / 100))
-    high = F.least(F.col("g_hi"), F.floor(F.col("q_n") * 100 / t))
-    fits = (query["q_rank"] < matrix["g_rank"]) & (low <= high) & ((100 + t) * (F.col("q_n") - F.col("q_pos")) >= t * (F.col("q_n") + low)) & ((100 + t) * (high - F.col("g_pos")) >= t * (F.col("q_n") + high))
-    asked = query.join(matrix, "token").where(fits).select("q", "grp").distinct()
-    asked = checkpointed(asked)
-    # Groups of one: the union is the set itself.
-    pairs = asked.where("grp like '=%'").select(F.col("q").alias("a"), F.expr("cast(substring(grp, 2) as long)").alias("b"))
-    # Groups of several: histogram of the union, then the union itself, then the members.
-    unions = checkpointed(_group_unions(members.join(asked.where("grp not like '=%'").select("grp").distinct(), "grp", "left_semi"), sets))
-    ranges = members.join(nodes.select("node", "n"), "node").groupBy("grp").agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    own = nodes.select(F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("hist").alias("h_q"))
-    several = asked.where("grp not like '=%'").join(ranges, "grp").join(own, "q").join(unions.select("grp", "u_hist"), "grp")
-    nearest = F.least(F.greatest(F.col("g_lo"), F.ceil(F.col("n_q") * t / 100)), F.col("g_hi"))  # the easiest member size
-    several = several.withColumn("bound", histogram_overlap("h_q", "u_hist")).where(_linkable(F.least("bound", "n_q"), F.col("n_q"), nearest, t))
-    several = checkpointed(several.select("q", "grp", "n_q", nearest.alias("n_g")))
-    if has_rows(several):
-        tokens = token_sets(texts, several.select(F.col("q").alias("node")).distinct(), k)
-        inside = several.join(tokens.select(F.col("node").alias("q"), "tokens"), "q").join(unions.select("grp", "union"), "grp")
-        inside = inside.withColumn("overlap", token_overlap("tokens", "union")).where(_linkable(F.least("overlap", "n_q"), F.col("n_q"), F.col("n_g"), t))
-        opened = inside.select(F.col("q").alias("a"), "grp").join(members.select("grp", F.col("node").alias("b")), "grp").select("a", "b")
-        pairs = pairs.unionByName(opened)
-    likely = checkpointed(plausible(pairs, nodes, percent))
-    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    return checkpointed(verified(likely, checkpointed(token_sets(texts, ends, k)), percent))
+        union = np.unique(np.concatenate(_rows(pdf["tokens"])))
+        return pd.DataFrame({"comp": pdf["comp"].iloc[:1], "part": pdf["part"].iloc[:1], "union": [union.tobytes()]})
+
+    return members.select("comp", "part", "node").join(sets, "node").select("comp", "part", "tokens").groupBy("comp", "part").applyInPandas(run, "comp long, part int, union binary")
+
+
+def cross_group_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between sets of different components of step 3; None without a qualifying group."""
+    members = comps.join(nodes.select("node", "n"), "node")
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("c_tokens"))
+    split = F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("c_tokens") / GROUP_TOKENS))
+    members = checkpointed(members.join(sizes, "comp").select("node", "n", "comp", "size", F.pmod(F.xxhash64("node"), split).cast("int").alias("part")))
+    placed = rows.join(members.drop("n"), "node", "left").select("token", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
+    asked = checkpointed(qualifying(checkpointed(placed), percent))
+    if not has_rows(asked):
+        return None
+    # Sets that step 3 didn't fetch: queries, and groups of one, whose node is their component.
+    alone = asked.join(comps.select("comp").distinct(), "comp", "left_anti").select("q", "n_q", "comp")
+    ends = asked.select(F.col("q").alias("node")).unionByName(alone.select(F.col("comp").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
+    ends = checkpointed(ends.join(nodes, "node").select("node", "key", "hi", "lo"))
+    if has_rows(ends):
+        # The filters drop nothing; without them Spark fails to derive constraints of a union of checkpoints in a self-join.
+        sets = sets.where("tokens is not null").unionByName(checkpointed(token_sets(texts, ends, k)).where("tokens is not null"))
+    several = asked.join(comps.select("comp").distinct(), "comp", "left_semi")
+    unions = group_unions(members.join(several.select("comp", "part").distinct(), ["comp", "part"], "left_semi"), sets)
+    inside = several.join(sets.select(F.col("node").alias("q"), "tokens"), "q").join(unions, ["comp", "part"]).withColumn("overlap", token_overlap("tokens", "union"))
+    # The size nearest to the query's own asks for least.
+    inside = inside.where(linkable(F.least("overlap", "n_q"), F.col("n_q"), F.col("g_lo"), percent))
+    opened = inside.select("q", "n_q", "comp", "part").join(members.select("comp", "part", F.col("node").alias("b"), F.col("n").alias("n_b")), ["comp", "part"])
+    pairs = opened.where(sizes_fit(F.col("n_q"), F.col("n_b"), percent)).select(F.col("q").alias("a"), "b", F.col("n_q").alias("n_a"), "n_b")
+    single = alone.join(nodes.select(F.col("node").alias("comp"), F.col("n").alias("n_b")), "comp").select(F.col("q").alias("a"), F.col("comp").alias("b"), F.col("n_q").alias("n_a"), "n_b")
+    return checkpointed(verified(checkpointed(pairs.unionByName(single)), sets, percent))
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) after links (a, b) between components or lone nodes."""
+    side = lambda s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"c_{s}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).distinct()
+    above = components(between)
+    known = comps.join(above.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    fresh = above.join(comps.select("node"), "node", "left_anti")
+    return known.unionByName(fresh.select("node", "comp"))
+
+
+def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """(id, key, n, comp, name) of every row: `comp` is null where its set links with no other and has no copy, `name` is the
+    smallest id of the component."""
+    texts = keyed(docs, id_col, text)
+    prints = checkpointed(fingerprints(texts, k, percent).withColumn("r", F.monotonically_increasing_id()))
+    narrow = prints.drop("pool")
+    sets_of = checkpointed(narrow.where("n > 0").groupBy("hi", "lo").agg(F.min("r").alias("node"), F.min("id").alias("name"), F.count(F.lit(1)).alias("copies")))
+    copies = checkpointed(narrow.where("n > 0").join(sets_of.where("copies > 1").select("hi", "lo", "node"), ["hi", "lo"]).where("r <> node").select("r"))
+    nodes = without_keys(prints.where("n > 0").select("r", "pool"), "r", copies).withColumnRenamed("r", "node")
+    facts = narrow.withColumnRenamed("r", "node")
+    rows = checkpointed(prefix_rows(nodes, facts, percent))
+    best = checkpointed(leaders(rows, percent))
+    ends = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node"))).distinct()
+    sets = checkpointed(token_sets(texts, checkpointed(ends.join(facts, "node")), k))
+    comps = checkpointed(roots(checkpointed(verified(best, sets, percent))))
+    links = cross_group_links(rows, facts, texts, comps, sets, k, percent)
+    if links is not None and has_rows(links):
+        comps = checkpointed(merged(comps, links))
+    # Names of components of several nodes; all others have their own.
+    named = sets_of.join(comps, "node").select("hi", "lo", "comp", "name")
+    names = named.groupBy("comp").agg(F.min("name").alias("c_name"))
+    named = named.join(names, "comp").select("hi", "lo", "comp", "c_name")
+    known = sets_of.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("comp", F.when(F.col("copies") > 1, F.col("node"))).alias("comp"), F.when(F.col("comp").isNull(), F.col("name")).otherwise(F.col("c_name")).alias("name"))
+    empty = narrow.where("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("name"))
+    full = narrow.where("n > 0").join(known, ["hi", "lo"], "left").select("id", "key", "n", "comp", "name")
+    return full.unionByName(empty)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row of `docs`, for shingles of k words and a similarity of percent / 100."""
-    with small_batches(docs.sparkSession, BATCH):
-        return _similar_components(docs, id_col, text, k, percent)
-
-
-def _similar_components(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = checkpointed(fingerprints(texts, k))
-    shared = spark.sparkContext.broadcast(token_order(prints))
-    prints = prints.where("token is null and word is null").drop("token", "word")
-    sets_of = prints.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("hist").alias("hist"))
-    sets_of = checkpointed(sets_of)
-    nodes = sets_of.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.first("hist").alias("hist"))
-    copies = prints.join(sets_of.select("hi", "lo", "node"), ["hi", "lo"]).where("id <> node").select("id").distinct()
-    single = without_keys(texts.where("id is not null"), "id", copies)
-    rows = prefix_rows(single, k, percent, shared).repartition(F.col("token"), F.col("salt"))
-    lead = rows.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("hot", -F.col("node"), "n", "pos")).alias("lead")).where("k > 1 or salt > 0")
-    # Both sides read the same columns, so that they share one exchange and the texts are read once.
-    rows = rows.join(lead, ["token", "salt"])
-    leader, size, at = -F.col("lead.col2"), F.col("lead.n"), F.col("lead.pos")
-    reach = F.least(F.col("n") - F.col("pos"), size - at)  # of the overlap, if this is the first shared token
-    near = (leader != F.col("node")) & _sizes(F.col("n"), size, percent) & ((100 + percent) * reach >= percent * (F.col("n") + size))
-    rows = checkpointed(rows.select("token", "salt", "node", "n", "pos", "hot", leader.alias("leader"), near.alias("near")))
-    # Step 3: leaders of a frequent token's salts meet at the token's own leader.
-    heads = rows.where("node = leader").groupBy("token").agg(F.min("leader").alias("head"), F.max("leader").alias("last")).where("head <> last")
-    stars = rows.where("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    tops = rows.where("node = leader").join(heads, "token").where("leader <> head").select(F.col("leader").alias("a"), F.col("head").alias("b"))
-    likely = plausible(stars.unionByName(tops).distinct(), nodes, percent)
-    best = likely.withColumn("ratio", F.col("bound") / (F.col("n_a") + F.col("n_b"))).groupBy("a").agg(F.max(F.struct("ratio", -F.col("b"), "n_a", "n_b")).alias("x"))
-    best = checkpointed(best.select("a", (-F.col("x.col2")).alias("b"), "x.n_a", "x.n_b"))
-    ends = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node"))).distinct()
-    sets = checkpointed(token_sets(single, ends, k))
-    links = checkpointed(verified(best, sets, percent))
-    first = checkpointed(components(links))
-    more = _cross_group_links(rows, nodes, single, first, sets, k, percent)
-    final = checkpointed(components(links.unionByName(more))) if has_rows(more) else first
-    named = sets_of.join(final, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
-    out = prints.join(named, ["hi", "lo"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+    return _found(docs, id_col, text, k, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with the document of smallest id of each component, all columns kept."""
-    found = similar_components(docs, id_col, text, k, percent)
-    gone = checkpointed(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct())
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    return without_keys(packed, "id", gone).select("row.*")
+    """`docs` with one row of each component, the one of the smallest id (null ids last), all columns kept. Rows without
+    words stay."""
+    found = checkpointed(_found(docs, id_col, text, k, percent).where("comp is not null").select("id", "key", "comp"))
+    stays = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("x")).select("comp", "x.key")
+    gone = found.join(stays.withColumnRenamed("key", "stays"), "comp").where("key <> stays").select("key").distinct()
+    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key").join(stays, "key", "left_semi")
+    keys = checkpointed(gone.withColumn("k", F.lit(False)).unionByName(twice.withColumn("k", F.lit(True))))
+    whole = packed(docs, key=row_key(id_col, text))
+    kept = without_keys(whole, "key", checkpointed(keys.select("key")))
+    again = likely_keys(whole, "key", keys.where("k").select("key")).join(keys.where("k").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return kept.unionByName(again).select("row.*")
