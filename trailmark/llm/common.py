@@ -90,24 +90,29 @@ def marked(df: DataFrame, key: Column, filt: DataFrame, name: str, bits: int = M
     return joined.withColumn(name, hit).drop("kf_key", "kf_at", "kf_word", "kf_mask")
 
 
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`df` in two parts: rows whose 64-bit `key` may be in `keys` (one column, null-free), and rows whose key surely isn't,
+    or is null. Neither is shuffled. Beyond `MOST_KEYS` keys a filter would pass nearly all, so none is built and all rows
+    may be in. `keys` is read twice; checkpoint it."""
+    n, name = keys.count(), keys.columns[0]
+    if n > MOST_KEYS:
+        return df, df.where("false")
+    bits = bits_for(n)
+    found = marked(df, key, key_filter(keys, name, bits), "kf_maybe", bits)
+    return found.where("kf_maybe").drop("kf_maybe"), found.where("not kf_maybe").drop("kf_maybe")
+
+
 def likely_keys(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
     """Rows of `df` whose `on` is in `keys` (one column of that name), and few others: what a filter of `keys` passes,
     without a shuffle of `df`; beyond `MOST_KEYS` keys exactly the rows, by a shuffled join."""
-    n = keys.count()
-    if n > MOST_KEYS:
+    if keys.count() > MOST_KEYS:
         return df.join(keys, on, "left_semi")
-    bits = bits_for(n)
-    filt = key_filter(keys.select(F.xxhash64(on).alias("kf_h")), "kf_h", bits)
-    return marked(df, F.xxhash64(on), filt, "kf_maybe", bits).where("kf_maybe").drop("kf_maybe")
+    return parted(df, F.xxhash64(on), keys.select(F.xxhash64(on)))[0]
 
 
 def without_keys(df: DataFrame, on: str, keys: DataFrame) -> DataFrame:
-    """Rows of `df` whose `on` is null or not in `keys` (one column of that name). Rows that a filter of at most `MOST_KEYS` keys clears are not shuffled."""
-    n = keys.count()
-    if n > MOST_KEYS:
+    """Rows of `df` whose `on` is null or not in `keys` (one column of that name). Rows that a filter clears aren't shuffled."""
+    if keys.count() > MOST_KEYS:
         return df.join(keys, on, "left_anti")
-    bits = bits_for(n)
-    filt = key_filter(keys.select(F.xxhash64(on).alias("kf_h")), "kf_h", bits)
-    maybe = marked(df, F.xxhash64(on), filt, "kf_maybe", bits)
-    rest = maybe.where("kf_maybe").join(keys, on, "left_anti")
-    return maybe.where("not kf_maybe").unionByName(rest).drop("kf_maybe")
+    maybe, rest = parted(df, F.xxhash64(on), keys.select(F.xxhash64(on)))
+    return rest.unionByName(maybe.join(keys, on, "left_anti"))

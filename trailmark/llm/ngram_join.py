@@ -9,17 +9,21 @@ Jaccard similarity reaches the threshold; components are the transitive closure.
    set's prefix nearly always lies in that share, its pool; only pools are shuffled and counted. A set whose pool doesn't
    reach takes all its tokens. Tokens that no other pool holds come first and link nothing, so they are dropped: a
    document of mostly its own wording leaves the join here, and work stays in proportion to what is really shared.
-3. Partition: each set tries the leader of its size band with which it shares most prefix tokens. Verified links make
-   components of similar sets, which are split into groups of about `GROUP`.
-4. Matrix: for each (token, group) the least position and the size range of the members whose prefix holds the token; for
-   each group the union of its members' tokens.
-5. A set queries the groups of other components. The shared prefix tokens, counted in the matrix, bound its overlap
-   with every member; then its overlap with the group's token union does; only qualifying groups are opened, and their
-   members compared exactly. Groups of a set's own component are never opened.
-6. Links between components are closed by alternating large-star and small-star steps.
-
-Nothing that grows with the corpus reaches the driver. Joins on a token may meet a hot one: both sides are shuffled for
-the join alone, so Spark splits skewed partitions, and counts combine before they are shuffled.
+3. Partition: each set follows the leader of its size band with which its prefix shares most, a set with fewer tokens of its
+   own; what follows one root is a family of similar sets, split into groups of about `GROUP`.
+4. Within a family every set is held as its difference from the root: tokens it adds and tokens it lacks. Two sets differ by
+   exactly as many tokens as their differences do, and a set too far from the root to be linked to it can only be linked to
+   sets that share about half of their difference with it. So a family of thousands of edited copies costs joins on the
+   edits that several of them share, not on the text that all share.
+5. Matrix: for each (token, group) the least position and the size range of the members whose prefix holds the token; for
+   each group the union of its members' tokens. A set queries the groups of other families. The shared prefix tokens,
+   counted in the matrix, bound its overlap with every member; then its overlap with the group's token union does; only
+   qualifying groups are opened, and their members compared exactly.
+6. Links are closed to components by alternating large-star and small-star steps.
+
+Nothing that grows with the corpus reaches the driver. Counts combine before they are shuffled. Joins on a token or component
+may meet a hot one: what was counted by it is checkpointed before it is joined back, so that both sides are shuffled for the
+join alone and Spark splits the skewed partitions.
 
 Nulls: null, empty and blank texts have an empty set, link with nothing and are components of their own. A row with a
 null id is compared like any other and named by its component; alone, or among null ids only, its component is null.
@@ -209,15 +213,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """(node, comp) from links (a, b) of which each a has one and b < a: b's of b's by pointer jumping, roots included."""
-    at = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    """(node, root) from links (a, b) without cycles, of which each a has one: the b's of b's by pointer jumping. Roots are
+    their own."""
+    at = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
-        above = at.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        at = checkpointed(at.join(above, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")))
+        above = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        at = checkpointed(at.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
         if not has_rows(at.where("moved")):
-            at = at.select("node", "comp")
-            return at.unionByName(at.select(F.col("comp").alias("node"), "comp").distinct())
-        at = at.select("node", "comp")
+            at = at.select("node", "root")
+            return at.unionByName(at.select(F.col("root").alias("node"), "root").distinct())
+        at = at.select("node", "root")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,9 +231,10 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = checkpointed(small)
@@ -242,10 +248,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def prefix_rows(nodes: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, pos), from pools (node, pool) and facts (node, n, n_first): the tokens of each node's prefix that other pools hold too, with their place in it."""
+    """(token, node, n, pos, alone), from pools (node, pool) and facts (node, n, n_first): the tokens of each node's prefix that
+    other pools hold too, with their place in it. alone: how many in a thousand of its pool's tokens no other pool holds."""
     limit = F.lit(pool_limit(percent) - SIGN)
     rows = nodes.select("node", F.explode("pool").alias("token"))
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = checkpointed(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = rows.join(often, "token").select("node", F.struct((F.col("token") >= limit).alias("rest"), "df", "token").alias("x"))
     # A document's own shared tokens, in the global order; their number is bounded by the document.
     own = shared.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("xs"))
@@ -258,82 +265,141 @@ def prefix_rows(nodes: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     take_rest = F.when(F.col("n_first") < F.col("p"), F.least(F.greatest(F.col("p") - F.col("n_first") - alone_rest, F.lit(0)), F.col("s_rest"))).otherwise(0)
     part = lambda start, length, before: F.transform(F.slice("xs", start, length.cast("int")), lambda x, i: F.struct(x["token"].alias("token"), (before + i).cast("int").alias("pos")))
     places = F.concat(part(F.lit(1), take_first, alone_first), part(F.col("s_first") + 1, take_rest, F.col("n_first") + alone_rest))
-    return own.select("node", "n", F.explode(places).alias("x")).select("x.token", "node", "n", "x.pos")
-
-
-def first_reach(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
-    """Whether sets can be linked of which this is the first shared token."""
-    return (100 + percent) * F.least(n_a - pos_a, n_b - pos_b) >= percent * (n_a + n_b)
+    alone = F.floor(1000 * alone_first / F.greatest("n_first", F.lit(1))).cast("int").alias("alone")
+    return own.select("node", "n", alone, F.explode(places).alias("x")).select("x.token", "node", "n", "x.pos", "alone")
 
 
 def leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b): to each set the leader, a smaller node, with which its prefix shares most."""
+    """(a, b): to each set the leader with which its prefix shares most, a third of it at least. A leader has a smaller share of
+    tokens of its own, or that and a smaller number."""
+    rank = F.struct("alone", "node", "n")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-    lead = rows.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
+    lead = checkpointed(rows.groupBy("token", "band").agg(F.min(rank).alias("lead")))
     lead = lead.select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "lead")
-    size, at = F.col("lead.n"), F.col("lead.pos")
-    tried = rows.join(lead, ["token", "band"]).where((F.col("lead.node") < F.col("node")) & sizes_fit(F.col("n"), size, percent))
-    tried = tried.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("n_a"), size.alias("n_b"), first_reach(F.col("n"), F.col("pos"), size, at, percent).alias("near"))
-    pairs = tried.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("near").alias("near"))
-    pairs = pairs.where(F.col("near") & (F.col("c") >= least_shared(F.col("n_a"), F.col("n_b"), percent)))
-    best = pairs.groupBy("a").agg(F.max(F.struct(F.col("c") / (F.col("n_a") + F.col("n_b")), -F.col("b"), "n_a", "n_b")).alias("x"))
-    return best.select("a", (-F.col("x.col2")).alias("b"), "x.n_a", "x.n_b")
+    tried = rows.join(lead, ["token", "band"]).where((F.col("lead") < rank) & sizes_fit(F.col("n"), F.col("lead.n"), percent))
+    pairs = tried.groupBy("node", "n", F.col("lead.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    prefix = F.col("n") - _ceil_div(percent * F.col("n"), 100) + 1
+    best = pairs.where(3 * F.col("c") >= prefix).groupBy("node").agg(F.max(F.struct("c", -F.col("b"))).alias("x"))
+    return best.select(F.col("node").alias("a"), (-F.col("x.col2")).alias("b"))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def difference(tokens: pd.Series, root: pd.Series) -> pd.Series:
+    """Tokens that a sorted set adds to the root's, and those that it lacks, the latter marked by a change of bits."""
+    found = []
+    for x, y in zip(_rows(tokens), _rows(root), strict=True):
+        added = np.setdiff1d(x, y, assume_unique=True)
+        lacking = np.setdiff1d(y, x, assume_unique=True) ^ MIX[0]
+        found.append(np.sort(np.concatenate([added, lacking]).view(np.int64)))
+    return pd.Series(found, dtype="object")
+
+
+@F.pandas_udf(T.LongType())
+def differing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the symmetric difference of two differences from one root."""
+    return pd.Series([len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def most_differing(a: Column, b: Column, percent: int) -> Column:
+    """Tokens by which linked sets of sizes a and b differ at most."""
+    return a + b - 2 * least_overlap(a, b, percent)
+
+
+def differences(fams: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, n, d, near, delta) of the sets of families other than their roots: d tokens of difference from the root;
+    near: whether they are linked to it."""
+    size = lambda name, n: facts.select(F.col("node").alias(name), F.col("n").alias(n))
+    tokens = lambda name, t: sets.select(F.col("node").alias(name), F.col("tokens").alias(t))
+    own = fams.where("node <> root").join(size("node", "n"), "node").join(size("root", "n_root"), "root")
+    both = own.join(tokens("node", "own"), "node").join(tokens("root", "of_root"), "root")
+    told = both.select("node", "root", "n", "n_root", difference("own", "of_root").alias("delta")).withColumn("d", F.size("delta").cast("long"))
+    return told.select("node", "root", "n", "d", (F.col("d") <= most_differing(F.col("n"), F.col("n_root"), percent)).alias("near"), "delta")
+
+
+def family_links(deltas: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within families between sets of which one at least isn't linked to the root.
+
+    For such a set i and any j of its family, d_i > h (n_i + n_root) with h = (100 - t) / (100 + t), and n_j <= n_root + d_j.
+    They differ by h (n_i + n_j) at most, so they share more than d_j (1 - h) / 2 = d_j t / (100 + t) of their differences.
+    Hence one of the first d_j - floor(d_j t / (100 + t)) of j's in any order ("short" prefix), and, as j's difference is at
+    least d_i less what they may differ by, one of i's first (100 - t) n_i / t + 1 ("long").
+    """
+    t = percent
+    rows = deltas.select("root", "node", F.explode("delta").alias("token"))
+    often = checkpointed(rows.groupBy("root", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    own = rows.join(often, ["root", "token"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("xs"))
+    own = own.join(deltas.select("node", "root", "n", "d", "near"), "node").withColumn("alone", F.col("d") - F.size("xs"))
+    short = F.col("d") - F.floor(F.col("d") * t / (100 + t))
+    reach = F.when(F.col("near"), short).otherwise(F.greatest(short, F.floor(F.col("n") * (100 - t) / t) + 1))
+    taken = F.slice("xs", 1, F.greatest(F.lit(0), reach - F.col("alone")).cast("int"))
+    placed = F.explode(F.transform(taken, lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i < short).alias("short"))))
+    rows = checkpointed(own.select("node", "root", "n", "d", "near", placed.alias("x")).select("root", "x.token", "x.short", "node", "n", "d", "near"))
+    side = lambda s: rows.select("root", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "d", "near", "short")])
+    # a: a set not linked to the root. b: one that is, found by its short prefix, or another with a larger number.
+    roles = (~F.col("near_a")) & F.col("short_b") & (F.col("near_b") | (F.col("short_a") & (F.col("node_a") < F.col("node_b"))))
+    fit = sizes_fit(F.col("n_a"), F.col("n_b"), t) & (F.abs(F.col("d_a") - F.col("d_b")) <= most_differing(F.col("n_a"), F.col("n_b"), t))
+    pairs = side("a").where(~F.col("near_a")).join(side("b"), ["root", "token"]).where(roles & fit)
+    pairs = pairs.select("node_a", "node_b", "n_a", "n_b").distinct()
+    held = lambda s: deltas.select(F.col("node").alias(f"node_{s}"), F.col("delta").alias(f"delta_{s}"))
+    both = checkpointed(pairs).join(held("a"), "node_a").join(held("b"), "node_b").withColumn("x", differing("delta_a", "delta_b"))
+    return both.where(F.col("x") <= most_differing(F.col("n_a"), F.col("n_b"), t)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def qualifying(placed: DataFrame, percent: int) -> DataFrame:
-    """(q, n_q, comp, part, g_lo, g_hi): sets and the groups of other components that may hold a link, by the counts of
-    the token-group matrix of `placed` (token, node, n, pos, comp, part, size)."""
+    """(q, n_q, fam, part, g_lo, g_hi): sets and the groups of other families that may hold a link, by the counts of the
+    token-group matrix of `placed` (token, node, n, pos, fam, part, size)."""
     t = percent
-    spread = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    placed = placed.join(spread, "token", "left_semi")
-    matrix = placed.groupBy("token", "comp", "part", "size").agg(F.min("pos").alias("g_pos"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    asks = placed.select("token", F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("pos").alias("q_pos"), F.struct("size", "comp").alias("rank"))
+    spread = checkpointed(placed.groupBy("token").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("token"))
+    placed = checkpointed(placed.join(spread, "token", "left_semi"))
+    matrix = placed.groupBy("token", "fam", "part", "size").agg(F.min("pos").alias("g_pos"), F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
+    asks = placed.select("token", F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("pos").alias("q_pos"), F.struct("size", "fam").alias("rank"))
     # Member sizes that fit the query lie from `low` to `high`.
     low = lambda: F.greatest(F.col("g_lo"), _ceil_div(F.col("n_q") * t, 100))
     high = lambda: F.least(F.col("g_hi"), F.floor(F.col("n_q") * 100 / t))
-    met = asks.join(matrix, "token").where((F.col("rank") < F.struct("size", "comp")) & (low() <= high()))
+    met = asks.join(matrix, "token").where((F.col("rank") < F.struct("size", "fam")) & (low() <= high()))
+    # If this is the first token that they share, what comes after it must do.
     near = ((100 + t) * (F.col("n_q") - F.col("q_pos")) >= t * (F.col("n_q") + low())) & ((100 + t) * (high() - F.col("g_pos")) >= t * (F.col("n_q") + high()))
-    counted = met.select("q", "n_q", "comp", "part", "g_lo", "g_hi", near.alias("near")).groupBy("q", "n_q", "comp", "part").agg(F.count(F.lit(1)).alias("c"), F.max("near").alias("near"), F.min("g_lo").alias("g_lo"), F.max("g_hi").alias("g_hi"))
+    counted = met.select("q", "n_q", "fam", "part", "g_lo", "g_hi", near.alias("near")).groupBy("q", "n_q", "fam", "part").agg(F.count(F.lit(1)).alias("c"), F.max("near").alias("near"), F.min("g_lo").alias("g_lo"), F.max("g_hi").alias("g_hi"))
     # The least count is lowest at the smallest or at the largest size.
     least = F.least(least_shared(F.col("n_q"), low(), t), least_shared(F.col("n_q"), high(), t))
-    return counted.where(F.col("near") & (F.col("c") >= least)).select("q", "n_q", "comp", "part", low().alias("g_lo"), high().alias("g_hi"))
+    return counted.where(F.col("near") & (F.col("c") >= least)).select("q", "n_q", "fam", "part", low().alias("g_lo"), high().alias("g_hi"))
 
 
 def group_unions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(comp, part, union) of groups (comp, part, node) of bounded size."""
+    """(fam, part, union) of groups (fam, part, node) of bounded size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         union = np.unique(np.concatenate(_rows(pdf["tokens"])))
-        return pd.DataFrame({"comp": pdf["comp"].iloc[:1], "part": pdf["part"].iloc[:1], "union": [union.tobytes()]})
+        return pd.DataFrame({"fam": pdf["fam"].iloc[:1], "part": pdf["part"].iloc[:1], "union": [union.tobytes()]})
 
-    return members.select("comp", "part", "node").join(sets, "node").select("comp", "part", "tokens").groupBy("comp", "part").applyInPandas(run, "comp long, part int, union binary")
+    return members.select("fam", "part", "node").join(sets, "node").select("fam", "part", "tokens").groupBy("fam", "part").applyInPandas(run, "fam long, part int, union binary")
 
 
-def cross_group_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links between sets of different components of step 3; None without a qualifying group."""
-    members = comps.join(nodes.select("node", "n"), "node")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("c_tokens"))
-    split = F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("c_tokens") / GROUP_TOKENS))
-    members = checkpointed(members.join(sizes, "comp").select("node", "n", "comp", "size", F.pmod(F.xxhash64("node"), split).cast("int").alias("part")))
-    placed = rows.join(members.drop("n"), "node", "left").select("token", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
-    asked = checkpointed(qualifying(checkpointed(placed), percent))
+def cross_family_links(rows: DataFrame, facts: DataFrame, texts: DataFrame, fams: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between sets of different families; None without a qualifying group."""
+    members = fams.select("node", F.col("root").alias("fam")).join(facts.select("node", "n"), "node")
+    sizes = checkpointed(members.groupBy("fam").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("f_tokens")))
+    split = F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("f_tokens") / GROUP_TOKENS))
+    members = checkpointed(members.join(sizes, "fam").select("node", "n", "fam", "size", F.pmod(F.xxhash64("node"), split).cast("int").alias("part")))
+    placed = rows.join(members.drop("n"), "node", "left").select("token", "node", "n", "pos", F.coalesce("fam", "node").alias("fam"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
+    asked = checkpointed(qualifying(placed, percent))
     if not has_rows(asked):
         return None
-    # Sets that step 3 didn't fetch: queries, and groups of one, whose node is their component.
-    alone = asked.join(comps.select("comp").distinct(), "comp", "left_anti").select("q", "n_q", "comp")
-    ends = asked.select(F.col("q").alias("node")).unionByName(alone.select(F.col("comp").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
-    ends = checkpointed(ends.join(nodes, "node").select("node", "key", "hi", "lo"))
+    # Sets that step 3 didn't fetch: queries, and groups of one, whose node is their family.
+    alone = asked.join(sizes.select("fam"), "fam", "left_anti").select("q", "n_q", "fam")
+    ends = asked.select(F.col("q").alias("node")).unionByName(alone.select(F.col("fam").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
+    ends = checkpointed(ends.join(facts, "node").select("node", "key", "hi", "lo"))
     if has_rows(ends):
         # The filters drop nothing; without them Spark fails to derive constraints of a union of checkpoints in a self-join.
         sets = sets.where("tokens is not null").unionByName(checkpointed(token_sets(texts, ends, k)).where("tokens is not null"))
-    several = asked.join(comps.select("comp").distinct(), "comp", "left_semi")
-    unions = group_unions(members.join(several.select("comp", "part").distinct(), ["comp", "part"], "left_semi"), sets)
-    inside = several.join(sets.select(F.col("node").alias("q"), "tokens"), "q").join(unions, ["comp", "part"]).withColumn("overlap", token_overlap("tokens", "union"))
+    several = asked.join(sizes.select("fam"), "fam", "left_semi")
+    unions = group_unions(members.join(several.select("fam", "part").distinct(), ["fam", "part"], "left_semi"), sets)
+    inside = several.join(sets.select(F.col("node").alias("q"), "tokens"), "q").join(unions, ["fam", "part"]).withColumn("overlap", token_overlap("tokens", "union"))
     # The size nearest to the query's own asks for least.
     inside = inside.where(linkable(F.least("overlap", "n_q"), F.col("n_q"), F.col("g_lo"), percent))
-    opened = inside.select("q", "n_q", "comp", "part").join(members.select("comp", "part", F.col("node").alias("b"), F.col("n").alias("n_b")), ["comp", "part"])
+    opened = inside.select("q", "n_q", "fam", "part").join(members.select("fam", "part", F.col("node").alias("b"), F.col("n").alias("n_b")), ["fam", "part"])
     pairs = opened.where(sizes_fit(F.col("n_q"), F.col("n_b"), percent)).select(F.col("q").alias("a"), "b", F.col("n_q").alias("n_a"), "n_b")
-    single = alone.join(nodes.select(F.col("node").alias("comp"), F.col("n").alias("n_b")), "comp").select(F.col("q").alias("a"), F.col("comp").alias("b"), F.col("n_q").alias("n_a"), "n_b")
+    single = alone.join(facts.select(F.col("node").alias("fam"), F.col("n").alias("n_b")), "fam").select(F.col("q").alias("a"), F.col("fam").alias("b"), F.col("n_q").alias("n_a"), "n_b")
     return checkpointed(verified(checkpointed(pairs.unionByName(single)), sets, percent))
 
 
@@ -358,16 +424,17 @@ def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> Dat
     nodes = without_keys(prints.where("n > 0").select("r", "pool"), "r", copies).withColumnRenamed("r", "node")
     facts = narrow.withColumnRenamed("r", "node")
     rows = checkpointed(prefix_rows(nodes, facts, percent))
-    best = checkpointed(leaders(rows, percent))
-    ends = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node"))).distinct()
-    sets = checkpointed(token_sets(texts, checkpointed(ends.join(facts, "node")), k))
-    comps = checkpointed(roots(checkpointed(verified(best, sets, percent))))
-    links = cross_group_links(rows, facts, texts, comps, sets, k, percent)
-    if links is not None and has_rows(links):
-        comps = checkpointed(merged(comps, links))
+    fams = checkpointed(roots(checkpointed(leaders(rows, percent))))
+    sets = checkpointed(token_sets(texts, checkpointed(fams.select("node").join(facts, "node")), k))
+    deltas = checkpointed(differences(fams, facts, sets, percent))
+    near = deltas.where("near").select("node", F.col("root").alias("comp"))
+    comps = checkpointed(near.unionByName(near.select(F.col("comp").alias("node"), "comp").distinct()))
+    links = [checkpointed(family_links(deltas, percent)), cross_family_links(rows, facts, texts, fams, sets, k, percent)]
+    for more in [x for x in links if x is not None and has_rows(x)]:
+        comps = checkpointed(merged(comps, more))
     # Names of components of several nodes; all others have their own.
     named = sets_of.join(comps, "node").select("hi", "lo", "comp", "name")
-    names = named.groupBy("comp").agg(F.min("name").alias("c_name"))
+    names = checkpointed(named.groupBy("comp").agg(F.min("name").alias("c_name")))
     named = named.join(names, "comp").select("hi", "lo", "comp", "c_name")
     known = sets_of.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("comp", F.when(F.col("copies") > 1, F.col("node"))).alias("comp"), F.when(F.col("comp").isNull(), F.col("name")).otherwise(F.col("c_name")).alias("name"))
     empty = narrow.where("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("name"))
@@ -384,7 +451,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """`docs` with one row of each component, the one of the smallest id (null ids last), all columns kept. Rows without
     words stay."""
     found = checkpointed(_found(docs, id_col, text, k, percent).where("comp is not null").select("id", "key", "comp"))
-    stays = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("x")).select("comp", "x.key")
+    stays = checkpointed(found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("x")).select("comp", "x.key"))
     gone = found.join(stays.withColumnRenamed("key", "stays"), "comp").where("key <> stays").select("key").distinct()
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key").join(stays, "key", "left_semi")
     keys = checkpointed(gone.withColumn("k", F.lit(False)).unionByName(twice.withColumn("k", F.lit(True))))

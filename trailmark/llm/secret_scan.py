@@ -4,12 +4,17 @@ Every version of every path is content-addressed by the SHA-256 of its text (its
 (blob, rule version) pair scanned so far, with its findings. A run scans only pairs that the ledger lacks, one copy of
 each blob, and joins findings back to all paths. A new rule version makes the pairs, and only those, unseen again.
 
+The ledger is a table: `read_ledger` and `append_ledger` keep it at a path, new entries only, and an entry that a retried
+append wrote twice counts once.
+
 Scale: blobs are chosen on narrow rows (id and hash). Rows whose blob is neither repeated nor in the ledger are scanned
-where they are read; a filter of a fixed number of bits tells them apart, and only the others are shuffled. A blob of
-a third of all rows is counted by partial aggregates and scanned once.
+where they are read; a filter of a bounded number of bits tells them apart, and only the others are shuffled. A blob of
+a third of all rows is counted by partial aggregates and scanned once; Spark splits its partition when findings are joined
+back. Python gets texts in Arrow batches of at most 64 MB, and a longer text alone.
 
 Nulls: a null text is the empty blob. Rows with a null id are scanned and reported. Repeated rows are reported each.
-Offsets are code points, ends exclusive.
+Offsets are code points, ends exclusive. Patterns take time in proportion to a text's length. An empty table gives an empty
+result. Columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, key_filter, marked
+from .common import checkpointed, parted
 
 RULE_VERSION = "2"
 LEDGER = "blob string, rule_version string, findings array<struct<kind:string,start:int,end:int>>"
@@ -74,33 +79,44 @@ def empty_ledger(spark) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
+def read_ledger(spark, path: str) -> DataFrame:
+    """The ledger at `path`, written by `append_ledger`."""
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def append_ledger(entries: DataFrame, path: str, ledger: DataFrame | None = None) -> None:
+    """Appends to the ledger at `path` the `entries` that `ledger`, what it held before, lacks."""
+    new = entries if ledger is None else entries.join(ledger.select("blob", "rule_version").distinct(), ["blob", "rule_version"], "left_anti")
+    new.write.mode("append").parquet(path)
+
+
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(paths, entries): (id, blob) of every row of `versions`, and the ledger rows of this `rule_version` that these
     blobs need, old and new. New entries are those that `ledger` lacks; append them to it."""
     spark = versions.sparkSession
     known = (ledger if ledger is not None else empty_ledger(spark)).where(F.col("rule_version") == rule_version)
+    known = known.dropDuplicates(["blob"])
     rows = versions.select(F.col(id_col).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     rows = rows.withColumn("blob", F.sha2(F.col("content").cast("binary"), 256))
     paths = checkpointed(rows.select("path", "blob"))
     blobs = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
-    seen = known.select("blob").distinct()
-    # Repeated blobs not seen yet, with the one row that is scanned; blobs seen already are in the filter as well.
-    repeated = checkpointed(blobs.where("n > 1").join(seen, "blob", "left_anti"))
-    filt = key_filter(repeated.select("blob").unionByName(seen).select(F.xxhash64("blob").alias("h")), "h")
-    at = marked(rows, F.xxhash64("blob"), filt, "maybe")
-    fresh = at.where("not maybe").select("blob", "content")
-    doubt = at.where("maybe").join(seen, "blob", "left_anti")
-    doubt = doubt.join(repeated.select("blob", "first_path"), "blob", "left").where("first_path is null or path <=> first_path")
-    found = fresh.unionByName(doubt.select("blob", "content")).select("blob", scan("content").alias("findings"))
+    seen = known.select("blob")
+    # Repeated blobs not seen yet, with the path whose row is scanned; blobs seen already are in the filter as well.
+    repeated = checkpointed(blobs.where("n > 1").join(seen, "blob", "left_anti").select("blob", "first_path"))
+    keys = checkpointed(repeated.select("blob").unionByName(seen).select(F.xxhash64("blob").alias("h")))
+    doubt, fresh = parted(rows, F.xxhash64("blob"), keys)
+    doubt = doubt.join(seen, "blob", "left_anti").join(repeated, "blob", "left").where("first_path is null or path <=> first_path")
+    once = doubt.groupBy("blob").agg(F.first("content").alias("content"))  # repeated rows have one blob and path
+    found = fresh.select("blob", "content").unionByName(once).select("blob", scan("content").alias("findings"))
     new = found.select("blob", F.lit(rule_version).alias("rule_version"), "findings")
     needed = known.join(paths.select("blob").distinct(), "blob", "left_semi") if ledger is not None else known
-    return paths, needed.unionByName(new.dropDuplicates(["blob"]))
+    return paths, needed.unionByName(new)
 
 
 def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, blob, findings) of every row of `versions`."""
     paths, entries = update_ledger(versions, ledger, rule_version, id_col, text)
-    hits = entries.where("size(findings) > 0").select("blob", "findings")
+    hits = checkpointed(entries.where("size(findings) > 0").select("blob", "findings"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return paths.join(hits, "blob", "left").select(F.col("path").alias(id_col), "blob", F.coalesce("findings", none).alias("findings"))
 
