@@ -12,12 +12,17 @@ document frequency over the whole table, rare ones first. Three filters leave fe
 * position: the tokens that remain on both sides after the first shared one still allow o.
 
 Frequencies are counted in one pass, with one partial row per token and task; the templates and their frequencies are
-configuration, so they fit anywhere. Matching is another pass without a shuffle. A very long text is cut in blocks.
+configuration, so they fit anywhere. Matching is another pass without a shuffle. A very long text is cut in blocks, in
+time linear in its words. Python gets texts in Arrow batches of at most 64 MB, and a longer text alone.
+
+Templates are single lines of notices and whole notices. A line has few words, so that nearly all must be there, in any
+order, within a block; in a whole notice a twelfth of the distinct words may be missing or replaced.
 
 The base search counts the places where the words of a fixed phrase stand consecutively; its labels always stay.
 
 Nulls: a null text counts as empty, with no words, places or labels. Repeated rows are reported each. A label found by a
-base phrase has score 1; otherwise the score is the largest containment among matches, 0 without any.
+base phrase has score 1; otherwise the score is the largest containment among matches, 0 without any. An empty table
+gives an empty result. Input columns travel in a struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ TEMPLATES = (
 )
 
 
-# Whole notices, for `find_licenses(docs, templates=TEMPLATES + NOTICES)`; the query's SQL has the lines alone.
+# Whole notices.
 NOTICES = (
     (
         "mit",
@@ -146,15 +151,15 @@ def places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, int, str]]:
     found = []
     for phrase, label in phrases:
         needle = f" {phrase} ".encode()
-        at = line.find(needle)
+        at, last, start = line.find(needle), 0, 0
         while at >= 0:
-            start = line.count(b" ", 0, at)
+            start += line.count(b" ", last, at)
             found.append((start, start + phrase.count(" ") + 1, label))
-            at = line.find(needle, at + 1)
+            last, at = at, line.find(needle, at + 1)
     return sorted(found)
 
 
-def find_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def find_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES + NOTICES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` packed as struct `row`, with `n_words`, `places` (start, end, label of each base phrase) and `blocks`
     (start, label, containment of each matching block)."""
     vocabulary = frozenset(w for _, t in templates for w in alnum_words(t))

@@ -16,7 +16,7 @@ MIX_ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), MIX_ALPHA)
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), MIX_ALPHA, columns=["doc_id"])
     return mixed.select("row.doc_id", "topic", "n_tokens", "weight", "rate", "copies")
 
 
@@ -100,18 +100,21 @@ def _mixing_sql(sweeps: int = mixing.SWEEPS) -> str:
 
 
 def _license_sql() -> str:
-    """op6 without its filters: every block against every template."""
+    """op6 without its filters: every block against every template of its length."""
     quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
-    templates = ", ".join(f"({i}, '{label}', {quoted(sorted(set(alnum_words(t))))})" for i, (label, t) in enumerate(license_scan.TEMPLATES))
+    stride = lambda t: license_scan.stride_of(len(alnum_words(t)))
+    all_templates = license_scan.TEMPLATES + license_scan.NOTICES
+    templates = ", ".join(f"({i}, '{label}', {stride(t)}, {quoted(sorted(set(alnum_words(t))))})" for i, (label, t) in enumerate(all_templates))
+    strides = ", ".join(f"({s})" for s in sorted({stride(t) for _, t in all_templates}))
     phrases = ", ".join(f"('{label}', {quoted(alnum_words(p))})" for p, label in license_scan.PHRASES)
-    b, st = license_scan.BLOCK, license_scan.STRIDE
+    times = license_scan.BLOCK // license_scan.STRIDE
     return rf"""
         WITH docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-        phrases(label, p) AS (VALUES {phrases}), templates(id, label, t) AS (VALUES {templates}),
+        phrases(label, p) AS (VALUES {phrases}), templates(id, label, stride, t) AS (VALUES {templates}), strides(stride) AS (VALUES {strides}),
         spots AS (SELECT doc_id, label, i - 1 AS start FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs, phrases) WHERE w[i : i + len(p) - 1] = p),
         base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM spots GROUP BY doc_id),
-        blocks AS (SELECT doc_id, list_distinct(w[i + 1 : i + {b}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {st}), {st})) AS i FROM docs)),
-        found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM blocks, templates WHERE len(list_intersect(b, t)) >= ceil({license_scan.THRESHOLD} * len(t))),
+        blocks AS (SELECT doc_id, stride, list_distinct(w[i + 1 : i + {times} * stride]) AS b FROM (SELECT doc_id, w, stride, unnest(range(0, greatest(1, len(w) - stride), stride)) AS i FROM docs, strides)),
+        found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM blocks JOIN templates USING (stride) WHERE len(list_intersect(b, t)) >= ceil({license_scan.THRESHOLD} * len(t))),
         named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM spots) GROUP BY doc_id),
         base_named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM spots) GROUP BY doc_id),
         best AS (SELECT doc_id, round(max(c), 6) AS c FROM found GROUP BY doc_id)
