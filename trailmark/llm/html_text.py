@@ -1,23 +1,34 @@
 """Operator 5, HTML extraction, by layout-aware rendering.
 
 A tree builder closes elements whose end tags HTML lets authors leave out, and skips what a reader doesn't see. Each
-element is laid out when it closes, from what its children laid out before: inline text flows and its white space
-collapses; blocks start new lines, paragraphs and headings stand between blank lines; list items get a bullet or number
-and hang below it; table cells are padded so that columns align; preformatted text keeps its white space.
+element is laid out from what stands in it: inline text flows and its white space collapses; blocks start new lines,
+paragraphs and headings stand between blank lines, also through blocks around them; list items get a bullet or number and
+hang below it; table cells are padded so that columns align; preformatted text keeps its white space.
 
-Pages are independent: one pass without a shuffle, and a hot host or page costs nothing more than its rows. Nesting
-needs no recursion.
+What is seen: `display: none`, `hidden` and elements like script remove all that stands in them. `visibility` is inherited, and
+an element within a hidden one may be seen again. Rules of `style` elements are followed where their selector is an element
+name, a class, an id, or a name with one of these, and they set display or visibility; the last that fits wins, a
+`style` attribute over all. Buttons and text inputs show their value.
+
+Pages are independent: one pass without a shuffle, and a hot host or page costs nothing more than its rows. Python gets them
+in Arrow batches of at most 64 MB, and a longer page alone. Nesting needs no recursion, and time and output are linear in a
+page: text is written straight to the nearest element with a layout of its own (cell, list item, table, pre, quote),
+of which only the outermost `DEPTH` indent, cells are padded to `PAD` characters at most and a wider one overflows its
+column, and a cell spans `SPAN` columns at most.
 
 A head ends at its end tag or at the first text or tag that can't stand in one. What stands in a table or row outside
 its cells comes before the table.
 
 Nulls: a null page has a null text, an empty one an empty text. Malformed markup never fails: an unknown end tag is
-ignored, and what is left open at the end of the page is closed there.
+ignored, and what is left open at the end of the page is closed there. Repeated rows are rendered each. An empty table gives an
+empty result. A column of the input that has the result's name is an error.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -49,87 +60,154 @@ IMPLIED = {
     **dict.fromkeys(("thead", "tbody", "tfoot"), ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}, {"table"})),
     "body": ({"head"}, {"html"}),
 }
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"(\*|[a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
+SHOWN_INPUTS = frozenset(["button", "reset", "submit", "text", "email", "number", "search", "tel", "url"])
 BREAK = "\x00"  # a forced line end within inline text; NUL can't be in text
 SPACE = re.compile(r"[ \t\n\r\f]+")
+EDGE, GAP = (0,), (1,)  # the edge of a block, and that of one between blank lines
+DEPTH, PAD, SPAN = 24, 80, 50
+#: Elements whose content is laid out on its own; all others write to the nearest of these.
+OWN = frozenset("blockquote dd li pre table tbody td textarea tfoot th thead tr".split())
+CELLS = ("td", "th")
+BARRIERS = ("td", "th", "table")
+BEYOND_CELLS = frozenset("body html table tbody tfoot thead tr".split())
 
 
-class Element:
-    """An open element: its laid-out children are strings (inline) or (lines, spaced) blocks; rows of a table."""
+class Box:
+    """Content that is laid out together: strings (inline), block edges, and lists of lines; rows of a table."""
 
-    __slots__ = ("hidden", "name", "number", "parts", "pre", "rows")
+    __slots__ = ("depth", "number", "parts", "pre", "rows", "span")
 
-    def __init__(self, name: str, hidden: bool = False, pre: bool = False):
-        self.name, self.hidden, self.pre = name, hidden, pre
+    def __init__(self, depth: int = 0, pre: bool = False, span: int = 1):
+        self.depth, self.pre, self.span = depth, pre, span
         self.parts: list = []
         self.rows: list = []
         self.number = 0
 
 
+class Element:
+    """An open element; `box` is its own or that of the nearest element around it that has one."""
+
+    __slots__ = ("box", "gone", "name", "number", "own", "unseen")
+
+    def __init__(self, name: str, box: Box, own: bool, gone: bool, unseen: bool):
+        self.name, self.box, self.own, self.gone, self.unseen = name, box, own, gone, unseen
+        self.number = 0
+
+
 def lines_of(parts: list, pre: bool = False) -> list[str]:
-    """Lines of a block from its parts; a blank line stands around spaced blocks, once between two. `pre` keeps the white
-    space of inline text, but for a line end before a block or at the end."""
+    """Lines of a box from its parts; a blank line stands at gaps between lines, once. `pre` keeps the white space of inline
+    text, but for a line end before a block or at the end."""
     out: list[str] = []
     text: list[str] = []
     gap = False
 
-    def put(lines: list[str], spaced: bool) -> None:
+    def put(lines: list[str]) -> None:
         nonlocal gap
         if lines:
-            if out and (gap or spaced):
+            if out and gap:
                 out.append("")
             out.extend(lines)
-            gap = spaced
+            gap = False
 
     def flow() -> None:
         run = "".join(text)
         text.clear()
         if run and pre:
             lines = run.split(BREAK)
-            put(lines[: len(lines) - (len(lines) > 1 and not lines[-1])], False)
+            put(lines[: len(lines) - (len(lines) > 1 and not lines[-1])])
         elif run:
             lines = [SPACE.sub(" ", x).strip(" ") for x in run.split(BREAK)]
-            while lines and not lines[-1]:
-                lines.pop()
-            while lines and not lines[0]:
-                lines.pop(0)
-            put(lines, False)
+            last = len(lines)
+            while last and not lines[last - 1]:
+                last -= 1
+            first = 0
+            while first < last and not lines[first]:
+                first += 1
+            put(lines[first:last])
 
     for part in parts:
         if isinstance(part, str):
             text.append(part)
+        elif isinstance(part, list):
+            flow()
+            put(part)
         else:
             flow()
-            put(*part)
+            gap = gap or part is GAP
     flow()
     return out
 
 
-def table_lines(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells of lines as lines with aligned columns, two blanks between columns."""
+def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    """Rows of (lines of a cell, columns that it spans) as lines with aligned columns, two blanks between columns."""
     widths: list[int] = []
     for row in rows:
-        for i, cell in enumerate(row):
-            wide = max(map(len, cell), default=0)
-            if i < len(widths):
-                widths[i] = max(widths[i], wide)
-            else:
-                widths.append(wide)
+        at = 0
+        for cell, span in row:
+            widths += [0] * (at + span - len(widths))
+            if span == 1:
+                widths[at] = max(widths[at], min(PAD, max(map(len, cell), default=0)))
+            at += span
     out = []
     for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+        for k in range(max((len(cell) for cell, _ in row), default=0)):
+            line, at = [], 0
+            for cell, span in row:
+                wide = sum(widths[at : at + span]) + 2 * (span - 1)
+                line.append((cell[k] if k < len(cell) else "").ljust(wide))
+                at += span
+            out.append("  ".join(line).rstrip())
     return out
 
 
+def style_rules(css: str) -> list[tuple[str, str, str, dict[str, str]]]:
+    """(name, kind, value, settings) of the rules with simple selectors that set display or visibility."""
+    found = []
+    for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
+        settings = {k.lower(): v.lower() for k, v in STYLE.findall(body)}
+        if settings:
+            for one in selectors.split(","):
+                m = SELECTOR.fullmatch(one.strip())
+                if m and (m[1] or m[3]):
+                    found.append(((m[1] or "*").lower(), m[2] or "", m[3] or "", settings))
+    return found
+
+
 class Renderer(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [Element("")]
-        self.unseen = 0  # open elements that aren't seen
+        self.open = [Element("", Box(), True, False, False)]
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each name
+        self.rules: dict[tuple[str, str], list] = defaultdict(list)  # by kind and value of the selector
+        self.n_rules = 0
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at[n]), default=0)
+
+    # --- what is seen -----------------------------------------------------------------------------------------------
+
+    def settings(self, tag: str, had: dict) -> dict[str, str]:
+        keys = [("", tag), ("", "*"), ("#", had.get("id") or ""), *((".", c) for c in (had.get("class") or "").split())] if self.n_rules else []
+        fitting = sorted((x for key in keys if key in self.rules for x in self.rules[key] if x[1] in (tag, "*")), key=lambda x: x[0])
+        found: dict[str, str] = {}
+        for _, _, settings in fitting:
+            found |= settings
+        return found | {k.lower(): v.lower() for k, v in STYLE.findall(had.get("style") or "")}
+
+    def learn(self, css: str) -> None:
+        for name, kind, value, settings in style_rules(css):
+            self.rules[(kind, value if kind else name)].append((self.n_rules, name, settings))
+            self.n_rules += 1
+
+    # --- tags -------------------------------------------------------------------------------------------------------
 
     def end_head(self) -> None:
         """Closes an open head whose end tag was left out; what stands in its other elements, as a template, stays there."""
+        if not self.at["head"]:
+            return
         i = len(self.open) - 1
         while self.open[i].name == "noscript":
             i -= 1
@@ -141,54 +219,67 @@ class Renderer(HTMLParser):
             self.end_head()
         closes, limits = IMPLIED.get(tag, ((), ()))
         if closes:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].name in limits:
-                    break
-                if self.open[i].name in closes:
-                    self.close_down_to(i)
-        had = dict(attrs)
+            limit = self.last(limits)
+            lowest = min((self.at[n][k] for n in closes if (k := bisect_right(self.at[n], limit)) < len(self.at[n])), default=0)
+            if lowest:
+                self.close_down_to(lowest)
+        above, had = self.open[-1], dict(attrs)
+        box = above.box
         if tag == "br":
-            self.open[-1].parts.append(BREAK)
+            box.parts.append(BREAK)
         elif tag == "hr":
-            self.open[-1].parts.append(([], True))
-        elif tag == "img" and not self.unseen:
-            self.open[-1].parts.append(had.get("alt") or "")
+            box.parts.append(GAP)
+        elif tag in ("img", "input") and not above.gone and not above.unseen and "hidden" not in had and self.settings(tag, had).get("display") != "none":
+            if tag == "img":
+                box.parts.append(had.get("alt") or "")
+            elif (had.get("type") or "text").lower() in SHOWN_INPUTS:
+                box.parts.append(had.get("value") or "")
         if tag in VOID:
             return
-        hidden = tag in UNSEEN or "hidden" in had or bool(HIDDEN.search(had.get("style") or ""))
-        self.unseen += hidden
-        element = Element(tag, hidden, self.open[-1].pre or tag in ("pre", "textarea"))
+        settings = self.settings(tag, had)
+        gone = above.gone or tag in UNSEEN or "hidden" in had or settings.get("display") == "none"
+        unseen = settings["visibility"] in ("hidden", "collapse") if settings.get("visibility", "inherit") != "inherit" else above.unseen
+        own = tag in OWN and not gone and not (tag in ("li", "dd", "blockquote") and box.depth >= DEPTH)
+        if not gone and not own and (tag in BLOCKS or tag in SPACED):
+            box.parts.append(GAP if tag in SPACED else EDGE)
+        if own:
+            span = had.get("colspan") or "1"
+            box = Box(box.depth + (tag in ("li", "dd", "blockquote")), box.pre or tag in ("pre", "textarea"), min(SPAN, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1)
+        element = Element(tag, box, own, gone, unseen)
         if tag == "ol" and re.fullmatch(r"-?\d{1,9}", had.get("start") or ""):
             element.number = int(had["start"]) - 1
+        self.at[tag].append(len(self.open))
         self.open.append(element)
+        if tag == "li" and not own and not gone:
+            box.parts.append(self.mark())
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(e.name == "p" for e in self.open):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == tag:
-                self.close_down_to(i)
-                return
-            if self.open[i].name in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                return  # an end tag in a cell closes nothing outside it
+        places = self.at[tag]
+        if places and (tag in BEYOND_CELLS or places[-1] >= self.last(BARRIERS)):  # an end tag in a cell closes nothing outside it
+            self.close_down_to(places[-1])
 
     def handle_data(self, data: str) -> None:
-        if self.unseen and data.strip():
+        top = self.open[-1]
+        if top.name == "style":
+            self.learn(data)
+        if top.gone and self.at["head"] and data.strip():
             self.end_head()
-        if self.unseen or (self.open[-1].pre and self.open[-1].name in TABULAR and not data.strip()):
+            top = self.open[-1]
+        if top.gone or top.unseen or (top.box.pre and top.name in TABULAR and not data.strip()):
             return
         data = data.replace(BREAK, "�")
-        if self.open[-1].pre:
-            lines = data.split("\n")
-            for i, line in enumerate(lines):
-                if i:
-                    self.open[-1].parts.append(BREAK)
-                self.open[-1].parts.append(line)
-        else:
-            self.open[-1].parts.append(data)
+        top.box.parts.append(data.replace("\n", BREAK) if top.box.pre else data)
+
+    # --- layout -----------------------------------------------------------------------------------------------------
+
+    def mark(self) -> str:
+        """The bullet or number of the next item of the innermost open list."""
+        holder = self.open[self.last(LISTS)]
+        holder.number += 1
+        return f"{holder.number}. " if holder.name == "ol" else "- "
 
     def close_down_to(self, i: int) -> None:
         while len(self.open) > i:
@@ -196,46 +287,52 @@ class Renderer(HTMLParser):
 
     def close_last(self) -> None:
         e = self.open.pop()
-        above = self.open[-1]
-        if e.hidden:
-            self.unseen -= 1
+        self.at[e.name].pop()
+        if e.gone:
+            return
+        out = self.open[-1].box
+        if not e.own:
+            if e.name in BLOCKS or e.name in SPACED:
+                out.parts.append(GAP if e.name in SPACED else EDGE)
             return
-        if e.name in ("td", "th"):
-            above.rows.append(lines_of(e.parts, e.pre))
+        box = e.box
+        if e.name in CELLS:
+            out.rows.append((lines_of(box.parts, box.pre), box.span))
         elif e.name == "tr":
-            above.rows.append(e.rows)
-            above.parts.extend(e.parts)
+            out.rows.append(box.rows)
+            out.parts.extend(box.parts)
         elif e.name in ("thead", "tbody", "tfoot"):
-            above.rows.extend(e.rows)
-            above.parts.extend(e.parts)
-        elif e.name == "table":
-            rows = [r if r and isinstance(r[0], list) else [r] if r else [] for r in e.rows]
-            above.parts.append((lines_of(e.parts, e.pre) + table_lines(rows), True))
-        elif e.rows:  # cells without a row, rows without a table
-            above.rows.extend(e.rows)
-            above.parts.extend(e.parts)
-        elif e.name == "pre":
-            first = next((k for k, p in enumerate(e.parts) if p != ""), 0)
-            above.parts.append((lines_of(e.parts[first + (e.parts[first : first + 1] == [BREAK]) :], True), True))
-        elif e.name == "li":
-            holder = next((x for x in reversed(self.open) if x.name in LISTS), above)
-            holder.number += 1
-            mark = f"{holder.number}. " if holder.name == "ol" else "- "
-            lines = lines_of(e.parts, e.pre) or [""]
-            above.parts.append(([(mark if not k else " " * len(mark)) + x if x or not k else "" for k, x in enumerate(lines)], False))
-        elif e.name == "dd" or e.name == "blockquote":
-            above.parts.append((["    " + x if x else "" for x in lines_of(e.parts, e.pre)], e.name in SPACED))
-        elif e.name in BLOCKS or e.name in SPACED:
-            above.parts.append((lines_of(e.parts, e.pre), e.name in SPACED))
+            out.rows.extend(box.rows)
+            out.parts.extend(box.parts)
         else:
-            above.parts.extend(e.parts)
+            if e.name == "pre":
+                self.drop_first_line_end(box.parts)
+            lines = lines_of(box.parts, box.pre) + self.table(box)
+            if e.name == "li":
+                mark = self.mark()
+                lines = [(" " * len(mark) if k else mark) + x if x or not k else "" for k, x in enumerate(lines or [""])]
+            elif e.name in ("dd", "blockquote"):
+                lines = ["    " + x if x else "" for x in lines]
+            edge = GAP if e.name in SPACED else EDGE
+            out.parts += [edge, lines, edge]
+
+    @staticmethod
+    def drop_first_line_end(parts: list) -> None:
+        """The line end that may follow the start tag of a pre isn't part of it."""
+        k = next((k for k, p in enumerate(parts) if p != ""), None)
+        if k is not None and isinstance(parts[k], str) and parts[k].startswith(BREAK):
+            parts[k] = parts[k][1:]
+
+    @staticmethod
+    def table(box: Box) -> list[str]:
+        """Lines of the rows in a box; cells without a row are a row each."""
+        return table_lines([r if isinstance(r, list) else [r] for r in box.rows if r])
 
     def text(self) -> str:
         self.close()
         self.close_down_to(1)
-        top = self.open[0]
-        rows = [r if r and isinstance(r[0], list) else [r] for r in top.rows if r]
-        return "\n".join(lines_of(top.parts) + table_lines(rows))
+        top = self.open[0].box
+        return "\n".join(lines_of(top.parts) + self.table(top))
 
 
 def render(html: str | None) -> str | None:
@@ -254,5 +351,7 @@ def rendered(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def visible_text(pages: DataFrame, html: str = "html", name: str = "visible_text") -> DataFrame:
-    """`pages` with column `name`, the rendered text of `html`."""
-    return pages.withColumn(name, rendered(F.col(html)))
+    """`pages` with column `name`, the rendered text of `html`; the name must be new."""
+    if name in pages.columns:
+        raise ValueError(f"the input has a column {name}; name another one for the text")
+    return pages.withColumn(name, rendered(F.col(f"`{html}`")))

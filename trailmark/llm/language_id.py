@@ -8,8 +8,9 @@ language the hits are counted (popcount of its bit) and corrected for the share
 through by chance. The highest corrected count decides.
 
 The filters are fitted on at most about `max_docs` labelled documents of each language, drawn by hash of the id over all
-of them, whole texts; their size is 8 bytes for each of the `slots` and each 64 languages, so they may be broadcast. Prediction reads nothing but text. Texts are worked
-on in pieces of bounded length, so a very long text needs no more memory than many short ones.
+of them, whole texts; their size is 8 bytes for each of the `slots` and each 64 languages, so they may be broadcast.
+Prediction reads nothing but text. Texts are worked on in pieces of bounded length, so a very long text needs no more memory
+than many short ones; Python gets them in Arrow batches of at most 64 MB.
 
 A corpus is cleaned by the score (`drop_unidentified`): noise and languages that weren't learned hit few n-grams. The
 least score of a language comes from labelled rows, scored by filters that were fitted without them.
@@ -17,11 +18,14 @@ least score of a language comes from labelled rows, scored by filters that were
 Nulls and empties: a null text, or one without a letter, is `und` with score 0. Rows without a language, text or id are
 not learned from. A text whose n-grams are all unknown gets the language with most training documents (the first by
 name on ties), with score 0; ties go to the first language by name. Without labelled rows every document is `und`.
+Repeated rows are each learned from and each answered, alike. An empty table gives an empty result. Input columns travel in
+a struct, so their names can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -175,14 +179,13 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "
     top = shares.groupBy("size", "gram").agg(F.max("share").alias("top"))
     typical = shares.where(F.col("share") >= MIN_SHARE).join(top, ["size", "gram"]).where(F.col("share") >= MIN_RATIO * F.col("top"))
     # 1 / MIN_SHARE bounds the typical n-grams of a language and length, and so the rows that come to the driver.
-    bit = {name: i for i, name in enumerate(langs)}
-    for r in typical.groupBy("gram").agg(F.collect_set("lang").alias("langs")).toLocalIterator():
-        own: dict[int, int] = {}
-        for name in r["langs"]:
-            own[bit[name] // BITS] = own.get(bit[name] // BITS, 0) | 1 << bit[name] % BITS
-        for at in positions(np.array([r["gram"]], np.int64).view(np.uint64), slots):
-            for array, mask in own.items():
-                masks[array, at] |= np.uint64(mask)
+    order = {name: i for i, name in enumerate(langs)}
+    rows = typical.select("lang", "gram").toLocalIterator()
+    while chunk := list(islice(rows, 100_000)):
+        bit = np.array([order[r["lang"]] for r in chunk])
+        grams = np.array([r["gram"] for r in chunk], np.int64).view(np.uint64)
+        for at in positions(grams, slots):
+            np.bitwise_or.at(masks, (bit // BITS, at), np.uint64(1) << (bit % BITS).astype(np.uint64))
     return Filters(langs, masks, langs.index(min(counts, key=lambda k: (-counts[k], k))))
 
 
