@@ -12,8 +12,8 @@ name, a class, an id, or a name with one of these, and they set display or visib
 
 Pages are independent: one pass without a shuffle, and a hot host or page costs nothing more than its rows. Python gets them
 in Arrow batches of at most 64 MB, and a longer page alone. Nesting needs no recursion, and time and output are linear in a
-page: text is written straight to the nearest element with a layout of its own (cell, list item, table, pre, quote),
-of which only the outermost `DEPTH` indent, cells are padded to `PAD` characters at most and a wider one overflows its
+page: text is written straight to the nearest element with a layout of its own (cell, list item, table, pre, quote); within
+`DEPTH` of these more are laid out as plain blocks. Cells are padded to `PAD` characters at most and a wider one overflows its
 column, and a cell spans `SPAN` columns at most.
 
 A head ends at its end tag or at the first text or tag that can't stand in one. What stands in a table or row outside
@@ -144,13 +144,15 @@ def lines_of(parts: list, pre: bool = False) -> list[str]:
 def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Rows of (lines of a cell, columns that it spans) as lines with aligned columns, two blanks between columns."""
     widths: list[int] = []
-    for row in rows:
-        at = 0
-        for cell, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], min(PAD, max(map(len, cell), default=0)))
-            at += span
+    for spanning in (False, True):  # a cell over several columns widens the last of them
+        for row in rows:
+            at = 0
+            for cell, span in row:
+                widths += [0] * (at + span - len(widths))
+                if (span > 1) == spanning:
+                    had = sum(widths[at : at + span]) + 2 * (span - 1)
+                    widths[at + span - 1] += max(0, min(PAD, max(map(len, cell), default=0)) - had)
+                at += span
     out = []
     for row in rows:
         for k in range(max((len(cell) for cell, _ in row), default=0)):
@@ -239,12 +241,12 @@ class Renderer(HTMLParser):
         settings = self.settings(tag, had)
         gone = above.gone or tag in UNSEEN or "hidden" in had or settings.get("display") == "none"
         unseen = settings["visibility"] in ("hidden", "collapse") if settings.get("visibility", "inherit") != "inherit" else above.unseen
-        own = tag in OWN and not gone and not (tag in ("li", "dd", "blockquote") and box.depth >= DEPTH)
-        if not gone and not own and (tag in BLOCKS or tag in SPACED):
+        own = tag in OWN and not gone and box.depth < DEPTH
+        if not gone and not own and (tag in BLOCKS or tag in SPACED or tag in OWN):
             box.parts.append(GAP if tag in SPACED else EDGE)
         if own:
             span = had.get("colspan") or "1"
-            box = Box(box.depth + (tag in ("li", "dd", "blockquote")), box.pre or tag in ("pre", "textarea"), min(SPAN, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1)
+            box = Box(box.depth + (tag not in TABULAR or tag == "table"), box.pre or tag in ("pre", "textarea"), min(SPAN, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1)
         element = Element(tag, box, own, gone, unseen)
         if tag == "ol" and re.fullmatch(r"-?\d{1,9}", had.get("start") or ""):
             element.number = int(had["start"]) - 1
@@ -292,7 +294,7 @@ class Renderer(HTMLParser):
             return
         out = self.open[-1].box
         if not e.own:
-            if e.name in BLOCKS or e.name in SPACED:
+            if e.name in BLOCKS or e.name in SPACED or e.name in OWN:
                 out.parts.append(GAP if e.name in SPACED else EDGE)
             return
         box = e.box
