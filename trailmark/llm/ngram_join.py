@@ -322,7 +322,8 @@ def family_links(deltas: DataFrame, percent: int) -> DataFrame:
     For such a set i and any j of its family, d_i > h (n_i + n_root) with h = (100 - t) / (100 + t), and n_j <= n_root + d_j.
     They differ by h (n_i + n_j) at most, so they share more than d_j (1 - h) / 2 = d_j t / (100 + t) of their differences.
     Hence one of the first d_j - floor(d_j t / (100 + t)) of j's in any order ("short" prefix), and, as j's difference is at
-    least d_i less what they may differ by, one of i's first (100 - t) n_i / t + 1 ("long").
+    least d_i less what they may differ by, one of i's first (100 - t) n_i / t + 1 ("long"). The first that they share must leave
+    both enough for what this pair has to share, (d_i + d_j - what they may differ by) / 2.
     """
     t = percent
     rows = deltas.select("root", "node", F.explode("delta").alias("token"))
@@ -332,12 +333,14 @@ def family_links(deltas: DataFrame, percent: int) -> DataFrame:
     short = F.col("d") - F.floor(F.col("d") * t / (100 + t))
     reach = F.when(F.col("near"), short).otherwise(F.greatest(short, F.floor(F.col("n") * (100 - t) / t) + 1))
     taken = F.slice("xs", 1, F.greatest(F.lit(0), reach - F.col("alone")).cast("int"))
-    placed = F.explode(F.transform(taken, lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i < short).alias("short"))))
-    rows = checkpointed(own.select("node", "root", "n", "d", "near", placed.alias("x")).select("root", "x.token", "x.short", "node", "n", "d", "near"))
-    side = lambda s: rows.select("root", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "d", "near", "short")])
-    # a: a set not linked to the root. b: one that is, found by its short prefix, or another with a larger number.
-    roles = (~F.col("near_a")) & F.col("short_b") & (F.col("near_b") | (F.col("short_a") & (F.col("node_a") < F.col("node_b"))))
-    fit = sizes_fit(F.col("n_a"), F.col("n_b"), t) & (F.abs(F.col("d_a") - F.col("d_b")) <= most_differing(F.col("n_a"), F.col("n_b"), t))
+    placed = F.explode(F.transform(taken, lambda x, i: F.struct(x["token"].alias("token"), (F.col("alone") + i).alias("pos"))))
+    rows = checkpointed(own.select("node", "root", "n", "d", "near", placed.alias("x")).select("root", "x.token", "x.pos", "node", "n", "d", "near"))
+    side = lambda s: rows.select("root", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "d", "near", "pos")])
+    # a: a set not linked to the root. b: one that is, or another with a larger number.
+    roles = F.col("near_b") | (F.col("node_a") < F.col("node_b"))
+    most = most_differing(F.col("n_a"), F.col("n_b"), t)
+    left = F.least(F.col("d_a") - F.col("pos_a"), F.col("d_b") - F.col("pos_b"))
+    fit = sizes_fit(F.col("n_a"), F.col("n_b"), t) & (2 * left >= F.col("d_a") + F.col("d_b") - most)
     pairs = side("a").where(~F.col("near_a")).join(side("b"), ["root", "token"]).where(roles & fit)
     pairs = pairs.select("node_a", "node_b", "n_a", "n_b").distinct()
     held = lambda s: deltas.select(F.col("node").alias(f"node_{s}"), F.col("delta").alias(f"delta_{s}"))
@@ -356,13 +359,15 @@ def qualifying(placed: DataFrame, percent: int) -> DataFrame:
     # Member sizes that fit the query lie from `low` to `high`.
     low = lambda: F.greatest(F.col("g_lo"), _ceil_div(F.col("n_q") * t, 100))
     high = lambda: F.least(F.col("g_hi"), F.floor(F.col("n_q") * 100 / t))
-    met = asks.join(matrix, "token").where((F.col("rank") < F.struct("size", "fam")) & (low() <= high()))
-    # If this is the first token that they share, what comes after it must do.
+    # If this is the first token that they share, what comes after it must do; this token joins them.
     near = ((100 + t) * (F.col("n_q") - F.col("q_pos")) >= t * (F.col("n_q") + low())) & ((100 + t) * (high() - F.col("g_pos")) >= t * (F.col("n_q") + high()))
-    counted = met.select("q", "n_q", "fam", "part", "g_lo", "g_hi", near.alias("near")).groupBy("q", "n_q", "fam", "part").agg(F.count(F.lit(1)).alias("c"), F.max("near").alias("near"), F.min("g_lo").alias("g_lo"), F.max("g_hi").alias("g_hi"))
+    met = asks.join(matrix, "token").where((F.col("rank") < F.struct("size", "fam")) & (low() <= high()) & near).select("q", "n_q", "fam", "part").distinct()
+    # Those that met, with all tokens that they share.
+    met = checkpointed(met).join(asks.select("q", "token"), "q").join(matrix.select("token", "fam", "part", "g_lo", "g_hi"), ["token", "fam", "part"])
+    counted = met.groupBy("q", "n_q", "fam", "part").agg(F.count(F.lit(1)).alias("c"), F.min("g_lo").alias("g_lo"), F.max("g_hi").alias("g_hi"))
     # The least count is lowest at the smallest or at the largest size.
     least = F.least(least_shared(F.col("n_q"), low(), t), least_shared(F.col("n_q"), high(), t))
-    return counted.where(F.col("near") & (F.col("c") >= least)).select("q", "n_q", "fam", "part", low().alias("g_lo"), high().alias("g_hi"))
+    return counted.where((low() <= high()) & (F.col("c") >= least)).select("q", "n_q", "fam", "part", low().alias("g_lo"), high().alias("g_hi"))
 
 
 def group_unions(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -437,6 +442,7 @@ def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> Dat
     names = checkpointed(named.groupBy("comp").agg(F.min("name").alias("c_name")))
     named = named.join(names, "comp").select("hi", "lo", "comp", "c_name")
     known = sets_of.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("comp", F.when(F.col("copies") > 1, F.col("node"))).alias("comp"), F.when(F.col("comp").isNull(), F.col("name")).otherwise(F.col("c_name")).alias("name"))
+    known = checkpointed(known)
     empty = narrow.where("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("name"))
     full = narrow.where("n > 0").join(known, ["hi", "lo"], "left").select("id", "key", "n", "comp", "name")
     return full.unionByName(empty)
