@@ -13,9 +13,9 @@ def write(path, value):
 
 
 def test_hits_old_new_and_malformed(spark, tmp_path):
-    write(tmp_path / "a_abc.json", [{"clip_name": "x", "anchor_video_secs": 3.75, "rubric": {"light": 1}}, {"clip_name": "x", "video_secs": 9.0, "visual": 7}, {"clip_name": "x"}])
-    write(tmp_path / "b_abc.json", "{broken")
-    write(tmp_path / "c_zzz.json", [{"clip_name": "z"}])
+    write(tmp_path / "a_v3_mabc.json", [{"clip_name": "x", "anchor_video_secs": 3.75, "rubric": {"light": 1}}, {"clip_name": "x", "video_secs": 9.0, "visual": 7}, {"clip_name": "x"}])
+    write(tmp_path / "b_v3_mabc_l2.json", "{broken")
+    write(tmp_path / "c_abc_mzzz.json", [{"clip_name": "z"}])
     rows = readers.json_rows(spark, str(tmp_path), readers.HITS).withColumn("file", F.col("_metadata.file_name"))
     got = readers.cached_hits(rows, "abc").collect()
     assert sorted(r["position"] for r in got) == [0.0, 3.75, 9.0]

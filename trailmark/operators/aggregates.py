@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import feet, miles, mph, num
+from ..functions.scalars import feet, gradient, miles, mph, num
+from .joins import asof_nearest
 from .timeseries import elevation_gain
 
 
@@ -41,17 +42,34 @@ def gauge_ranges(points: DataFrame, key: str = "ride_id") -> DataFrame:
     return points.groupBy(key).agg(top("speed", 40.0, mph), top("power", 500), top("heart_rate", 200), top("cadence", 120), *box, ((F.min("lat") + F.max("lat")) / 2).alias("mid_lat"))
 
 
-def clip_samples(clips: DataFrame, key: str = "clip_name", start: str = "start_secs", length: str = "length_secs") -> DataFrame:
+def clip_samples(clips: DataFrame, key: str | list[str] = "clip_name", start: str = "start_secs", length: str = "length_secs") -> DataFrame:
     """(key, sample_no, at): instants every max(0.5, length / 8) seconds from the start, up to nine."""
+    keys = [key] if isinstance(key, str) else key
     step = F.greatest(num(0.5), F.col(length) / 8)
     grid = F.explode(F.sequence(F.lit(0), F.least(F.lit(8), F.floor(F.col(length) / step).cast("int"))))
-    return clips.select(key, F.col(start).alias("s"), step.alias("step"), grid.alias("sample_no")).select(key, "sample_no", (F.col("s") + F.col("sample_no") * F.col("step")).alias("at"))
-
-
-def sample_summary(samples: DataFrame, metrics: list[str], grade: str = "grade", key: str = "clip_name") -> DataFrame:
-    """Average and peak of each metric over a clip's samples, and the steepest gradient, with its sign."""
+    return clips.select(*keys, F.col(start).alias("s"), step.alias("step"), grid.alias("sample_no")).select(*keys, "sample_no", (F.col("s") + F.col("sample_no") * F.col("step")).alias("at"))
+
+
+def sample_points(samples: DataFrame, points: DataFrame, base: DataFrame, back_secs: float = 5.0, key: str = "ride_id") -> DataFrame:
+    """Samples (key, ..., at in seconds from `base`'s t0) with the nearest point's speed, power and heart rate, and `grade` from
+    the point nearest to `back_secs` before, not before 0; samples whose point has no speed are left out."""
+    at = lambda x: F.col("t0") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round(x, 6).cast("decimal(18,6)"))
+    rows = samples.join(base.select(key, "t0"), key)
+    now = rows.withColumn("probe_ts", at(F.col("at")))
+    now = asof_nearest(now, points, ["seq", "speed", "power", "heart_rate", "altitude", "distance"], key=key).drop("asof_ts", "asof_gap")
+    then = now.withColumn("probe_ts", at(F.greatest(num(0), F.col("at") - back_secs)))
+    before = points.select(key, "ts", "seq", F.col("altitude").alias("alt0"), F.col("distance").alias("dist0"))
+    both = asof_nearest(then.drop("seq"), before, ["seq", "alt0", "dist0"], key=key).where("speed is not null")
+    rise, run = F.col("altitude") - F.col("alt0"), F.col("distance") - F.col("dist0")
+    grade = F.when(rise.isNotNull() & run.isNotNull(), F.coalesce(gradient(rise, run), num(0)))
+    return both.withColumn("grade", grade)
+
+
+def sample_summary(samples: DataFrame, metrics: list[str], grade: str = "grade", key: str | list[str] = "clip_name") -> DataFrame:
+    """Samples, average and peak of each metric over a clip's, the mean gradient and the steepest one, with its sign."""
+    keys = [key] if isinstance(key, str) else key
     aggs = [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("avg", F.avg), ("peak", F.max))]
-    return samples.groupBy(key).agg(*aggs, F.max_by(grade, F.struct(F.abs(grade), grade)).alias("peak_grade"))
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), *aggs, F.avg(grade).alias("avg_grade"), F.max_by(grade, F.struct(F.abs(grade), grade)).alias("peak_grade"))
 
 
 def text_lines(rows: DataFrame, line: Column, key: str, order: list[str], limit: int | None = None, name: str = "digest") -> DataFrame:
@@ -73,36 +91,82 @@ def score_ranges(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFram
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
-def shot_balance(pixels: DataFrame, key: str = "shot_id", frame: str = "frame", chroma: float = 0.12, least: int = 500, target: float = 0.40, damp: float = 0.6, most_ev: float = 0.6, gain=(0.93, 1.07)) -> DataFrame:
-    """(key, black, white, gain_r, gain_b, ev, median_luma): medians over frames of levels and neutral gains, and the
-    damped, clamped exposure change towards the target."""
-    luma = 0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")
-    rows = pixels.withColumn("y", luma)
-    ends = rows.groupBy(key, frame).agg(F.percentile("y", F.lit(0.005)).alias("lo"), F.percentile("y", F.lit(0.997)).alias("hi"), F.median("y").alias("mid"))
-    joined = rows.join(ends, [key, frame])
-    range_ = F.greatest(F.col("hi") - F.col("lo"), num(1e-6))
-    r, g, b = ((F.col(c) - F.col("lo")) / range_ for c in "rgb")
-    joined = joined.select(key, frame, "lo", "hi", "mid", r.alias("r"), g.alias("g"), b.alias("b"), ((F.col("y") - F.col("lo")) / range_).alias("s"))
-    tone = F.col("s").between(0.25, 0.75)
-    neutral = tone & (F.greatest("r", "g", "b") - F.least("r", "g", "b") < chroma)
-    mean = lambda c, m: F.avg(F.when(m, F.col(c)))
-    frames = joined.groupBy(key, frame).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("mid").alias("mid"), F.count(F.when(neutral, 1)).alias("n"), *[mean(c, m).alias(f"{c}_{n}") for c in "rgb" for n, m in (("neutral", neutral), ("tone", tone))])
-    pick = lambda c: F.when(F.col("n") >= least, F.col(f"{c}_neutral")).otherwise(F.col(f"{c}_tone"))
-    bound = lambda c: F.greatest(num(gain[0]), F.least(num(gain[1]), F.coalesce(pick("g") / F.greatest(pick(c), num(1e-6)), num(1))))
-    shots = frames.groupBy(key).agg(F.median("lo").alias("black"), F.median("hi").alias("white"), F.median(bound("r")).alias("gain_r"), F.median(bound("b")).alias("gain_b"), F.median("mid").alias("median_luma"))
-    stops = F.log2(num(target) / F.greatest(F.col("median_luma"), num(1e-6))) * damp
-    return shots.withColumn("ev", F.greatest(num(-most_ev), F.least(num(most_ev), stops)))
+# Fixed values of the shot measure: weights of luma; percentiles of black and white; least range; tones that count as middle;
+# spread below which a pixel is neutral, and how many of these a frame needs; bounds of gains; what a frame without middle tones has.
+LUMA = (0.2126, 0.7152, 0.0722)
+LEVELS = (0.005, 0.997)
+LEAST_RANGE = 0.05
+MIDDLE = (0.15, 0.85)
+CHROMA, LEAST_NEUTRAL = 0.12, 500
+GAINS = (0.93, 1.07)
+LEAST_MEAN, LEAST_LUMA, FLAT_LUMA = 1e-4, 0.05, 0.35
+# Fixed values of the exposure change: the luma it aims for, the part of the way that it goes, its bound in stops.
+TARGET, DAMP, MOST_EV = 0.40, 0.6, 0.6
+
+
+def shot_balance(pixels: DataFrame, key: str = "shot_id", frame: str = "frame", least: int = LEAST_NEUTRAL) -> DataFrame:
+    """(key, black, white, gain_r, gain_b, ev, median_luma): medians over a shot's frames of its levels, of the gains that make
+    its neutral middle tones grey, and of the luma after both; and the damped, bounded exposure change towards the target.
+
+    A frame with few neutral pixels is balanced on all its middle tones; one without any has gains of 1 and a fixed luma.
+    Levels are joined back to a frame's pixels twice, an equi-join on (key, frame).
+    """
+    clip = lambda x, low, high: F.greatest(num(low), F.least(num(high), x))
+    luma = lambda r, g, b: LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
+    rgb = [F.col(c) for c in "rgb"]
+    rows = pixels.select(key, frame, *rgb, luma(*rgb).alias("y"))
+    ends = rows.groupBy(key, frame).agg(F.percentile("y", F.lit(LEVELS[0])).alias("lo"), F.percentile("y", F.lit(LEVELS[1])).alias("top"))
+    ends = ends.select(key, frame, "lo", F.greatest(F.col("top"), F.col("lo") + LEAST_RANGE).alias("hi"))
+    level = rows.join(ends, [key, frame]).select(key, frame, "lo", "hi", *[clip((x - F.col("lo")) / (F.col("hi") - F.col("lo")), 0, 1).alias(c) for c, x in zip("rgb", rgb, strict=True)])
+    y = luma(*rgb)
+    middle = (y > MIDDLE[0]) & (y < MIDDLE[1])
+    neutral = middle & (F.greatest(*rgb) - F.least(*rgb) < CHROMA)
+    means = [F.avg(F.when(m, F.col(c))).alias(f"{c}_{name}") for c in "rgb" for name, m in (("neutral", neutral), ("middle", middle))]
+    frames = level.groupBy(key, frame).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count(F.when(neutral, 1)).alias("n_neutral"), F.count(F.when(middle, 1)).alias("n_middle"), *means)
+    mean = lambda c: F.when(F.col("n_neutral") >= least, F.col(f"{c}_neutral")).otherwise(F.col(f"{c}_middle"))
+    gain = lambda c: F.when(F.col("n_middle") > 0, clip(mean("g") / F.greatest(mean(c), num(LEAST_MEAN)), *GAINS)).otherwise(num(1))
+    frames = frames.select(key, frame, "lo", "hi", "n_middle", gain("r").alias("gain_r"), gain("b").alias("gain_b"))
+    seen = level.join(frames.select(key, frame, "gain_r", "gain_b"), [key, frame])
+    mid = seen.groupBy(key, frame).agg(F.median(luma(clip(F.col("r") * F.col("gain_r"), 0, 1), F.col("g"), clip(F.col("b") * F.col("gain_b"), 0, 1))).alias("mid"))
+    frames = frames.join(mid, [key, frame]).withColumn("mid", F.when(F.col("n_middle") > 0, F.col("mid")).otherwise(num(FLAT_LUMA)))
+    names = {"lo": "black", "hi": "white", "gain_r": "gain_r", "gain_b": "gain_b", "mid": "median_luma"}
+    shots = frames.groupBy(key).agg(*[F.median(c).alias(name) for c, name in names.items()])
+    stops = clip(DAMP * F.log2(TARGET / F.greatest(F.col("median_luma"), num(LEAST_LUMA))), -MOST_EV, MOST_EV)
+    rounded = {name: F.round(name, 4) for name in names.values()}
+    return shots.withColumn("ev", F.round(stops, 3)).withColumns(rounded)
+
+
+# What a ride folder can do without.
+RAW_SUFFIXES = (".mp4", ".lrv", ".thm")
+RAW_FOLDERS = ("frames", "_work")
 
 
 def retention(files: DataFrame, cutoff: Column, key: str = "ride_folder") -> DataFrame:
-    """Per dated folder: raw files and bytes, whether it has highlights, and why it is skipped (null: free it). Reports only."""
-    day = F.try_to_date(F.regexp_extract(key, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    raw = F.lower("suffix").isin(".mp4", ".lrv", ".thm", ".360")
-    rows = files.groupBy(key).agg(F.count(F.when(raw, 1)).alias("raw_files"), F.coalesce(F.sum(F.when(raw, F.col("length"))), F.lit(0)).alias("raw_bytes"), F.bool_or(F.col("path").rlike("(?i)highlight")).alias("has_highlights"))
-    why = F.when(day.isNull(), "no date").when(day >= cutoff, "recent").when(~F.col("has_highlights"), "no highlights").when(F.col("raw_files") == 0, "nothing to free")
+    """Per ride folder: raw files, raw folders and the bytes of both, whether it has highlights, and why it is skipped (null:
+    free it). Reports only. `files` has the folder, each file's `path` within it, `suffix` and `length`; a folder is
+    named by its date, and one of a later day than the cutoff is recent."""
+    day = F.try_to_date(F.regexp_extract(key, r"(?:^|/)(\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd")
+    top = F.regexp_extract("path", "^([^/]*)/", 1)
+    raw = (top == "") & F.lower("suffix").isin(*RAW_SUFFIXES)
+    within = top.isin(*RAW_FOLDERS)
+    shown = (top == "highlights") & F.col("path").rlike(r"^highlights/[^/]*\.mp4$")
+    length = lambda m: F.coalesce(F.sum(F.when(m, F.col("length"))), F.lit(0))
+    rows = files.groupBy(key).agg(F.count(F.when(raw, 1)).alias("raw_files"), F.count_distinct(F.when(within, top)).alias("raw_folders"), length(raw | within).alias("raw_bytes"), F.bool_or(shown).alias("has_highlights"))
+    clean = (F.col("raw_files") == 0) & (F.col("raw_folders") == 0)
+    why = F.when(day.isNull(), "no date").when(day > cutoff, "recent").when(~F.col("has_highlights"), "no highlights").when(clean, "nothing to free")
     return rows.withColumn("ride_date", day).withColumn("skip_reason", why)
 
 
+def clip_payload(clips: DataFrame, points: DataFrame, margin: float = 1.0, key: str = "ride_id", start: str = "clip_start", end: str = "clip_end", at: str = "at_secs", bucket_secs: float = 600.0) -> DataFrame:
+    """Each clip with the points from `margin` seconds before it to as many after, and `video_secs` of each, to a tenth. An
+    equi-join on (key, time bucket): a clip stands in the buckets that it reaches."""
+    bucket = lambda x: F.floor(x / bucket_secs)
+    left = clips.withColumn("bucket", F.explode(F.sequence(bucket(F.col(start) - margin), bucket(F.col(end) + margin))))
+    right = points.withColumn("bucket", bucket(F.col(at)))
+    pairs = left.join(right, [key, "bucket"]).where(F.col(at).between(F.col(start) - margin, F.col(end) + margin))
+    return pairs.drop("bucket").withColumn("video_secs", F.round(F.col(at) - F.col(start), 1))
+
+
 def reviewer_counts(candidates: DataFrame, key: str = "ride_id") -> DataFrame:
     """Candidates, selected, rated, and how many have each source."""
     rows = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("selected")).alias("n_selected"), F.count_if(F.col("rating") > 0).alias("n_rated"))

@@ -54,13 +54,19 @@ def in_range(ranges: DataFrame, points: DataFrame, key: str = "ride_id", start:
     return left.join(right, [key, "bucket"]).where(F.col(ts).between(F.col(start), F.col(end))).drop("bucket")
 
 
-def first_containing(probes: DataFrame, clips: DataFrame, key: str = "ride_id", at: str = "at_secs", start: str = "clip_start", end: str = "clip_end", clip: str = "clip_name", how: str = "inner") -> DataFrame:
-    """`probes` with the first clip, by start and name, that contains the instant (inclusive), and `video_secs`."""
-    spans = clips.select(key, F.col(clip), F.col(start).alias("c_start"), F.col(end).alias("c_end"))
-    pairs = probes.join(spans, key).where(F.col(at).between(F.col("c_start"), F.col("c_end")))
-    best = pairs.groupBy(*probes.columns).agg(F.min(F.struct("c_start", clip)).alias("best"))
-    found = best.select(*probes.columns, F.col(f"best.{clip}").alias(clip), (F.col(at) - F.col("best.c_start")).alias("video_secs"))
-    return found if how == "inner" else probes.join(found, probes.columns, "left")
+def first_containing(probes: DataFrame, clips: DataFrame, key: str = "ride_id", at: str = "at_secs", start: str = "clip_start", end: str = "clip_end", clip: str = "clip_name", how: str = "inner", bucket_secs: float = 600.0) -> DataFrame:
+    """`probes` with the first clip, by start and name, that contains the instant (inclusive), and `video_secs`.
+
+    An equi-join on (key, time bucket); a clip stands in the buckets that it reaches, a probe in one. Probes are numbered, so
+    that equal ones, and those with nulls, each keep a row of their own.
+    """
+    bucket = lambda x: F.floor(x / bucket_secs)
+    spans = clips.where(F.col(start) <= F.col(end)).select(F.col(key).alias("c_key"), F.col(clip).alias("c_name"), F.col(start).alias("c_start"), F.col(end).alias("c_end"))
+    spans = spans.withColumn("c_bucket", F.explode(F.sequence(bucket(F.col("c_start")), bucket(F.col("c_end")))))
+    rows = probes.select(F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("probe"), F.col(key).alias("p_key"), F.col(at).alias("p_at"), F.monotonically_increasing_id().alias("p_number"))
+    inside = (F.col("p_key") == F.col("c_key")) & (bucket(F.col("p_at")) == F.col("c_bucket")) & F.col("p_at").between(F.col("c_start"), F.col("c_end"))
+    found = rows.join(spans, inside, how).groupBy("p_number").agg(F.first("probe").alias("probe"), F.min(F.when(F.col("c_name").isNotNull(), F.struct("c_start", "c_name"))).alias("best"))
+    return found.select("probe.*", F.col("best.c_name").alias(clip), (F.col(f"probe.{at}") - F.col("best.c_start")).alias("video_secs"))
 
 
 def overlapping_clips(clips: DataFrame, key: str = "ride_id", start: str = "clip_start", duration: str = "duration_secs", total: str = "ride_secs") -> DataFrame:

@@ -326,7 +326,9 @@ def j4_snk10_enriched_hits(spark, d):
     clips, _ = _clips(spark, d)
     hits = clips.select("ride_id", "clip_name", (F.col("duration_secs") / 2).alias("anchor_video_secs"), F.lit(None).cast("double").alias("video_secs"), F.lit(None).cast("double").alias("ride_time_secs"))
     at = hits.join(clips.select("ride_id", "clip_name", "clip_start"), ["ride_id", "clip_name"])
-    return at.select("ride_id", "clip_name", F.round(F.col("clip_start") + F.col("anchor_video_secs"), 1).alias("ride_time_secs"))
+    base = F.timestamp_seconds(F.lit(0))
+    wall = base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("clip_start").cast("decimal(18,6)"))
+    return at.select("ride_id", "clip_name", F.round(joins.ride_second(wall, base, F.col("anchor_video_secs")), 1).alias("ride_time_secs"))
 
 
 @query(NEAREST + "SELECT pr.ride_id, pr.seq, p_seq, value, gap AS asof_gap FROM pr LEFT JOIN (SELECT * FROM j WHERE rn = 1 AND gap <= 21600) USING (ride_id, seq)")
@@ -558,16 +560,23 @@ def a7_top_overflags(spark, d):
     return evaluate.top_overflags(_pairs(spark, d)).select("ride_id", "hit_id", "top_score", "place")
 
 
-@query()
+@query(CLIPS + """,
+  smp AS (SELECT ride_id, clip_name, i, clip_start + i * greatest(0.5, duration_secs / 8) AS secs FROM clips, (SELECT unnest(range(0, 9)) AS i) WHERE i <= floor(duration_secs / greatest(0.5, duration_secs / 8))),
+  asked AS (SELECT ride_id, clip_name, i, 0 AS back, round(secs * 1e6)::BIGINT AS us FROM smp UNION ALL SELECT ride_id, clip_name, i, 5, round(greatest(0, secs - 5) * 1e6)::BIGINT FROM smp),
+  pt AS (SELECT ride_id, seq, epoch_us(ts) - epoch_us(t0) AS us, speed, power, heart_rate, altitude, distance FROM points JOIN base USING (ride_id)),
+  near AS (SELECT a.ride_id, clip_name, i, back, speed, power, heart_rate, altitude, distance, row_number() OVER (PARTITION BY a.ride_id, clip_name, i, back ORDER BY abs(pt.us - a.us), pt.us, seq) AS rn FROM asked a JOIN pt ON a.ride_id = pt.ride_id),
+  pair AS (SELECT n.*, p.altitude AS alt0, p.distance AS dist0 FROM near n JOIN near p USING (ride_id, clip_name, i) WHERE n.rn = 1 AND p.rn = 1 AND n.back = 0 AND p.back = 5 AND n.speed IS NOT NULL),
+  g AS (SELECT *, CASE WHEN altitude - alt0 IS NULL OR distance - dist0 IS NULL THEN NULL WHEN distance - dist0 < 0.5 THEN 0 ELSE (altitude - alt0) / (distance - dist0) * 100 END AS grade FROM pair)
+  SELECT ride_id, clip_name, count(*) AS n_samples, round(avg(speed), 6) AS avg_speed, max(speed) AS peak_speed, round(avg(power), 6) AS avg_power, max(power) AS peak_power, round(avg(heart_rate), 6) AS avg_heart_rate, max(heart_rate) AS peak_heart_rate, round(avg(grade), 6) AS avg_grade, round(arg_max(grade, (abs(grade), grade)), 6) AS peak_grade FROM g GROUP BY ALL""")
 def a8_clip_telemetry(spark, d):
-    """Nine samples of each clip with their nearest points: averages, peaks and the steepest gradient."""
+    """Up to nine samples of each clip with their nearest points: averages, peaks and the gradient from five seconds before."""
     clips, _ = _clips(spark, d)
-    p = timeseries.point_gradient(points(spark, d))
+    p = points(spark, d)
     base = p.groupBy("ride_id").agg(F.min("ts").alias("t0"))
     named = clips.select("ride_id", "clip_name", F.col("clip_start").alias("start_secs"), F.col("duration_secs").alias("length_secs"))
-    samples = aggregates.clip_samples(named).join(named.select("clip_name", "ride_id"), "clip_name").join(base, "ride_id")
-    probes = samples.select("ride_id", "clip_name", "sample_no", (F.col("t0") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("at").cast("decimal(18,6)"))).alias("probe_ts"))
-    return aggregates.sample_summary(joins.asof_nearest(probes, p, ["seq", "grade", "power", "speed", "heart_rate"]), ["power", "speed", "heart_rate"])
+    found = aggregates.sample_points(aggregates.clip_samples(named, key=["ride_id", "clip_name"]), p, base)
+    rows = aggregates.sample_summary(found, ["power", "speed", "heart_rate"], key=["ride_id", "clip_name"])
+    return rounded(rows, 6, "avg_power", "avg_speed", "avg_heart_rate", "avg_grade", "peak_grade")
 
 
 @query("""
@@ -588,18 +597,21 @@ def a10_route_bounds(spark, d):
   SELECT ride_id, clip_name, count(*) AS n, round(sum(video_secs), 1) AS total FROM q GROUP BY ALL""")
 def a11_clip_payload(spark, d):
     clips, probes = _clips(spark, d)
-    pairs = clips.select("ride_id", "clip_name", "clip_start", "clip_end").join(probes, "ride_id").where("at_secs between clip_start - 1 and clip_end + 1")
-    rows = pairs.withColumn("video_secs", F.round(F.col("at_secs") - F.col("clip_start"), 1))
+    rows = aggregates.clip_payload(clips.select("ride_id", "clip_name", "clip_start", "clip_end"), probes)
     return rows.groupBy("ride_id", "clip_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("video_secs"), 1).alias("total"))
 
 
 @query("""
-  f AS (SELECT 'x/' || strftime(o_orderdate, '%Y-%m-%d') AS ride_folder, CASE o_orderkey % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.LRV' ELSE '.MP4' END AS suffix, o_orderkey AS length, CASE WHEN o_orderkey % 9 = 0 THEN 'Highlight' ELSE 'GX' END AS path FROM orders),
-  g AS (SELECT ride_folder, count(*) FILTER (lower(suffix) IN ('.mp4', '.lrv')) AS raw_files, coalesce(sum(length) FILTER (lower(suffix) IN ('.mp4', '.lrv')), 0)::BIGINT AS raw_bytes, bool_or(path = 'Highlight') AS has_highlights FROM f GROUP BY ride_folder)
-  SELECT ride_folder, raw_files, raw_bytes, has_highlights, CASE WHEN ride_folder[3:] >= '1997-01-01' THEN 'recent' WHEN NOT has_highlights THEN 'no highlights' WHEN raw_files = 0 THEN 'nothing to free' END AS skip_reason FROM g""")
+  f AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'misc' ELSE 'x/' || strftime(o_orderdate, '%Y-%m-%d') END AS ride_folder, o_orderkey AS length, o_orderkey % 11 AS k FROM orders),
+  g AS (SELECT ride_folder, count(*) FILTER (k IN (1, 2, 3)) AS raw_files, (count(*) FILTER (k = 5) > 0)::BIGINT + (count(*) FILTER (k = 6) > 0)::BIGINT AS raw_folders, coalesce(sum(length) FILTER (k IN (1, 2, 3, 5, 6)), 0)::BIGINT AS raw_bytes, bool_or(k = 7) AS has_highlights FROM f GROUP BY ride_folder)
+  SELECT ride_folder, raw_files, raw_folders, raw_bytes, has_highlights, CASE WHEN ride_folder = 'misc' THEN 'no date' WHEN ride_folder[3:] > '1997-01-01' THEN 'recent' WHEN NOT has_highlights THEN 'no highlights' WHEN raw_files + raw_folders = 0 THEN 'nothing to free' END AS skip_reason FROM g""")
 def a12_retention(spark, d):
+    """Orders as files of eleven kinds: raw, data, in folders that can go or stay, highlights and what only looks like them."""
     key = F.col("o_orderkey")
-    files = table(spark, d, "orders").select(F.concat(F.lit("x/"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ride_folder"), F.when(key % 4 == 0, ".json").when(key % 4 == 1, ".LRV").otherwise(".MP4").alias("suffix"), key.alias("length"), F.when(key % 9 == 0, "Highlight").otherwise("GX").alias("path"))
+    paths = ["ride.json", "GX01.MP4", "GL01.LRV", "GX01.THM", "clip.360", "frames/0001.jpg", "_work/a/b.mp4", "highlights/1.mp4", "highlights/list.json", "highlights.txt", "old/GX02.MP4"]
+    path = F.get(F.array(*map(F.lit, paths)), (key % 11).cast("int"))
+    folder = F.when(key % 50 == 0, "misc").otherwise(F.concat(F.lit("x/"), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    files = table(spark, d, "orders").select(folder.alias("ride_folder"), F.regexp_extract(path, r"\.[^./]*$", 0).alias("suffix"), key.alias("length"), path.alias("path"))
     return aggregates.retention(files, F.to_date(F.lit("1997-01-01"))).drop("ride_date")
 
 
@@ -612,7 +624,20 @@ def a13_reviewer_counts(spark, d):
     return aggregates.reviewer_counts(rows)
 
 
-@query()
+@query("""
+  v AS (SELECT label AS shot_id, vec_id AS frame, embedding AS e, unnest(range(1, 63)) AS i FROM embeddings),
+  px AS (SELECT shot_id, frame, abs(e[i]::DOUBLE) / (1 + abs(e[i]::DOUBLE)) AS r, abs(e[i + 1]::DOUBLE) / (1 + abs(e[i + 1]::DOUBLE)) AS g, abs(e[i + 2]::DOUBLE) / (1 + abs(e[i + 2]::DOUBLE)) AS b FROM v),
+  lum AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS y FROM px),
+  ends AS (SELECT shot_id, frame, quantile_cont(y, 0.005) AS lo, greatest(quantile_cont(y, 0.997), quantile_cont(y, 0.005) + 0.05::DOUBLE) AS hi FROM lum GROUP BY ALL),
+  lv AS (SELECT shot_id, frame, lo, hi, greatest(0, least(1, (r - lo) / (hi - lo))) AS r, greatest(0, least(1, (g - lo) / (hi - lo))) AS g, greatest(0, least(1, (b - lo) / (hi - lo))) AS b FROM px JOIN ends USING (shot_id, frame)),
+  tone AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS y FROM lv),
+  mask AS (SELECT *, y > 0.15 AND y < 0.85 AS mid, y > 0.15 AND y < 0.85 AND greatest(r, g, b) - least(r, g, b) < 0.12 AS neutral FROM tone),
+  n AS (SELECT shot_id, frame, count(*) FILTER (mid) AS n_mid, count(*) FILTER (neutral) >= 5 AS enough FROM mask GROUP BY ALL),
+  m AS (SELECT shot_id, frame, any_value(n_mid) AS n_mid, avg(r) FILTER (CASE WHEN enough THEN neutral ELSE mid END) AS mr, avg(g) FILTER (CASE WHEN enough THEN neutral ELSE mid END) AS mg, avg(b) FILTER (CASE WHEN enough THEN neutral ELSE mid END) AS mb FROM mask JOIN n USING (shot_id, frame) GROUP BY ALL),
+  gain AS (SELECT shot_id, frame, n_mid, CASE WHEN n_mid = 0 THEN 1 ELSE greatest(0.93, least(1.07, mg / greatest(mr, 1e-4))) END::DOUBLE AS gr, CASE WHEN n_mid = 0 THEN 1 ELSE greatest(0.93, least(1.07, mg / greatest(mb, 1e-4))) END::DOUBLE AS gb FROM m),
+  fr AS (SELECT shot_id, frame, any_value(lo) AS lo, any_value(hi) AS hi, any_value(gr) AS gr, any_value(gb) AS gb, CASE WHEN any_value(n_mid) = 0 THEN 0.35 ELSE median(0.2126::DOUBLE * greatest(0, least(1, r * gr)) + 0.7152::DOUBLE * g + 0.0722::DOUBLE * greatest(0, least(1, b * gb))) END::DOUBLE AS med FROM lv JOIN gain USING (shot_id, frame) GROUP BY ALL),
+  sh AS (SELECT shot_id, median(lo) AS black, median(hi) AS white, median(gr) AS gain_r, median(gb) AS gain_b, median(med) AS median_luma FROM fr GROUP BY shot_id)
+  SELECT shot_id, round(black, 4) AS black, round(white, 4) AS white, round(gain_r, 4) AS gain_r, round(gain_b, 4) AS gain_b, round(median_luma, 4) AS median_luma, round(greatest(-0.6, least(0.6, 0.6 * log2(0.40 / greatest(median_luma, 0.05)))), 3) AS ev FROM sh""")
 def a14_shot_balance(spark, d):
     """Embeddings as pixels: a label is a shot, a vector a frame, and three neighbouring values a colour."""
     v = table(spark, d, "embeddings").select(F.col("label").alias("shot_id"), F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("px", "x"), "embedding").where("px < 62")
@@ -995,6 +1020,20 @@ def src5_stitched_chapters(spark, d):
     return readers.stitched(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"], "l_quantity")
 
 
+@query("""
+  c AS (SELECT ride_id, seq, ts, (seq % 97)::DOUBLE AS secs, row_number() OVER (PARTITION BY ride_id ORDER BY seq) AS rn FROM points),
+  n AS (SELECT *, (rn - 1) // 3 AS rec, (rn - 1) % 3 + 1 AS ch FROM c WHERE rn <= 9000),
+  s AS (SELECT *, coalesce(sum(secs) OVER (PARTITION BY ride_id, rec ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM n)
+  SELECT ride_id, seq, ch::BIGINT AS chapter, ts + to_microseconds((shift * 1e6)::BIGINT) AS start_ts FROM s""")
+def src5_chapter_starts(spark, d):
+    """Events in threes as chapters of a recording, named as a camera names them."""
+    rn = F.row_number().over(Window.partitionBy("ride_id").orderBy("seq"))
+    rows = points(spark, d).withColumn("rn", rn).where("rn <= 9000")
+    name = F.format_string("GX%02d%04d.MP4", (F.col("rn") - 1) % 3 + 1, F.floor((F.col("rn") - 1) / 3))
+    clips = rows.select("ride_id", "seq", name.alias("clip_name"), F.col("ts").cast("timestamp_ntz").alias("creation_time"), (F.col("seq") % 97).cast("double").alias("duration_secs"))
+    return readers.stitched_chapters(clips).select("ride_id", "seq", F.col("chapter").cast("long").alias("chapter"), "start_ts")
+
+
 @query("""
   e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag = 'R' AS starred, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS any_starred, CASE WHEN l_partkey % 2 = 0 THEN l_partkey % 77 END AS cached FROM lineitem)
   SELECT l_orderkey, count(*) AS n, sum(coalesce(cached, CASE WHEN starred THEN 100 ELSE 0 END))::BIGINT AS stars FROM e WHERE starred OR NOT any_starred GROUP BY l_orderkey""")
@@ -1024,11 +1063,13 @@ def src16_scaled_gps(spark, d):
 
 @query("""
   h AS (SELECT ride_id, seq, CASE WHEN seq % 2 = 0 THEN value END AS v1, CASE WHEN seq % 3 = 0 THEN value + 1 END AS v2, event_type AS f FROM points)
-  SELECT ride_id, seq, coalesce(v1, v2, 0) AS position FROM h WHERE f = 'click'""")
+  SELECT ride_id, seq, coalesce(v1, v2, 0) AS position FROM h WHERE seq % 6 IN (0, 1)""")
 def src9_fn36_cached_hits(spark, d):
+    """Files of six names, two of which are of the model."""
     k = F.col("seq")
-    hits = points(spark, d).select("ride_id", "seq", F.col("event_type").alias("file"), F.lit("GX").alias("clip_name"), F.when(k % 2 == 0, F.col("value")).alias("anchor_video_secs"), F.when(k % 3 == 0, F.col("value") + 1).alias("video_secs"))
-    return readers.cached_hits(hits, "click").select("ride_id", "seq", "position")
+    names = ["c/GX_v3_mabc.json", "GX_v3_mabc_l7.json", "GX_v3_mabcd.json", "GX_abc_v3.json", "mabc.json", "GX_mabc/other.json"]
+    hits = points(spark, d).select("ride_id", "seq", F.get(F.array(*map(F.lit, names)), (k % 6).cast("int")).alias("file"), F.lit("GX").alias("clip_name"), F.when(k % 2 == 0, F.col("value")).alias("anchor_video_secs"), F.when(k % 3 == 0, F.col("value") + 1).alias("video_secs"))
+    return readers.cached_hits(hits, "abc").select("ride_id", "seq", "position")
 
 
 @query("""

@@ -67,12 +67,12 @@ def stitched(clips: DataFrame, key: list[str], order: list[str], duration: str =
 
 
 def stitched_chapters(clips: DataFrame, key: str = "ride_id") -> DataFrame:
-    """Clips with recording and chapter from their names, and start times shifted by earlier chapters; by start."""
+    """Clips with recording and chapter from their names; each starts at its own creation time, later by its recording's earlier
+    chapters."""
     recording, number = chapter(F.col("clip_name"))
     rows = stitched(clips.withColumn("recording", recording).withColumn("chapter", number), [key, "recording"], ["chapter", "clip_name"])
-    first = F.min("creation_time").over(Window.partitionBy(key, "recording"))
     shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("shift_secs").cast("decimal(18,6)"))
-    return rows.withColumn("start_ts", first + shift)
+    return rows.withColumn("start_ts", F.col("creation_time") + shift)
 
 
 def segment_efforts(activities: DataFrame) -> DataFrame:
@@ -99,9 +99,12 @@ def upgraded_labels(labels: DataFrame) -> DataFrame:
 
 
 def cached_hits(hits: DataFrame, fingerprint: str | None = None, file: str = "file") -> DataFrame:
-    """Hits of files whose name holds the model's fingerprint (all without one), malformed rows left out."""
+    """Hits of files of one model (all without a fingerprint): the name, less its suffix, ends in `_m` and the fingerprint, or
+    holds these and `_l`. Malformed rows are left out."""
     ok = hits.where("_corrupt_record is null and clip_name is not null") if "_corrupt_record" in hits.columns else hits
-    return (ok.where(F.col(file).contains(fingerprint)) if fingerprint else ok).withColumn("position", F.coalesce("anchor_video_secs", "video_secs", num(0)))
+    stem = F.regexp_replace(F.regexp_extract(file, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    mine = stem.endswith(f"_m{fingerprint}") | stem.contains(f"_m{fingerprint}_l")
+    return (ok.where(mine) if fingerprint else ok).withColumn("position", F.coalesce("anchor_video_secs", "video_secs", num(0)))
 
 
 def lenient_moments(rows: DataFrame) -> DataFrame:
