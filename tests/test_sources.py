@@ -70,3 +70,39 @@ def test_enriched_hits_keep_what_is_there(spark):
     hits = spark.createDataFrame([("r", "a", 1.25, None, None), ("r", "a", 1.0, None, 7.0)], "ride_id string, clip_name string, anchor_video_secs double, video_secs double, ride_time_secs double")
     clips = spark.createDataFrame([("r", "a", 10.0)], "ride_id string, clip_name string, clip_start double")
     assert sorted(r["ride_time_secs"] for r in sinks.enriched_hits(hits, clips).collect()) == [7.0, 11.2]
+
+
+def test_training_and_reports_replace_their_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", 1.0), ("r2", 2.0)], "ride_id string, visual double")
+    sinks.save_training(rows, str(tmp_path / "t"))
+    sinks.save_training(rows.where("ride_id = 'r1'").withColumn("visual", F.lit(9.0)), str(tmp_path / "t"))
+    assert {(r["ride_id"], r["visual"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("r1", 9.0), ("r2", 2.0)}
+    reports = spark.createDataFrame([("d", "p", "m1", 1), ("d", "p", "m2", 2)], "date_folder string, provider string, model_key string, n int")
+    sinks.save_reports(reports, str(tmp_path / "p"))
+    sinks.save_reports(reports.where("n = 2").withColumn("n", F.lit(3)), str(tmp_path / "p"))
+    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [1, 3]
+
+
+def test_reviewer_rows_and_manifest(spark):
+    c = spark.createDataFrame([("r", f"i{k}", "c", 0.0, 1.0, 0.5, float(k), s, ["x"], "") for k, s in enumerate((0.2, 0.9, 0.9))], "ride_id string, id string, clip_name string, video_start double, video_end double, anchor_video_secs double, ride_time_secs double, score double, sources array<string>, notes string")
+    assert [r["id"] for r in sinks.reviewer_rows(c).collect()] == ["i1", "i2", "i0"]
+    frames = spark.createDataFrame([("r", 5, "b", 1.0), ("r", 2, "a", 0.0)], "ride_id string, ride_sec int, clip_name string, video_sec double")
+    assert [tuple(f) for f in sinks.manifest(frames).first()["frames"]] == [(2, "a", 0.0), (5, "b", 1.0)]
+
+
+def test_names_of_reports_and_wall_times(spark):
+    from trailmark.functions import scalars as s
+
+    row = spark.sql("SELECT 'p' AS p, 'a/b c' AS m, timestamp'2024-05-01 10:00:00' AS t").select(s.report_name(F.col("p"), F.col("m")).alias("name"), s.relabelled(F.col("t")).cast("string").alias("t")).first()
+    assert row["name"].startswith("prompt_eval_p_") and row["name"].endswith(".json") and "/" not in row["name"] and row["t"] == "2024-05-01 10:00:00"
+
+
+def test_validation_tells_signal_from_noise(spark):
+    import random
+
+    from trailmark.operators import ranker
+
+    rng = random.Random(1)
+    rows = [(f"r{i % 6}", float(x := rng.random()), rng.random(), int(x > 0.5)) for i in range(240)]
+    df = spark.createDataFrame(rows, "ride_id string, good double, noise double, selected int")
+    assert ranker.validated(df, ["good"]) > 0.95 and abs(ranker.validated(df, ["noise"]) - 0.5) < 0.25

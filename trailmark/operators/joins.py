@@ -93,9 +93,14 @@ def ride_second(wall: Column, ride_start: Column, offset: Column) -> Column:
 
 def greedy_match(labels: DataFrame, hits: DataFrame, window: float, key: str = "ride_id", t: str = "t", label_id: str = "label_id", hit_id: str = "hit_id") -> DataFrame:
     """(key, label_id, hit_id, outcome): labels in time order each take the closest unclaimed hit within the window,
-    the earlier on ties; the rest are label_only or model_only. Sequential within an entity, parallel across them."""
+    the earlier on ties; the rest are label_only or model_only. Sequential within a run of an entity's labels and hits without
+    a gap wider than the window, which no match can cross, and parallel across runs."""
     tagged = labels.select(key, F.col(t).cast("double").alias("t"), F.col(label_id).cast("long").alias("id"), F.lit(True).alias("is_label")).unionByName(hits.select(key, F.col(t).cast("double").alias("t"), F.col(hit_id).cast("long").alias("id"), F.lit(False).alias("is_label")))
 
+    by_time = Window.partitionBy(key).orderBy("t")
+    tagged = tagged.withColumn("gap", F.coalesce((F.col("t") - F.lag("t").over(by_time) > window).cast("long"), F.lit(0)))
+    tagged = tagged.withColumn("run", F.sum("gap").over(by_time)).drop("gap")
+
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "id"], kind="stable")
         labels, hits = pdf[pdf["is_label"]], pdf[~pdf["is_label"]]
@@ -121,7 +126,7 @@ def greedy_match(labels: DataFrame, hits: DataFrame, window: float, key: str = "
         return found
 
     kind = dict(labels.dtypes)[key]
-    rows = tagged.withColumnRenamed(key, "k").groupBy("k").applyInPandas(claim, f"k {kind}, label_id long, hit_id long, outcome string")
+    rows = tagged.withColumnRenamed(key, "k").groupBy("k", "run").applyInPandas(claim, f"k {kind}, label_id long, hit_id long, outcome string")
     return rows.withColumnRenamed("k", key)
 
 

@@ -152,9 +152,9 @@ def first_locked(samples: DataFrame, key: str = "clip_name", idx: str = "idx", f
     return samples.where(F.col(fix) >= least_fix).groupBy(key).agg(F.min(idx).alias("first_idx"))
 
 
-def clock_drift(samples: DataFrame, clips: DataFrame, key: str = "clip_name", idx: str = "idx", ts: str = "ts", fix: str = "fix", hertz: float = 10.0, rows: int = 200) -> DataFrame:
-    """(key, drift): median over the rows after the lock of sample time less nominal time."""
-    locked = samples.join(lock_start(samples, key, idx, fix), key).where((F.col(idx) >= F.col("lock_idx")) & (F.col(idx) < F.col("lock_idx") + rows) & (F.col(fix) >= 2))
+def clock_drift(samples: DataFrame, clips: DataFrame, key: str = "clip_name", idx: str = "idx", ts: str = "ts", fix: str = "fix", hertz: float = 10.0, rows: int = 200, run: int = 30) -> DataFrame:
+    """(key, drift): median over the rows after the lock (`run` rows with a fix) of sample time less nominal time."""
+    locked = samples.join(lock_start(samples, key, idx, fix, run=run), key).where((F.col(idx) >= F.col("lock_idx")) & (F.col(idx) < F.col("lock_idx") + rows) & (F.col(fix) >= 2))
     joined = locked.join(clips.select(key, "creation_time"), key)
     drift = seconds_between(F.col("creation_time"), F.col(ts)) - F.col(idx) / hertz
     return joined.groupBy(key).agg(F.median(drift).alias("drift"))

@@ -202,9 +202,7 @@ def ts14_ts22_lock(spark, d):
 def ts15_ts16_clock_offset(spark, d):
     samples = _samples(spark, d)
     clips = samples.select("clip_name").distinct().withColumn("creation_time", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
-    w = timeseries.lock_start(samples, run=3)
-    locked = samples.join(w, "clip_name").where("idx >= lock_idx and idx < lock_idx + 200 and fix >= 2").join(clips, "clip_name")
-    drifts = locked.groupBy("clip_name").agg(F.median(s.seconds_between(F.col("creation_time"), F.col("ts")) - F.col("idx") / 10.0).alias("drift"))
+    drifts = timeseries.clock_drift(samples, clips, run=3)
     scaled = drifts.select((F.col("clip_name") % 10).alias("ride_id"), (F.col("drift") % 100000 / 10000).alias("drift"))
     return rounded(timeseries.offset_consensus(scaled), 6, "offset", "spread").withColumnRenamed("offset", "offset_secs")
 
@@ -344,11 +342,10 @@ def _alignment(spark, d):
 @query("""
   l AS (SELECT ride_id, count(*) AS n_labels FROM points WHERE event_type = 'click' GROUP BY ride_id),
   h AS (SELECT ride_id, count(*) AS n_hits FROM points WHERE event_type = 'error' GROUP BY ride_id)
-  SELECT coalesce(l.ride_id, h.ride_id) AS ride_id, coalesce(n_labels, 0) AS n_labels, coalesce(n_hits, 0) AS n_hits, true AS consistent FROM l FULL JOIN h USING (ride_id)""")
+  SELECT coalesce(l.ride_id, h.ride_id) AS ride_id, coalesce(n_labels, 0) AS n_labels, coalesce(n_hits, 0) AS n_hits FROM l FULL JOIN h USING (ride_id)""")
 def j8_greedy_match(spark, d):
-    """The assignment of labels to hits, counted: every label and every hit has exactly one outcome."""
-    rows = _alignment(spark, d).groupBy("ride_id").agg(F.count("label_id").alias("n_labels"), F.count("hit_id").alias("n_hits"), (F.count_if(F.col("outcome") == "matched") + F.count_if(F.col("outcome") != "matched") == F.count(F.lit(1))).alias("consistent"))
-    return rows
+    """Labels and hits of the assignment, counted: none is lost or doubled. Which match is held by a test."""
+    return _alignment(spark, d).groupBy("ride_id").agg(F.count("label_id").alias("n_labels"), F.count("hit_id").alias("n_hits"))
 
 
 @query()
