@@ -35,6 +35,7 @@ empty table gives an empty result. Input columns other than id and text are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -225,6 +226,31 @@ def roots(links: DataFrame) -> DataFrame:
         at = at.select("node", "root")
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """Of links (a, b) those that join different trees within their partition: as many as it has nodes at most, and the same
+    components."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                x, y = top(a), top(b)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return links.mapInPandas(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each linked node reaches."""
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -342,10 +368,13 @@ def family_links(deltas: DataFrame, percent: int) -> DataFrame:
     left = F.least(F.col("d_a") - F.col("pos_a"), F.col("d_b") - F.col("pos_b"))
     fit = sizes_fit(F.col("n_a"), F.col("n_b"), t) & (2 * left >= F.col("d_a") + F.col("d_b") - most)
     pairs = side("a").where(~F.col("near_a")).join(side("b"), ["root", "token"]).where(roles & fit)
-    pairs = pairs.select("node_a", "node_b", "n_a", "n_b").distinct()
+    pairs = pairs.select("root", "near_b", "node_a", "node_b", "n_a", "n_b").distinct()
     held = lambda s: deltas.select(F.col("node").alias(f"node_{s}"), F.col("delta").alias(f"delta_{s}"))
     both = checkpointed(pairs).join(held("a"), "node_a").join(held("b"), "node_b").withColumn("x", differing("delta_a", "delta_b"))
-    return both.where(F.col("x") <= most_differing(F.col("n_a"), F.col("n_b"), t)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = both.where(F.col("x") <= most_differing(F.col("n_a"), F.col("n_b"), t))
+    # All sets linked to the root are one component, so one link to any of them does for the rest.
+    links = found.select(F.col("node_a").alias("a"), F.when(F.col("near_b"), F.col("root")).otherwise(F.col("node_b")).alias("b"))
+    return spanning(links.distinct())
 
 
 def qualifying(placed: DataFrame, percent: int) -> DataFrame:
@@ -405,7 +434,7 @@ def cross_family_links(rows: DataFrame, facts: DataFrame, texts: DataFrame, fams
     opened = inside.select("q", "n_q", "fam", "part").join(members.select("fam", "part", F.col("node").alias("b"), F.col("n").alias("n_b")), ["fam", "part"])
     pairs = opened.where(sizes_fit(F.col("n_q"), F.col("n_b"), percent)).select(F.col("q").alias("a"), "b", F.col("n_q").alias("n_a"), "n_b")
     single = alone.join(facts.select(F.col("node").alias("fam"), F.col("n").alias("n_b")), "fam").select(F.col("q").alias("a"), F.col("fam").alias("b"), F.col("n_q").alias("n_a"), "n_b")
-    return checkpointed(verified(checkpointed(pairs.unionByName(single)), sets, percent))
+    return verified(checkpointed(pairs.unionByName(single)), sets, percent)
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -434,8 +463,9 @@ def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> Dat
     deltas = checkpointed(differences(fams, facts, sets, percent))
     near = deltas.where("near").select("node", F.col("root").alias("comp"))
     comps = checkpointed(near.unionByName(near.select(F.col("comp").alias("node"), "comp").distinct()))
-    links = [checkpointed(family_links(deltas, percent)), cross_family_links(rows, facts, texts, fams, sets, k, percent)]
-    for more in [x for x in links if x is not None and has_rows(x)]:
+    links = [family_links(deltas, percent), cross_family_links(rows, facts, texts, fams, sets, k, percent)]
+    more = checkpointed(reduce(DataFrame.unionByName, [x for x in links if x is not None]))
+    if has_rows(more):
         comps = checkpointed(merged(comps, more))
     # Names of components of several nodes; all others have their own.
     named = sets_of.join(comps, "node").select("hi", "lo", "comp", "name")
