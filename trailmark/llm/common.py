@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,22 +31,55 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder and cut from its lineage.
-
-    The folder is the one in `spark.checkpoint.dir`. Where a session names none, one of the machine's own serves if master
-    is local (a test); on a cluster that is an error, since other machines don't see it.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for cut lineage: the one in `spark.checkpoint.dir`. Where a session names none, one of the machine's
+    own serves if master is local (a test); on a cluster that is an error, since other machines don't see it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder and context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the cluster's shared checkpoint folder and cut from its lineage. Spark removes the files when nothing
+    refers to them any more. The result keeps the plan's estimate of size, so loops that join use `Rounds`."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables of a loop, as Parquet below the shared checkpoint folder. Read back, a table has the size of its files as its
+    estimate: estimates of joins are products, so those that a checkpoint carries on square with each round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+        self.folder = f"{checkpoint_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """`df` written and read back. The table of this name from two rounds before goes: that of the last round may be in use."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        paths = self.held.setdefault(name, [])
+        paths.append(path)
+        if len(paths) > 2:
+            self._remove(paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, *keep: str) -> None:
+        """Removes all but the last tables of these names."""
+        for name, paths in self.held.items():
+            while len(paths) > (name in keep):
+                self._remove(paths.pop(0))
+
+    def _remove(self, path: str) -> None:
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 

@@ -12,7 +12,7 @@ budget over tokens, so the two are one number where the budget is all tokens.
 
 Scale: nothing but cell sums is shuffled, combined before the shuffle. Where the counted cells are at most `SMALL_CELLS`,
 fitting runs in windows over them, four sweeps to a checkpoint, and rates reach the documents by broadcast. Beyond that each
-margin is a grouped sum, combined before its shuffle and joined back to the cells, with a checkpoint each, and rates are
+margin is a grouped sum, combined before its shuffle and joined back to the cells, each written (`Rounds`), and rates are
 joined by a shuffle; Spark splits the partitions of a hot value, since sums are checkpointed before their join. With
 `columns` only those travel with a document, and its text is read once; else it is read twice.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Rounds, checkpointed
 
 NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
@@ -59,16 +59,17 @@ def _normalised(target: DataFrame) -> DataFrame:
     return target.select("value", (F.col("share") / F.lit(total or 1.0)).alias("share"))
 
 
-def _scaled(fitted: DataFrame, d: str, small: bool) -> DataFrame:
-    """`fitted` with `w` scaled to the goals of dimension `d`, and `by_<d>`, the factor."""
-    if small:
+def _scaled(fitted: DataFrame, d: str, rounds: Rounds | None) -> DataFrame:
+    """`fitted` with `w` scaled to the goals of dimension `d`, and `by_<d>`, the factor. Without `rounds` in windows, else by
+    grouped sums."""
+    if rounds is None:
         summed = fitted.withColumn("margin", F.sum("w").over(Window.partitionBy(d)))
     else:
-        margins = checkpointed(fitted.groupBy(d).agg(F.sum("w").alias("margin")))
+        margins = rounds.put("margins", fitted.groupBy(d).agg(F.sum("w").alias("margin")))
         summed = fitted.join(margins, d)
     factor = F.when(F.col("margin") > 0, F.coalesce(f"goal_{d}", F.lit(0.0)) / F.col("margin")).otherwise(0.0)
     scaled = summed.withColumn(f"by_{d}", factor).withColumn("w", F.col("w") * F.col(f"by_{d}")).drop("margin")
-    return scaled if small else checkpointed(scaled)
+    return scaled if rounds is None else rounds.put("fitted", scaled)
 
 
 def fit(cells: DataFrame, targets: dict[str, DataFrame | dict[str, float]], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, small_cells: int = SMALL_CELLS) -> DataFrame:
@@ -86,23 +87,26 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame | dict[str, float]], swee
         there = cells.where("tokens > 0").select(F.col(d).alias("value")).distinct()
         goal = _normalised(rows.join(there, "value", "left_semi"))
         fitted = fitted.join(goal.select(F.col("value").alias(d), F.col("share").alias(f"goal_{d}")), d, "left")
-    fitted = checkpointed(fitted)
+    rounds = None if small else Rounds(spark)
+    fitted = checkpointed(fitted) if small else rounds.put("fitted", fitted)
     for done in range(0, sweeps, ROUND):
         for _ in range(done, min(sweeps, done + ROUND)):
             for d in targets:
-                fitted = _scaled(fitted.drop(f"by_{d}"), d, small)
+                fitted = _scaled(fitted.drop(f"by_{d}"), d, rounds)
         fitted = checkpointed(fitted) if small else fitted
         off = F.greatest(*[F.abs(F.col(f"by_{d}") - 1) for d in targets])
         worst = fitted.where("w > 0").agg(F.coalesce(F.max(off), F.lit(0.0)).alias("x")).first()["x"]
         if worst < tolerance:
             break
+    if rounds:
+        rounds.close("fitted")
     return fitted.select(*targets, "tokens", "w")
 
 
 def mix(docs: DataFrame, alpha: dict[str, float], budget: int | None = None, targets: dict | None = None, seed: str = "mix", id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", topic: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """`docs`, or its `columns`, packed as struct `row`, with topic, n_tokens, weight (of each token), rate and copies.
 
-    Targets are shares of values per dimension, or token shares tempered by `alpha`; `budget` is in tokens, by default
+    Targets are shares of values per dimension (an empty one gives rate 0), or token shares tempered by `alpha`; `budget` is in tokens, by default
     those that the table has. `topic` names a column of topics.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -117,7 +121,7 @@ def mix(docs: DataFrame, alpha: dict[str, float], budget: int | None = None, tar
     if columns is not None:
         rows = checkpointed(rows)
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    goals = {d: (targets or {}).get(d) or tempered(cells, d, alpha[d]) for d in DIMENSIONS}
+    goals = {d: targets[d] if targets and d in targets else tempered(cells, d, alpha[d]) for d in DIMENSIONS}
     total = cells.agg(F.sum("tokens").alias("x"), F.count(F.lit(1)).alias("k")).first()
     size = float(budget if budget is not None else total["x"] or 0)
     fitted = fit(cells, goals)

@@ -45,11 +45,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, has_rows, likely_keys, packed, space_words, without_keys
+from .common import Rounds, checkpointed, has_rows, likely_keys, packed, space_words, without_keys
 
 POOL = 1.6  # share of the tokens in pools, in prefix lengths
 GROUP = 64
 GROUP_TOKENS = 1_000_000
+#: Links that one task joins; more go through rounds.
+FEW_LINKS = 200_000
 SIGN = 1 << 63
 #: Odd multipliers of a hash (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -216,14 +218,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def roots(links: DataFrame) -> DataFrame:
     """(node, root) from links (a, b) without cycles, of which each a has one: the b's of b's by pointer jumping. Roots are
     their own."""
-    at = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rounds = Rounds(links.sparkSession)
+    at = rounds.put("at", links.select(F.col("a").alias("node"), F.col("b").alias("root")))
     while True:
         above = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        at = checkpointed(at.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-        if not has_rows(at.where("moved")):
-            at = at.select("node", "root")
+        jumped = at.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        jumped = rounds.put("at", jumped)
+        at = jumped.select("node", "root")
+        if not has_rows(jumped.where("moved")):
+            rounds.close("at")
             return at.unionByName(at.select(F.col("root").alias("node"), "root").distinct())
-        at = at.select("node", "root")
 
 
 def spanning(links: DataFrame) -> DataFrame:
@@ -251,21 +255,53 @@ def spanning(links: DataFrame) -> DataFrame:
     return links.mapInPandas(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that each linked node reaches."""
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def _joined_here(links: DataFrame) -> DataFrame:
+    """(node, comp) of links (a, b) in one partition: the smallest node that each reaches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = above[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                x, y = top(a), top(b)
+                above[max(x, y)] = min(x, y)
+        nodes = list(above)
+        yield pd.DataFrame({"node": nodes, "comp": [top(x) for x in nodes]}, dtype="int64")
+
+    return links.mapInPandas(run, "node long, comp long")
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, comp): the smallest node that each linked node reaches.
+
+    Links are first reduced to those that join trees of their partition. Up to `few` that are left are joined in one task,
+    whose memory that number bounds; more go through rounds of large and small stars, each between written tables.
+    """
+    rounds = Rounds(links.sparkSession)
+    ends = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = rounds.put("edges", spanning(ends))
+    if edges.count() <= few:
+        return _joined_here(edges.coalesce(1))
+    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = rounds.put("least", both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = rounds.put("large", large)
+        least = rounds.put("least", large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = checkpointed(small)
+        edges = rounds.put("edges", small)
         row = edges.agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["k"], row["h"]) == mark:
+            rounds.close("edges")
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         mark = (row["k"], row["h"])
 
