@@ -58,15 +58,19 @@ class Rounds:
         self.spark, self.held = spark, {}
         self.folder = f"{checkpoint_folder(spark)}/rounds-{uuid.uuid4().hex}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """`df` written and read back. The table of this name from two rounds before goes: that of the last round may be in use."""
+    def path(self, name: str, df: DataFrame) -> str:
+        """Where `df` is written. The table of this name from two rounds before goes: that of the last round may be in use."""
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         paths = self.held.setdefault(name, [])
         paths.append(path)
         if len(paths) > 2:
             self._remove(paths.pop(0))
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """`df` written and read back."""
+        return self.spark.read.schema(df.schema).parquet(self.path(name, df))
 
     def close(self, *keep: str) -> None:
         """Removes all but the last tables of these names."""

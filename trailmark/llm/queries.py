@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, token_counts, url_filter
+from . import decontaminate, exact_dedup, hard_negatives, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, token_counts, url_filter
 from .common import LOWER, UPPER, alnum_words, read_table
 
 
@@ -61,6 +61,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_histogram": op2_token_histogram,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_url_filter": op10_url_filter,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 
@@ -151,4 +158,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_hard_negatives": """
+        WITH vectors AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        positives AS MATERIALIZED (
+          SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label, a.v, p.r AS positive, p.vec_id AS positive_id, list_dot_product(a.v, p.v)::BIGINT AS positive_score
+          FROM vectors a JOIN vectors p ON a.label = p.label AND a.r <> p.r WHERE a.vec_id % 100 = 0
+          QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY positive_score DESC, p.vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor, positive ORDER BY negative_score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, negative_score
+        FROM (SELECT p.*, n.vec_id, list_dot_product(p.v, n.v)::BIGINT AS negative_score FROM positives p JOIN vectors n ON n.label <> p.label)
+        WHERE 80 * positive_score <= 100 * negative_score AND negative_score <= positive_score
+        QUALIFY rank <= 5""",
 }
