@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hard_negatives, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, token_counts, url_filter
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, token_counts, url_filter
 from .common import LOWER, UPPER, alnum_words, read_table
 
 
@@ -67,6 +67,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
 
 
+#: A conversation that op13 formats beside those of the table (fixed values).
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.formatted(turns.unionByName(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_histogram": op2_token_histogram,
@@ -79,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_ledger": op9_secret_ledger,
     "op10_url_filter": op10_url_filter,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_chat_format": op13_chat_format,
 }
 
 
@@ -170,4 +181,17 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT p.*, n.vec_id, list_dot_product(p.v, n.v)::BIGINT AS negative_score FROM positives p JOIN vectors n ON n.label <> p.label)
         WHERE 80 * positive_score <= 100 * negative_score AND negative_score <= positive_score
         QUALIFY rank <= 5""",
+    "op13_chat_format": r"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+        sized AS (
+          SELECT *, sha256(text) AS digest, len(regexp_replace(regexp_replace(text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?(INST|SYS|ROLE)\])', '[\\\1', 'g')) AS chars,
+            CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 ELSE 17 + len(regexp_replace(regexp_replace(role, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?(INST|SYS|ROLE)\])', '[\\\1', 'g')) END AS frame
+          FROM turns)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, digest)) AS turns_sha256,
+          coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, digest) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+          (3 + sum(chars + frame))::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
 }
