@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, hard_negatives, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, token_counts, url_filter
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, html_text, language_id, license_scan, mixing, ngram_join, secret_scan, structure_repair, token_counts, url_filter
 from .common import LOWER, UPPER, alnum_words, read_table
 
 
@@ -61,6 +61,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(structure_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_url_filter": op10_url_filter,
+    "op11_structure_repair": op11_structure_repair,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_chat_format": op13_chat_format,
 }
