@@ -6,11 +6,16 @@ source, sources, rubric, notes, must_include.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import VISION_SOURCES, agreement_boost, crop_bias, has_rubric, hit_anchor, liveness_penalty, must_include, num, rubric_score, rubric_total, type_bonus
+from ..functions.scalars import VISION_SOURCES, agreement_boost, crop_bias, has_rubric, hit_anchor, liveness_penalty, must_include, num, rubric_score, rubric_total, seconds_between, telemetry_score, type_bonus
+from .folds import Fusion, dealt_in_runs, spaced
+from .joins import asof_nearest, first_containing
 
 # Priority of sources (0 first), score range of sources without a rubric, bands of the cap.
 PRIORITY = {"label": 0, "telemetry": 1, "strava": 2, "clip": 3} | dict.fromkeys(VISION_SOURCES, 4)
@@ -89,46 +94,61 @@ def normalised_scores(rows: DataFrame, key: str = "ride_id", score: str = "score
     return rows.withColumn(score, F.coalesce(own, F.when(empty, scaled), F.col(score).cast("double"))).drop("lo", "hi")
 
 
+FUSED = ("k", "seq", "t", "clip_name", "video_start", "video_end", "anchor", "score", "source", "sources", "rubric", "notes", "must_include")
+
+
 def fused(rows: DataFrame, key: str = "ride_id", merge: float = 15, label: float = 45, vision: float = 20) -> DataFrame:
-    """Candidates of different sources about the same instant become one; see `_fuse` for the rules. A fold in time
-    order, sequential within an entity and parallel across them; then agreement boost and the limit for blind ones."""
+    """Candidates of different sources about the same instant become one; see `Fusion` for the rules. A fold in time order over
+    streams of islands: a merged entry keeps the time of one of its items, so a gap as wide as the widest window between
+    neighbours in time is one that no merge crosses. Then agreement boost and the limit for blind ones."""
     rubric_type = rows.schema["rubric"].dataType
-    schema = f"k {rows.schema[key].dataType.simpleString()}, seq long, t double, clip_name string, video_start double, video_end double, anchor double, score double, source string, sources array<string>, rubric {rubric_type.simpleString()}, notes string, must_include boolean"
+    text = lambda c: F.coalesce(c, F.lit(""))
     scored = rows.withColumn("own_score", rubric_score(F.col("rubric"))).withColumn("rated", has_rubric(F.col("rubric")))
-    narrow = scored.select(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq"), F.col("t").cast("double").alias("t"), "clip_name", F.col("video_start").cast("double").alias("video_start"), F.col("video_end").cast("double").alias("video_end"), F.col("anchor").cast("double").alias("anchor"), F.col("score").cast("double").alias("score"), "source", F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array("source")).alias("sources"), F.to_json("rubric").alias("rubric"), F.coalesce("notes", F.lit("")).alias("notes"), F.coalesce("must_include", F.lit(False)).alias("must_include"), "own_score", "rated")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _fuse(pdf.sort_values(["t", "seq"], kind="stable").to_dict("records"), merge, label, vision)
-        return pd.DataFrame(out, columns=["k", "seq", "t", "clip_name", "video_start", "video_end", "anchor", "score", "source", "sources", "rubric", "notes", "must_include"])
-
-    text_schema = schema.replace(f"rubric {rubric_type.simpleString()}", "rubric string")
-    found = narrow.groupBy("k").applyInPandas(run, text_schema).withColumn("rubric", F.from_json("rubric", rubric_type)).withColumnRenamed("k", key)
+    numbers = [F.col(c).cast("double").alias(c) for c in ("t", "video_start", "video_end", "anchor", "score")]
+    sources = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array("source")).alias("sources")
+    narrow = scored.select(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq"), "clip_name", *numbers, "source", sources, F.to_json("rubric").alias("rubric"), text(F.col("notes")).alias("notes"), F.coalesce("must_include", F.lit(False)).alias("must_include"), "own_score", "rated")
+    widest = max(merge, label, vision)
+    dealt = dealt_in_runs(narrow, "k", "t", F.col("t") - F.col("before") >= widest, ["t", "seq"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_run, fold = None, _fold(merge, label, vision)
+        for pdf in batches:
+            out = []
+            for item in pdf.to_dict("records"):
+                at = (item["k"], item.pop("run"))
+                if at != open_run:
+                    out += fold.end()
+                    open_run = at
+                out += fold.behind(item["t"])
+                fold.add(item | {"sources": list(item["sources"])})
+            yield pd.DataFrame(out, columns=FUSED)
+        yield pd.DataFrame(fold.end(), columns=FUSED)
+
+    kinds = {"k": rows.schema[key].dataType.simpleString(), "seq": "long", "clip_name": "string", "source": "string", "sources": "array<string>", "rubric": "string", "notes": "string", "must_include": "boolean"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in FUSED)
+    found = dealt.mapInPandas(run, schema).withColumn("rubric", F.from_json("rubric", rubric_type)).withColumnRenamed("k", key)
     own = rubric_score(F.col("rubric"))
     found = found.withColumn("score", F.col("score") + agreement_boost(F.col("sources"), own))
     blind = ~has_rubric(F.col("rubric")) & ~F.arrays_overlap("sources", F.array(*map(F.lit, VISION_SOURCES)))
     return found.withColumn("score", F.when(blind, F.least(F.col("score"), num(BLIND_LIMIT))).otherwise(F.col("score")))
 
 
+def _fold(merge: float, label: float, vision: float) -> Fusion:
+    return Fusion(merge, label, vision, VISION_SOURCES, _joined, _kept)
+
+
 def _fuse(items: list[dict], merge: float, label: float, vision: float) -> list[dict]:
-    """The fold of one entity. An item meets the first entry of the list, from the front, that either has another source
-    within the window (wider when a label is involved), or is the same vision source within its own window; it merges
-    into it in place, else it is appended."""
-    entries: list[dict] = []
+    """The fold of the items of one island."""
+    fold = _fold(merge, label, vision)
     for item in items:
-        item["sources"] = list(item["sources"])
-        for i, entry in enumerate(entries):
-            gap = abs(item["t"] - entry["t"])
-            if item["source"] != entry["source"]:
-                if gap < (label if "label" in item["sources"] or "label" in entry["sources"] else merge):
-                    entries[i] = _joined(entry, item)
-                    break
-            elif item["source"] in VISION_SOURCES and gap < vision:
-                best = dict(item if item["score"] > entry["score"] else entry)
-                entries[i] = best | _span(best, entry, item)
-                break
-        else:
-            entries.append(item)
-    return entries
+        fold.add(item | {"sources": list(item["sources"])})
+    return fold.end()
+
+
+def _kept(entry: dict, item: dict) -> dict:
+    """The better of two of one vision source."""
+    best = dict(item if item["score"] > entry["score"] else entry)
+    return best | _span(best, entry, item)
 
 
 def _span(winner: dict, a: dict, b: dict) -> dict:
@@ -166,27 +186,50 @@ def capped(rows: DataFrame, limit: int = 90, top_share: float = 0.6, key: str =
     return rows.withColumn("place", place).where((F.col("place") <= limit) | F.col("must0")).drop("must0", "n_must", "n_all", "rank0", "stage", "band", "turn", "place")
 
 
-def fillers(samples: DataFrame, taken: DataFrame, needed: DataFrame, gap: float = 10.0, factor: float = 0.05, most: float = 0.9, key: str = "ride_id") -> DataFrame:
-    """(key, t, score): from samples (t, score > 0, on a clip), the best first, those at least `gap` from every time taken
-    or accepted, until `n_needed` of the entity are found. Sequential within an entity."""
-    tagged = samples.where("score > 0").select(key, F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score")).unionByName(taken.select(key, F.col("t").cast("double").alias("t"), F.lit(None).cast("double").alias("score")))
-    rows = tagged.join(needed.select(key, "n_needed"), key).where("n_needed > 0").withColumnRenamed(key, "k")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        have = pdf.loc[pdf["score"].isna(), "t"].tolist()
-        out = []
-        for t, s in pdf[pdf["score"].notna()].sort_values(["score", "t"], ascending=[False, True], kind="stable")[["t", "score"]].itertuples(index=False):
-            if len(out) >= pdf["n_needed"].iloc[0]:
-                break
-            if all(abs(t - x) >= gap for x in have):
-                have.append(t)
-                out.append((t, min(factor * s, most)))
-        found = pd.DataFrame(out, columns=["t", "score"])
-        found.insert(0, "k", pdf["k"].iloc[0])
-        return found
-
-    kind = dict(samples.dtypes)[key]
-    return rows.groupBy("k").applyInPandas(run, f"k {kind}, t double, score double").withColumnRenamed("k", key)
+def fillers(samples: DataFrame, taken: DataFrame, needed: DataFrame, gap: float = 10.0, factor: float = 0.05, most: float = 0.9, key: str = "ride_id", step: float | None = None) -> DataFrame:
+    """`samples` (t, score and others) with score min(factor * score, most): those with a score above 0, the best first, the
+    earlier on ties, at least `gap` from every time taken or accepted, until `n_needed` of the entity are found.
+
+    Where samples stand on a grid of `step` seconds, a time taken or accepted excludes 2 * ceil(gap / step) - 1 of them at most,
+    or as many as 2 * gap / step if it is off the grid, so only so many of the best can matter and the entity's group is bounded
+    by what is needed and taken. The fold is sequential within an entity.
+    """
+    columns = [c for c in samples.columns if c not in (key, "t", "score")]
+    wanted = needed.select(key, F.col("n_needed").cast("long").alias("n_needed")).where("n_needed > 0")
+    have = taken.join(wanted, key, "left_semi").groupBy(key).agg(F.collect_list(F.col("t").cast("double")).alias("taken"))
+    rows = samples.where("score > 0").withColumn("t", F.col("t").cast("double")).withColumn("score", F.col("score").cast("double")).join(wanted, key)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "t")))
+    if step:
+        out = 2 * math.ceil(gap / step) + 1
+        counts = have.select(key, F.size("taken").alias("n_taken"))
+        rows = rows.join(counts, key, "left").where(F.col("place") <= F.col("n_needed") + out * (F.col("n_needed") + F.coalesce("n_taken", F.lit(0)))).drop("n_taken")
+    best = rows.select(F.col(key).alias("k"), "n_needed", "t", "place").join(have.withColumnRenamed(key, "k"), "k", "left")
+    picks = best.groupBy("k").agg(F.max("n_needed").alias("n"), F.array_sort(F.collect_list(F.struct("place", "t"))).alias("ranked"), F.first("taken").alias("taken"))
+
+    @F.pandas_udf("array<int>")
+    def accepted(ns: pd.Series, ranked: pd.Series, taken: pd.Series) -> pd.Series:
+        return pd.Series([spaced([(x["t"], x["place"]) for x in r], list(have) if have is not None else [], gap, n) for n, r, have in zip(ns, ranked, taken, strict=True)])
+
+    kept = picks.select(F.col("k").alias(key), F.explode(accepted("n", "ranked", "taken")).alias("place"))
+    found = rows.join(kept, [key, "place"])
+    return found.select(key, "t", F.least(factor * F.col("score"), num(most)).alias("score"), *columns, *([F.col("score").alias("raw_score")] if "raw_score" not in columns else []))
+
+
+def telemetry_fillers(points: DataFrame, clips: DataFrame, taken: DataFrame, needed: DataFrame, before: float = 1.5, after: float = 1.5, step: float = 5.0, gap: float = 10.0, key: str = "ride_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """Filler candidates of entities that need more: every `step` seconds from the start to the last point, the nearest point's
+    telemetry is scored; of the samples on a clip (clip_name, clip_start, clip_end, in seconds of the ride) the best are taken
+    by `fillers`. Columns are those of candidates: t, clip_name, anchor, video_start, video_end, score, source, sources, notes."""
+    short = needed.where("n_needed > 0").select(key)
+    base = points.join(short, key, "left_semi").groupBy(key).agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"))
+    last = F.floor(seconds_between(F.col("t0"), F.col("t1")) / step).cast("int")
+    grid = base.select(key, "t0", F.explode(F.sequence(F.lit(0), last)).alias("i")).withColumn("t", F.col("i") * num(step))
+    grid = grid.withColumn("probe_ts", F.col("t0") + F.make_dt_interval(secs=F.col("t").cast("decimal(18,6)")))
+    told = asof_nearest(grid.select(key, "t", "probe_ts"), points, ["power", "speed", "heart_rate"], key=key, ts=ts, seq=seq)
+    scored = told.select(key, "t", telemetry_score(F.col("power"), F.col("speed"), F.col("heart_rate")).alias("score")).where("score > 0")
+    placed = first_containing(scored, clips, key=key, at="t").select(key, "t", "score", "clip_name", F.col("video_secs").alias("anchor"))
+    found = spans(fillers(placed, taken, needed, gap, key=key, step=step), before, after)
+    note = F.format_string("filler (telemetry score %.1f)", F.bround("raw_score", 1))
+    return found.withColumns({"source": F.lit("filler"), "sources": F.array(F.lit("filler")), "notes": note}).drop("raw_score")
 
 
 def moments(rows: DataFrame, key: str = "ride_id", stable: str = "stable_id", seq: str = "seq") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import epoch_seconds, num, seconds_between
+from .folds import Matcher, dealt_in_runs
 
 
 def asof_nearest(probes: DataFrame, points: DataFrame, payload: list[str], key: str = "ride_id", probe_ts: str = "probe_ts", ts: str = "ts", seq: str = "seq", later_wins: bool = False, tolerance_secs: float | None = None) -> DataFrame:
@@ -93,41 +95,37 @@ def ride_second(wall: Column, ride_start: Column, offset: Column) -> Column:
 
 def greedy_match(labels: DataFrame, hits: DataFrame, window: float, key: str = "ride_id", t: str = "t", label_id: str = "label_id", hit_id: str = "hit_id") -> DataFrame:
     """(key, label_id, hit_id, outcome): labels in time order each take the closest unclaimed hit within the window,
-    the earlier on ties; the rest are label_only or model_only. Sequential within a run of an entity's labels and hits without
-    a gap wider than the window, which no match can cross, and parallel across runs."""
-    tagged = labels.select(key, F.col(t).cast("double").alias("t"), F.col(label_id).cast("long").alias("id"), F.lit(True).alias("is_label")).unionByName(hits.select(key, F.col(t).cast("double").alias("t"), F.col(hit_id).cast("long").alias("id"), F.lit(False).alias("is_label")))
-
-    by_time = Window.partitionBy(key).orderBy("t")
-    tagged = tagged.withColumn("gap", F.coalesce((F.col("t") - F.lag("t").over(by_time) > window).cast("long"), F.lit(0)))
-    tagged = tagged.withColumn("run", F.sum("gap").over(by_time)).drop("gap")
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"], kind="stable")
-        labels, hits = pdf[pdf["is_label"]], pdf[~pdf["is_label"]]
-        times, ids = hits["t"].to_numpy(), hits["id"].to_numpy()
-        free = [True] * len(times)
-        out, low = [], 0
-        for at, label in zip(labels["t"], labels["id"], strict=True):
-            while low < len(times) and times[low] < at - window:
-                low += 1  # labels come in time order, so this hit is out of reach for all later ones
-            best, i = None, low
-            while i < len(times) and times[i] <= at + window:
-                if free[i] and (best is None or abs(times[i] - at) < abs(times[best] - at)):
-                    best = i
-                i += 1
-            if best is None:
-                out.append((label, None, "label_only"))
-            else:
-                free[best] = False
-                out.append((label, ids[best], "matched"))
-        out += [(None, ids[i], "model_only") for i in range(len(times)) if free[i]]
-        found = pd.DataFrame(out, columns=["label_id", "hit_id", "outcome"]).astype({"label_id": "Int64", "hit_id": "Int64"})
-        found.insert(0, "k", pdf["k"].iloc[0])
-        return found
-
-    kind = dict(labels.dtypes)[key]
-    rows = tagged.withColumnRenamed(key, "k").groupBy("k", "run").applyInPandas(claim, f"k {kind}, label_id long, hit_id long, outcome string")
-    return rows.withColumnRenamed("k", key)
+    the earlier on ties; the rest are label_only or model_only. A fold over streams of runs that no match crosses, since a gap
+    in them is wider than the window. Rows without a time match nothing."""
+    side = lambda df, c, is_label: df.select(F.col(key).alias("k"), F.col(t).cast("double").alias("t"), F.col(c).cast("long").alias("id"), F.lit(is_label).alias("is_label"))
+    rows = side(labels, label_id, True).unionByName(side(hits, hit_id, False))
+    rows = dealt_in_runs(rows, "k", "t", F.col("t") - F.col("before") > window, ["t", "is_label", "id"])
+    kind = rows.schema["k"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run, matcher, out, key_type = None, Matcher(window), [], pa.null()
+
+        def told() -> pa.RecordBatch:
+            types = [key_type, pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)], names=["k", "label_id", "hit_id", "outcome"])
+
+        for batch in batches:
+            key_type = batch.column("k").type
+            for k, number, at, row_id, is_label in zip(*(batch.column(c).to_pylist() for c in ("k", "run", "t", "id", "is_label")), strict=True):
+                if (k, number) != open_run:
+                    out += [(open_run[0], *x) for x in matcher.end()] if open_run else []
+                    open_run = (k, number)
+                out += [(k, *x) for x in matcher.add(at, row_id, is_label)]
+            if out:
+                yield told()
+                out = []
+        if open_run:
+            out = [(open_run[0], *x) for x in matcher.end()]
+            if out:
+                yield told()
+
+    schema = T.StructType([T.StructField("k", kind), T.StructField("label_id", T.LongType()), T.StructField("hit_id", T.LongType()), T.StructField("outcome", T.StringType())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def nearest_vertex(probes: DataFrame, vertices: DataFrame, key: str = "ride_id", idx: str = "idx") -> DataFrame:

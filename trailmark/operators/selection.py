@@ -1,16 +1,20 @@
 """Selection of a spread-out subset, and the cut list.
 
-The greedy steps are sequential in their own picks, so each (entity, layout) is one pandas group, which the cap on
-candidates keeps small; entities and layouts run in parallel.
+The greedy steps are sequential in their own picks, so each (entity, layout) is taken as a whole, which the cap on
+candidates keeps small; entities and layouts run in parallel. What a pick changes is kept in arrays, so a pick costs one pass
+over the pool.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import anchored_cut, num
 
@@ -46,77 +50,132 @@ def absorbed(ranked: DataFrame, pool: DataFrame, n: int, key: str = "ride_id", t
     return found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key))).where(F.col("n") * 2 >= n).select(key, seq, "rank0")
 
 
-def _crowd(t: float, picks: list[dict], tau: float) -> float:
-    return min(sum(math.exp(-abs(t - p["t"]) / tau) for p in picks), CROWD_LIMIT)
-
-
-def _clear(t: float, picks: list[dict]) -> bool:
-    return all(abs(t - p["t"]) >= FLOOR_SECS for p in picks)
+class Crowd:
+    """A pool (a list of items in time order) as arrays that each pick updates: decayed crowding, distance to the nearest pick,
+    and which items may still be taken."""
+
+    def __init__(self, pool: list[dict], tau: float):
+        self.pool, self.tau = pool, tau
+        self.t = np.array([c["t"] for c in pool], np.float64)
+        self.score = np.array([c["score"] for c in pool], np.float64)
+        self.value = np.array([c["score"] + c["boost"] for c in pool], np.float64)
+        self.crowding, self.nearest = np.zeros(len(pool)), np.full(len(pool), 1e9)
+        self.used = np.zeros(len(pool), bool)
+        self.picks: list[int] = []
+
+    def pick(self, i: int) -> None:
+        away = np.abs(self.t - self.t[i])
+        self.crowding += np.exp(-away / self.tau)
+        self.nearest = np.minimum(self.nearest, away)
+        self.used[i] = True
+        self.picks.append(i)
+
+    def worth(self) -> np.ndarray:
+        """Score and boost less crowding."""
+        return self.value - CROWD_WEIGHT * np.minimum(self.crowding, CROWD_LIMIT)
+
+    def best(self, by: np.ndarray) -> int | None:
+        """The first of the greatest by `by` that is free and keeps the floor."""
+        free = ~self.used & (self.nearest >= FLOOR_SECS)
+        return int(np.argmax(np.where(free, by, -np.inf))) if free.any() else None
+
+    def taken(self, n: int) -> list[dict]:
+        """The first n picks, in time order."""
+        return [self.pool[i] for i in sorted(self.picks, key=lambda i: self.t[i])][:n]
+
+
+def _backfill(crowd: Crowd, n: int) -> None:
+    """For the widest gap between picks that has an item well inside, its best one, again and again until n."""
+    while 2 <= len(crowd.picks) < n:
+        order = sorted(crowd.picks, key=lambda i: crowd.t[i])
+        best = None
+        for a, b in itertools.pairwise(crowd.t[order]):
+            if b - a > WIDE_GAP and (best is None or b - a > best[0]):
+                inside = ~crowd.used & (crowd.t >= a + EDGE_PAD) & (crowd.t <= b - EDGE_PAD)
+                if inside.any():
+                    best = (b - a, int(np.argmax(np.where(inside, crowd.score, -np.inf))))
+        if best is None:
+            return
+        crowd.pick(best[1])
 
 
 def backfilled(picks: list[dict], pool: list[dict], n: int) -> list[dict]:
-    """Picks with, for the widest gap that has a candidate well inside, its best one, again and again until n."""
-    picks = list(picks)
-    while 2 <= len(picks) < n:
-        picks.sort(key=lambda p: p["t"])
-        used, best = {p["seq"] for p in picks}, None
-        for a, b in zip(picks, picks[1:]):
-            width = b["t"] - a["t"]
-            if width > WIDE_GAP and (best is None or width > best[0]):
-                inside = [c for c in pool if c["seq"] not in used and a["t"] + EDGE_PAD <= c["t"] <= b["t"] - EDGE_PAD]
-                if inside:
-                    best = (width, max(inside, key=lambda c: c["score"]))
-        if best is None:
-            break
-        picks.append(best[1])
-    return picks
+    """`picks`, all of `pool`, with gaps filled up to n."""
+    crowd = Crowd(pool, 60.0)
+    places = {c["seq"]: i for i, c in enumerate(pool)}
+    for p in picks:
+        crowd.pick(places[p["seq"]])
+    _backfill(crowd, n)
+    return [pool[i] for i in crowd.picks]
 
 
 def chosen(pool: list[dict], n: int, tau: float, ranked: bool = False) -> list[dict]:
     """The selection of one group: must-includes; ranked picks that don't crowd, with gaps backfilled; then greedily the
     best of score, boost and crowding; then whatever fills up to n with most distance. In time order, the first n."""
-    value = lambda c: c["score"] + c["boost"]
-    picks = [c for c in pool if c["must_include"]]
+    crowd = Crowd(pool, tau)
+    for i, c in enumerate(pool):
+        if c["must_include"]:
+            crowd.pick(i)
     if ranked and any(c["rank0"] > 0 for c in pool):
-        for c in sorted((c for c in pool if c["rank0"] > 0), key=value, reverse=True):
-            if all(c["seq"] != p["seq"] for p in picks) and _clear(c["t"], picks) and value(c) - CROWD_WEIGHT * _crowd(c["t"], picks, tau) >= 0:
-                picks.append(c)
-        picks = backfilled(picks, pool, n)
-        if len(picks) >= n:
-            return sorted(picks, key=lambda p: p["t"])[:n]
-    used = {p["seq"] for p in picks}
-    while len(picks) < n:
-        free = [c for c in pool if c["seq"] not in used and _clear(c["t"], picks)]
-        best = max(free, key=lambda c: value(c) - CROWD_WEIGHT * _crowd(c["t"], picks, tau), default=None)
-        if best is None or value(best) - CROWD_WEIGHT * _crowd(best["t"], picks, tau) < 0:
+        for i in sorted((i for i, c in enumerate(pool) if c["rank0"] > 0), key=lambda i: -crowd.value[i]):
+            if not crowd.used[i] and crowd.nearest[i] >= FLOOR_SECS and crowd.worth()[i] >= 0:
+                crowd.pick(i)
+        _backfill(crowd, n)
+        if len(crowd.picks) >= n:
+            return crowd.taken(n)
+    while len(crowd.picks) < n:
+        worth = crowd.worth()
+        best = crowd.best(worth)
+        if best is None or worth[best] < 0:
             break
-        picks.append(best)
-        used.add(best["seq"])
-    while len(picks) < n:
-        free = [c for c in pool if c["seq"] not in used and _clear(c["t"], picks)]
-        best = max(free, key=lambda c: min((abs(c["t"] - p["t"]) for p in picks), default=1e9) + FILL_WEIGHT * c["score"], default=None)
+        crowd.pick(best)
+    while len(crowd.picks) < n:
+        best = crowd.best(crowd.nearest + FILL_WEIGHT * crowd.score)
         if best is None:
             break
-        picks.append(best)
-        used.add(best["seq"])
-    return sorted(picks, key=lambda p: p["t"])[:n]
+        crowd.pick(best)
+    return crowd.taken(n)
 
 
 def selected(pool: DataFrame, n: int, ranked: bool = False, key: str = "ride_id", layout: str | None = None) -> DataFrame:
-    """(key, [layout,] seq, t, score, place): the selection of n of each (entity, layout), in time order."""
+    """(key, [layout,] seq, t, score, place): the selection of n of each (entity, layout), in time order. Pools are streamed
+    from sorted partitions, one held at a time; the cap on candidates bounds each."""
     extra = {"boost": num(0), "rank0": F.lit(0), "must_include": F.lit(False)}
     group = [key] + ([layout] if layout else [])
     rows = pool.select(*group, F.col("seq").cast("long").alias("seq"), F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"), *[(F.coalesce(F.col(c), v) if c in pool.columns else v).alias(c) for c, v in extra.items()])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values(["t", "seq"], kind="stable").to_dict("records")
-        tau = max(60.0, (items[-1]["t"] - items[0]["t"]) / n) if items else 60.0
-        picks = chosen(items, n, tau, ranked)
-        return pd.DataFrame([(*(p[g] for g in group), p["seq"], p["t"], p["score"], i + 1) for i, p in enumerate(picks)], columns=[*group, "seq", "t", "score", "place"])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), "seq long, t double, score double, place int"])
-    return rows.groupBy(*group).applyInPandas(run, schema)
+    fields = [c for c in rows.columns if c not in group]
+    schema = T.StructType([*[rows.schema[g] for g in group], *T.StructType.fromDDL("seq long, t double, score double, place int")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, items, out, types = None, [], [], []
+
+        def close() -> None:
+            if items:
+                tau = max(60.0, (items[-1]["t"] - items[0]["t"]) / n)
+                out.extend((*at, p["seq"], p["t"], p["score"], i) for i, p in enumerate(chosen(items, n, tau, ranked), 1))
+                items.clear()
+
+        def told() -> pa.RecordBatch:
+            kinds = [*types, pa.int64(), pa.float64(), pa.float64(), pa.int32()]
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+            out.clear()
+            return done
+
+        for batch in batches:
+            types = [batch.column(g).type for g in group]
+            values = [batch.column(c).to_pylist() for c in fields]
+            for i, found in enumerate(zip(*(batch.column(g).to_pylist() for g in group), strict=True)):
+                if found != at:
+                    close()
+                    at = found
+                items.append({c: v[i] for c, v in zip(fields, values, strict=True)})
+            if out:
+                yield told()
+        close()
+        if out:
+            yield told()
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "t", "seq").mapInArrow(run, schema)
 
 
 def selection_overlap(pool: DataFrame, n: int, key: str = "ride_id") -> DataFrame:

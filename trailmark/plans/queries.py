@@ -348,7 +348,25 @@ def j8_greedy_match(spark, d):
     return _alignment(spark, d).groupBy("ride_id").agg(F.count("label_id").alias("n_labels"), F.count("hit_id").alias("n_hits"))
 
 
-@query()
+#: J-8 as recursion: label after label of each ride takes the nearest hit that isn't in the list of those taken.
+MATCHED = """RECURSIVE
+  lab AS (SELECT ride_id, seq AS label_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY ride_id ORDER BY ts, seq) AS i FROM points WHERE event_type = 'click'),
+  hit AS (SELECT ride_id, seq AS hit_id, epoch_us(ts) / 1e6 AS t FROM points WHERE event_type = 'error'),
+  near AS (SELECT ride_id, i, hit_id, abs(hit.t - lab.t) AS gap, hit.t FROM lab JOIN hit USING (ride_id) WHERE abs(hit.t - lab.t) <= 21600),
+  walk AS (
+    SELECT DISTINCT ride_id, 0::BIGINT AS i, NULL::BIGINT AS label_id, NULL::BIGINT AS hit_id, []::BIGINT[] AS taken FROM lab
+    UNION ALL
+    SELECT ride_id, i, label_id, best, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END FROM (
+      SELECT w.ride_id, l.i, any_value(l.label_id) AS label_id, arg_min(n.hit_id, (n.gap, n.t, n.hit_id)) AS best, any_value(w.taken) AS taken
+      FROM walk w JOIN lab l ON l.ride_id = w.ride_id AND l.i = w.i + 1
+      LEFT JOIN near n ON n.ride_id = l.ride_id AND n.i = l.i AND NOT list_contains(w.taken, n.hit_id) GROUP BY w.ride_id, l.i)),
+  aligned AS (
+    SELECT ride_id, label_id, hit_id, CASE WHEN hit_id IS NULL THEN 'label_only' ELSE 'matched' END AS outcome FROM walk WHERE i > 0
+    UNION ALL
+    SELECT ride_id, NULL, hit_id, 'model_only' FROM hit WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.ride_id = hit.ride_id AND w.hit_id = hit.hit_id))"""
+
+
+@query(MATCHED + " SELECT * FROM aligned")
 def j8_greedy_match_rows(spark, d):
     return _alignment(spark, d)
 
@@ -532,27 +550,48 @@ def _pairs(spark, d):
     return rows.select("*", kind("label_id").alias("label_type"), visual("label_id", 10).alias("label_visual"), visual("label_id", 7).alias("label_action"), kind("hit_id").alias("model_type"), visual("hit_id", 9).alias("model_visual"), visual("hit_id", 8).alias("model_action"))
 
 
-@query()
+AGREED = MATCHED + """,
+  told AS (SELECT ride_id, count(*) FILTER (outcome = 'matched') AS n_matched, count(*) FILTER (outcome = 'label_only') AS n_label_only, count(*) FILTER (outcome = 'model_only') AS n_model_only FROM aligned GROUP BY ride_id),
+  agreed AS (SELECT *, n_matched + n_label_only AS n_labels, n_matched + n_model_only AS n_model_hits FROM told)"""
+RATED = MATCHED + """,
+  kinds AS (SELECT ['descent', 'group_riding', 'landmark'] AS k),
+  rated AS (SELECT ride_id, label_id, hit_id, outcome, k[label_id % 3 + 1] AS label_type, (label_id % 10)::INT AS label_visual, (label_id % 7)::INT AS label_action, k[hit_id % 3 + 1] AS model_type, (hit_id % 9)::INT AS model_visual, (hit_id % 8)::INT AS model_action,
+    outcome = 'matched' AND label_id % 10 <> 0 AND hit_id % 9 <> 0 AS scored FROM aligned, kinds)"""
+
+
+@query(AGREED + """
+  SELECT *, coalesce(round_even(n_matched / nullif(n_model_hits, 0), 3), 0)::DOUBLE AS precision, coalesce(round_even(n_matched / nullif(n_labels, 0), 3), 0)::DOUBLE AS recall FROM agreed""")
 def a5_agreement(spark, d):
     return evaluate.agreement(_alignment(spark, d))
 
 
-@query()
+@query(RATED + """
+  SELECT ride_id, count(*) FILTER (scored) AS n_scored,
+    round_even(avg(model_visual - label_visual) FILTER (scored), 2) AS visual_mean_diff, round_even(avg(model_action - label_action) FILTER (scored), 2) AS action_mean_diff,
+    count(*) FILTER (scored AND label_type = model_type) AS n_same_type, round_even(avg((label_type = model_type)::INT) FILTER (scored), 2) AS type_rate,
+    round_even(avg(model_visual) FILTER (outcome = 'matched'), 1) AS avg_matched_visual, round_even(avg(model_action) FILTER (outcome = 'matched'), 1) AS avg_matched_action,
+    round_even(avg(model_visual) FILTER (outcome = 'model_only'), 1) AS avg_model_only_visual, round_even(avg(model_action) FILTER (outcome = 'model_only'), 1) AS avg_model_only_action,
+    min(greatest(model_visual, model_action)) FILTER (outcome = 'matched') AS min_matched_max
+  FROM rated GROUP BY ride_id""")
 def a6_patterns(spark, d):
     return evaluate.patterns(_pairs(spark, d))
 
 
-@query()
+@query(RATED + " SELECT ride_id, label_type, count(*) AS n FROM rated WHERE outcome = 'label_only' GROUP BY ALL")
 def a6_misses_by_type(spark, d):
     return evaluate.counts_by_type(_pairs(spark, d), "label_only", "label_type")
 
 
-@query()
+@query(AGREED + """,
+  total AS (SELECT count(*) AS n_rides, sum(n_labels)::BIGINT AS n_labels, sum(n_model_hits)::BIGINT AS n_model_hits, sum(n_matched)::BIGINT AS n_matched, sum(n_label_only)::BIGINT AS n_label_only, sum(n_model_only)::BIGINT AS n_model_only FROM agreed)
+  SELECT *, round_even(n_matched / nullif(n_model_hits, 0), 3) AS precision, round_even(n_matched / nullif(n_labels, 0), 3) AS recall FROM total""")
 def a7_roll_up(spark, d):
     return evaluate.roll_up(evaluate.agreement(_alignment(spark, d)))
 
 
-@query()
+@query(RATED + """,
+  top AS (SELECT ride_id, hit_id, greatest(model_visual, model_action) AS top_score FROM rated WHERE outcome = 'model_only')
+  SELECT ride_id, hit_id, top_score, (row_number() OVER (PARTITION BY ride_id ORDER BY top_score DESC, hit_id))::INT AS place FROM top QUALIFY place <= 15""")
 def a7_top_overflags(spark, d):
     return evaluate.top_overflags(_pairs(spark, d)).select("ride_id", "hit_id", "top_score", "place")
 
@@ -753,11 +792,29 @@ def c10_capped(spark, d):
     return candidates.capped(rows, 40).select("ride_id", "seq")
 
 
-@query()
+@query("RECURSIVE" + CLIPS + """,
+  pt AS (SELECT ride_id, seq, epoch_us(ts) - epoch_us(t0) AS us, CASE WHEN coalesce(power, 0) <> 0 THEN least(power / 50.0, 10) ELSE 0 END + CASE WHEN speed <> 0 THEN least(speed * 2.23694 / 6, 5) ELSE 0 END + CASE WHEN coalesce(heart_rate, 0) <> 0 THEN greatest(0, (heart_rate - 130) / 20.0) ELSE 0 END AS tel FROM points JOIN base USING (ride_id)),
+  have AS (SELECT ride_id, list(us / 1e6) FILTER (event_type = 'signup') AS taken, 12 - count(*) FILTER (event_type = 'signup') AS n_needed FROM points JOIN pt USING (ride_id, seq) GROUP BY ride_id),
+  grid AS (SELECT ride_id, unnest(range(0, floor(ride_secs / 3600)::BIGINT + 1)) * 3600 AS t FROM base JOIN have USING (ride_id) WHERE n_needed > 0),
+  told AS (SELECT g.ride_id, g.t, arg_min(tel, (abs(us - g.t * 1000000), us, seq)) AS tel FROM grid g JOIN pt USING (ride_id) GROUP BY ALL),
+  placed AS (SELECT o.ride_id, t, any_value(tel) AS tel, arg_min(clip_name, (clip_start, clip_name)) AS clip_name, t - min(clip_start) AS anchor FROM told o JOIN clips c ON o.ride_id = c.ride_id AND t BETWEEN clip_start AND clip_start + duration_secs WHERE tel > 0 GROUP BY o.ride_id, t),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY tel DESC, t) AS place FROM placed),
+  walk AS (
+    SELECT ride_id, 0::BIGINT AS place, coalesce(taken, []) AS times, n_needed AS left_ FROM have WHERE n_needed > 0
+    UNION ALL
+    SELECT w.ride_id, min(r.place), list_append(any_value(w.times), arg_min(r.t, r.place)), any_value(w.left_) - 1
+    FROM walk w JOIN ranked r ON r.ride_id = w.ride_id AND r.place > w.place WHERE w.left_ > 0 AND len([x FOR x IN w.times IF abs(x - r.t) < 7200]) = 0 GROUP BY w.ride_id)
+  SELECT ride_id, t::DOUBLE AS t, clip_name, round(anchor, 3) AS anchor, round(greatest(0, anchor - 1.5), 3) AS video_start, round(anchor + 1.5, 3) AS video_end, round(least(0.05 * tel, 0.9), 6) AS score, 'filler' AS source, printf('filler (telemetry score %.1f)', round_even(tel, 1)) AS notes
+  FROM ranked JOIN walk USING (ride_id, place)""")
 def c11_fillers(spark, d):
-    pool = _pool(spark, d)
-    needed = pool.groupBy("ride_id").agg((20 - F.count_if(F.col("source") == "label")).alias("n_needed"))
-    return candidates.fillers(pool.where("source = 'telemetry'"), pool.where("source = 'label'"), needed)
+    """Fillers up to twelve candidates, beside signups: every hour of the ride with its nearest point's telemetry, on a clip."""
+    p = points(spark, d)
+    clips, _ = _clips(spark, d)
+    base = p.groupBy("ride_id").agg(F.min("ts").alias("t0"))
+    taken = p.where("event_type = 'signup'").join(base, "ride_id").select("ride_id", s.seconds_between(F.col("t0"), F.col("ts")).alias("t"))
+    needed = p.groupBy("ride_id").agg((12 - F.count_if(F.col("event_type") == "signup")).alias("n_needed"))
+    out = candidates.telemetry_fillers(p, clips, taken, needed, step=HOUR, gap=2 * HOUR).drop("sources")
+    return rounded(rounded(out, 3, "anchor", "video_start", "video_end"), 6, "score")
 
 
 @query("""
@@ -813,12 +870,33 @@ def _selectable(spark, d):
     return candidates.capped(pool.withColumn("boost", boost))
 
 
-@query()
+#: S-6 to S-8 as recursion: each round takes the free candidate of most worth, or if none is worth it, the one that fills best.
+PICKED = """RECURSIVE
+  z AS (SELECT ride_id, min(ts) AS t0 FROM points GROUP BY ride_id),
+  a AS (SELECT ride_id, seq, (epoch_us(ts) - epoch_us(t0)) / 1e6 / 600 AS t, seq % 97 = 0 AS must, CASE WHEN event_type = 'signup' AND seq % 10 >= 6 THEN 6 ELSE 0 END AS boost,
+    CASE WHEN event_type IN ('click', 'error') THEN ((seq * 5 % 10 + 1) + (seq * 7 % 10 + 1) + (seq * 11 % 9 + 1) + (seq * 13 % 8 + 1)) / 4 ELSE value / 20 END AS score FROM points JOIN z USING (ride_id)),
+  r AS (SELECT *, count(*) OVER (PARTITION BY ride_id) AS n_all, count(*) FILTER (must) OVER (PARTITION BY ride_id) AS n_must, row_number() OVER (PARTITION BY ride_id, must ORDER BY score DESC, seq) AS rk FROM a),
+  st AS (SELECT *, CASE WHEN n_all <= 90 OR must THEN 0 WHEN rk <= greatest(0, 54 - n_must) THEN 1 ELSE 2 END AS stage, CASE WHEN score < 3.5 THEN 0 WHEN score < 6.5 THEN 1 ELSE 2 END AS band FROM r),
+  tu AS (SELECT *, row_number() OVER (PARTITION BY ride_id, stage, band ORDER BY score DESC, seq) AS turn FROM st),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY stage, CASE stage WHEN 2 THEN turn ELSE rk END, CASE stage WHEN 2 THEN band ELSE 0 END, seq) AS place FROM tu),
+  pool AS (SELECT ride_id, seq, t, score, score + boost AS value, must, row_number() OVER w AS pos, greatest(60, (max(t) OVER (PARTITION BY ride_id) - min(t) OVER (PARTITION BY ride_id)) / 20) AS tau FROM pl WHERE place <= 90 OR must WINDOW w AS (PARTITION BY ride_id ORDER BY t, seq)),
+  walk AS (
+    SELECT ride_id, coalesce(list(t ORDER BY pos) FILTER (must), []) AS times, coalesce(list(seq ORDER BY pos) FILTER (must), []) AS used, 1 AS phase FROM pool GROUP BY ride_id
+    UNION ALL
+    SELECT ride_id, list_append(times, CASE WHEN worth THEN one.t ELSE two.t END), list_append(used, CASE WHEN worth THEN one.seq ELSE two.seq END), CASE WHEN worth THEN 1 ELSE 2 END FROM (
+      SELECT ride_id, any_value(times) AS times, any_value(used) AS used, any_value(phase) = 1 AND max(eff) >= 0 AS worth, arg_min(struct_pack(t := t, seq := seq), (-eff, pos)) AS one, arg_min(struct_pack(t := t, seq := seq), (-fill, pos)) AS two FROM (
+        SELECT p.*, times, used, phase, value - 6 * least(coalesce(list_sum([exp(-abs(p.t - x) / tau) FOR x IN times]), 0), 2) AS eff, coalesce(list_min([abs(p.t - x) FOR x IN times]), 1e9) + 30 * score AS fill
+        FROM walk w JOIN pool p USING (ride_id) WHERE len(used) < 20 AND NOT list_contains(used, p.seq) AND len([x FOR x IN times IF abs(p.t - x) < 3]) = 0) GROUP BY ride_id)),
+  last_ AS (SELECT ride_id, arg_max(used, len(used)) AS used FROM walk GROUP BY ride_id),
+  picked AS (SELECT ride_id, seq, t, score, (row_number() OVER (PARTITION BY ride_id ORDER BY t, seq))::INT AS place FROM last_ JOIN pool USING (ride_id) WHERE list_contains(used, seq) QUALIFY place <= 20)"""
+
+
+@query(PICKED + " SELECT ride_id, layout, seq, round(t, 6) AS t, round(score, 6) AS score, place FROM picked, (VALUES ('landscape'), ('portrait')) l(layout)")
 def s6_s8_selected(spark, d):
     """Greedy selection for two layouts."""
     pool = _selectable(spark, d)
     both = pool.withColumn("layout", F.explode(F.array(F.lit("landscape"), F.lit("portrait"))))
-    return selection.selected(both, 20, layout="layout")
+    return rounded(selection.selected(both, 20, layout="layout"), 6, "t", "score")
 
 
 @query()
@@ -826,7 +904,7 @@ def s4_s5_ranked_selection(spark, d):
     return selection.selected(_selectable(spark, d), 20, ranked=True)
 
 
-@query()
+@query(PICKED + " SELECT pool.ride_id, pool.seq, CASE WHEN picked.seq IS NULL THEN 'pending' ELSE 'auto' END AS status FROM pool LEFT JOIN picked ON pool.ride_id = picked.ride_id AND pool.seq = picked.seq")
 def s9_auto_status(spark, d):
     pool = _selectable(spark, d)
     rows = joins.marked_selected(pool.select("ride_id", "seq"), selection.selected(pool, 20), ["ride_id", "seq"])

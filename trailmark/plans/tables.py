@@ -30,5 +30,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_points(sql: str) -> str:
-    """SQL that may read `points`."""
+    """SQL that may read `points`; text that begins with RECURSIVE may hold recursive tables."""
+    if sql.lstrip().startswith("RECURSIVE"):
+        return f"WITH RECURSIVE points AS ({POINTS}), {sql.lstrip().removeprefix('RECURSIVE')}"
     return f"WITH points AS ({POINTS}), {sql}" if not sql.lstrip().upper().startswith("SELECT") else f"WITH points AS ({POINTS}) {sql}"
