@@ -8,19 +8,20 @@ hang below it; table cells are padded so that columns align; preformatted text k
 What is seen: `display: none`, `hidden` and elements like script remove all that stands in them. `visibility` is inherited, and
 an element within a hidden one may be seen again. Rules of `style` elements are followed where their selector is an element
 name, a class, an id, or a name with one of these, and they set display or visibility; the last that fits wins, a
-`style` attribute over all. Buttons and text inputs show their value.
+`style` attribute over all. Buttons and text inputs show their value, and a closed `details` its content, since a
+reader can open it.
 
 Pages are independent: one pass without a shuffle, and a hot host or page costs nothing more than its rows. Python gets them
 in Arrow batches of at most 64 MB, and a longer page alone. Nesting needs no recursion, and time and output are linear in a
 page: text is written straight to the nearest element with a layout of its own (cell, list item, table, pre, quote); within
 `DEPTH` of these more are laid out as plain blocks. Cells are padded to `PAD` characters at most and a wider one overflows its
-column, and a cell spans `SPAN` columns at most.
+column, and a cell spans `SPAN` columns and rows at most; below a cell that spans rows its columns stay free.
 
 A head ends at its end tag or at the first text or tag that can't stand in one. What stands in a table or row outside
 its cells comes before the table.
 
 Nulls: a null page has a null text, an empty one an empty text. Malformed markup never fails: an unknown end tag is
-ignored, and what is left open at the end of the page is closed there. Repeated rows are rendered each. An empty table gives an
+ignored, and what is left open at the end of the page is closed there; a tag without `>` stands as text with all that follows. Repeated rows are rendered each. An empty table gives an
 empty result. A column of the input that has the result's name is an error.
 """
 
@@ -30,7 +31,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,8 +62,16 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+BRACE = re.compile(r"[{}]")
 SELECTOR = re.compile(r"(\*|[a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
+# Names, attributes and ends in tags.
+NAME = re.compile(r"[^\s/>]+")
+BETWEEN = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"(.[^\s/>=]*)(\s*=\s*)?", re.S)
+UNQUOTED = re.compile(r"[^\s>]*")
+COMMENT_END = re.compile(r"--!?>")
+#: Elements whose content is text up to their end tag.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("iframe", "noembed", "noframes", "script", "style", "xmp")}
 SHOWN_INPUTS = frozenset(["button", "reset", "submit", "text", "email", "number", "search", "tel", "url"])
 BREAK = "\x00"  # a forced line end within inline text; NUL can't be in text
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -78,15 +87,20 @@ BEYOND_CELLS = frozenset("body html table tbody tfoot thead tr".split())
 class Box:
     """Content that is laid out together: strings (inline), block edges, and lists of lines; rows of a table."""
 
-    __slots__ = ("depth", "number", "parts", "pre", "rows", "span")
+    __slots__ = ("depth", "down", "number", "parts", "pre", "rows", "span")
 
-    def __init__(self, depth: int = 0, pre: bool = False, span: int = 1):
-        self.depth, self.pre, self.span = depth, pre, span
+    def __init__(self, depth: int = 0, pre: bool = False, span: int = 1, down: int = 1):
+        self.depth, self.pre, self.span, self.down = depth, pre, span, down
         self.parts: list = []
         self.rows: list = []
         self.number = 0
 
 
+def spans(value: str | None) -> int:
+    """Columns or rows that a cell spans."""
+    return min(SPAN, max(1, int(value))) if value and re.fullmatch(r"[0-9]{1,6}", value) else 1
+
+
 class Element:
     """An open element; `box` is its own or that of the nearest element around it that has one."""
 
@@ -141,34 +155,74 @@ def lines_of(parts: list, pre: bool = False) -> list[str]:
     return out
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines of a cell, columns that it spans) as lines with aligned columns, two blanks between columns."""
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Cells with their first column: rows of (lines, columns, rows that it spans) as rows of (column, lines, columns). A cell
+    stands in the first column that no cell of a row above reaches down to."""
+    free_from: list[int] = []  # for each column the first row in which it is free
+    out = []
+    for r, row in enumerate(rows):
+        at, found = 0, []
+        for lines, span, down in row:
+            while at < len(free_from) and free_from[at] > r:
+                at += 1
+            found.append((at, lines, span))
+            free_from += [0] * (at + span - len(free_from))
+            free_from[at : at + span] = [r + down] * span
+            at += span
+        out.append(found)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines of a cell, columns and rows that it spans) as lines with aligned columns, two blanks between columns."""
+    table = placed(rows)
     widths: list[int] = []
     for spanning in (False, True):  # a cell over several columns widens the last of them
-        for row in rows:
-            at = 0
-            for cell, span in row:
+        for row in table:
+            for at, cell, span in row:
                 widths += [0] * (at + span - len(widths))
                 if (span > 1) == spanning:
                     had = sum(widths[at : at + span]) + 2 * (span - 1)
                     widths[at + span - 1] += max(0, min(PAD, max(map(len, cell), default=0)) - had)
-                at += span
+    start = [0]  # where each column starts
+    for w in widths:
+        start.append(start[-1] + w + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(cell) for cell, _ in row), default=0)):
-            line, at = [], 0
-            for cell, span in row:
-                wide = sum(widths[at : at + span]) + 2 * (span - 1)
-                line.append((cell[k] if k < len(cell) else "").ljust(wide))
-                at += span
-            out.append("  ".join(line).rstrip())
+    for row in table:
+        for k in range(max((len(cell) for _, cell, _ in row), default=0)):
+            line, after = [], 0
+            for at, cell, span in row:
+                text = cell[k] if k < len(cell) else ""
+                line.append(" " * (start[at] - start[after]) + text.ljust(start[at + span] - start[at] - 2) + "  ")
+                after = at + span
+            out.append("".join(line).rstrip())
     return out
 
 
+def rules_in(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, body) of the innermost braces, in one pass."""
+    bare, at = [], 0
+    while (start := css.find("/*", at)) >= 0:
+        bare.append(css[at:start])
+        at = css.find("*/", start + 2) + 2
+        if at < 2:  # a comment without an end goes to the end
+            at = len(css)
+    css = "".join([*bare, css[at:]])
+    before, opened = 0, -1
+    for m in BRACE.finditer(css):
+        if m[0] == "{":
+            before, opened = (before if opened < 0 else opened + 1), m.start()
+        elif opened >= 0:
+            yield css[before:opened], css[opened + 1 : m.start()]
+            before, opened = m.end(), -1
+        else:
+            before = m.end()
+
+
 def style_rules(css: str) -> list[tuple[str, str, str, dict[str, str]]]:
     """(name, kind, value, settings) of the rules with simple selectors that set display or visibility."""
     found = []
-    for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
+    for selectors, body in rules_in(css):
         settings = {k.lower(): v.lower() for k, v in STYLE.findall(body)}
         if settings:
             for one in selectors.split(","):
@@ -178,12 +232,104 @@ def style_rules(css: str) -> list[tuple[str, str, str, dict[str, str]]]:
     return found
 
 
-class Renderer(HTMLParser):
+class Scanner:
+    """Tags and text of a page, in one pass: every search for an end that fails is the last of its kind, so time is in proportion
+    to the page whatever is left open. A tag without an end stands as text, as does all that follows it; a comment without one
+    hides the rest; a quote without its pair is a character of the value."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.unpaired: set[str] = set()
+
+    def feed(self, to) -> None:
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            start = page.find("<", self.at)
+            if start < 0 or start + 1 == n:
+                break
+            sign = page[start + 1]
+            if not (sign in "!?/" or sign.isascii() and sign.isalpha()):
+                self._text(to, start + 1)
+                continue
+            self._text(to, start)
+            if sign.isalpha():
+                if not self._start_tag(to, start):
+                    break
+            elif sign == "/" and page[start + 2 : start + 3].isascii() and page[start + 2 : start + 3].isalpha():
+                end = page.find(">", start)
+                if end < 0:
+                    break
+                name = NAME.match(page, start + 2)
+                self.at = end + 1
+                to.handle_endtag(name[0].lower())
+            else:
+                self._skip(start)
+        self._text(to, n)
+
+    def _text(self, to, end: int) -> None:
+        """Text from where the scan stands to `end`."""
+        if self.at < end:
+            to.handle_data(unescape(self.page[self.at : end]))
+            self.at = end
+
+    def _skip(self, start: int) -> None:
+        """Comments, declarations and the like."""
+        page = self.page
+        if page.startswith("<!--", start):
+            end = COMMENT_END.search(page, start + 2 if page.startswith(("<!-->", "<!--->"), start) else start + 4)
+            self.at = end.end() if end else len(page)
+        elif page.startswith("<![CDATA[", start) and (end := page.find("]]>", start)) >= 0:
+            self.at = end + 3
+        else:
+            end = page.find(">", start)
+            self.at = end + 1 if end >= 0 else len(page)
+
+    def _start_tag(self, to, start: int) -> bool:
+        """Reads the tag at `start`; false if it has no end."""
+        page, n = self.page, len(self.page)
+        m = NAME.match(page, start + 1)
+        name, at, attrs = m[0].lower(), m.end(), []
+        if page.find(">", at) < 0:
+            return False
+        while True:
+            at = BETWEEN.match(page, at).end()
+            if at >= n:
+                return False
+            if page[at] == ">":
+                break
+            m = ATTRIBUTE.match(page, at)
+            key, at, value = m[1].lower(), m.end(), None
+            if m[2]:
+                quote = page[at : at + 1]
+                end = page.find(quote, at + 1) if quote in ("'", '"') and quote not in self.unpaired else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    if quote in ("'", '"'):
+                        self.unpaired.add(quote)
+                    m = UNQUOTED.match(page, at)
+                    value, at = m[0], m.end()
+            attrs.append((key, None if value is None else unescape(value)))
+        self.at = at + 1
+        to.handle_starttag(name, attrs)
+        if name in RAW:
+            end = RAW[name].search(page, self.at)
+            self._raw(to, end.start() if end else n)
+        return True
+
+    def _raw(self, to, end: int) -> None:
+        if self.at < end:
+            to.handle_data(self.page[self.at : end])
+            self.at = end
+
+
+class Renderer:
+    """The tree of a page: its open elements, told by a `Scanner`."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open = [Element("", Box(), True, False, False)]
         self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each name
-        self.rules: dict[tuple[str, str], list] = defaultdict(list)  # by kind and value of the selector
+        self.rules: dict[tuple[str, str, str], dict[str, tuple[int, str]]] = defaultdict(dict)  # by kind, value, name of selector
         self.n_rules = 0
 
     def last(self, names) -> int:
@@ -192,16 +338,21 @@ class Renderer(HTMLParser):
     # --- what is seen -----------------------------------------------------------------------------------------------
 
     def settings(self, tag: str, had: dict) -> dict[str, str]:
-        keys = [("", tag), ("", "*"), ("#", had.get("id") or ""), *((".", c) for c in (had.get("class") or "").split())] if self.n_rules else []
-        fitting = sorted((x for key in keys if key in self.rules for x in self.rules[key] if x[1] in (tag, "*")), key=lambda x: x[0])
-        found: dict[str, str] = {}
-        for _, _, settings in fitting:
-            found |= settings
-        return found | {k.lower(): v.lower() for k, v in STYLE.findall(had.get("style") or "")}
+        found: dict[str, tuple[int, str]] = {}
+        if self.n_rules:
+            keys = [("", "", tag), ("", "", "*")]
+            for kind, value in (("#", had.get("id") or ""), *((".", c) for c in (had.get("class") or "").split())):
+                keys += [(kind, value, tag), (kind, value, "*")]
+            for key in keys:
+                for prop, setting in self.rules.get(key, {}).items():
+                    found[prop] = max(setting, found.get(prop, setting))
+        return {prop: value for prop, (_, value) in found.items()} | {k.lower(): v.lower() for k, v in STYLE.findall(had.get("style") or "")}
 
     def learn(self, css: str) -> None:
+        """Of rules with one selector, each property's last setting is all that counts."""
         for name, kind, value, settings in style_rules(css):
-            self.rules[(kind, value if kind else name)].append((self.n_rules, name, settings))
+            for prop, setting in settings.items():
+                self.rules[kind, value, name][prop] = (self.n_rules, setting)
             self.n_rules += 1
 
     # --- tags -------------------------------------------------------------------------------------------------------
@@ -245,8 +396,7 @@ class Renderer(HTMLParser):
         if not gone and not own and (tag in BLOCKS or tag in SPACED or tag in OWN):
             box.parts.append(GAP if tag in SPACED else EDGE)
         if own:
-            span = had.get("colspan") or "1"
-            box = Box(box.depth + (tag not in TABULAR or tag == "table"), box.pre or tag in ("pre", "textarea"), min(SPAN, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1)
+            box = Box(box.depth + (tag not in TABULAR or tag == "table"), box.pre or tag in ("pre", "textarea"), spans(had.get("colspan")), spans(had.get("rowspan")))
         element = Element(tag, box, own, gone, unseen)
         if tag == "ol" and re.fullmatch(r"-?\d{1,9}", had.get("start") or ""):
             element.number = int(had["start"]) - 1
@@ -255,9 +405,6 @@ class Renderer(HTMLParser):
         if tag == "li" and not own and not gone:
             box.parts.append(self.mark())
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
     def handle_endtag(self, tag: str) -> None:
         places = self.at[tag]
         if places and (tag in BEYOND_CELLS or places[-1] >= self.last(BARRIERS)):  # an end tag in a cell closes nothing outside it
@@ -299,7 +446,7 @@ class Renderer(HTMLParser):
             return
         box = e.box
         if e.name in CELLS:
-            out.rows.append((lines_of(box.parts, box.pre), box.span))
+            out.rows.append((lines_of(box.parts, box.pre), box.span, box.down))
         elif e.name == "tr":
             out.rows.append(box.rows)
             out.parts.extend(box.parts)
@@ -331,7 +478,6 @@ class Renderer(HTMLParser):
         return table_lines([r if isinstance(r, list) else [r] for r in box.rows if r])
 
     def text(self) -> str:
-        self.close()
         self.close_down_to(1)
         top = self.open[0].box
         return "\n".join(lines_of(top.parts) + self.table(top))
@@ -342,7 +488,7 @@ def render(html: str | None) -> str | None:
     if html is None:
         return None
     renderer = Renderer()
-    renderer.feed(html)
+    Scanner(html).feed(renderer)
     return renderer.text()
 
 
