@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, parted
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 LEDGER = "blob string, rule_version string, findings array<struct<kind:string,start:int,end:int>>"
 #: Kinds in their order within one start: the base kinds, then those that this library adds.
 KINDS = ("assign", "access", "hex", "private_key", "code_host", "chat", "jwt")
@@ -42,12 +42,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words one of which, in lower case, each match of ASSIGN holds.
 ASSIGN_HINTS = ("passw", "secret", "token", "key")
-# Public credential formats that this library adds, each with a string that every match holds.
+# Public credential formats that this library adds, each with a string that every match holds. A token starts where
+# its run of characters starts, so that a run is looked at from one place only.
 ADDED = (
     ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")),
     ("code_host", "_", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{36,})")),
     ("chat", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")),
 )
 
 
