@@ -55,19 +55,23 @@ _BLANK = np.uint32(32)
 
 def letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text between blanks; each run of other characters than letters is one blank."""
-    c = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "replace"), "<u4")
-    known = _letter_table()
-    c = np.where(known[np.minimum(c, len(known) - 1)], c, _BLANK)
+    c = _lowered(f" {text} ")
     return c[np.concatenate(([True], (c[1:] != _BLANK) | (c[:-1] != _BLANK)))]
 
 
+def _lowered(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, all but letters blank."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    return np.where(_letter_table()[c], c, _BLANK)
+
+
 _LETTERS: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point of the two first planes of Unicode whether it is a letter; later planes count as the last."""
+    """For each code point of Unicode whether it is a letter."""
     if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x20000)), bool, 0x20000) | (np.arange(0x20000) == 0x1FFFF))
+        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _LETTERS[0]
 
 
@@ -87,11 +91,23 @@ def positions(grams: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((grams * ODD[j]) >> np.uint64(40)).astype(np.int64) & (slots - 1) for j in range(HASHES)]
 
 
+def lettered(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """What `letters` gives for a text, in parts of bounded length: each with the last characters of the part before, so that no
+    n-gram is lost, and how many these are, so that none is counted twice."""
+    keep = max(SIZES) - 1
+    tail = np.empty(0, np.uint32)
+    for start in range(0, len(text), PIECE):
+        c = _lowered(" " * (start == 0) + text[start : start + PIECE] + " " * (start + PIECE >= len(text)))
+        before = tail[-1] if len(tail) else np.uint32(0)
+        c = c[(c != _BLANK) | (np.concatenate(([before], c[:-1])) != _BLANK)]
+        yield np.concatenate([tail, c]), len(tail)
+        tail = np.concatenate([tail, c])[-keep:]
+
+
 def pieces(text: str) -> Iterator[str]:
-    """Parts of a text of bounded length, each with the end of the one before, so that no n-gram is lost."""
-    overlap = max(SIZES) - 1
+    """Parts of a text of bounded length."""
     for start in range(0, len(text), PIECE):
-        yield text[max(0, start - overlap) : start + PIECE]
+        yield text[start : start + PIECE]
 
 
 class Filters:
@@ -114,11 +130,10 @@ class Filters:
         if not text or not self.langs:
             return UNKNOWN, 0.0
         hits, total, some = np.zeros(len(self.langs)), 0, False
-        for piece in pieces(text):
-            c = letters(piece)
+        for c, old in lettered(text):
             some = some or bool((c != _BLANK).any())
             for size in SIZES:
-                grams = ngrams(c, size)
+                grams = ngrams(c[max(0, old - size + 1) :], size)
                 if len(grams):
                     found = [self.containing(grams, array) for array in range(len(self.masks))]
                     total += len(grams)
