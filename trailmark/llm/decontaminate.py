@@ -3,7 +3,8 @@
 The alphabet is words. A pattern is a window of ten consecutive words of a benchmark item; an item of fewer words is one
 pattern. For the patterns of one length m, a shift table maps each block of two adjacent words that occurs in a pattern
 to the distance from its rightmost occurrence to the pattern's end; any other block lets the search skip m - 1 words at
-once. At distance 0, the hash bucket of that suffix block lists the patterns to compare directly.
+once. At distance 0, the hash bucket of that suffix block holds the patterns, hashed once more as wholes, so that a window is
+compared directly with the one pattern that it can be, however many share a suffix.
 
 Windows are made and reduced to distinct ones in Spark, and dealt by hash into blocks of about `block_words` words, so
 that neither copies of items nor a long item make a block larger. Only one block at a time comes through the driver to be
@@ -46,7 +47,7 @@ class Patterns:
             for end in range(size, m + 1):
                 block = words[end - size : end]
                 shift[block] = min(shift.get(block, m), m - end)
-            bucket.setdefault(words[m - size :], []).append(words)
+            bucket.setdefault(words[m - size :], set()).add(words)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         """(start, pattern) of every occurrence."""
@@ -60,9 +61,8 @@ class Patterns:
                     end += step
                     continue
                 window = tuple(words[end - m : end])
-                for pattern in bucket[block]:
-                    if pattern == window:
-                        yield end - m, pattern
+                if window in bucket[block]:
+                    yield end - m, window
                 end += 1
 
 
