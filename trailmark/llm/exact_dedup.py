@@ -12,7 +12,8 @@ Progressive refinement. Texts are equal when they are identical after deleting A
    Spark splits the partition of a group that holds a third of all rows.
 
 Nulls: a null text counts as empty. Rows with a null id take part; they lose ties against rows with one. Repeated rows
-of one id count each in `group_size`; `drop_copies` leaves one of them. Ids are numbers. A very long text is hashed where it
+of one id count each in `group_size`; of rows of one id whose texts differ in white space only the longest is `kept`, and rows
+of one id and length are alike and marked alike; `drop_copies` leaves one of them. Ids are numbers. A very long text is hashed where it
 is read. An empty table gives an empty result. Names of input columns can't clash: they travel in a struct.
 """
 
@@ -64,7 +65,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     """(xd_full, xd_size, xd_keep) of full hashes that several rows have: most code points, then smallest id stays."""
     best = F.max(F.struct("xd_points", (-F.col("xd_id")).alias("neg"))).alias("best")
     found = rows.where("xd_full is not null").groupBy("xd_full").agg(F.count(F.lit(1)).alias("xd_size"), best)
-    return checkpointed(found.where("xd_size > 1").select("xd_full", "xd_size", (-F.col("best.neg")).alias("xd_keep")))
+    return checkpointed(found.where("xd_size > 1").select("xd_full", "xd_size", (-F.col("best.neg")).alias("xd_keep"), F.col("best.xd_points").alias("xd_most")))
 
 
 def exact_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -73,7 +74,7 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", dige
     slim = df.select(F.col(id_col).alias("xd_id"), F.col(text).alias("xd_text"))
     rows = checkpointed(_hashed(slim, digest))
     # Rows proved to be alone have no hash; kept out of the join, they can't meet in the task of its null keys.
-    lone = rows.where("xd_full is null").withColumns({"xd_size": F.lit(None).cast("long"), "xd_keep": F.lit(None).cast("long")})
+    lone = rows.where("xd_full is null").withColumns({"xd_size": F.lit(None).cast("long"), "xd_keep": F.lit(None).cast("long"), "xd_most": F.lit(None).cast("int")})
     joined = rows.where("xd_full is not null").join(_groups(rows), "xd_full", "left").unionByName(lone)
     keep = F.when(F.col("xd_size").isNull(), F.col("xd_id")).otherwise(F.col("xd_keep"))
     extra = [F.col("xd_digest").alias("text_sha256")] if digest else []
@@ -81,7 +82,7 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", dige
         F.col("xd_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("xd_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("xd_id")).alias("kept"),
+        (keep.eqNullSafe(F.col("xd_id")) & F.coalesce(F.col("xd_most") == F.col("xd_points"), F.lit(True))).alias("kept"),
         *extra,
     )
 

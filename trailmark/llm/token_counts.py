@@ -9,7 +9,9 @@ Scale: the histogram has at most as many rows as the longest document has tokens
 dealt into ranges of `RANGE`, sums within a range are independent windows, and only one row per range meets in the window
 over ranges. A hot length is one row. Memory is bounded by one batch of texts.
 
-Nulls: a null text has length 0, as an empty one. An empty table gives an empty histogram. Repeated rows count each.
+Nulls: a null text has length 0, as an empty one. An empty table gives an empty histogram. Repeated rows count each. A very long
+text is encoded whole, in the row where it is read. Documents of one length are one row, so there are no ties. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
