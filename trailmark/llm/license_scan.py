@@ -16,7 +16,9 @@ configuration, so they fit anywhere. Matching is another pass without a shuffle.
 time linear in its words. Python gets texts in Arrow batches of at most 64 MB, and a longer text alone.
 
 Templates are single lines of notices and whole notices. A line has few words, so that nearly all must be there, in any
-order, within a block; in a whole notice a twelfth of the distinct words may be missing or replaced.
+order, within a block; in a whole notice a twelfth of the distinct words may be missing or replaced. Whole license texts come
+from a folder (`read_templates`) or a table (`templates_of`), of any length and number up to a size, beside or instead of these.
+Of tokens that are equally frequent the one that is less in bytes comes first.
 
 The base search counts the places where the words of a fixed phrase stand consecutively; its labels always stay.
 
@@ -31,12 +33,14 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import alnum_words
 
 BLOCK, STRIDE, THRESHOLD = 64, 32, 0.92
+#: Characters of all templates, about those of the two thousand longest public licenses.
+MOST_CHARS = 50_000_000
 # Base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 # Lines of public license notices.
@@ -77,6 +81,22 @@ NOTICES = (
 )
 
 
+def read_templates(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(label, text) of the files in a folder of license texts, each named by its label."""
+    files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1).alias("label"), F.col("value").alias("text"))
+    return templates_of(files)
+
+
+def templates_of(table: DataFrame, label: str = "label", text: str = "text") -> list[tuple[str, str]]:
+    """(label, text) of a table of license texts: configuration, of `MOST_CHARS` characters at most (an error beyond). Null or
+    wordless texts are left out."""
+    rows = table.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).where("label is not null and text is not null")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_CHARS:
+        raise ValueError(f"the templates have {size} characters; at most {MOST_CHARS} are taken")
+    return [(r["label"], r["text"]) for r in rows.orderBy("label", "text").collect() if alnum_words(r["text"])]
+
+
 def stride_of(n_words: int) -> int:
     """The stride of the blocks for a template of so many words, at least as long as it."""
     stride = STRIDE
