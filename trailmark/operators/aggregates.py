@@ -72,6 +72,28 @@ def sample_summary(samples: DataFrame, metrics: list[str], grade: str = "grade",
     return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), *aggs, F.avg(grade).alias("avg_grade"), F.max_by(grade, F.struct(F.abs(grade), grade)).alias("peak_grade"))
 
 
+def telemetry_block(frames: DataFrame, found: DataFrame, powered: DataFrame, batch: list[str], frame: str = "frame", key: str = "ride_id") -> DataFrame:
+    """(batch, block): a text about each batch's frames, numbered in their order: a line with mean speed (and power) of those
+    that have a speed, then one for each frame with its speed in mph, power in watts, heart rate and gradient, or without data.
+
+    `frames` has the batch's columns and `frame`; `found` those of `sample_points` beside them; `powered` (key, has_power) tells of
+    each entity whether power is told. Lines are put in order within the aggregate, whose group is one batch.
+    """
+    whole = lambda x: F.bround(x, 0).cast("long").cast("string")
+    grade = F.coalesce("grade", num(0))
+    steep = F.concat(F.when(grade < 0, "-").otherwise("+"), whole(F.abs(grade)), F.lit("%"))
+    rows = frames.select(*batch, frame).join(found.select(*batch, frame, "speed", "power", "heart_rate", "grade"), [*batch, frame], "left").join(powered.select(key, "has_power"), key, "left")
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy(*batch).orderBy(frame)) - 1)
+    watts = F.when(F.col("has_power"), F.coalesce("power", F.lit(0)))
+    told = F.concat_ws(" ", F.concat(whole(mph(F.col("speed"))), F.lit("mph")), F.concat(watts.cast("string"), F.lit("W")), F.concat(F.coalesce("heart_rate", F.lit(0)).cast("string"), F.lit("bpm")), steep)
+    line = F.concat(F.lit("Frame "), F.col("number").cast("string"), F.lit(": "), F.when(F.col("speed").isNotNull(), told).otherwise("no data"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda x: x["line"]), "\n")
+    known = F.col("speed").isNotNull()
+    mean = F.concat_ws(" ", F.concat(F.lit("Baseline: avg "), whole(F.avg(F.when(known, mph(F.col("speed"))))), F.lit("mph")), F.concat(whole(F.avg(F.when(known, watts))), F.lit("W")))
+    rows = rows.groupBy(*batch).agg(text.alias("lines"), F.when(F.count(F.when(known, 1)) > 0, F.concat(mean, F.lit("\n"))).otherwise("").alias("head"))
+    return rows.select(*batch, F.concat("head", "lines").alias("block"))
+
+
 def text_lines(rows: DataFrame, line: Column, key: str, order: list[str], limit: int | None = None, name: str = "digest") -> DataFrame:
     """(key, digest, n): lines in order; beyond the limit, one line tells how many more there are."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -141,15 +163,15 @@ RAW_SUFFIXES = (".mp4", ".lrv", ".thm")
 RAW_FOLDERS = ("frames", "_work")
 
 
-def retention(files: DataFrame, cutoff: Column, key: str = "ride_folder") -> DataFrame:
+def retention(files: DataFrame, cutoff: Column, key: str = "ride_folder", path: str = "path") -> DataFrame:
     """Per ride folder: raw files, raw folders and the bytes of both, whether it has highlights, and why it is skipped (null:
-    free it). Reports only. `files` has the folder, each file's `path` within it, `suffix` and `length`; a folder is
-    named by its date, and one of a later day than the cutoff is recent."""
+    free it). Reports only. `files` has the folder, each file's `path` within it (`ride_path` of an inventory), `suffix` and
+    `length`; a folder is named by its date, and one of a later day than the cutoff is recent."""
     day = F.try_to_date(F.regexp_extract(key, r"(?:^|/)(\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd")
-    top = F.regexp_extract("path", "^([^/]*)/", 1)
+    top = F.regexp_extract(path, "^([^/]*)/", 1)
     raw = (top == "") & F.lower("suffix").isin(*RAW_SUFFIXES)
     within = top.isin(*RAW_FOLDERS)
-    shown = (top == "highlights") & F.col("path").rlike(r"^highlights/[^/]*\.mp4$")
+    shown = (top == "highlights") & F.col(path).rlike(r"^highlights/[^/]*\.mp4$")
     length = lambda m: F.coalesce(F.sum(F.when(m, F.col("length"))), F.lit(0))
     rows = files.groupBy(key).agg(F.count(F.when(raw, 1)).alias("raw_files"), F.count_distinct(F.when(within, top)).alias("raw_folders"), length(raw | within).alias("raw_bytes"), F.bool_or(shown).alias("has_highlights"))
     clean = (F.col("raw_files") == 0) & (F.col("raw_folders") == 0)

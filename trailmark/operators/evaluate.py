@@ -52,3 +52,9 @@ def top_overflags(pairs: DataFrame, limit: int = 15, key: str = "ride_id", order
     rows = pairs.where("outcome = 'model_only'").withColumn("top_score", F.greatest("model_visual", "model_action"))
     w = Window.partitionBy(key).orderBy(F.desc("top_score"), order)
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+def missed(pairs: DataFrame, key: str = "ride_id", order: str = "label_id") -> DataFrame:
+    """The label_only rows of all entities with their ratings, numbered by entity in label order, as a report."""
+    rows = pairs.where("outcome = 'label_only'").select(key, order, "label_type", "label_visual", "label_action")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -55,25 +55,32 @@ def road_attribution(points: DataFrame, matches: DataFrame, ways: DataFrame, ref
 
 
 def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str = "ride_id", pid: str = "seq", poly: str = "poly_id", cell: float = 0.1) -> DataFrame:
-    """(key, pid, poly) of points inside polygons, by ray casting over edges; points and polygons meet in grid cells."""
+    """(key, pid, poly) of points inside polygons, by ray casting. Points and polygons' boxes meet in grid cells. A polygon's
+    height is cut into rows, about twice the root of its edges, and an edge stands in the rows that it crosses, so a point in the
+    box meets only edges of its row, and a polygon with many points is as many keys as rows."""
     w = Window.partitionBy(poly).orderBy("idx")
     edges = vertices.select(poly, "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"), F.first("lat").over(w).alias("lat0"), F.first("lon").over(w).alias("lon0"))
     edges = edges.select(poly, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.coalesce("lat2", "lat0").alias("lat2"), F.coalesce("lon2", "lon0").alias("lon2"))
-    boxes = vertices.groupBy(poly).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    boxes = vertices.groupBy(poly).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.ceil(2 * F.sqrt(F.count(F.lit(1)).cast("double"))).cast("int").alias("n_rows"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     boxed = boxes.withColumn("cy", F.explode(span("s", "n"))).withColumn("cx", F.explode(span("w", "e")))
+    # The row of a latitude rises with it, so an edge's rows hold those of all latitudes between its ends.
+    row = lambda lat: F.when(F.col("n") > F.col("s"), F.floor((lat - F.col("s")) / (F.col("n") - F.col("s")) * F.col("n_rows"))).otherwise(F.lit(0))
+    rising = edges.where("lat1 <> lat2").join(boxes.select(poly, "s", "n", "n_rows"), poly)  # a level edge crosses no ray
+    rising = rising.withColumn("row", F.explode(F.sequence(row(F.least("lat1", "lat2")), row(F.greatest("lat1", "lat2"))))).drop("s", "n", "n_rows")
     spots = points.where("lat is not null and lon is not null").select(key, pid, "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    inside_box = spots.join(boxed, ["cy", "cx"]).where("lat between s and n and lon between w and e").select(key, pid, "lat", "lon", poly)
-    crossed = inside_box.join(edges, poly).where(crosses_ray(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    inside_box = spots.join(boxed, ["cy", "cx"]).where("lat between s and n and lon between w and e").select(key, pid, "lat", "lon", poly, row(F.col("lat")).alias("row"))
+    crossed = inside_box.join(rising, [poly, "row"]).where(crosses_ray(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     return crossed.groupBy(key, pid, poly).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(key, pid, poly)
 
 
 def park_share(points: DataFrame, inside: DataFrame, names: DataFrame, key: str = "ride_id", pid: str = "seq", poly: str = "poly_id") -> DataFrame:
-    """(key, park, share): the park name, over all polygons of that name, that holds most of the ride's points."""
+    """(key, park, share): the park name, over all polygons of that name, that holds most of the ride's points; of names that
+    hold as many, the one whose first polygon with a point, by id, comes first."""
     total = points.where("lat is not null and lon is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
-    held = inside.join(names.select(poly, "name"), poly).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
-    top = held.groupBy(key).agg(F.max(F.struct("n", "name")).alias("top"))
-    return total.join(top, key, "left").select(key, F.coalesce("top.name", F.lit("")).alias("park"), (F.coalesce("top.n", F.lit(0)) / F.col("n_points")).alias("share"))
+    held = inside.join(names.select(poly, "name"), poly).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"), F.min(poly).alias("first_poly"))
+    top = held.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), "first_poly", "name")).alias("top"))
+    return total.join(top, key, "left").select(key, F.coalesce("top.name", F.lit("")).alias("park"), (F.coalesce(-F.col("top.less"), F.lit(0)) / F.col("n_points")).alias("share"))
 
 
 def best_place(pins: DataFrame, places: DataFrame, radius_m: float = 2500.0, key: str = "ride_id", cell: float = 0.05) -> DataFrame:

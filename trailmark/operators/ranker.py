@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import VISION_SOURCES, num, stars_from_notes
@@ -65,3 +65,9 @@ def validated(rows: DataFrame, names: list[str], label: str = "selected", key: s
 def status(rows: DataFrame, label: str = "selected", key: str = "ride_id", least_rows: int = 100) -> DataFrame:
     """Rows, positives and their rate, entities, and rows that are still missing for training."""
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("n_positive"), F.bround(F.avg(F.col(label).cast("double")), 3).alias("rate"), F.countDistinct(key).alias("n_keys")).withColumn("remaining", F.greatest(F.lit(0), F.lit(least_rows) - F.col("n")))
+
+
+def top_weights(spark: SparkSession, model: dict, limit: int = 5) -> DataFrame:
+    """(feature, weight, place): a model's largest weights, by size without sign, at most `limit`, as a report."""
+    ordered = sorted(model["weights"].items(), key=lambda x: (-abs(x[1]), x[0]))[:limit]
+    return spark.createDataFrame([(name, float(w), i) for i, (name, w) in enumerate(ordered, 1)], "feature string, weight double, place int")

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import num
+from ..functions.scalars import RUBRIC_DIMS, num, parsed_json
 from .joins import batches
 from .timeseries import coverage_times, injected_times, merge_regions
 
@@ -114,6 +115,89 @@ def valid_frame(frame_index: str = "frame_index", size: int = 50):
     return F.coalesce(F.col(frame_index).between(0, size - 1) & F.col("visual").between(1, 5) & F.col("action").between(1, 5) & F.coalesce("crop_x", F.lit(50)).between(0, 100), F.lit(False))
 
 
+# --- replies as text ------------------------------------------------------------------------------------------------
+
+FRAME = "struct<frame_index:int,visual:int,action:int,clip_type:string,crop_x:int,reason:string>"
+RUBRIC = "struct<light:int,composition:int,motion:int,scenery:int,subject:int,peak_offset:double,clip_type:string,crop_x:int,reason:string>"
+
+
+def _at(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _whole(value: Column, path: str, low: int | None = None, high: int | None = None, default: int | None = None) -> tuple[Column, Column]:
+    """(value, whether it is a whole number within bounds), with a default where the field is missing or null."""
+    given = _at(value, path, "double")
+    ok = (given == F.floor(given)) & (F.lit(True) if low is None else given.between(low, high))
+    missing = _at(value, path, "variant").isNull() | F.is_variant_null(_at(value, path, "variant"))
+    if default is None:
+        return given.cast("int"), F.coalesce(ok, F.lit(False))
+    return F.when(missing, F.lit(default)).otherwise(given.cast("int")), missing | F.coalesce(ok, F.lit(False))
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.coalesce(_at(value, path, "string"), F.lit(""))
+
+
+def _reply(text: Column) -> tuple[Column, Column]:
+    """(variant, its kind: ARRAY, OBJECT, another, or null where nothing can be parsed), through `parsed_json`."""
+    value, ok = parsed_json(text)
+    parsed = F.when(ok, F.try_parse_json(value))
+    return parsed, F.regexp_extract(F.schema_of_variant(parsed), "^[A-Z]+", 0)
+
+
+def _listed(parsed: Column, kind: Column, field: str) -> Column:
+    """The elements of an array, or of the array that an object holds in `field`; else null."""
+    inner = _at(parsed, f"$.{field}", "variant")
+    held = F.startswith(F.schema_of_variant(inner), F.lit("ARRAY"))
+    return F.when(kind == "ARRAY", _at(parsed, "$", "array<variant>")).when((kind == "OBJECT") & held, _at(parsed, f"$.{field}", "array<variant>"))
+
+
+def _or_error(items: Column, ok: Column, parsed: Column, kind: Column, what: str) -> Column:
+    """struct<value, error>: `items` if they are there and `ok`."""
+    error = F.when(parsed.isNull(), "no JSON").when(items.isNull(), F.concat(F.lit(f"no {what} in "), F.lower(kind))).when(~ok, f"invalid {what}")
+    return F.struct(F.when(error.isNull(), items).alias("value"), error.alias("error"))
+
+
+def frames_in(text: Column) -> Column:
+    """struct<value: array of `FRAME`, error> of a reply to the coarse pass: an array of frames, or an object that holds one as
+    `frames`. One invalid frame (no whole frame_index; visual or action not whole or not in 1-5; crop_x not in 0-100) makes the
+    reply an error."""
+    parsed, kind = _reply(text)
+
+    def frame(x: Column) -> tuple[Column, Column]:
+        parts = {"frame_index": _whole(x, "$.frame_index"), "visual": _whole(x, "$.visual", 1, 5), "action": _whole(x, "$.action", 1, 5), "crop_x": _whole(x, "$.crop_x", 0, 100, 50)}
+        values = {name: value for name, (value, _) in parts.items()} | {c: _text(x, f"$.{c}") for c in ("clip_type", "reason")}
+        order = [part.split(":")[0] for part in FRAME.removeprefix("struct<").removesuffix(">").split(",")]
+        return F.struct(*[values[c].alias(c) for c in order]), reduce(lambda a, b: a & b, (ok for _, ok in parts.values()))
+
+    items = _listed(parsed, kind, "frames")
+    return _or_error(F.transform(items, lambda x: frame(x)[0]), F.forall(items, lambda x: frame(x)[1]), parsed, kind, "frames")
+
+
+def indices_in(text: Column) -> Column:
+    """struct<value: array<int>, error> of a reply to the story selection: an array of whole numbers, or an object that holds one
+    as `indices`."""
+    parsed, kind = _reply(text)
+    items = _listed(parsed, kind, "indices")
+    number = lambda x: F.schema_of_variant(x).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+    return _or_error(F.transform(items, lambda x: _at(x, "$", "int")), F.forall(items, lambda x: F.coalesce(number(x) & _at(x, "$", "int").isNotNull(), F.lit(False))), parsed, kind, "indices")
+
+
+def rubric_in(text: Column) -> Column:
+    """struct<value: `RUBRIC`, error> of a reply to the fine pass: an object, or the first of an array of objects; five whole
+    numbers in 1-10, and an offset in 0-1, by default the middle."""
+    parsed, kind = _reply(text)
+    one = F.when(kind == "ARRAY", F.get(_at(parsed, "$", "array<variant>"), F.lit(0))).otherwise(parsed)
+    one = F.when(F.startswith(F.schema_of_variant(one), F.lit("OBJECT")), one)
+    dims = {c: _whole(one, f"$.{c}", 1, 10) for c in RUBRIC_DIMS} | {"crop_x": _whole(one, "$.crop_x", 0, 100, 50)}
+    offset = F.coalesce(_at(one, "$.peak_offset", "double"), num(0.5))
+    values = {c: v for c, (v, _) in dims.items()} | {"peak_offset": offset} | {c: _text(one, f"$.{c}") for c in ("clip_type", "reason")}
+    order = [part.split(":")[0] for part in RUBRIC.removeprefix("struct<").removesuffix(">").split(",")]
+    ok = reduce(lambda a, b: a & b, (ok for _, ok in dims.values())) & offset.between(0, 1)
+    return _or_error(F.when(one.isNotNull(), F.struct(*[values[c].alias(c) for c in order])), ok, parsed, kind, "rubric")
+
+
 def scan(clips: DataFrame, frames: DataFrame, coarse: Scorer, fine: Scorer, cache: DataFrame | None = None, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(ratings, tally) of clips that the cache (clip_name) lacks: coarse pass, hot windows, fine pass."""
     todo = clips if cache is None else clips.join(cache.select("clip_name").distinct(), "clip_name", "left_anti")

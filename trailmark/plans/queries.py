@@ -6,6 +6,7 @@ Time bounds are scaled to hours, as users' events are hours apart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -424,10 +425,21 @@ def j10_points_in_polygons(spark, d):
     return inside.groupBy("ride_id", "seq").agg(F.count(F.lit(1)).alias("n_parks"))
 
 
-@query()
+PARK_SHARE = PARKS + """,
+  held AS (SELECT ride_id, name, count(*) AS n, min(poly_id) AS first_poly FROM inside GROUP BY ALL),
+  best AS (SELECT ride_id, max(n) AS n, arg_min(name, (-n, first_poly, name)) AS name FROM held GROUP BY ride_id),
+  shares AS (SELECT ride_id, coalesce(name, '') AS park, coalesce(n, 0) / n_points AS share FROM (SELECT ride_id, count(*) AS n_points FROM points GROUP BY ride_id) LEFT JOIN best USING (ride_id))"""
+
+
+def _shifted(spark, d):
+    """Points off the corners of parks, where rounding would decide."""
+    return points(spark, d).withColumn("lat", F.col("lat") + 1e-9).withColumn("lon", F.col("lon") + 1e-9)
+
+
+@query(PARK_SHARE + " SELECT * FROM shares")
 def j10_park_share(spark, d):
     parks = _parks(spark, d)
-    p = points(spark, d)
+    p = _shifted(spark, d)
     return geo.park_share(p, geo.points_in_polygons(p, parks), parks.select("poly_id", "name").distinct())
 
 
@@ -500,17 +512,32 @@ def j16_nearest_vertex(spark, d):
     return at.select("ride_id", F.when(F.col("ride_id") % 2 == 0, sq(F.lit(40.05), F.lit(-73.95))).otherwise(-sq(F.col("f.lat"), F.col("f.lon"))).alias("m"))
 
 
-@query()
+#: Clips of a few minutes, of which every second is asked.
+SHORT_CLIPS = CLIPS + """,
+  short AS (SELECT ride_id, clip_name, round(clip_start * 1e6)::BIGINT AS c, floor(duration_secs / 450)::BIGINT AS last_ FROM clips),
+  secs AS (SELECT ride_id, clip_name, c, unnest(range(0, last_ + 1)) AS k FROM short),
+  at_ AS (SELECT ride_id, clip_name, k, c + k * 1000000 AS us FROM secs),
+  pt AS (SELECT ride_id, seq, epoch_us(ts) - epoch_us(t0) AS us FROM points JOIN base USING (ride_id)),
+  one AS (SELECT ride_id, us, min(seq) AS seq FROM pt GROUP BY ALL),
+  early AS (SELECT a.*, o.us AS us0, o.seq AS seq0 FROM at_ a ASOF LEFT JOIN one o ON a.ride_id = o.ride_id AND a.us >= o.us),
+  both_ AS (SELECT e.*, o.us AS us1, o.seq AS seq1 FROM early e ASOF LEFT JOIN one o ON e.ride_id = o.ride_id AND e.us <= o.us),
+  fed AS (SELECT ride_id, clip_name, k, CASE WHEN us1 IS NULL OR us - us0 <= us1 - us THEN seq0 ELSE seq1 END AS seq FROM both_)"""
+GRADED = """,
+  steps AS (SELECT ride_id, seq, speed, distance, altitude, altitude - lag(altitude) OVER w AS rise, distance - lag(distance) OVER w AS run FROM points WINDOW w AS (PARTITION BY ride_id ORDER BY ts, seq)),
+  graded AS (SELECT *, CASE WHEN rise IS NULL OR run IS NULL OR run < 0.5 THEN 0 ELSE rise / run * 100 END AS grade FROM steps)"""
+
+
+@query(SHORT_CLIPS + GRADED + """
+  SELECT ride_id, clip_name, k::DOUBLE AS video_sec, seq, round(grade, 6) AS grade, round(nullif(speed, 0) * 2.23694, 9) AS mph, round(nullif(distance, 0) / 1609.344, 6) AS miles, round(nullif(altitude, 0) * 3.28084, 6) AS feet FROM fed JOIN graded USING (ride_id, seq)""")
 def j17_clip_feed(spark, d):
-    """Each tenth minute of every clip with the nearest point, its gradient, mph, miles and feet."""
+    """Every second of each clip with the nearest point, its gradient, mph, miles and feet."""
     clips, _ = _clips(spark, d)
     p = timeseries.point_gradient(points(spark, d))
     base = p.groupBy("ride_id").agg(F.min("ts").alias("t0"))
-    grid = clips.join(base, "ride_id").select("ride_id", "clip_name", "clip_start", "t0", F.explode(F.sequence(F.lit(0), F.col("duration_secs").cast("int"), F.lit(600))).alias("video_sec"))
-    probes = grid.select("ride_id", "clip_name", "video_sec", (F.col("t0") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("clip_start") + F.col("video_sec")).cast("decimal(18,6)"))).alias("probe_ts"))
-    fed = joins.asof_nearest(probes, p, ["seq", "grade", "speed", "distance", "altitude"])
+    fed = joins.clip_feed(clips.withColumn("duration_secs", F.col("duration_secs") / 450), p, base, ["seq", "grade", "speed", "distance", "altitude"])
     none = lambda c: F.when(c != 0, c)
-    return fed.select("ride_id", "clip_name", "video_sec", "seq", "grade", none(s.mph(F.col("speed"))).alias("mph"), none(s.miles(F.col("distance"))).alias("miles"), none(s.feet(F.col("altitude"))).alias("feet"))
+    out = fed.select("ride_id", "clip_name", "video_sec", "seq", "grade", none(s.mph(F.col("speed"))).alias("mph"), none(s.miles(F.col("distance"))).alias("miles"), none(s.feet(F.col("altitude"))).alias("feet"))
+    return rounded(rounded(out, 6, "grade", "miles", "feet"), 9, "mph")
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------
@@ -589,6 +616,12 @@ def a7_roll_up(spark, d):
     return evaluate.roll_up(evaluate.agreement(_alignment(spark, d)))
 
 
+@query(RATED + """
+  SELECT ride_id, label_id, label_type, label_visual, label_action, (row_number() OVER (PARTITION BY ride_id ORDER BY label_id))::INT AS place FROM rated WHERE outcome = 'label_only'""")
+def a7_missed(spark, d):
+    return evaluate.missed(_pairs(spark, d))
+
+
 @query(RATED + """,
   top AS (SELECT ride_id, hit_id, greatest(model_visual, model_action) AS top_score FROM rated WHERE outcome = 'model_only')
   SELECT ride_id, hit_id, top_score, (row_number() OVER (PARTITION BY ride_id ORDER BY top_score DESC, hit_id))::INT AS place FROM top QUALIFY place <= 15""")
@@ -615,6 +648,26 @@ def a8_clip_telemetry(spark, d):
     return rounded(rows, 6, "avg_power", "avg_speed", "avg_heart_rate", "avg_grade", "peak_grade")
 
 
+@query(CLIPS + """,
+  smp AS (SELECT ride_id, clip_name, i, clip_start + i * greatest(0.5, duration_secs / 8) AS secs FROM clips, (SELECT unnest(range(0, 9)) AS i) WHERE i <= floor(duration_secs / greatest(0.5, duration_secs / 8))),
+  asked AS (SELECT ride_id, clip_name, i, 0 AS back, round(secs * 1e6)::BIGINT AS us FROM smp UNION ALL SELECT ride_id, clip_name, i, 5, round(greatest(0, secs - 5) * 1e6)::BIGINT FROM smp),
+  pt AS (SELECT ride_id, seq, epoch_us(ts) - epoch_us(t0) AS us, speed, power, heart_rate, altitude, distance FROM points JOIN base USING (ride_id)),
+  near AS (SELECT a.ride_id, clip_name, i, back, speed, power, heart_rate, altitude, distance, row_number() OVER (PARTITION BY a.ride_id, clip_name, i, back ORDER BY abs(pt.us - a.us), pt.us, seq) AS rn FROM asked a JOIN pt ON a.ride_id = pt.ride_id),
+  pair AS (SELECT n.*, p.altitude AS alt0, p.distance AS dist0 FROM near n JOIN near p USING (ride_id, clip_name, i) WHERE n.rn = 1 AND p.rn = 1 AND n.back = 0 AND p.back = 5),
+  g AS (SELECT *, speed * 2.23694 AS mph, CASE WHEN ride_id % 3 > 0 THEN coalesce(power, 0) END AS watts, CASE WHEN altitude - alt0 IS NULL OR distance - dist0 IS NULL OR distance - dist0 < 0.5 THEN 0 ELSE (altitude - alt0) / (distance - dist0) * 100 END AS grade FROM pair),
+  l AS (SELECT *, 'Frame ' || i || ': ' || CASE WHEN speed IS NULL THEN 'no data' ELSE concat_ws(' ', round_even(mph, 0)::BIGINT || 'mph', watts || 'W', coalesce(heart_rate, 0) || 'bpm', CASE WHEN grade < 0 THEN '-' ELSE '+' END || abs(round_even(grade, 0))::BIGINT || '%') END AS line FROM g)
+  SELECT ride_id, clip_name, CASE WHEN count(speed) > 0 THEN concat_ws(' ', 'Baseline: avg ' || round_even(avg(mph), 0)::BIGINT || 'mph', round_even(avg(watts) FILTER (speed IS NOT NULL), 0)::BIGINT || 'W') || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY i) AS block FROM l GROUP BY ALL""")
+def a9_telemetry_block(spark, d):
+    """The text about nine samples of each clip; every third ride is told without power."""
+    clips, _ = _clips(spark, d)
+    p = points(spark, d)
+    base = p.groupBy("ride_id").agg(F.min("ts").alias("t0"))
+    named = clips.select("ride_id", "clip_name", F.col("clip_start").alias("start_secs"), F.col("duration_secs").alias("length_secs"))
+    frames = aggregates.clip_samples(named, key=["ride_id", "clip_name"]).withColumnRenamed("sample_no", "frame")
+    powered = base.select("ride_id", (F.col("ride_id") % 3 > 0).alias("has_power"))
+    return aggregates.telemetry_block(frames, aggregates.sample_points(frames, p, base), powered, ["ride_id", "clip_name"])
+
+
 @query("""
   a AS (SELECT conv_id, turn, role || ': ' || coalesce(text, '') AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
   SELECT conv_id, string_agg(line, chr(10) ORDER BY rn) || CASE WHEN any_value(n) > 4 THEN chr(10) || '... ' || (any_value(n) - 4) || ' more' ELSE '' END AS digest, any_value(n) AS n FROM a WHERE rn <= 4 GROUP BY conv_id""")
@@ -1253,6 +1306,23 @@ def j18_proxies(spark, d):
     return out.select(F.regexp_extract("path", r"GX(\d+)", 1).cast("long").alias("c_custkey"), F.regexp_extract("proxy_path", r"[^/]*$", 0).alias("proxy_name"))
 
 
+@query("""
+  r AS (SELECT ride_id, seq, seq % 8 AS shape, (seq % 7)::INT AS v, (seq * 3 % 6)::INT AS a, seq % 5 = 0 AS twice FROM points),
+  t AS (SELECT *, shape IN (0, 1, 2, 3) AND v BETWEEN 1 AND 5 AND a BETWEEN 1 AND 5 AS ok FROM r)
+  SELECT ride_id, seq, CASE WHEN ok THEN CASE WHEN twice THEN 2 ELSE 1 END END AS n_frames, CASE WHEN ok THEN v END AS visual, CASE WHEN ok THEN CASE WHEN shape = 3 THEN 50 ELSE 7 END END AS crop_x,
+    CASE WHEN ok THEN NULL WHEN shape < 4 THEN 'invalid frames' WHEN shape = 4 THEN 'no frames in object' WHEN shape = 5 THEN 'no frames in bigint' ELSE 'no JSON' END AS error FROM t""")
+def bi5_frames_in_replies(spark, d):
+    """Replies of eight shapes: arrays, objects that hold one, fenced, with trailing commas, without frames, broken, empty."""
+    k = F.col("seq")
+    frame = F.format_string('{"frame_index": %d, "visual": %d, "action": %d%s}', k % 60, k % 7, k * 3 % 6, F.when(k % 8 == 3, "").otherwise(', "crop_x": 7'))
+    frames = F.concat(F.lit("["), frame, F.when(k % 5 == 0, F.concat(F.lit(", "), frame)).otherwise(""), F.lit("]"))
+    shapes = [frames, F.concat(F.lit('{"frames": '), frames, F.lit("}")), F.concat(F.lit("```json\n"), frames, F.lit("\n```")), F.regexp_replace(frames, "]$", ",]"), F.lit('{"items": []}'), F.lit("42"), F.lit("no reply ["), F.lit("")]
+    text = reduce(lambda a, i: F.when(k % 8 == i, shapes[i]).otherwise(a), range(8), F.lit(""))
+    rows = points(spark, d).select("ride_id", "seq", scoring.frames_in(text).alias("r"))
+    first = F.get("r.value", F.lit(0))
+    return rows.select("ride_id", "seq", F.when(F.col("r.value").isNotNull(), F.size("r.value")).alias("n_frames"), first["visual"].alias("visual"), first["crop_x"].alias("crop_x"), F.col("r.error").alias("error"))
+
+
 @query("SELECT ride_id, seq, (seq % 60 < 50 AND seq % 7 BETWEEN 1 AND 5 AND seq % 6 BETWEEN 1 AND 5) AS valid FROM points")
 def bi5_valid_scores(spark, d):
     k = F.col("seq")

@@ -127,6 +127,11 @@ def hydrated(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"id": F.coalesce("id", stable_id(F.col("clip_name"), F.col("anchor_video_secs"))), "sources": F.coalesce("sources", F.array("source"))})
 
 
+def saved_sync(spark: SparkSession, path: str, key: str = "ride_id", kind: str = "string") -> DataFrame:
+    """Clock reports that `sinks.save_sync` wrote: the key, its type as given, and the report's fields."""
+    return spark.read.schema(f"{SYNC}, `{key}` {kind}").json(path)
+
+
 def clip_offset_rows(sync: DataFrame, key: str = "ride_id") -> DataFrame:
     """(key, clip_name, offset) of a clock report's map."""
     return sync.select(key, F.explode("per_chapter").alias("clip_name", "offset"))
@@ -173,10 +178,35 @@ def osm_places(osm: DataFrame) -> DataFrame:
     return rows.where("name is not null and rank is not null and lat is not null and lon is not null")
 
 
-def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(ride_folder, path, suffix, length, modified) of files below `path`; their content isn't read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("ride_folder"), "path", F.lower(F.regexp_extract("path", r"\.[^./]*$", 0)).alias("suffix"), "length", F.col("modificationTime").alias("modified"))
+def ride_paths(file: Column, root: str) -> tuple[Column, Column]:
+    """(ride folder, path within it) of a file below `root`. The ride folder is the topmost folder below the root that is named by
+    a date, else the nearest such folder of the whole path (the root may lie in one); a file in no such folder has the topmost
+    folder below the root, or none."""
+    top = root.rstrip("/").removeprefix("file:").lstrip("/") + "/"
+    after = F.locate(f"/{top}", file)
+    below = F.when(after > 0, F.substr(file, after + len(top) + 1, F.length(file))).otherwise(file)
+    day = r"\d{4}-\d{2}-\d{2}"
+    inner, outer = rf"^(?:.*?/)??({day})/(.+)$", rf"^.*/({day})/(.+)$"
+    part = lambda i: F.when(below.rlike(inner), F.regexp_extract(below, inner, i)).when(file.rlike(outer), F.regexp_extract(file, outer, i)).otherwise(F.regexp_extract(below, "^(?:([^/]+)/)?(.*)$", i))
+    return part(1), part(2)
+
+
+#: Folders that a listing leaves out by their names, and how deep below the root they are looked for by name (fixed values).
+UNLISTED, DEEPEST = ("_work",), 3
+
+
+def file_inventory(spark: SparkSession, path: str, glob: str = "*", unlisted: tuple[str, ...] = UNLISTED) -> DataFrame:
+    """(ride_folder, path, ride_path, suffix, length, modified) of files below `path`: `path` is the whole one, `ride_path` that
+    within the ride folder, both told by `ride_paths`. Content isn't read. Folders whose names begin with an underscore aren't
+    listed with others; those named in `unlisted` are, if they are at most `DEEPEST` folders below the root."""
+    root = path.rstrip("/")
+    named = [f"{root}/{'*/' * d}{name}" for name in unlisted for d in range(DEEPEST + 1)]
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    found = [p for p in named if at(p).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at(p))]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    rows = files.load(path) if not found else files.load(path).unionByName(files.load(found))
+    folder, within = ride_paths(F.col("path"), path)
+    return rows.select(folder.alias("ride_folder"), "path", within.alias("ride_path"), F.lower(F.regexp_extract("path", r"\.[^./]*$", 0)).alias("suffix"), "length", F.col("modificationTime").alias("modified"))
 
 
 def frame_files(manifests: DataFrame, key: str = "ride_id") -> DataFrame:
