@@ -177,3 +177,10 @@ def test_pools_are_told_apart(spark):
         want |= {(ride, layout, c["seq"], c["t"], c["score"], i) for layout in "ab" for i, c in enumerate(picks, 1)}
     assert {tuple(r) for r in got} == want
     assert selection.selected(df.limit(0), 12).count() == 0
+
+
+def test_the_cap_keeps_all_columns(spark):
+    rows = spark.createDataFrame([(1, i, float(i % 9), i % 7 == 0, i, i + 1, -i) for i in range(120)], "ride_id long, seq long, score double, must_include boolean, rank0 int, place int, band int")
+    out = candidates.capped(rows, 40)
+    assert out.columns == rows.columns
+    assert all((r["rank0"], r["place"], r["band"]) == (r["seq"], r["seq"] + 1, -r["seq"]) for r in out.collect())

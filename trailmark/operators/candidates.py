@@ -173,17 +173,17 @@ def _joined(entry: dict, item: dict) -> dict:
 
 def capped(rows: DataFrame, limit: int = 90, top_share: float = 0.6, key: str = "ride_id", score: str = "score", seq: str = "seq", must: str | None = "must_include") -> DataFrame:
     """At most `limit` rows for an entity, as a feature: must-includes, then the best up to the top share of the limit, then
-    in turn from the low, middle and high scores, best first in each."""
+    in turn from the low, middle and high scores, best first in each. All columns of `rows` stay."""
     kept = F.coalesce(F.col(must), F.lit(False)) if must else F.lit(False)
     w = Window.partitionBy(key)
-    rows = rows.withColumn("must0", kept).withColumn("n_must", F.count_if("must0").over(w)).withColumn("n_all", F.count(F.lit(1)).over(w))
-    rows = rows.withColumn("rank0", F.row_number().over(Window.partitionBy(key, "must0").orderBy(F.desc(score), seq)))
-    quota = F.greatest(F.lit(0), F.floor(F.lit(limit * top_share)).cast("int") - F.col("n_must"))
-    rows = rows.withColumn("stage", F.when(F.col("n_all") <= limit, 0).when(F.col("must0"), 0).when(F.col("rank0") <= quota, 1).otherwise(2))
+    rows = rows.withColumn("cap_must0", kept).withColumn("cap_n_must", F.count_if("cap_must0").over(w)).withColumn("cap_n_all", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("cap_rank0", F.row_number().over(Window.partitionBy(key, "cap_must0").orderBy(F.desc(score), seq)))
+    quota = F.greatest(F.lit(0), F.floor(F.lit(limit * top_share)).cast("int") - F.col("cap_n_must"))
+    rows = rows.withColumn("cap_stage", F.when(F.col("cap_n_all") <= limit, 0).when(F.col("cap_must0"), 0).when(F.col("cap_rank0") <= quota, 1).otherwise(2))
     band = F.when(F.col(score) < BAND_LOW, 0).when(F.col(score) < BAND_HIGH, 1).otherwise(2)
-    rows = rows.withColumn("band", band).withColumn("turn", F.row_number().over(Window.partitionBy(key, "stage", "band").orderBy(F.desc(score), seq)))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("stage", F.when(F.col("stage") == 2, F.col("turn")).otherwise(F.col("rank0")), F.when(F.col("stage") == 2, F.col("band")).otherwise(0), seq))
-    return rows.withColumn("place", place).where((F.col("place") <= limit) | F.col("must0")).drop("must0", "n_must", "n_all", "rank0", "stage", "band", "turn", "place")
+    rows = rows.withColumn("cap_band", band).withColumn("cap_turn", F.row_number().over(Window.partitionBy(key, "cap_stage", "cap_band").orderBy(F.desc(score), seq)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("cap_stage", F.when(F.col("cap_stage") == 2, F.col("cap_turn")).otherwise(F.col("cap_rank0")), F.when(F.col("cap_stage") == 2, F.col("cap_band")).otherwise(0), seq))
+    return rows.withColumn("cap_place", place).where((F.col("cap_place") <= limit) | F.col("cap_must0")).drop("cap_must0", "cap_n_must", "cap_n_all", "cap_rank0", "cap_stage", "cap_band", "cap_turn", "cap_place")
 
 
 def fillers(samples: DataFrame, taken: DataFrame, needed: DataFrame, gap: float = 10.0, factor: float = 0.05, most: float = 0.9, key: str = "ride_id", step: float | None = None) -> DataFrame:

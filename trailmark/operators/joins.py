@@ -65,9 +65,11 @@ def first_containing(probes: DataFrame, clips: DataFrame, key: str = "ride_id",
     bucket = lambda x: F.floor(x / bucket_secs)
     spans = clips.where(F.col(start) <= F.col(end)).select(F.col(key).alias("c_key"), F.col(clip).alias("c_name"), F.col(start).alias("c_start"), F.col(end).alias("c_end"))
     spans = spans.withColumn("c_bucket", F.explode(F.sequence(bucket(F.col("c_start")), bucket(F.col("c_end")))))
-    rows = probes.select(F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("probe"), F.col(key).alias("p_key"), F.col(at).alias("p_at"), F.monotonically_increasing_id().alias("p_number"))
-    inside = (F.col("p_key") == F.col("c_key")) & (bucket(F.col("p_at")) == F.col("c_bucket")) & F.col("p_at").between(F.col("c_start"), F.col("c_end"))
-    found = rows.join(spans, inside, how).groupBy("p_number").agg(F.first("probe").alias("probe"), F.min(F.when(F.col("c_name").isNotNull(), F.struct("c_start", "c_name"))).alias("best"))
+    rows = probes.select(F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("probe"), F.col(key).alias("p_key"), F.col(at).alias("p_at"), bucket(F.col(at)).alias("p_bucket"), F.monotonically_increasing_id().alias("p_number"))
+    inside = (F.col("p_key") == F.col("c_key")) & (F.col("p_bucket") == F.col("c_bucket")) & F.col("p_at").between(F.col("c_start"), F.col("c_end"))
+    # Grouped by the join's keys too, so that the join's partitions serve.
+    best = F.min(F.when(F.col("c_name").isNotNull(), F.struct("c_start", "c_name"))).alias("best")
+    found = rows.join(spans, inside, how).groupBy("p_key", "p_bucket", "p_number").agg(F.first("probe").alias("probe"), best)
     return found.select("probe.*", F.col("best.c_name").alias(clip), (F.col(f"probe.{at}") - F.col("best.c_start")).alias("video_secs"))
 
 

@@ -95,9 +95,21 @@ def ts3_sprints(spark, d):
     return timeseries.sprints(points(spark, d), min_power=300, min_cadence=80, min_secs=HOUR)
 
 
-@query(RUNS + "," + CLIMBS + ", hl AS (SELECT * FROM found UNION ALL SELECT * FROM climbs)," + MERGED + "SELECT ride_id, start_ts, end_ts, reason, round(score, 6) AS score, peak_value, peak_ts, n_merged FROM merged")
+def _told_sql(gap_micros: int) -> str:
+    """Intervals of `hl` merged, with what the last step of a merge is called."""
+    return MERGED.replace("7200000000", str(gap_micros)) + """,
+  before_ AS (SELECT *, arg_max(struct_pack(reason, peak_ts, start_ts), (score, -rn)) OVER w AS prev, min(start_ts) OVER w AS prev_start FROM g WINDOW w AS (PARTITION BY ride_id, grp ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  step_ AS (SELECT ride_id, grp, rn, CASE WHEN prev IS NULL THEN NULL
+      WHEN prev.reason = 'climb' AND reason = 'speed_spike' THEN CASE WHEN coalesce(prev.peak_ts, prev_start) <= coalesce(peak_ts, start_ts) THEN 'descent over crest' ELSE 'sprint into climb' END
+      WHEN prev.reason = 'speed_spike' AND reason = 'climb' THEN CASE WHEN coalesce(peak_ts, start_ts) <= coalesce(prev.peak_ts, prev_start) THEN 'descent over crest' ELSE 'sprint into climb' END
+      ELSE 'merged: ' || prev.reason || ' + ' || reason END AS step FROM before_),
+  named AS (SELECT ride_id, grp, arg_max_null(step, rn) AS description FROM step_ GROUP BY ALL),
+  told AS (SELECT ride_id, grp, min(start_ts) AS start_ts, max(end_ts) AS end_ts, arg_max(reason, (score, -rn)) AS reason, max(score) AS score, arg_max(peak_value, (score, -rn)) AS peak_value, arg_max(peak_ts, (score, -rn)) AS peak_ts, count(*) AS n_merged, any_value(description) AS description FROM g JOIN named USING (ride_id, grp) GROUP BY ride_id, grp)"""
+
+
+@query(RUNS + "," + CLIMBS + ", hl AS (SELECT * FROM found UNION ALL SELECT * FROM climbs)," + _told_sql(7_200_000_000) + "SELECT ride_id, start_ts, end_ts, reason, round(score, 6) AS score, peak_value, peak_ts, n_merged, description FROM told")
 def ts5_merged_intervals(spark, d):
-    return rounded(_merged(spark, d).drop("description"), 6, "score")
+    return rounded(_merged(spark, d), 6, "score")
 
 
 @query("""
@@ -108,10 +120,28 @@ def ts4_padded(spark, d):
     return rounded(timeseries.padded(_runs(spark, d), bounds, 5 * HOUR, 10 * HOUR).select("ride_id", "start_ts", "end_ts", "score"), 6, "score")
 
 
-@query()
+def _detector_sql(name: str, value: str, hit: str, secs: int, score: str) -> str:
+    """A table `name` of runs of rows where `hit` holds."""
+    return f"""
+  {name}_m AS (SELECT ride_id, ts, seq, {value}::DOUBLE AS v, coalesce({hit}, false) AS ok, lead(ts) OVER w AS next_ts, row_number() OVER w AS rn FROM points WINDOW w AS (PARTITION BY ride_id ORDER BY ts, seq)),
+  {name}_i AS (SELECT *, rn - row_number() OVER (PARTITION BY ride_id, ok ORDER BY rn) AS island FROM {name}_m),
+  {name}_r AS (SELECT ride_id, min(ts) AS start_ts, arg_max_null(next_ts, rn) AS end_ts, max(v) AS peak_value, arg_max(ts, (v, -rn)) AS peak_ts FROM {name}_i WHERE ok GROUP BY ride_id, island),
+  {name} AS (SELECT ride_id, start_ts, end_ts, '{name}' AS reason, {score}::DOUBLE AS score, peak_value, peak_ts FROM {name}_r WHERE epoch_us(end_ts) - epoch_us(start_ts) >= {secs}000000)"""
+
+
+def _spike_sql(name: str, value: str, low: int, high: int, secs: int) -> str:
+    return _detector_sql(name, value, f"{value} BETWEEN {low} AND {high}", secs, f"least(1, (peak_value - {low}) / {low} + 0.5)")
+
+
+@query(_spike_sql("power_spike", "power", 348, 1500, 10) + "," + _spike_sql("speed_spike", "speed", 12, 22, 10) + "," + _spike_sql("high_heart_rate", "heart_rate", 171, 220, 30) + "," + _detector_sql("sprint", "power", "coalesce(power, 0) >= 400 AND coalesce(cadence, 0) >= 100", 5, "least(1, peak_value / 800)") + """,
+  c0 AS (SELECT ride_id, ts, altitude AS v, first_value(ts) OVER w AS s_ts, first_value(altitude) OVER w AS s_v FROM points WINDOW w AS (PARTITION BY ride_id ORDER BY ts RANGE BETWEEN INTERVAL 2 MINUTE PRECEDING AND CURRENT ROW)),
+  climb AS (SELECT ride_id, s_ts AS start_ts, ts AS end_ts, 'climb' AS reason, least(1.0, (v - s_v) / 45) AS score, v - s_v AS peak_value, ts AS peak_ts FROM c0 WHERE v - s_v >= 15),
+  hl AS (SELECT * FROM power_spike UNION ALL SELECT * FROM speed_spike UNION ALL SELECT * FROM high_heart_rate UNION ALL SELECT * FROM climb UNION ALL SELECT * FROM sprint),""" + _told_sql(15_000_000) + """,
+  bounds AS (SELECT ride_id, min(ts) AS first_ts, max(ts) AS last_ts FROM points GROUP BY ride_id)
+  SELECT ride_id, greatest(start_ts - INTERVAL 5 SECOND, first_ts) AS start_ts, least(end_ts + INTERVAL 10 SECOND, last_ts) AS end_ts, reason, round(score, 6) AS score, peak_value, peak_ts, n_merged, description FROM told JOIN bounds USING (ride_id)""")
 def ts6_highlights(spark, d):
     """All detectors with their gates, merged, padded and clamped."""
-    return timeseries.highlights(points(spark, d), 348, 12, 171)
+    return rounded(timeseries.highlights(points(spark, d), 348, 12, 171), 6, "score")
 
 
 @query("""
@@ -166,14 +196,15 @@ def ts12_trimmed_lead(spark, d):
 @query("""
   a AS (SELECT ride_id, ts, seq, lat - lag(lat) OVER w AS dlat, (lon - lag(lon) OVER w) * cos(radians(lat)) AS dlon FROM points WINDOW w AS (PARTITION BY ride_id ORDER BY ts, seq)),
   b AS (SELECT ride_id, seq, coalesce(sum(dlat) OVER w, 0) AS y, coalesce(sum(dlon) OVER w, 0) AS x FROM a WINDOW w AS (PARTITION BY ride_id ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-  SELECT ride_id, seq, round((degrees(atan2(round(x, 9), round(y, 9))) + 360) % 360, 2) AS heading FROM b WHERE abs(x) + abs(y) > 0.0005""")
+  SELECT ride_id, seq, CASE WHEN abs(x) + abs(y) > 0.0005 THEN round((degrees(atan2(round(x, 9), round(y, 9))) + 360) % 360, 2) END AS heading FROM b""")
 def ts13_heading(spark, d):
     p = points(spark, d)
     w = Window.partitionBy("ride_id").orderBy("ts", "seq")
     step = p.withColumn("dlat", F.col("lat") - F.lag("lat").over(w)).withColumn("dlon", (F.col("lon") - F.lag("lon").over(w)) * F.cos(F.radians("lat")))
     recent = w.rowsBetween(-9, 0)
-    far = step.withColumn("far", F.abs(F.coalesce(F.sum("dlat").over(recent), F.lit(0.0))) + F.abs(F.coalesce(F.sum("dlon").over(recent), F.lit(0.0)))).where("far > 0.0005").select("ride_id", "seq")
-    return rounded(timeseries.heading(p), 2, "heading").select("ride_id", "seq", "heading").join(far, ["ride_id", "seq"], "left_semi")
+    far = step.withColumn("far", F.abs(F.coalesce(F.sum("dlat").over(recent), F.lit(0.0))) + F.abs(F.coalesce(F.sum("dlon").over(recent), F.lit(0.0)))).select("ride_id", "seq", "far")
+    told = rounded(timeseries.heading(p), 2, "heading").select("ride_id", "seq", "heading").join(far, ["ride_id", "seq"])
+    return told.select("ride_id", "seq", F.when(F.col("far") > 0.0005, F.col("heading")).alias("heading"))  # of no movement there is no heading
 
 
 SAMPLES = """
@@ -229,12 +260,20 @@ def ts18_coverage_times(spark, d):
     return c.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.sum(F.size("times")).alias("n_times"), F.round(F.sum(total), 6).alias("total"))
 
 
-@query()
+@query("""RECURSIVE
+  views AS (SELECT ride_id, coalesce(list(value ORDER BY ts, seq) FILTER (event_type = 'view'), []) AS hot FROM points GROUP BY ride_id),
+  clicks AS (SELECT ride_id, value, row_number() OVER (PARTITION BY ride_id ORDER BY ts, seq) AS i FROM points WHERE event_type = 'click'),
+  walk AS (
+    SELECT ride_id, 0::BIGINT AS i, hot AS have FROM views
+    UNION ALL
+    SELECT w.ride_id, c.i, CASE WHEN len([y FOR y IN have IF abs(y - value) < 5]) = 0 THEN list_append(have, value) ELSE have END FROM walk w JOIN clicks c ON c.ride_id = w.ride_id AND c.i = w.i + 1)
+  SELECT ride_id, array_to_string([round(y * 100)::BIGINT FOR y IN arg_max(have, i)], ',') AS times FROM walk GROUP BY ride_id""")
 def ts19_injected_times(spark, d):
-    """Per user, values of clicks injected into those of views unless within 5 of one before; in order of events."""
+    """Per user, values of clicks injected into those of views unless within 5 of one before; in order of events, in hundredths."""
     ordered = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.struct("ts", "seq", "value")))), lambda x: x["value"])
     rows = points(spark, d).groupBy("ride_id").agg(ordered("view").alias("hot"), ordered("click").alias("forced"))
-    return rows.select("ride_id", timeseries.injected_times(F.col("hot"), F.col("forced")).alias("times"))
+    times = timeseries.injected_times(F.col("hot"), F.col("forced"))
+    return rows.select("ride_id", F.array_join(F.transform(times, lambda y: F.round(y * 100).cast("long").cast("string")), ",").alias("times"))
 
 
 @query("""
@@ -400,12 +439,12 @@ def j9_map_match(spark, d):
   rf AS (SELECT ride_id, v, count(*) AS n, min(seq) AS seen FROM (SELECT ride_id, seq, unnest(string_split(ref, ';')) AS v FROM matched JOIN wn USING (way_id)) GROUP BY ALL),
   n1 AS (SELECT ride_id, max(n) AS n_name, arg_max(v, (n, -seen, v)) AS name FROM nm GROUP BY ride_id),
   r1 AS (SELECT ride_id, max(n) AS n_ref, arg_max(v, (n, -seen, v)) AS ref FROM rf GROUP BY ride_id)
-  SELECT ride_id, CASE WHEN coalesce(n_ref, 0) >= 10 AND coalesce(n_ref, 0) >= coalesce(n_name, 0) THEN ref ELSE coalesce(name, '') END AS road, coalesce(CASE WHEN coalesce(n_ref, 0) >= 10 AND coalesce(n_ref, 0) >= coalesce(n_name, 0) THEN n_ref ELSE n_name END, 0) AS n_road, n_points
+  SELECT ride_id, CASE WHEN coalesce(n_ref, 0) >= 10 AND coalesce(n_ref, 0) >= coalesce(n_name, 0) THEN ref ELSE coalesce(name, '') END AS road, coalesce(CASE WHEN coalesce(n_ref, 0) >= 10 AND coalesce(n_ref, 0) >= coalesce(n_name, 0) THEN n_ref ELSE n_name END, 0) AS n_road, n_points, round(n_road / n_points, 9) AS coverage
   FROM tot LEFT JOIN n1 USING (ride_id) LEFT JOIN r1 USING (ride_id)""")
 def a4_road_attribution(spark, d):
     p, ways = points(spark, d), _ways(spark, d)
     matches = geo.match_ways(p, geo.way_segments(ways), 250.0)
-    return geo.road_attribution(p, matches, ways.select("way_id", "name", "ref").distinct(), 10).drop("coverage")
+    return rounded(geo.road_attribution(p, matches, ways.select("way_id", "name", "ref").distinct(), 10), 9, "coverage")
 
 
 PARKS = """
@@ -459,12 +498,34 @@ def j11_best_place(spark, d):
     return geo.best_place(pins, _places(spark, d))
 
 
-@query()
+def _haversine_sql(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
+    return f"7917.6 * asin(sqrt(sin(radians({b_lat} - {a_lat}) / 2) ** 2 + cos(radians({a_lat})) * cos(radians({b_lat})) * sin(radians({b_lon} - {a_lon}) / 2) ** 2))"
+
+
+@query(WAYS + "," + PARK_SHARE.lstrip() + f""",
+  pl AS (SELECT 'town ' || s_suppkey AS name, 1 + s_suppkey % 4 AS rank, 40 + (s_suppkey % 100) / 100.0::DOUBLE AS lat, -74 + (s_suppkey % 9) / 100.0::DOUBLE AS lon FROM supplier),
+  wn AS (SELECT DISTINCT way_id, name, ref FROM way_v),
+  tot AS (SELECT ride_id, count(*) AS n_points FROM points GROUP BY ride_id),
+  nm AS (SELECT ride_id, name AS v, count(*) AS n, min(seq) AS seen FROM matched JOIN wn USING (way_id) GROUP BY ALL),
+  rf AS (SELECT ride_id, v, count(*) AS n, min(seq) AS seen FROM (SELECT ride_id, seq, unnest(string_split(ref, ';')) AS v FROM matched JOIN wn USING (way_id)) GROUP BY ALL),
+  n1 AS (SELECT ride_id, max(n) AS n_name, arg_max(v, (n, -seen, v)) AS name FROM nm GROUP BY ride_id),
+  r1 AS (SELECT ride_id, max(n) AS n_ref, arg_max(v, (n, -seen, v)) AS ref FROM rf GROUP BY ride_id),
+  roads AS (SELECT ride_id, coalesce(n_ref, 0) >= 10 AND coalesce(n_ref, 0) >= coalesce(n_name, 0) AS by_ref, name, ref, n_name, n_ref, n_points FROM tot LEFT JOIN n1 USING (ride_id) LEFT JOIN r1 USING (ride_id)),
+  ends AS (SELECT ride_id, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0, arg_max(lat, seq) AS lat1, arg_max(lon, seq) AS lon1, max(distance) / 1609.344 AS mi FROM points GROUP BY ride_id),
+  away AS (SELECT ride_id, seq, lat, lon, {_haversine_sql("lat0", "lon0", "lat", "lon")} AS far FROM points JOIN ends USING (ride_id)),
+  apex AS (SELECT ride_id, max(far) AS far, arg_max(lat, (far, -seq)) AS lat2, arg_max(lon, (far, -seq)) AS lon2 FROM away GROUP BY ride_id),
+  kinds AS (SELECT *, CASE WHEN far < 5 THEN 'local_loop' WHEN {_haversine_sql("lat0", "lon0", "lat1", "lon1")} >= 5 THEN 'point_to_point' ELSE 'out_and_back' END AS ride_type FROM ends JOIN apex USING (ride_id)),
+  pins AS (SELECT ride_id, 'start' AS pin, lat0 AS plat, lon0 AS plon FROM kinds UNION ALL SELECT ride_id, 'end', CASE ride_type WHEN 'point_to_point' THEN lat1 ELSE lat2 END, CASE ride_type WHEN 'point_to_point' THEN lon1 ELSE lon2 END FROM kinds WHERE ride_type <> 'local_loop'),
+  close_ AS (SELECT ride_id, pin, name, rank, 1609.344 * {_haversine_sql("plat", "plon", "lat", "lon")} AS dist FROM pins, pl WHERE abs(plat - lat) < 0.03),
+  placed AS (SELECT ride_id, pin, arg_min(name, (rank, dist, name)) AS place FROM close_ WHERE dist <= 2500 GROUP BY ALL)
+  SELECT k.ride_id, ride_type, round(mi, 6) AS distance_mi, upper(CASE WHEN ride_type = 'local_loop' AND share >= 0.5 THEN park ELSE coalesce(s.place, 'UNKNOWN') END) AS origin,
+    CASE WHEN ride_type = 'local_loop' THEN '' ELSE upper(coalesce(e.place, 'UNKNOWN')) END AS destination, upper(CASE WHEN by_ref THEN ref ELSE coalesce(name, '') END) AS road, round(coalesce(CASE WHEN by_ref THEN n_ref ELSE n_name END, 0) / n_points, 9) AS coverage
+  FROM kinds k JOIN roads USING (ride_id) JOIN shares USING (ride_id) LEFT JOIN placed s ON k.ride_id = s.ride_id AND s.pin = 'start' LEFT JOIN placed e ON k.ride_id = e.ride_id AND e.pin = 'end'""")
 def a19_route_metadata(spark, d):
     p, parks, ways = points(spark, d), _parks(spark, d), _ways(spark, d)
-    park = geo.park_share(p, geo.points_in_polygons(p, parks), parks.select("poly_id", "name").distinct())
+    park = geo.park_share(p, geo.points_in_polygons(_shifted(spark, d), parks), parks.select("poly_id", "name").distinct())
     roads = geo.road_attribution(p, geo.match_ways(p, geo.way_segments(ways), 250.0), ways.select("way_id", "name", "ref").distinct(), 10)
-    return geo.route_metadata(p, park, roads, _places(spark, d))
+    return rounded(rounded(geo.route_metadata(p, park, roads, _places(spark, d)), 6, "distance_mi"), 9, "coverage")
 
 
 @query("""
@@ -500,16 +561,12 @@ def j15_by_position(spark, d):
 
 @query("""
   f AS (SELECT ride_id, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0 FROM points GROUP BY ride_id),
-  q AS (SELECT ride_id, seq, CASE WHEN ride_id % 2 = 0 THEN round((lat - 40.05) ** 2 + (lon + 73.95) ** 2, 10) ELSE -round((lat - lat0) ** 2 + (lon - lon0) ** 2, 10) END AS m FROM points JOIN f USING (ride_id))
-  SELECT ride_id, min(m) AS m FROM q GROUP BY ride_id""")
+  q AS (SELECT ride_id, seq, CASE WHEN ride_id % 2 = 0 THEN pow(lat - 40.05::DOUBLE, 2) + pow(lon - (-73.95)::DOUBLE, 2) ELSE -(pow(lat - lat0, 2) + pow(lon - lon0, 2)) END AS m FROM points JOIN f USING (ride_id))
+  SELECT ride_id, arg_min(seq, (m, seq)) AS vertex_idx FROM q GROUP BY ride_id""")
 def j16_nearest_vertex(spark, d):
     p = points(spark, d).select("ride_id", F.col("seq").alias("idx"), "lat", "lon")
     pins = p.where("ride_id % 2 = 0").select("ride_id").distinct().withColumns({"pin_lat": F.lit(40.05), "pin_lon": F.lit(-73.95)})
-    found = joins.nearest_vertex(pins, p)
-    first = p.groupBy("ride_id").agg(F.min_by(F.struct("lat", "lon"), "idx").alias("f"))
-    at = found.join(p, (found["ride_id"] == p["ride_id"]) & (found["vertex_idx"] == p["idx"])).select(found["ride_id"], "lat", "lon").join(first, "ride_id")
-    sq = lambda a, b: F.round(F.pow(F.col("lat") - a, 2) + F.pow(F.col("lon") - b, 2), 10)
-    return at.select("ride_id", F.when(F.col("ride_id") % 2 == 0, sq(F.lit(40.05), F.lit(-73.95))).otherwise(-sq(F.col("f.lat"), F.col("f.lon"))).alias("m"))
+    return joins.nearest_vertex(pins, p)
 
 
 #: Clips of a few minutes, of which every second is asked.
@@ -676,9 +733,16 @@ def a9_a18_text_digest(spark, d):
     return aggregates.text_lines(rows, F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit(""))), "conv_id", ["turn", "role", "text"], 4)
 
 
-@query("SELECT ride_id, round(max(distance) / 1609.344, 6) AS total_mi, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM points GROUP BY ride_id")
+@query("""
+  o AS (SELECT ride_id, seq, distance, altitude, row_number() OVER (PARTITION BY ride_id ORDER BY seq) - 1 AS rn, greatest(1, count(*) OVER (PARTITION BY ride_id) // 50) AS k FROM points WHERE altitude IS NOT NULL AND distance IS NOT NULL),
+  l AS (SELECT ride_id, string_agg(round(distance / 1609.344 * 1000)::BIGINT || ':' || round(altitude * 3.28084 * 100000)::BIGINT, ',' ORDER BY seq) AS profile FROM o WHERE rn % k = 0 GROUP BY ride_id),
+  b AS (SELECT ride_id, round(max(distance) / 1609.344, 6) AS total_mi, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM points GROUP BY ride_id)
+  SELECT * FROM b LEFT JOIN l USING (ride_id)""")
 def a10_route_bounds(spark, d):
-    return rounded(aggregates.profile(points(spark, d), rows=50), 6, "total_mi").drop("profile")
+    """Bounds and the profile, as thousandths of a mile and hundred-thousandths of a foot."""
+    whole = lambda x, n: F.round(x * n).cast("long").cast("string")
+    line = F.array_join(F.transform("profile", lambda p: F.concat(whole(p["mi"], 1000), F.lit(":"), whole(p["ft"], 100000))), ",")
+    return rounded(aggregates.profile(points(spark, d), rows=50), 6, "total_mi").withColumn("profile", line)
 
 
 @query(CLIPS + """,
@@ -755,10 +819,10 @@ def a17_score_ranges(spark, d):
     return rounded(aggregates.score_ranges(points(spark, d), ["event_type"], ["value"]), 6, "sd_value")
 
 
-@query("SELECT ride_id, round(coalesce(max(nullif(speed, 0)) * 2.23694, 40), 6) AS top_speed, coalesce(max(nullif(power, 0)), 500) AS top_power, coalesce(max(heart_rate), 200) AS top_heart_rate, coalesce(max(cadence), 120) AS top_cadence, round((min(lat) + max(lat)) / 2, 9) AS mid_lat FROM points GROUP BY ride_id")
+@query("SELECT ride_id, round(coalesce(max(nullif(speed, 0)) * 2.23694, 40), 6) AS top_speed, coalesce(max(nullif(power, 0)), 500) AS top_power, coalesce(max(heart_rate), 200) AS top_heart_rate, coalesce(max(cadence), 120) AS top_cadence, round((min(lat) + max(lat)) / 2, 9) AS mid_lat, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM points GROUP BY ride_id")
 def a20_gauge_ranges(spark, d):
     out = aggregates.gauge_ranges(points(spark, d))
-    return rounded(rounded(out, 6, "top_speed"), 9, "mid_lat").select("ride_id", "top_speed", "top_power", "top_heart_rate", "top_cadence", "mid_lat")
+    return rounded(rounded(out, 6, "top_speed"), 9, "mid_lat").select("ride_id", "top_speed", "top_power", "top_heart_rate", "top_cadence", "mid_lat", "min_lat", "max_lat", "min_lon", "max_lon")
 
 
 # --- candidates and selection ---------------------------------------------------------------------------------------
@@ -944,17 +1008,49 @@ PICKED = """RECURSIVE
   picked AS (SELECT ride_id, seq, t, score, (row_number() OVER (PARTITION BY ride_id ORDER BY t, seq))::INT AS place FROM last_ JOIN pool USING (ride_id) WHERE list_contains(used, seq) QUALIFY place <= 20)"""
 
 
-@query(PICKED + " SELECT ride_id, layout, seq, round(t, 6) AS t, round(score, 6) AS score, place FROM picked, (VALUES ('landscape'), ('portrait')) l(layout)")
+@query(PICKED + " SELECT ride_id, layout, seq, round(t, 9) AS t, round(score, 6) AS score, place FROM picked, (VALUES ('landscape'), ('portrait')) l(layout)")
 def s6_s8_selected(spark, d):
     """Greedy selection for two layouts."""
     pool = _selectable(spark, d)
     both = pool.withColumn("layout", F.explode(F.array(F.lit("landscape"), F.lit("portrait"))))
-    return rounded(selection.selected(both, 20, layout="layout"), 6, "t", "score")
+    return rounded(rounded(selection.selected(both, 20, layout="layout"), 9, "t"), 6, "score")
 
 
-@query()
+#: The selection that starts from ranked candidates: these in order of worth, gaps backfilled, then as in PICKED.
+RANKED = PICKED + """,
+  o AS (SELECT ride_id, seq, row_number() OVER (PARTITION BY ride_id ORDER BY ts, seq) AS pos FROM points),
+  l AS (SELECT ride_id, seq * 31 % 60 AS position, min(pos) AS at_ FROM o WHERE pos <= 40 GROUP BY ALL),
+  f AS (SELECT l.ride_id, o.seq, row_number() OVER (PARTITION BY l.ride_id ORDER BY at_) AS rank0 FROM l JOIN o ON l.ride_id = o.ride_id AND o.pos - 1 = l.position),
+  k AS (SELECT *, count(*) OVER (PARTITION BY ride_id) AS n FROM f WHERE rank0 <= 20),
+  rk AS (SELECT p.*, row_number() OVER (PARTITION BY p.ride_id ORDER BY value DESC, pos) AS i FROM pool p JOIN k USING (ride_id, seq) WHERE n * 2 >= 20),
+  story AS (
+    SELECT ride_id, coalesce(list(t ORDER BY pos) FILTER (must), []) AS times, coalesce(list(seq ORDER BY pos) FILTER (must), []) AS used, 0::BIGINT AS i FROM pool GROUP BY ride_id
+    UNION ALL
+    SELECT ride_id, CASE WHEN ok THEN list_append(times, t) ELSE times END, CASE WHEN ok THEN list_append(used, seq) ELSE used END, i FROM (
+      SELECT w.ride_id, times, used, r.i, r.t, r.seq, NOT list_contains(used, r.seq) AND len([x FOR x IN times IF abs(r.t - x) < 3]) = 0 AND value - 6 * least(coalesce(list_sum([exp(-abs(r.t - x) / tau) FOR x IN times]), 0), 2) >= 0 AS ok
+      FROM story w JOIN rk r ON r.ride_id = w.ride_id AND r.i = w.i + 1)),
+  told AS (SELECT ride_id, arg_max(times, i) AS times, arg_max(used, i) AS used, max(i) > 0 AS by_rank FROM story GROUP BY ride_id),
+  patched AS (
+    SELECT ride_id, times, used, by_rank FROM told
+    UNION ALL
+    SELECT ride_id, list_append(any_value(times), arg_min(t, (-(b - a), a, -score, pos))), list_append(any_value(used), arg_min(seq, (-(b - a), a, -score, pos))), true FROM (
+      SELECT p.*, times, used, list_max([x FOR x IN times IF x <= p.t]) AS a, list_min([x FOR x IN times IF x > p.t]) AS b FROM patched w JOIN pool p USING (ride_id) WHERE by_rank AND len(used) BETWEEN 2 AND 19 AND NOT list_contains(used, p.seq))
+    WHERE b - a > 180 AND t >= a + 30 AND t <= b - 30 GROUP BY ride_id),
+  start_ AS (SELECT ride_id, arg_max(times, len(used)) AS times, arg_max(used, len(used)) AS used FROM patched GROUP BY ride_id),
+  walk2 AS (
+    SELECT ride_id, times, used, 1 AS phase FROM start_
+    UNION ALL
+    SELECT ride_id, list_append(times, CASE WHEN worth THEN one.t ELSE two.t END), list_append(used, CASE WHEN worth THEN one.seq ELSE two.seq END), CASE WHEN worth THEN 1 ELSE 2 END FROM (
+      SELECT ride_id, any_value(times) AS times, any_value(used) AS used, any_value(phase) = 1 AND max(eff) >= 0 AS worth, arg_min(struct_pack(t := t, seq := seq), (-eff, pos)) AS one, arg_min(struct_pack(t := t, seq := seq), (-fill, pos)) AS two FROM (
+        SELECT p.*, times, used, phase, value - 6 * least(coalesce(list_sum([exp(-abs(p.t - x) / tau) FOR x IN times]), 0), 2) AS eff, coalesce(list_min([abs(p.t - x) FOR x IN times]), 1e9) + 30 * score AS fill
+        FROM walk2 w JOIN pool p USING (ride_id) WHERE len(used) < 20 AND NOT list_contains(used, p.seq) AND len([x FOR x IN times IF abs(p.t - x) < 3]) = 0) GROUP BY ride_id)),
+  last2 AS (SELECT ride_id, arg_max(used, len(used)) AS used FROM walk2 GROUP BY ride_id),
+  picked2 AS (SELECT ride_id, seq, t, score, (row_number() OVER (PARTITION BY ride_id ORDER BY t, seq))::INT AS place FROM last2 JOIN pool USING (ride_id) WHERE list_contains(used, seq) QUALIFY place <= 20)"""
+
+
+@query(RANKED + " SELECT ride_id, seq, round(t, 9) AS t, round(score, 6) AS score, place FROM picked2")
 def s4_s5_ranked_selection(spark, d):
-    return selection.selected(_selectable(spark, d), 20, ranked=True)
+    return rounded(rounded(selection.selected(_selectable(spark, d), 20, ranked=True), 9, "t"), 6, "score")
 
 
 @query(PICKED + " SELECT pool.ride_id, pool.seq, CASE WHEN picked.seq IS NULL THEN 'pending' ELSE 'auto' END AS status FROM pool LEFT JOIN picked ON pool.ride_id = picked.ride_id AND pool.seq = picked.seq")
@@ -964,7 +1060,7 @@ def s9_auto_status(spark, d):
     return rows.select("ride_id", "seq", F.when(F.col("selected"), "auto").otherwise("pending").alias("status"))
 
 
-@query()
+@query(RANKED + " SELECT ride_id, count(g.seq) AS n_greedy, count(r.seq) AS n_ranked, count(*) FILTER (g.seq IS NOT NULL AND r.seq IS NOT NULL) AS n_both FROM picked g FULL JOIN picked2 r USING (ride_id, seq) GROUP BY ride_id")
 def s10_selection_overlap(spark, d):
     return selection.selection_overlap(_selectable(spark, d), 20)
 
@@ -1150,16 +1246,17 @@ def src5_stitched_chapters(spark, d):
 
 @query("""
   c AS (SELECT ride_id, seq, ts, (seq % 97)::DOUBLE AS secs, row_number() OVER (PARTITION BY ride_id ORDER BY seq) AS rn FROM points),
-  n AS (SELECT *, (rn - 1) // 3 AS rec, (rn - 1) % 3 + 1 AS ch FROM c WHERE rn <= 9000),
+  n AS (SELECT *, (rn - 1) // 3 AS rec, (rn - 1) % 3 + 1 AS ch FROM c),
   s AS (SELECT *, coalesce(sum(secs) OVER (PARTITION BY ride_id, rec ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM n)
   SELECT ride_id, seq, ch::BIGINT AS chapter, ts + to_microseconds((shift * 1e6)::BIGINT) AS start_ts FROM s""")
 def src5_chapter_starts(spark, d):
-    """Events in threes as chapters of a recording, named as a camera names them."""
+    """Events in threes as chapters of a recording, named as a camera names them: its numbers have four digits and begin again on
+    the next card, so a card of 9,000 chapters is a key of its own."""
     rn = F.row_number().over(Window.partitionBy("ride_id").orderBy("seq"))
-    rows = points(spark, d).withColumn("rn", rn).where("rn <= 9000")
-    name = F.format_string("GX%02d%04d.MP4", (F.col("rn") - 1) % 3 + 1, F.floor((F.col("rn") - 1) / 3))
-    clips = rows.select("ride_id", "seq", name.alias("clip_name"), F.col("ts").cast("timestamp_ntz").alias("creation_time"), (F.col("seq") % 97).cast("double").alias("duration_secs"))
-    return readers.stitched_chapters(clips).select("ride_id", "seq", F.col("chapter").cast("long").alias("chapter"), "start_ts")
+    rows = points(spark, d).withColumn("rn", rn - 1).withColumn("card", F.floor(F.col("rn") / 9000))
+    name = F.format_string("GX%02d%04d.MP4", F.col("rn") % 3 + 1, F.floor(F.col("rn") % 9000 / 3))
+    clips = rows.select("ride_id", F.concat_ws(":", "ride_id", "card").alias("card"), "seq", name.alias("clip_name"), F.col("ts").cast("timestamp_ntz").alias("creation_time"), (F.col("seq") % 97).cast("double").alias("duration_secs"))
+    return readers.stitched_chapters(clips, "card").select("ride_id", "seq", F.col("chapter").cast("long").alias("chapter"), "start_ts")
 
 
 @query("""
