@@ -10,7 +10,8 @@ Jaccard similarity reaches the threshold; components are the transitive closure.
    reach takes all its tokens. Tokens that no other pool holds come first and link nothing, so they are dropped: a
    document of mostly its own wording leaves the join here, and work stays in proportion to what is really shared.
 3. Partition: each set follows the leader of its size band with which its prefix shares most, a set with fewer tokens of its
-   own; what follows one root is a family of similar sets, split into groups of about `GROUP`.
+   own; what follows one root is a family of similar sets, whose most central set becomes its root; families are split into
+   groups of about `GROUP`.
 4. Within a family every set is held as its difference from the root: tokens it adds and tokens it lacks. Two sets differ by
    exactly as many tokens as their differences do, and a set too far from the root to be linked to it can only be linked to
    sets that share about half of their difference with it. So a family of thousands of edited copies costs joins on the
@@ -180,6 +181,11 @@ def least_shared(a: Column, b: Column, percent: int) -> Column:
     return least_overlap(a, b, percent) - F.greatest(_ceil_div(percent * a, 100), _ceil_div(percent * b, 100)) + 1
 
 
+def prefix_length_of(n: Column, percent: int) -> Column:
+    """`prefix_length` of a column of sizes."""
+    return n - _ceil_div(percent * n, 100) + 1
+
+
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -345,6 +351,18 @@ def leaders(rows: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("node").alias("a"), (-F.col("x.col2")).alias("b"))
 
 
+def centred(fams: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """`fams` (node, root) with each family's root moved to its most central set: the one whose prefix's tokens (`rows`) most
+    members hold, on average over the prefix; the smallest number on ties. Sets that differ from a common origin by edits of
+    their own are each nearer to it than to each other, so the set nearest to it links with all that link with any, and few
+    pairs of sets that aren't linked to the root are left to compare. Any root gives the same links."""
+    held = checkpointed(rows.join(fams, "node").select("root", "token", "node", "n"))
+    often = held.groupBy("root", "token").agg(F.count(F.lit(1)).alias("df"))
+    scored = held.join(checkpointed(often), ["root", "token"]).groupBy("root", "node").agg((F.sum("df") / prefix_length_of(F.first("n"), percent)).alias("share"))
+    best = scored.groupBy("root").agg(F.max(F.struct("share", -F.col("node"))).alias("x")).select("root", (-F.col("x.col2")).alias("centre"))
+    return fams.join(best, "root", "left").select("node", F.coalesce("centre", "root").alias("root"))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def difference(tokens: pd.Series, root: pd.Series) -> pd.Series:
     """Tokens that a sorted set adds to the root's, and those that it lacks, the latter marked by a change of bits."""
@@ -494,7 +512,7 @@ def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> Dat
     nodes = without_keys(prints.where("n > 0").select("r", "pool"), "r", copies).withColumnRenamed("r", "node")
     facts = narrow.withColumnRenamed("r", "node")
     rows = checkpointed(prefix_rows(nodes, facts, percent))
-    fams = checkpointed(roots(checkpointed(leaders(rows, percent))))
+    fams = checkpointed(centred(checkpointed(roots(checkpointed(leaders(rows, percent)))), rows, percent))
     sets = checkpointed(token_sets(texts, checkpointed(fams.select("node").join(facts, "node")), k))
     deltas = checkpointed(differences(fams, facts, sets, percent))
     near = deltas.where("near").select("node", F.col("root").alias("comp"))
