@@ -145,14 +145,33 @@ def must_include(flag: Column, notes: Column) -> Column:
     return F.coalesce(flag, F.lit(False)) | F.coalesce(F.lower(notes).rlike("must include|must have"), F.lit(False))
 
 
+# Least rating of a label that counts, and what it adds; agreement's factors from which mean score on, and without one.
+BOOSTED_RATING, LABEL_BOOST = 6, 6
+AGREEMENT_FACTORS = ((5.5, 1.0), (4.5, 0.3))
+UNRATED_FACTOR = 0.5
+# What a kind of label adds, and one that must be included.
+TYPE_BONUS = {"incident": 3.0, "landmark": 1.5, "descent": 1.5, "group_riding": 1.0, "action": 1.0}
+INCLUDED_BONUS = 100.0
+# Fixed values of the telemetry score: watts, mph and beats a point, the most of power and speed, beats from which on they count.
+WATTS_A_POINT, MPH_A_POINT, BEATS_A_POINT = 50, 6, 20
+MOST_POWER, MOST_SPEED, LEAST_BEATS = 10, 5, 130
+# Mph and watts of footage without and with life, and the most that is taken off.
+LIFELESS, LIVELY, MOST_PENALTY = (8.0, 30.0), (14.0, 130.0), 4.0
+# Thresholds as shares of functional power and of the greatest heart rate.
+POWER_SHARE, HEART_SHARE = 1.45, 0.87
+
+
 def label_boost(sources: Column, visual: Column, action: Column) -> Column:
-    rated = F.greatest(F.coalesce(visual, F.lit(0)), F.coalesce(action, F.lit(0))) >= 6
-    return F.when(F.array_contains(sources, "label") & rated, num(6)).otherwise(num(0))
+    rated = F.greatest(F.coalesce(visual, F.lit(0)), F.coalesce(action, F.lit(0))) >= BOOSTED_RATING
+    return F.when(F.array_contains(sources, "label") & rated, num(LABEL_BOOST)).otherwise(num(0))
 
 
 def agreement_boost(sources: Column, score: Column) -> Column:
     """(sources - 1) times 1, 0.3 or 0 by the rubric score, 0.5 without one."""
-    factor = F.when(score.isNull(), num(0.5)).when(score >= 5.5, num(1)).when(score >= 4.5, num(0.3)).otherwise(num(0))
+    factor = F.when(score.isNull(), num(UNRATED_FACTOR))
+    for least, share in AGREEMENT_FACTORS:
+        factor = factor.when(score >= least, num(share))
+    factor = factor.otherwise(num(0))
     return (F.size(sources) - 1) * factor
 
 
@@ -162,16 +181,20 @@ def rating_adjustment(rating: Column) -> Column:
 
 
 def type_bonus(kind: Column, included: Column) -> Column:
-    return F.when(included, num(100)).when(kind == "incident", num(3)).when(kind.isin("landmark", "descent"), num(1.5)).when(kind.isin("group_riding", "action"), num(1)).otherwise(num(0))
+    bonus = F.when(included, num(INCLUDED_BONUS))
+    for name, points in TYPE_BONUS.items():
+        bonus = bonus.when(kind == name, num(points))
+    return bonus.otherwise(num(0))
 
 
 def telemetry_score(power: Column, speed: Column, heart_rate: Column) -> Column:
     """Power up to 10, speed up to 5, heart rate above 130 without a limit; missing or zero metrics give 0."""
     part = lambda metric, value: F.when(F.coalesce(metric, num(0)) != 0, value).otherwise(num(0))
-    return part(power, F.least(power / 50, num(10))) + part(speed, F.least(mph(speed) / 6, num(5))) + part(heart_rate, F.greatest(num(0), (heart_rate - 130) / 20))
+    effort = part(power, F.least(power / WATTS_A_POINT, num(MOST_POWER))) + part(speed, F.least(mph(speed) / MPH_A_POINT, num(MOST_SPEED)))
+    return effort + part(heart_rate, F.greatest(num(0), (heart_rate - LEAST_BEATS) / BEATS_A_POINT))
 
 
-def liveness_penalty(speed_mps: Column, power: Column, low=(8.0, 30.0), high=(14.0, 130.0), most: float = 4.0) -> Column:
+def liveness_penalty(speed_mps: Column, power: Column, low=LIFELESS, high=LIVELY, most: float = MOST_PENALTY) -> Column:
     """Up to `most` for footage that is both slow and without effort; 0 when either is unknown."""
     slow = clamp((num(high[0]) - mph(speed_mps)) / (high[0] - low[0]), 0, 1)
     coast = clamp((num(high[1]) - power) / (high[1] - low[1]), 0, 1)
@@ -189,7 +212,7 @@ def zone(share: Column, uppers: list[float]) -> Column:
 def thresholds(ftp: Column, max_hr: Column, power: Column | None = None, hr: Column | None = None) -> tuple[Column, Column]:
     """(power, heart rate) thresholds: explicit ones, else 1.45 FTP and 0.87 of the maximum, rounded half-even."""
     none = F.lit(None).cast("int")
-    return F.coalesce(none if power is None else power, F.bround(ftp * 1.45, 0).cast("int")), F.coalesce(none if hr is None else hr, F.bround(max_hr * 0.87, 0).cast("int"))
+    return F.coalesce(none if power is None else power, F.bround(ftp * POWER_SHARE, 0).cast("int")), F.coalesce(none if hr is None else hr, F.bround(max_hr * HEART_SHARE, 0).cast("int"))
 
 
 # --- names ----------------------------------------------------------------------------------------------------------
@@ -214,10 +237,16 @@ def proxy_name(name: Column) -> Column:
     return F.when(name.rlike(r"^GX.*\.MP4$"), F.regexp_replace(name, r"^GX(.*)\.MP4$", "GL$1.LRV"))
 
 
+# What a model id is changed by, in this order, to be part of a file name.
+NAME_PATTERNS = (("[^A-Za-z0-9._-]+", "-"), ("-{2,}", "-"), ("^[-.]+|[-.]+$", ""))
+
+
 def sanitised_model(model: Column) -> Column:
     """A model id as part of a file name; a changed one ends in the start of the original's SHA-1."""
     raw = F.trim(F.when(F.coalesce(model, F.lit("")) == "", F.lit("unknown")).otherwise(model))
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z0-9._-]+", "-"), "-{2,}", "-"), "^[-.]+|[-.]+$", "")
+    s = raw
+    for pattern, by in NAME_PATTERNS:
+        s = F.regexp_replace(s, pattern, by)
     s = F.when(s == "", "unknown").otherwise(s)
     return F.when(s == raw, s).otherwise(F.concat_ws("_", s, F.substring(F.sha1(raw.cast("binary")), 1, 8)))
 
@@ -237,12 +266,20 @@ def geo_key(*values: Column) -> Column:
     return F.md5(F.concat_ws(",", *[F.format_string("%.4f", v) for v in values]).cast("binary"))
 
 
+# Fences around a reply, trailing commas, and the pieces that are tried when a whole reply can't be parsed.
+OPEN_FENCE, CLOSE_FENCE = r"```(?:json)?\s*", r"```\s*$"
+TRAILING_COMMAS = ((r",\s*\}", "}"), (r",\s*\]", "]"))
+ANY_ARRAY, FLAT_OBJECT = r"(?s)\[.*\]", r"(?s)\{[^{}]*\}"
+
+
 def parsed_json(text: Column) -> tuple[Column, Column]:
     """(value as JSON text, ok): fences are stripped; failing that, trailing commas; failing that, the first array or
     flat object is taken. A text that holds none parses to an empty object or array, with ok false."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"```(?:json)?\s*", ""), r"```\s*$", ""))
-    tidy = F.regexp_replace(F.regexp_replace(bare, r",\s*\}", "}"), r",\s*\]", "]")
-    pieces = [bare, tidy, F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.regexp_extract(bare, r"(?s)\{[^{}]*\}", 0)]
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, OPEN_FENCE, ""), CLOSE_FENCE, ""))
+    tidy = bare
+    for pattern, by in TRAILING_COMMAS:
+        tidy = F.regexp_replace(tidy, pattern, by)
+    pieces = [bare, tidy, F.regexp_extract(bare, ANY_ARRAY, 0), F.regexp_extract(bare, FLAT_OBJECT, 0)]
     found = F.coalesce(*[F.to_json(F.try_parse_json(p)) for p in pieces])
     empty = F.when(F.contains(bare, F.lit("{")), "{}").otherwise("[]")
     return F.coalesce(found, empty), found.isNotNull()
@@ -265,8 +302,12 @@ def locality(address: Column, display: Column) -> Column:
     return F.coalesce(*parts, shown, F.lit("UNKNOWN"))
 
 
+#: What stands before the name of a place (fixed values).
+PLACE_PREFIX = "^(Village|Town|City|Township) of "
+
+
 def without_prefix(name: Column) -> Column:
-    return F.regexp_replace(name, "^(Village|Town|City|Township) of ", "")
+    return F.regexp_replace(name, PLACE_PREFIX, "")
 
 
 def clean_ref(ref: Column) -> Column:
