@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more. It does so when the driver's JVM collects
+    garbage, which a driver with memory to spare may put off for long, while the files fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Rounds:
     """Tables of a loop, as Parquet below the shared checkpoint folder. Read back, a table has the size of its files as its
     estimate: estimates of joins are products, so those that a checkpoint carries on square with each round."""

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rounds, checkpointed, has_rows, likely_keys, packed, space_words, without_keys
+from .common import Rounds, checkpointed, has_rows, likely_keys, packed, release, space_words, without_keys
 
 POOL = 1.6  # share of the tokens in pools, in prefix lengths
 GROUP = 64
@@ -512,13 +512,19 @@ def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> Dat
     nodes = without_keys(prints.where("n > 0").select("r", "pool"), "r", copies).withColumnRenamed("r", "node")
     facts = narrow.withColumnRenamed("r", "node")
     rows = checkpointed(prefix_rows(nodes, facts, percent))
+    release(docs.sparkSession)  # here and below, where much was shuffled for what is checkpointed now
     fams = checkpointed(centred(checkpointed(roots(checkpointed(leaders(rows, percent)))), rows, percent))
     sets = checkpointed(token_sets(texts, checkpointed(fams.select("node").join(facts, "node")), k))
+    release(docs.sparkSession)
     deltas = checkpointed(differences(fams, facts, sets, percent))
+    release(docs.sparkSession)
     near = deltas.where("near").select("node", F.col("root").alias("comp"))
     comps = checkpointed(near.unionByName(near.select(F.col("comp").alias("node"), "comp").distinct()))
-    links = [family_links(deltas, percent), cross_family_links(rows, facts, texts, fams, sets, k, percent)]
+    links = [checkpointed(family_links(deltas, percent))]
+    release(docs.sparkSession)
+    links.append(cross_family_links(rows, facts, texts, fams, sets, k, percent))
     more = checkpointed(reduce(DataFrame.unionByName, [x for x in links if x is not None]))
+    release(docs.sparkSession)
     if has_rows(more):
         comps = checkpointed(merged(comps, more))
     # Names of components of several nodes; all others have their own.
@@ -527,6 +533,7 @@ def _found(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> Dat
     named = named.join(names, "comp").select("hi", "lo", "comp", "c_name")
     known = sets_of.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("comp", F.when(F.col("copies") > 1, F.col("node"))).alias("comp"), F.when(F.col("comp").isNull(), F.col("name")).otherwise(F.col("c_name")).alias("name"))
     known = checkpointed(known)
+    release(docs.sparkSession)
     empty = narrow.where("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("name"))
     full = narrow.where("n > 0").join(known, ["hi", "lo"], "left").select("id", "key", "n", "comp", "name")
     return full.unionByName(empty)
@@ -545,6 +552,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     gone = found.join(stays.withColumnRenamed("key", "stays"), "comp").where("key <> stays").select("key").distinct()
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key").join(stays, "key", "left_semi")
     keys = checkpointed(gone.withColumn("k", F.lit(False)).unionByName(twice.withColumn("k", F.lit(True))))
+    release(docs.sparkSession)
     whole = packed(docs, key=row_key(id_col, text))
     kept = without_keys(whole, "key", checkpointed(keys.select("key")))
     again = likely_keys(whole, "key", keys.where("k").select("key")).join(keys.where("k").select("key"), "key", "left_semi").dropDuplicates(["key"])
