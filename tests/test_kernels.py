@@ -191,3 +191,29 @@ def test_first_containing_like_a_scan_and_without_standing_in_buckets(spark):
     long = spark.createDataFrame([(1, 7, 0.0, 1e12)], "ride_id long, clip_name long, clip_start double, clip_end double")
     far = spark.createDataFrame([(1, 1, 9e11), (1, 2, 2e12)], "ride_id long, seq long, at_secs double")
     assert [(r["seq"], r["clip_name"]) for r in joins.first_containing(far, long).collect()] == [(1, 7)]
+
+
+def test_groups_of_a_stream_are_whole_and_apart():
+    from trailmark.operators import scoring
+
+    rng = random.Random(3)
+    for _ in range(30):
+        rows = sorted((rng.choice(["a", "b", "c"]), rng.randrange(3), float(rng.randrange(9))) for _ in range(rng.randrange(1, 40)))
+        pdf = pd.DataFrame(rows, columns=["clip_name", "batch_id", "t"])
+        cuts = sorted({0, len(rows), *[rng.randrange(len(rows) + 1) for _ in range(5)]})
+        parts = [pdf.iloc[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + [pdf.iloc[:0]]
+        got = [list(g.itertuples(index=False, name=None)) for g in scoring.each_group(iter(parts), ["clip_name", "batch_id"])]
+        want = [[r for r in rows if r[:2] == k] for k in sorted({r[:2] for r in rows})]
+        assert got == want
+
+
+def test_scoring_streams_its_batches(spark):
+    """A batch was a group of its own, at the price of a round trip to Python each."""
+    from trailmark.operators import scoring
+
+    frames = spark.createDataFrame([(f"clip {c}", float(t)) for c in range(9) for t in range(70)], "clip_name string, t double")
+    scores = scoring.coarse_scores(frames, lambda pdf: pd.DataFrame({"frame_index": range(len(pdf)), "visual": 3, "action": 1}))
+    assert scores.count() == 630 and scores.select("clip_name", "batch_id").distinct().count() == 18
+    plan = scores._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    assert scores.rdd.getNumPartitions() == 4  # few bytes aren't put into one task

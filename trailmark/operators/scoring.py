@@ -8,7 +8,7 @@ clip, so that retried tasks count nothing twice.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -44,24 +44,76 @@ def with_retry(scorer: Scorer, tries: int = 5, wait: float = 5.0, transient: tup
     return call
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` dealt by `keys` to as many tasks as the session's shuffles have: rows are few bytes and much work, and by bytes
+    adaptive execution would put them all into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def each_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a stream of sorted rows, one pandas DataFrame each; the last of a batch may go on in the next. A group costs
+    a slice, not a round trip of its own as with `applyInPandas`."""
+    open_group = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        columns = [pdf[k] for k in keys]
+        changed = reduce(lambda x, y: x | y, ((c.ne(c.shift()) & ~(c.isna() & c.shift().isna())) for c in columns)).to_numpy(dtype=bool)
+        changed[0] = False
+        bounds = [0, *changed.nonzero()[0].tolist(), len(pdf)]
+        if open_group:
+            last = open_group[-1]
+            if any(not _same(last[k].iloc[-1], pdf[k].iloc[0]) for k in keys):
+                yield pd.concat(open_group, ignore_index=True) if len(open_group) > 1 else last
+                open_group = []
+        for i, j in zip(bounds[:-2], bounds[1:-1], strict=True):
+            part = pdf.iloc[i:j].reset_index(drop=True)
+            yield pd.concat([*open_group, part], ignore_index=True) if open_group else part
+            open_group = []
+        open_group.append(pdf.iloc[bounds[-2] :].reset_index(drop=True))
+    if open_group:
+        yield pd.concat(open_group, ignore_index=True) if len(open_group) > 1 else open_group[0]
+
+
+def _same(a, b) -> bool:
+    return bool(a == b) if not (pd.isna(a) or pd.isna(b)) else bool(pd.isna(a) and pd.isna(b))
+
+
+def _tables(rows: Iterator[list[tuple]], columns: list[str], whole: tuple[str, ...], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Rows of results, put together to DataFrames of about `size` rows."""
+    out = []
+    for found in rows:
+        out += found
+        if len(out) >= size:
+            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(whole, "Int64"))
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(whole, "Int64"))
+
+
 def coarse_scores(frames: DataFrame, scorer: Scorer, size: int = 50, wait: float = 5.0) -> DataFrame:
     """(clip_name, batch_id, frame_index, t, visual, action, error) for frames (clip_name, t) in batches: results with an
-    index outside the batch, or out of 1-5, or below 3 in both, are left out; a failed batch is one row with an error."""
+    index outside the batch, or out of 1-5, or below 3 in both, are left out; a failed batch is one row with an error.
+    The scorer is called once for each batch, from a stream over sorted partitions."""
     call = with_retry(scorer, wait=wait)
+    keys = ["clip_name", "batch_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t").reset_index(drop=True)
+    def score(pdf: pd.DataFrame) -> list[tuple]:
+        clip, batch, t = pdf["clip_name"].iloc[0], pdf["batch_id"].iloc[0], pdf["t"].to_numpy()
         found, error = call(pdf)
-        columns = ["clip_name", "batch_id", "frame_index", "t", "visual", "action", "error"]
-        clip, batch = pdf["clip_name"].iloc[0], pdf["batch_id"].iloc[0]
         if error is not None:
-            return pd.DataFrame([(clip, batch, None, None, None, None, error)], columns=columns).astype({"frame_index": "Int64", "visual": "Int64", "action": "Int64"})
-        ok = found[found["frame_index"].between(0, len(pdf) - 1) & found["visual"].between(1, 5) & found["action"].between(1, 5) & ((found["visual"] >= 3) | (found["action"] >= 3))]
-        out = ok.assign(clip_name=clip, batch_id=batch, t=pdf["t"].to_numpy()[ok["frame_index"].to_numpy(dtype=int)], error=None)
-        return out[columns]
+            return [(clip, batch, None, None, None, None, error)]
+        n, visual, action = (found[c].to_numpy() for c in ("frame_index", "visual", "action"))
+        ok = (n >= 0) & (n < len(t)) & (visual >= 1) & (visual <= 5) & (action >= 1) & (action <= 5) & ((visual >= 3) | (action >= 3))
+        n = n[ok].astype(int)
+        return [(clip, batch, *x, None) for x in zip(n.tolist(), t[n].tolist(), visual[ok].tolist(), action[ok].tolist(), strict=True)]
 
-    numbered = batches(frames.select("clip_name", F.col("t").cast("double").alias("t")), size, ["clip_name"], ["t"])
-    return numbered.groupBy("clip_name", "batch_id").applyInPandas(run, "clip_name string, batch_id int, frame_index int, t double, visual int, action int, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _tables((score(g) for g in each_group(batches, keys)), [*keys, "frame_index", "t", "visual", "action", "error"], ("frame_index", "visual", "action"))
+
+    rows = dealt(frames.select("clip_name", F.col("t").cast("double").alias("t")), "clip_name")
+    numbered = batches(rows, size, ["clip_name"], ["t"]).sortWithinPartitions(*keys, "t")
+    return numbered.mapInPandas(run, "clip_name string, batch_id int, frame_index int, t double, visual int, action int, error string")
 
 
 def hot_windows(scores: DataFrame, clips: DataFrame, forced: DataFrame | None = None, pad: float = 5.0, least: float = 5.0) -> DataFrame:
@@ -81,21 +133,23 @@ def fine_ratings(windows: DataFrame, scorer: Scorer, samples: int = 6, wait: flo
     dims = ("light", "composition", "motion", "scenery", "subject")
     columns = ["clip_name", "video_start", "video_end", *dims, "peak_offset", "crop_x", "clip_type", "error"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
+    def rate(pdf: pd.DataFrame) -> list[tuple]:
         head = (pdf["clip_name"].iloc[0], pdf["region_start"].iloc[0], pdf["region_end"].iloc[0])
         found, error = call(pdf)
         if error is None and (not len(found) or not all(1 <= int(found[d].iloc[0]) <= 10 for d in dims)):
             error = "invalid result"
         if error is not None:
-            return pd.DataFrame([(*head, *[None] * 5, None, None, None, error)], columns=columns).astype(dict.fromkeys((*dims, "crop_x"), "Int64"))
+            return [(*head, *[None] * 5, None, None, None, error)]
         r = found.iloc[0]
         offset = min(1.0, max(0.0, float(r.get("peak_offset", 0.5))))
-        return pd.DataFrame([(*head, *[int(r[d]) for d in dims], offset, int(r.get("crop_x", 50)), str(r.get("clip_type", "")), None)], columns=columns)
+        return [(*head, *[int(r[d]) for d in dims], offset, int(r.get("crop_x", 50)), str(r.get("clip_type", "")), None)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _tables((rate(g) for g in each_group(batches, ["clip_name", "region_start"])), columns, (*dims, "crop_x"))
 
     t = F.col("region_start") + (F.col("region_end") - F.col("region_start")) * (F.col("i") + num(0.5)) / samples
-    rows = windows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("t", t)
-    return rows.groupBy("clip_name", "region_start").applyInPandas(run, "clip_name string, video_start double, video_end double, light int, composition int, motion int, scenery int, subject int, peak_offset double, crop_x int, clip_type string, error string")
+    rows = dealt(windows, "clip_name", "region_start").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("t", t)
+    return rows.sortWithinPartitions("clip_name", "region_start", "t").mapInPandas(run, "clip_name string, video_start double, video_end double, light int, composition int, motion int, scenery int, subject int, peak_offset double, crop_x int, clip_type string, error string")
 
 
 def tally(results: DataFrame, clips: DataFrame, shown: int = 3) -> DataFrame:
