@@ -90,6 +90,27 @@ def test_of_parks_with_as_many_points_the_first_counts(spark):
     assert tuple(geo.park_share(points, inside, names).first()) == (1, "alm", 0.5)
 
 
+def test_copies_of_a_polygon_are_one_shape(spark):
+    """Each copy was asked for by every point: as many rows as points times polygons."""
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
+    rows = [(k, i, lat + (5.0 if k == 9 else 0.0), lon) for k in (3, 4, 7, 9) for i, (lat, lon) in enumerate(ring)]
+    outlines, members = geo.shapes(spark.createDataFrame(rows, "poly_id long, idx int, lat double, lon double"))
+    assert sorted({r["shape_id"] for r in outlines.collect()}) == [3, 9]
+    assert sorted(map(tuple, members.collect())) == [(3, 3), (4, 3), (7, 3), (9, 9)]
+    points = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 5.5, 0.5), (1, 2, 5.5, 0.6), (2, 3, 9.0, 0.5)], "ride_id long, seq long, lat double, lon double")
+    inside = geo.points_in_shapes(points, outlines, poly="shape_id")
+    assert sorted(map(tuple, inside.collect())) == [(1, 0, 3), (1, 1, 9), (1, 2, 9)]
+    names = spark.createDataFrame([(3, "zoo"), (4, "alm"), (7, "alm"), (9, "see")], "poly_id long, name string")
+    # "alm" and "see" hold two each, and the first polygon of "alm" comes first.
+    assert sorted(map(tuple, geo.park_share(points, inside, names, members).collect())) == [(1, "alm", 2 / 3), (2, "", 0.0)]
+
+
+def test_of_places_at_one_spot_one_is_asked(spark):
+    places = spark.createDataFrame([(40.0, -74.0, 2, "b"), (40.0, -74.0, 1, "z"), (40.0, -74.0, 1, "c"), (40.01, -74.0, 1, "a"), (40.0, -74.0, 1, "ward 3")], "lat double, lon double, rank int, name string")
+    pins = spark.createDataFrame([(1, 40.0, -74.0), (2, 40.009, -74.0), (3, 50.0, 0.0)], "ride_id long, pin_lat double, pin_lon double")
+    assert sorted(map(tuple, geo.best_place(pins, places).collect())) == [(1, "c"), (2, "a")]
+
+
 def test_every_second_has_its_nearest_point(spark):
     rng = random.Random(17)
     start = 1_700_000_000

@@ -54,31 +54,61 @@ def road_attribution(points: DataFrame, matches: DataFrame, ways: DataFrame, ref
     return rows.select(key, F.coalesce(F.when(by_ref, F.col("ref")).otherwise(F.col("name")), F.lit("")).alias("road"), n.alias("n_road"), "n_points", (n / F.col("n_points")).alias("coverage"))
 
 
-def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str = "ride_id", pid: str = "seq", poly: str = "poly_id", cell: float = 0.1) -> DataFrame:
-    """(key, pid, poly) of points inside polygons, by ray casting. Points and polygons' boxes meet in grid cells. A polygon's
+def shapes(vertices: DataFrame, poly: str = "poly_id") -> tuple[DataFrame, DataFrame]:
+    """(vertices of the distinct outlines, each under the least id of the polygons that have it as `shape_id`; (poly, shape_id) of
+    all polygons). Outlines are equal if their vertices are, in order."""
+    point = F.struct(F.col("idx").alias("idx"), F.col("lat").alias("lat"), F.col("lon").alias("lon"))
+    outlines = vertices.groupBy(poly).agg(F.array_sort(F.collect_list(point)).alias("outline"))
+    outlines = outlines.select(poly, F.transform("outline", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("outline"))
+    digest = F.sha2(F.to_json("outline"), 256)
+    members = outlines.withColumn("shape_id", F.min(poly).over(Window.partitionBy(digest)))
+    one = members.where(F.col(poly) == F.col("shape_id")).select("shape_id", F.posexplode("outline").alias("idx", "p"))
+    return one.select("shape_id", "idx", "p.lat", "p.lon"), members.select(poly, "shape_id")
+
+
+def points_in_shapes(points: DataFrame, vertices: DataFrame, key: str = "ride_id", pid: str = "seq", poly: str = "poly_id") -> DataFrame:
+    """(key, pid, poly) of points inside polygons, by ray casting, for polygons whose outlines differ (`shapes`). Points and polygons'
+    boxes meet in grid cells as large as the box (a power of two), so a box stands in four cells at most and small ones don't share
+    a cell with all others; a point is asked for once for each size that there is. A polygon's
     height is cut into rows, about twice the root of its edges, and an edge stands in the rows that it crosses, so a point in the
     box meets only edges of its row, and a polygon with many points is as many keys as rows."""
     w = Window.partitionBy(poly).orderBy("idx")
     edges = vertices.select(poly, "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"), F.first("lat").over(w).alias("lat0"), F.first("lon").over(w).alias("lon0"))
     edges = edges.select(poly, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.coalesce("lat2", "lat0").alias("lat2"), F.coalesce("lon2", "lon0").alias("lon2"))
     boxes = vertices.groupBy(poly).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.ceil(2 * F.sqrt(F.count(F.lit(1)).cast("double"))).cast("int").alias("n_rows"))
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    boxed = boxes.withColumn("cy", F.explode(span("s", "n"))).withColumn("cx", F.explode(span("w", "e")))
+    side = F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w"), num(1e-6))
+    boxes = boxes.withColumn("size", F.pow(num(2), F.ceil(F.log2(side)).cast("double")))
+    cell = lambda c: F.floor(F.col(c) / F.col("size"))
+    boxed = boxes.withColumn("cy", F.explode(F.sequence(cell("s"), cell("n")))).withColumn("cx", F.explode(F.sequence(cell("w"), cell("e"))))
     # The row of a latitude rises with it, so an edge's rows hold those of all latitudes between its ends.
     row = lambda lat: F.when(F.col("n") > F.col("s"), F.floor((lat - F.col("s")) / (F.col("n") - F.col("s")) * F.col("n_rows"))).otherwise(F.lit(0))
     rising = edges.where("lat1 <> lat2").join(boxes.select(poly, "s", "n", "n_rows"), poly)  # a level edge crosses no ray
     rising = rising.withColumn("row", F.explode(F.sequence(row(F.least("lat1", "lat2")), row(F.greatest("lat1", "lat2"))))).drop("s", "n", "n_rows")
-    spots = points.where("lat is not null and lon is not null").select(key, pid, "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    inside_box = spots.join(boxed, ["cy", "cx"]).where("lat between s and n and lon between w and e").select(key, pid, "lat", "lon", poly, row(F.col("lat")).alias("row"))
+    spots = points.where("lat is not null and lon is not null").select(key, pid, "lat", "lon")
+    sized = spots.crossJoin(F.broadcast(boxes.select("size").distinct()))  # powers of two: some tens at most
+    sized = sized.withColumn("cy", cell("lat")).withColumn("cx", cell("lon"))
+    inside_box = sized.join(boxed, ["size", "cy", "cx"]).where("lat between s and n and lon between w and e").select(key, pid, "lat", "lon", poly, row(F.col("lat")).alias("row"))
     crossed = inside_box.join(rising, [poly, "row"]).where(crosses_ray(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     return crossed.groupBy(key, pid, poly).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(key, pid, poly)
 
 
-def park_share(points: DataFrame, inside: DataFrame, names: DataFrame, key: str = "ride_id", pid: str = "seq", poly: str = "poly_id") -> DataFrame:
+def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str = "ride_id", pid: str = "seq", poly: str = "poly_id") -> DataFrame:
+    """(key, pid, poly) of points inside polygons: `points_in_shapes`, told of all polygons of a shape. Callers that only count or
+    group polygons take the shapes with their `shapes` members instead, and spare a row for each polygon of the same outline."""
+    outlines, members = shapes(vertices, poly)
+    return points_in_shapes(points, outlines, key, pid, "shape_id").join(members, "shape_id").select(key, pid, poly)
+
+
+def park_share(points: DataFrame, inside: DataFrame, names: DataFrame, members: DataFrame | None = None, key: str = "ride_id", poly: str = "poly_id") -> DataFrame:
     """(key, park, share): the park name, over all polygons of that name, that holds most of the ride's points; of names that
-    hold as many, the one whose first polygon with a point, by id, comes first."""
+    hold as many, the one whose first polygon with a point, by id, comes first. `inside` has (key, poly) for each point in a polygon
+    or, with `members` (poly, shape_id), (key, shape_id) for each point in a shape; points are counted before names are told."""
     total = points.where("lat is not null and lon is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
-    held = inside.join(names.select(poly, "name"), poly).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"), F.min(poly).alias("first_poly"))
+    shape = "shape_id" if members is not None else poly
+    named = names.select(poly, "name", *([F.col(poly).alias("first")] if members is None else []))
+    called = named.withColumn("n_polys", F.lit(1)) if members is None else members.join(named, poly).groupBy("shape_id", "name").agg(F.count(F.lit(1)).alias("n_polys"), F.min(poly).alias("first"))
+    counted = inside.groupBy(key, shape).agg(F.count(F.lit(1)).alias("n"))
+    held = counted.join(called, shape).groupBy(key, "name").agg(F.sum(F.col("n") * F.col("n_polys")).alias("n"), F.min("first").alias("first_poly"))
     top = held.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), "first_poly", "name")).alias("top"))
     return total.join(top, key, "left").select(key, F.coalesce("top.name", F.lit("")).alias("park"), (F.coalesce(-F.col("top.less"), F.lit(0)) / F.col("n_points")).alias("share"))
 
@@ -89,7 +119,9 @@ def best_place(pins: DataFrame, places: DataFrame, radius_m: float = 2500.0, key
     lat_pad, lon_pad = radius_m / METRES_PER_DEGREE, radius_m / METRES_PER_DEGREE / 0.2
     span = lambda c, pad: F.sequence(F.floor((F.col(c) - pad) / cell), F.floor((F.col(c) + pad) / cell))
     asked = pins.withColumn("cy", F.explode(span("pin_lat", lat_pad))).withColumn("cx", F.explode(span("pin_lon", lon_pad)))
-    there = places.where(~is_admin(F.col("name"))).withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell))
+    # Of places at one spot only the first by rank and name can be told.
+    spots = places.where(~is_admin(F.col("name"))).groupBy("lat", "lon").agg(F.min(F.struct("rank", "name")).alias("first")).select("lat", "lon", "first.rank", "first.name")
+    there = spots.withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / cell))
     d = haversine_miles(F.col("pin_lat"), F.col("pin_lon"), F.col("lat"), F.col("lon")) * 1609.344
     near = asked.join(there, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= radius_m)
     return near.groupBy(key).agg(F.min(F.struct("rank", "d", "name")).alias("best")).select(key, F.col("best.name").alias("place"))

@@ -460,8 +460,9 @@ def _parks(spark, d):
 
 @query(PARKS + "SELECT ride_id, seq, count(*) AS n_parks FROM inside GROUP BY ride_id, seq")
 def j10_points_in_polygons(spark, d):
-    inside = geo.points_in_polygons(points(spark, d).withColumn("lat", F.col("lat") + 1e-9).withColumn("lon", F.col("lon") + 1e-9), _parks(spark, d))
-    return inside.groupBy("ride_id", "seq").agg(F.count(F.lit(1)).alias("n_parks"))
+    outlines, members = geo.shapes(_parks(spark, d))
+    inside = geo.points_in_shapes(_shifted(spark, d), outlines, poly="shape_id").join(members.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n")), "shape_id")
+    return inside.groupBy("ride_id", "seq").agg(F.sum("n").alias("n_parks"))
 
 
 PARK_SHARE = PARKS + """,
@@ -475,11 +476,15 @@ def _shifted(spark, d):
     return points(spark, d).withColumn("lat", F.col("lat") + 1e-9).withColumn("lon", F.col("lon") + 1e-9)
 
 
+def _park_share(spark, d):
+    parks, p = _parks(spark, d), _shifted(spark, d)
+    outlines, members = geo.shapes(parks)
+    return geo.park_share(p, geo.points_in_shapes(p, outlines, poly="shape_id"), parks.select("poly_id", "name").distinct(), members)
+
+
 @query(PARK_SHARE + " SELECT * FROM shares")
 def j10_park_share(spark, d):
-    parks = _parks(spark, d)
-    p = _shifted(spark, d)
-    return geo.park_share(p, geo.points_in_polygons(p, parks), parks.select("poly_id", "name").distinct())
+    return _park_share(spark, d)
 
 
 PLACES = """
@@ -522,8 +527,8 @@ def _haversine_sql(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
     CASE WHEN ride_type = 'local_loop' THEN '' ELSE upper(coalesce(e.place, 'UNKNOWN')) END AS destination, upper(CASE WHEN by_ref THEN ref ELSE coalesce(name, '') END) AS road, round(coalesce(CASE WHEN by_ref THEN n_ref ELSE n_name END, 0) / n_points, 9) AS coverage
   FROM kinds k JOIN roads USING (ride_id) JOIN shares USING (ride_id) LEFT JOIN placed s ON k.ride_id = s.ride_id AND s.pin = 'start' LEFT JOIN placed e ON k.ride_id = e.ride_id AND e.pin = 'end'""")
 def a19_route_metadata(spark, d):
-    p, parks, ways = points(spark, d), _parks(spark, d), _ways(spark, d)
-    park = geo.park_share(p, geo.points_in_polygons(_shifted(spark, d), parks), parks.select("poly_id", "name").distinct())
+    p, ways = points(spark, d), _ways(spark, d)
+    park = _park_share(spark, d)
     roads = geo.road_attribution(p, geo.match_ways(p, geo.way_segments(ways), 250.0), ways.select("way_id", "name", "ref").distinct(), 10)
     return rounded(rounded(geo.route_metadata(p, park, roads, _places(spark, d)), 6, "distance_mi"), 9, "coverage")
 
