@@ -7,8 +7,7 @@ share over all arrays decides. A document's n-grams are looked up over its whole
 language the hits are counted (popcount of its bit) and corrected for the share that its filter's fill would let
 through by chance. The highest corrected count decides.
 
-The filters are fitted on at most about `max_docs` labelled documents of each language, drawn by hash of the id over all
-of them, whole texts; their size is 8 bytes for each of the `slots` and each 64 languages, so they may be broadcast.
+The filters are fitted on the whole texts of all labelled documents, counted by Spark; their size is 8 bytes for each of the `slots` and each 64 languages, so they may be broadcast.
 Prediction reads nothing but text. Texts are worked on in pieces of bounded length, so a very long text needs no more memory
 than many short ones; Python gets them in Arrow batches of at most 64 MB.
 
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 UNKNOWN = "und"
-MAX_DOCS = 3000  # of each language, for training
 SLOTS = 1 << 21
 HASHES = 3
 SIZES = (2, 4)  # lengths of n-grams
@@ -152,43 +150,45 @@ class Filters:
         return score > 0 and score >= self.least.get(lang, 0.0)
 
 
-def training_rows(docs: DataFrame, lang: str, text: str, id_col: str, max_docs: int) -> tuple[DataFrame, dict[str, int]]:
-    """(lang, text) of a sample of bounded size of each language, and the languages' document counts."""
+def training_rows(docs: DataFrame, lang: str, text: str, id_col: str) -> DataFrame:
+    """(lang, text, fold) of all labelled rows; `fold` says whether the row is in the fold that calibrates."""
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null and id is not null")
-    sizes = checkpointed(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("k")))
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30))
-    share = F.least(F.lit(1.0), max_docs / F.col("k")) * (1 << 30)
-    drawn = labelled.join(F.broadcast(sizes), "lang").where(draw < share.cast("long"))  # sizes: a row for each language
-    return drawn.select("lang", "text"), {r["lang"]: r["k"] for r in sizes.collect()}
+    return labelled.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(FOLDS)) == 0).alias("fold"))
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_docs: int = MAX_DOCS, slots: int = SLOTS) -> Filters:
-    """Filters of all languages of `docs`."""
-    rows, counts = training_rows(docs, lang, text, id_col, max_docs)
+def count_grams(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, fold, size, gram, n) and (lang, fold, k) of training rows: how often each n-gram stands in them, and the documents."""
 
-    def counted_in(name: str, texts: list[str]) -> Iterator[pd.DataFrame]:
+    def counted_in(name: str, fold: bool, texts: list[str]) -> Iterator[pd.DataFrame]:
         c = letters(" ".join(texts))
         for size in SIZES:
             gram, n = np.unique(ngrams(c, size), return_counts=True)
-            yield pd.DataFrame({"lang": name, "size": size, "gram": gram.view(np.int64), "n": n})
+            yield pd.DataFrame({"lang": name, "fold": bool(fold), "size": size, "gram": gram.view(np.int64), "n": n})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, texts in batch.groupby("lang")["text"]:
+            for (name, fold), texts in batch.groupby(["lang", "fold"])["text"]:
                 held, size = [], 0
                 for piece in (p for t in texts for p in pieces(t)):
                     held.append(piece)
                     size += len(piece)
                     if size >= COUNTED:
-                        yield from counted_in(name, held)
+                        yield from counted_in(name, fold, held)
                         held, size = [], 0
-                yield from counted_in(name, held)
+                yield from counted_in(name, fold, held)
+
+    counted = rows.mapInPandas(count, "lang string, fold boolean, size int, gram long, n long").groupBy("lang", "fold", "size", "gram").agg(F.sum("n").alias("n"))
+    return checkpointed(counted), checkpointed(rows.groupBy("lang", "fold").agg(F.count(F.lit(1)).alias("k")))
+
 
+def filters_of(grams: DataFrame, sizes: DataFrame, slots: int = SLOTS) -> Filters:
+    """Filters of all languages that `count_grams` has counted."""
+    counts = {r["lang"]: r["k"] for r in sizes.groupBy("lang").agg(F.sum("k").alias("k")).collect()}
     langs = sorted(counts)
     masks = np.zeros((max(1, -(-len(langs) // BITS)), slots), np.uint64)
     if not langs:
         return Filters([], masks, 0)
-    counted = checkpointed(rows.mapInPandas(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
+    counted = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     shares = counted.join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))  # totals: a row for each language and length
     top = shares.groupBy("size", "gram").agg(F.max("share").alias("top"))
@@ -198,20 +198,25 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "
     rows = typical.select("lang", "gram").toLocalIterator()
     while chunk := list(islice(rows, 100_000)):
         bit = np.array([order[r["lang"]] for r in chunk])
-        grams = np.array([r["gram"] for r in chunk], np.int64).view(np.uint64)
-        for at in positions(grams, slots):
+        hashes = np.array([r["gram"] for r in chunk], np.int64).view(np.uint64)
+        for at in positions(hashes, slots):
             np.bitwise_or.at(masks, (bit // BITS, at), np.uint64(1) << (bit % BITS).astype(np.uint64))
     return Filters(langs, masks, langs.index(min(counts, key=lambda k: (-counts[k], k))))
 
 
-def calibrated(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_docs: int = MAX_DOCS, slots: int = SLOTS) -> Filters:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", slots: int = SLOTS) -> Filters:
+    """Filters of all languages of `docs`."""
+    return filters_of(*count_grams(training_rows(docs, lang, text, id_col)), slots)
+
+
+def calibrated(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", slots: int = SLOTS) -> Filters:
     """Filters of all labelled rows of `docs`, with least scores. Those come from filters fitted without one fold of the
     ids and the labelled rows of that fold, so that rows learned by heart don't raise them; a language in which fewer
-    than `MIN_SCORED` of these are found has none."""
-    filters = fit(docs, lang, text, id_col, max_docs, slots)
-    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(FOLDS)) == 0
-    rows, _ = training_rows(docs.where(fold), lang, text, id_col, max_docs)
-    scored = identify(rows, fit(docs.where(~fold), lang, text, id_col, max_docs, slots))
+    than `MIN_SCORED` of these are found has none. Both filters come from one count of n-grams."""
+    rows = training_rows(docs, lang, text, id_col)
+    grams, sizes = count_grams(rows)
+    filters = filters_of(grams, sizes, slots)
+    scored = identify(rows.where("fold"), filters_of(grams.where("not fold"), sizes.where("not fold"), slots))
     low = scored.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("k"), F.percentile("score", F.lit(LOW)).alias("q"))
     filters.least = {r["lang_pred"]: MARGIN * r["q"] for r in low.where(F.col("k") >= MIN_SCORED).collect()}
     return filters
