@@ -93,3 +93,16 @@ def test_route_kinds(spark):
 def test_point_in_polygon_and_segment(spark):
     d = one(spark, a=s.segment_distance(*map(s.num, (0, 5, -1, 0, 1, 0))), b=s.segment_distance(*map(s.num, (3, 4, 0, 0, 0, 0))))
     assert d == {"a": 5.0, "b": 5.0}
+
+
+def test_bound_values_are_worked_out_once(spark):
+    """Each mention of a step of a reply's parsing worked it out again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    once = spark.range(3).repartition(1).select(s.bound(counted(F.col("id").cast("int")), lambda v: F.struct((v + v).alias("a"), F.when(v > 0, v * v).alias("b"))).alias("r"))
+    assert sorted((r["r"]["a"], r["r"]["b"]) for r in once.collect()) == [(0, None), (2, 1), (4, 4)] and seen.value == 3

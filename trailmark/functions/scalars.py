@@ -272,17 +272,31 @@ TRAILING_COMMAS = ((r",\s*\}", "}"), (r",\s*\]", "]"))
 ANY_ARRAY, FLAT_OBJECT = r"(?s)\[.*\]", r"(?s)\{[^{}]*\}"
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)`, where `value` is worked out once for a row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parsed_json(text: Column) -> tuple[Column, Column]:
     """(value as JSON text, ok): fences are stripped; failing that, trailing commas; failing that, the first array or
     flat object is taken. A text that holds none parses to an empty object or array, with ok false."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, OPEN_FENCE, ""), CLOSE_FENCE, ""))
-    tidy = bare
-    for pattern, by in TRAILING_COMMAS:
-        tidy = F.regexp_replace(tidy, pattern, by)
-    pieces = [bare, tidy, F.regexp_extract(bare, ANY_ARRAY, 0), F.regexp_extract(bare, FLAT_OBJECT, 0)]
-    found = F.coalesce(*[F.to_json(F.try_parse_json(p)) for p in pieces])
-    empty = F.when(F.contains(bare, F.lit("{")), "{}").otherwise("[]")
-    return F.coalesce(found, empty), found.isNotNull()
+    both = json_found(text)
+    return both["value"], both["ok"]
+
+
+def json_found(text: Column) -> Column:
+    """struct<value, ok> of `parsed_json`, each step worked out once."""
+
+    def found_in(bare: Column) -> Column:
+        tidy = bare
+        for pattern, by in TRAILING_COMMAS:
+            tidy = F.regexp_replace(tidy, pattern, by)
+        pieces = [bare, tidy, F.regexp_extract(bare, ANY_ARRAY, 0), F.regexp_extract(bare, FLAT_OBJECT, 0)]
+        empty = F.when(F.contains(bare, F.lit("{")), "{}").otherwise("[]")
+        found = F.coalesce(*[F.to_json(F.try_parse_json(p)) for p in pieces])
+        return bound(found, lambda f: F.struct(F.coalesce(f, empty).alias("value"), f.isNotNull().alias("ok")))
+
+    return bound(F.trim(F.regexp_replace(F.regexp_replace(text, OPEN_FENCE, ""), CLOSE_FENCE, "")), found_in)
 
 
 #: Parts of names of administrative units (fixed values).

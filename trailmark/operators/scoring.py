@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import RUBRIC_DIMS, num, parsed_json
+from ..functions.scalars import RUBRIC_DIMS, bound, json_found, num
 from .joins import batches
 from .timeseries import coverage_times, injected_times, merge_regions
 
@@ -193,11 +193,11 @@ def _text(value: Column, path: str) -> Column:
     return F.coalesce(_at(value, path, "string"), F.lit(""))
 
 
-def _reply(text: Column) -> tuple[Column, Column]:
-    """(variant, its kind: ARRAY, OBJECT, another, or null where nothing can be parsed), through `parsed_json`."""
-    value, ok = parsed_json(text)
-    parsed = F.when(ok, F.try_parse_json(value))
-    return parsed, F.regexp_extract(F.schema_of_variant(parsed), "^[A-Z]+", 0)
+def _reply(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """`use` of (variant, its kind: ARRAY, OBJECT, another, or null where nothing can be parsed), through `parsed_json`; both are
+    worked out once for a row."""
+    parsed = bound(json_found(text), lambda r: F.when(r["ok"], F.try_parse_json(r["value"])))
+    return bound(parsed, lambda p: bound(F.regexp_extract(F.schema_of_variant(p), "^[A-Z]+", 0), lambda kind: use(p, kind)))
 
 
 def _listed(parsed: Column, kind: Column, field: str) -> Column:
@@ -217,31 +217,36 @@ def frames_in(text: Column) -> Column:
     """struct<value: array of `FRAME`, error> of a reply to the coarse pass: an array of frames, or an object that holds one as
     `frames`. One invalid frame (no whole frame_index; visual or action not whole or not in 1-5; crop_x not in 0-100) makes the
     reply an error."""
-    parsed, kind = _reply(text)
 
-    def frame(x: Column) -> tuple[Column, Column]:
+    def frame(x: Column) -> Column:
         parts = {"frame_index": _whole(x, "$.frame_index"), "visual": _whole(x, "$.visual", 1, 5), "action": _whole(x, "$.action", 1, 5), "crop_x": _whole(x, "$.crop_x", 0, 100, 50)}
         values = {name: value for name, (value, _) in parts.items()} | {c: _text(x, f"$.{c}") for c in ("clip_type", "reason")}
         order = [part.split(":")[0] for part in FRAME.removeprefix("struct<").removesuffix(">").split(",")]
-        return F.struct(*[values[c].alias(c) for c in order]), reduce(lambda a, b: a & b, (ok for _, ok in parts.values()))
+        return F.struct(F.struct(*[values[c].alias(c) for c in order]).alias("frame"), reduce(lambda a, b: a & b, (ok for _, ok in parts.values())).alias("ok"))
 
-    items = _listed(parsed, kind, "frames")
-    return _or_error(F.transform(items, lambda x: frame(x)[0]), F.forall(items, lambda x: frame(x)[1]), parsed, kind, "frames")
+    def frames(parsed: Column, kind: Column) -> Column:
+        told = F.transform(_listed(parsed, kind, "frames"), frame)
+        return bound(told, lambda x: _or_error(F.transform(x, lambda y: y["frame"]), F.forall(x, lambda y: y["ok"]), parsed, kind, "frames"))
+
+    return _reply(text, frames)
 
 
 def indices_in(text: Column) -> Column:
     """struct<value: array<int>, error> of a reply to the story selection: an array of whole numbers, or an object that holds one
     as `indices`."""
-    parsed, kind = _reply(text)
-    items = _listed(parsed, kind, "indices")
     number = lambda x: F.schema_of_variant(x).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-    return _or_error(F.transform(items, lambda x: _at(x, "$", "int")), F.forall(items, lambda x: F.coalesce(number(x) & _at(x, "$", "int").isNotNull(), F.lit(False))), parsed, kind, "indices")
+    whole = lambda x: F.coalesce(number(x) & _at(x, "$", "int").isNotNull(), F.lit(False))
+    told = lambda items, parsed, kind: _or_error(F.transform(items, lambda x: _at(x, "$", "int")), F.forall(items, whole), parsed, kind, "indices")
+    return _reply(text, lambda parsed, kind: bound(_listed(parsed, kind, "indices"), lambda items: told(items, parsed, kind)))
 
 
 def rubric_in(text: Column) -> Column:
     """struct<value: `RUBRIC`, error> of a reply to the fine pass: an object, or the first of an array of objects; five whole
     numbers in 1-10, and an offset in 0-1, by default the middle."""
-    parsed, kind = _reply(text)
+    return _reply(text, _rubric)
+
+
+def _rubric(parsed: Column, kind: Column) -> Column:
     one = F.when(kind == "ARRAY", F.get(_at(parsed, "$", "array<variant>"), F.lit(0))).otherwise(parsed)
     one = F.when(F.startswith(F.schema_of_variant(one), F.lit("OBJECT")), one)
     dims = {c: _whole(one, f"$.{c}", 1, 10) for c in RUBRIC_DIMS} | {"crop_x": _whole(one, "$.crop_x", 0, 100, 50)}
