@@ -1,5 +1,6 @@
 """Replies, reports, inventories and edits: what is written is read back, and broken input is told."""
 
+import datetime as dt
 import json
 import random
 
@@ -201,3 +202,15 @@ def test_clock_reports_read_back(spark, tmp_path):
 def test_top_weights(spark):
     model = {"weights": {"a": 0.5, "b": -2.0, "c": 0.0, "d": 2.0}, "intercept": 1.0}
     assert [tuple(r) for r in ranker.top_weights(spark, model, 3).orderBy("place").collect()] == [("b", -2.0, 1), ("d", 2.0, 2), ("a", 0.5, 3)]
+
+
+def test_clip_feed_over_long_gaps(spark):
+    """Far fewer rows than time buckets: a point months from its neighbours stands in one bucket, and one without a time in none."""
+    t = lambda s: None if s is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    month = 30 * 86400.0
+    df = spark.createDataFrame([(1, i, t(s)) for i, s in enumerate([0.0, 10 * month, 10 * month + 0.004, None])], "ride_id long, seq long, ts timestamp_ntz")
+    base = spark.createDataFrame([(1, t(0.0))], "ride_id long, t0 timestamp_ntz")
+    clips = spark.createDataFrame([(1, "a", 0.0, 0.002), (1, "b", 5 * month - 0.001, 0.002), (1, "c", 10 * month, 0.004), (1, "d", None, 1.0)], "ride_id long, clip_name string, clip_start double, duration_secs double")
+    feed = joins.clip_feed(clips, df, base, ["seq"], step=0.001, bucket_secs=0.001)
+    got = sorted((r["clip_name"], round(r["video_sec"] * 1000), r["seq"]) for r in feed.collect())
+    assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("b", 0, 0), ("b", 1, 0), ("b", 2, 1), ("c", 0, 1), ("c", 1, 1), ("c", 2, 1), ("c", 3, 2), ("c", 4, 2)]
