@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -214,3 +215,57 @@ def test_clip_feed_over_long_gaps(spark):
     feed = joins.clip_feed(clips, df, base, ["seq"], step=0.001, bucket_secs=0.001)
     got = sorted((r["clip_name"], round(r["video_sec"] * 1000), r["seq"]) for r in feed.collect())
     assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("b", 0, 0), ("b", 1, 0), ("b", 2, 1), ("c", 0, 1), ("c", 1, 1), ("c", 2, 1), ("c", 3, 2), ("c", 4, 2)]
+
+
+def random_tracks(spark, seed, n_ways=60, n_points=300):
+    rng = random.Random(seed)
+    spot = lambda: (40 + rng.random() * 0.02, -74 + rng.random() * 0.02)
+    segments = [(rng.randrange(n_ways), *spot(), *spot()) for _ in range(3 * n_ways)] + [(7, 40.0, -74.0, 40.0, -74.0)]
+    points = [(i % 3, i // 3, *((40.0, -74.0) if i < 6 else spot())) for i in range(n_points)] + [(1, 900, None, -74.0), (1, 901, 50.0, -74.0)]
+    return spark.createDataFrame(points, "ride_id long, seq long, lat double, lon double"), spark.createDataFrame(segments, "way_id long, a_lat double, a_lon double, b_lat double, b_lon double"), points, segments
+
+
+@pytest.mark.parametrize("per_row", [1, 7, 1024])
+def test_ways_like_a_loop(spark, monkeypatch, per_row):
+    """A point meets all segments of its cell, in however many rows of it, and is one row."""
+    monkeypatch.setattr(geo, "SEGMENTS", per_row)
+    df, segs, points, segments = random_tracks(spark, per_row)
+    points = [p for p in points if p[2] is not None]
+    flat = lambda lat, lon, c: (lon * geo.METRES_PER_DEGREE * c, lat * geo.METRES_PER_DEGREE)
+    want = {}
+    for ride, seq, lat, lon in points:
+        own = [p[2] for p in points if p[0] == ride]
+        c = math.cos(math.radians(sum(own) / len(own)))
+        x, y = flat(lat, lon, c)
+        best = {}
+        for way, *ends in segments:
+            (ax, ay), (bx, by) = flat(*ends[:2], c), flat(*ends[2:], c)
+            square = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / square)) if square else 0
+            best[way] = min(best.get(way, math.inf), math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        near = {w: d for w, d in best.items() if d < 80}
+        if near:
+            way = min((w for w, d in near.items() if d < 9), default=min(near, key=lambda w: (near[w], w)))
+            want[ride, seq] = (way, pytest.approx(near[way], abs=1e-5))
+    got = geo.match_ways(df, segs, 80.0, 9.0).collect()
+    assert len(got) == len(want) > 50 and {(r["ride_id"], r["seq"]): (r["way_id"], r["dist_m"]) for r in got} == want
+
+
+def test_ways_are_met_once(spark):
+    """Points are no rows for each segment near them, and names and references are counted of one match."""
+    df, segs, _, _ = random_tracks(spark, 1)
+    matches = geo.match_ways(df, segs, 250.0)
+    ways = spark.createDataFrame([(i, f"way {i % 5}" if i % 4 else None, f"R{i % 2}; Q{i % 3};" if i % 3 else None) for i in range(60)], "way_id long, name string, ref string")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(matches).count("collect_list") == 1
+    roads = geo.road_attribution(df, matches, ways, 10)
+    assert plan(roads).count("avg(lat") == 1
+    rows = {(r["ride_id"], r["seq"]): r["way_id"] for r in matches.collect()}
+    tags = {r["way_id"]: (r["name"], [x.strip() for x in (r["ref"] or "").split(";") if x.strip()]) for r in ways.collect()}
+    for r in roads.collect():
+        own = [(seq, tags[w]) for (ride, seq), w in rows.items() if ride == r["ride_id"]]
+        count = lambda told: max(((sum(v == x for _, v in told), -min(s for s, v in told if v == x), x) for x in {v for _, v in told}), default=(0, 0, ""))
+        n_name, _, name = count([(s, n) for s, (n, _) in own if n is not None])
+        n_ref, _, ref = count([(s, v) for s, (_, refs) in own for v in refs])
+        by_ref = n_ref >= 10 and n_ref >= n_name
+        assert (r["road"], r["n_road"]) == ((ref, n_ref) if by_ref else (name, n_name))

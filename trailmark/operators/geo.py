@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import METRES_PER_DEGREE, crosses_ray, haversine_miles, is_admin, local_metres, mercator_tile, num, segment_distance
 
+#: Segments of a grid cell that are one row of it.
+SEGMENTS = 1024
+
 
 def way_segments(vertices: DataFrame, way: str = "way_id", idx: str = "idx") -> DataFrame:
     """(way, a_lat, a_lon, b_lat, b_lon) of adjacent vertices."""
@@ -19,24 +22,30 @@ def match_ways(points: DataFrame, segments: DataFrame, radius_m: float = 25.0, n
     """(key, pid, way, dist_m) of points with a way within the radius: the first way, by id, with a segment closer than
     `near_m`, else the nearest way, the first on ties. Distances are on a plane at the ride's mean latitude.
 
-    Segments and points meet in grid cells no smaller than the radius, by equi-join; a segment is in all cells of its
-    padded box.
+    Segments and points meet in grid cells no smaller than the radius, by equi-join; a segment is in all cells of its padded box. A
+    cell is a row for each `SEGMENTS` of its segments, so a point meets them as arrays and is a row, not a row for each segment.
     """
     cell = max(radius_m, 1.0) * 2 / METRES_PER_DEGREE
     lon_scale = 0.2  # cos of the highest latitude that is matched, 78 degrees; cells are as wide as needed there
-    points = points.where("lat is not null and lon is not null")
+    points = points.where("lat is not null and lon is not null").select(key, pid, "lat", "lon")
     middle = points.groupBy(key).agg(F.avg("lat").alias("lat0"))
-    spots = points.select(key, pid, "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / (cell / lon_scale)).alias("cx"))
+    spots = points.join(middle, key).withColumn("cy", F.floor(F.col("lat") / cell)).withColumn("cx", F.floor(F.col("lon") / (cell / lon_scale)))
     pad = radius_m / METRES_PER_DEGREE
     span = lambda a, b, size, p: F.sequence(F.floor((F.least(a, b) - p) / size), F.floor((F.greatest(a, b) + p) / size))
     boxed = segments.withColumn("cy", F.explode(span("a_lat", "b_lat", cell, pad))).withColumn("cx", F.explode(span("a_lon", "b_lon", cell / lon_scale, pad / lon_scale)))
-    pairs = spots.join(boxed, ["cy", "cx"]).join(middle, key)
-    px, py = local_metres(F.col("lat"), F.col("lon"), F.col("lat0"))
-    ax, ay = local_metres(F.col("a_lat"), F.col("a_lon"), F.col("lat0"))
-    bx, by = local_metres(F.col("b_lat"), F.col("b_lon"), F.col("lat0"))
-    near = pairs.withColumn("d", segment_distance(px, py, ax, ay, bx, by)).where(F.col("d") < radius_m)
-    near = near.groupBy(key, pid, way).agg(F.min("d").alias("d"))
-    best = near.groupBy(key, pid).agg(F.min(F.when(F.col("d") < near_m, F.struct(way, "d"))).alias("close"), F.min(F.struct("d", way)).alias("nearest"))
+    boxed = boxed.withColumn("block", F.floor(F.row_number().over(Window.partitionBy("cy", "cx").orderBy(way, "a_lat", "a_lon", "b_lat", "b_lon")) / SEGMENTS))
+    boxed = boxed.withColumn("s", F.least("a_lat", "b_lat") - pad * 1.001).withColumn("n", F.greatest("a_lat", "b_lat") + pad * 1.001)
+    cells = boxed.groupBy("cy", "cx", "block").agg(F.collect_list(F.struct(way, "a_lat", "a_lon", "b_lat", "b_lon", "s", "n")).alias("segments")).drop("block")
+
+    def distance(segment: Column) -> Column:
+        ends = [local_metres(F.col("lat"), F.col("lon"), F.col("lat0"))] + [local_metres(segment[f"{c}_lat"], segment[f"{c}_lon"], F.col("lat0")) for c in "ab"]
+        return segment_distance(*[x for xy in ends for x in xy])
+
+    beside = F.filter("segments", lambda x: (F.col("lat") >= x["s"]) & (F.col("lat") <= x["n"]))  # spares distances
+    near = F.filter(F.transform(beside, lambda x: F.struct(distance(x).alias("d"), x[way].alias(way))), lambda x: x["d"] < radius_m)
+    found = spots.join(cells, ["cy", "cx"]).select(key, pid, near.alias("near")).where(F.size("near") > 0)
+    close = F.array_min(F.transform(F.filter("near", lambda x: x["d"] < near_m), lambda x: F.struct(x[way].alias(way), x["d"].alias("d"))))
+    best = found.select(key, pid, close.alias("close"), F.array_min("near").alias("nearest")).groupBy(key, pid).agg(F.min("close").alias("close"), F.min("nearest").alias("nearest"))
     return best.select(key, pid, F.coalesce(f"close.{way}", f"nearest.{way}").alias(way), F.coalesce("close.d", "nearest.d").alias("dist_m"))
 
 
@@ -45,10 +54,13 @@ def road_attribution(points: DataFrame, matches: DataFrame, ways: DataFrame, ref
     `;` list counts) wins with `ref_points` points and at least as many as the name. Ties go to the first way."""
     total = points.where("lat is not null and lon is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
     named = matches.join(ways.select(way, "name", "ref"), way)
-    top = lambda rows: rows.groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"), F.min(pid).alias("seen")).groupBy(key).agg(F.max(F.struct("n", -F.col("seen"), "value")).alias("top"))
-    names = top(named.where("name is not null").select(key, pid, F.col("name").alias("value"))).select(key, F.col("top.n").alias("n_name"), F.col("top.value").alias("name"))
-    refs = top(named.where("ref is not null").select(key, pid, F.explode(F.split("ref", ";")).alias("value")).withColumn("value", F.trim("value")).where("value <> ''")).select(key, F.col("top.n").alias("n_ref"), F.col("top.value").alias("ref"))
-    rows = total.join(names, key, "left").join(refs, key, "left")
+    refs = F.transform(F.split("ref", ";"), lambda x: F.struct(F.lit("ref").alias("kind"), F.trim(x).alias("value")))
+    told = F.concat(F.array(F.struct(F.lit("name").alias("kind"), F.col("name").alias("value"))), F.coalesce(refs, F.array()))
+    told = named.select(key, pid, F.explode(told).alias("told")).select(key, pid, "told.*").where("value is not null and (kind = 'name' or value <> '')")
+    counted = told.groupBy(key, "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(pid).alias("seen"))
+    top = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("n", -F.col("seen"), "value"))).alias(kind)
+    tops = counted.groupBy(key).agg(top("name"), top("ref")).select(key, F.col("name.n").alias("n_name"), F.col("name.value").alias("name"), F.col("ref.n").alias("n_ref"), F.col("ref.value").alias("ref"))
+    rows = total.join(tops, key, "left")
     by_ref = (F.coalesce("n_ref", F.lit(0)) >= ref_points) & (F.coalesce("n_ref", F.lit(0)) >= F.coalesce("n_name", F.lit(0)))
     n = F.coalesce(F.when(by_ref, F.col("n_ref")).otherwise(F.col("n_name")), F.lit(0))
     return rows.select(key, F.coalesce(F.when(by_ref, F.col("ref")).otherwise(F.col("name")), F.lit("")).alias("road"), n.alias("n_road"), "n_points", (n / F.col("n_points")).alias("coverage"))
