@@ -229,3 +229,31 @@ def test_clips_stand_in_few_buckets_however_long(spark):
     df = spark.createDataFrame(clips, "ride_id long, clip_name long, clip_start double, clip_end double")
     got = aggregates.clip_payload(df, spark.createDataFrame(points, "ride_id long, seq long, at_secs double"))
     assert sorted((r["ride_id"], r["clip_name"], r["seq"]) for r in got.collect()) == want
+
+
+def test_asof_like_a_scan(spark):
+    """Both kinds of ties, points of one instant, points and probes without a time, by one sort of both sides."""
+    start = dt.datetime(2024, 1, 1)
+    t = lambda s: None if s is None else start + dt.timedelta(microseconds=s)
+    for seed in range(2):
+        rng = random.Random(seed)
+        times = lambda n, none: [None if rng.random() < none else rng.randrange(40) for _ in range(n)]
+        points = [(ride, seq, at) for ride in range(8) for seq, at in enumerate(times(rng.randrange(8), 0.2))] + [(20, seq, None) for seq in (2, 1)]
+        probes = [(ride, i, at) for ride in [*range(9), 20] for i, at in enumerate(times(12, 0.1))]
+        df = spark.createDataFrame([(r, s, t(at)) for r, s, at in points], "ride_id long, seq long, ts timestamp_ntz")
+        asked = spark.createDataFrame([(r, i, t(at)) for r, i, at in probes], "ride_id long, i long, probe_ts timestamp_ntz")
+        for later in (False, True):
+            want = {}
+            for ride, i, x in probes:
+                own = [(at, s) for r, s, at in points if r == ride]
+                timed = [(at, s) for at, s in own if at is not None]
+                side = lambda p: -p[0] if later else p[0]
+                near = min(timed, key=lambda p: (abs(p[0] - x), side(p), p[1]) if x is not None else p) if timed else min(own, key=lambda p: p[1], default=(None, None))
+                want[ride, i] = near[1]
+            out = joins.asof_nearest(asked, df, ["seq"], later_wins=later)
+            got = out.collect()
+            assert len(got) == len(probes) and {(r["ride_id"], r["i"]): r["seq"] for r in got} == want
+            assert all((r["asof_gap"] is None) == (r["probe_ts"] is None or r["asof_ts"] is None) for r in got)
+        # The united sides are sorted once; a sort of points alone comes before.
+        unions = out._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+        assert unions.count("Window") == 1

@@ -61,7 +61,7 @@ def sample_points(samples: DataFrame, points: DataFrame, base: DataFrame, back_s
     now = asof_nearest(now, points, ["seq", "speed", "power", "heart_rate", "altitude", "distance"], key=key).drop("asof_ts", "asof_gap")
     then = now.withColumn("probe_ts", at(F.greatest(num(0), F.col("at") - back_secs)))
     before = points.select(key, "ts", "seq", F.col("altitude").alias("alt0"), F.col("distance").alias("dist0"))
-    both = asof_nearest(then.drop("seq"), before, ["seq", "alt0", "dist0"], key=key).where("speed is not null")
+    both = asof_nearest(then.drop("seq", "t0"), before, ["seq", "alt0", "dist0"], key=key).where("speed is not null")
     rise, run = F.col("altitude") - F.col("alt0"), F.col("distance") - F.col("dist0")
     grade = F.when(rise.isNotNull() & run.isNotNull(), F.coalesce(gradient(rise, run), num(0)))
     return both.withColumn("grade", grade)

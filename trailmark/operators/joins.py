@@ -16,22 +16,24 @@ from .folds import Matcher, dealt_in_runs
 def asof_nearest(probes: DataFrame, points: DataFrame, payload: list[str], key: str = "ride_id", probe_ts: str = "probe_ts", ts: str = "ts", seq: str = "seq", later_wins: bool = False, tolerance_secs: float | None = None) -> DataFrame:
     """`probes` with the payload of the closest point, and `asof_ts` and `asof_gap`; null where there is none.
 
-    Ties of distance go to the earlier point (or the later one), points of one instant to the first. Both sides are
-    united and sorted once by time; running last values in both directions replace a range join, so the cost is linear
-    however many points an entity has.
+    Ties of distance go to the earlier point (or the later one), points of one instant to the first. A probe without a time has the
+    first point, and points without one count only where no other is. A point is nearest from the middle of the gap before it on:
+    points are sorted to know their middles, then both sides are united and sorted once by these, and a running last value
+    replaces a range join, so the cost is linear however many points an entity has.
     """
-    point = F.struct(F.col(ts).alias("asof_ts"), *payload)
-    left = probes.select(F.col(key).alias("k"), F.col(probe_ts).alias("t"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("s"), F.struct(*probes.columns).alias("probe"), F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType).alias("p"))
-    right = points.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(1).alias("side"), F.col(seq).cast("long").alias("s"), F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), point.alias("p"))
-    both = left.unionByName(right)
-    running = (Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("k").orderBy("t", "side", F.desc("s")).rowsBetween(*running)
-    after = Window.partitionBy("k").orderBy(F.desc("t"), F.desc("side"), F.desc("s")).rowsBetween(*running)
-    rows = both.withColumn("a", F.last("p", ignorenulls=True).over(before)).withColumn("b", F.last("p", ignorenulls=True).over(after)).where("side = 0")
-    da, db = seconds_between(F.col("a.asof_ts"), F.col("t")), seconds_between(F.col("t"), F.col("b.asof_ts"))
-    second = (db <= da) if later_wins else (db < da)
-    found = F.when(F.col("a").isNull() | second, F.col("b")).otherwise(F.col("a"))
-    rows = rows.withColumn("found", F.coalesce(found, F.col("a"))).withColumn("gap", F.abs(seconds_between(F.col("found.asof_ts"), F.col("t"))))
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), c)
+    by_time = Window.partitionBy("k").orderBy("us", "s")
+    right = points.select(F.col(key).alias("k"), micros(F.col(ts)).alias("us"), F.col(seq).cast("long").alias("s"), F.struct(F.col(ts).alias("asof_ts"), *payload).alias("p"))
+    right = right.withColumn("rn", F.row_number().over(by_time)).withColumn("before", F.lag("us").over(by_time)).where("rn = 1 or not before <=> us")
+    # Twice the middles, to stay whole. Least are points without a time, then an entity's first one, then probes without one.
+    least = -(2**63)
+    middle = F.when(F.col("us").isNull(), F.lit(least)).otherwise(F.coalesce(F.col("before") + F.col("us"), F.lit(least + 1)))
+    right = right.select("k", middle.alias("x"), F.lit(1).alias("side"), "p")
+    left = probes.select(F.col(key).alias("k"), F.coalesce(2 * micros(F.col(probe_ts)), F.lit(least + 2)).alias("x"), F.lit(2 if later_wins else 0).alias("side"), F.struct(*probes.columns).alias("probe"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    upto = Window.partitionBy("k").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("found", F.last("p", ignorenulls=True).over(upto)).where("side <> 1").select("probe", "found")
+    rows = rows.withColumn("gap", F.abs(seconds_between(F.col("found.asof_ts"), F.col(f"probe.{probe_ts}"))))
     if tolerance_secs is not None:
         rows = rows.withColumn("found", F.when(F.col("gap") <= tolerance_secs, F.col("found"))).withColumn("gap", F.when(F.col("found").isNotNull(), F.col("gap")))
     return rows.select("probe.*", "found.*", F.col("gap").alias("asof_gap"))
