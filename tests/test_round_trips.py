@@ -269,3 +269,12 @@ def test_ways_are_met_once(spark):
         n_ref, _, ref = count([(s, v) for s, (_, refs) in own for v in refs])
         by_ref = n_ref >= 10 and n_ref >= n_name
         assert (r["road"], r["n_road"]) == ((ref, n_ref) if by_ref else (name, n_name))
+
+
+def test_steepest_samples(spark):
+    rows = [("a", -3.0), ("a", 2.0), ("a", None), ("b", 1.0), ("b", -1.0), ("c", None), ("d", -2.0), ("e", 0.0), ("e", 5.0), ("e", 1.0)]
+    df = spark.createDataFrame(rows, "clip_name string, grade double").withColumn("speed", F.lit(2.0))
+    out = aggregates.sample_summary(df, ["speed"])
+    assert {r["clip_name"]: (r["n_samples"], r["avg_grade"], r["peak_grade"]) for r in out.collect()} == {"a": (3, -0.5, -3.0), "b": (2, 0.0, 1.0), "c": (1, None, None), "d": (1, -2.0, -2.0), "e": (3, 2.0, 5.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

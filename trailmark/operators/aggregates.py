@@ -68,10 +68,11 @@ def sample_points(samples: DataFrame, points: DataFrame, base: DataFrame, back_s
 
 
 def sample_summary(samples: DataFrame, metrics: list[str], grade: str = "grade", key: str | list[str] = "clip_name") -> DataFrame:
-    """Samples, average and peak of each metric over a clip's, the mean gradient and the steepest one, with its sign."""
+    """Samples, average and peak of each metric over a clip's, the mean gradient and the steepest one, with its sign: the highest or
+    the lowest. (As plain numbers, so that samples aren't sorted by clip.)"""
     keys = [key] if isinstance(key, str) else key
     aggs = [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("avg", F.avg), ("peak", F.max))]
-    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), *aggs, F.avg(grade).alias("avg_grade"), F.max_by(grade, F.struct(F.abs(grade), grade)).alias("peak_grade"))
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), *aggs, F.avg(grade).alias("avg_grade"), F.when(F.max(grade) >= -F.min(grade), F.max(grade)).otherwise(F.min(grade)).alias("peak_grade"))
 
 
 def telemetry_block(frames: DataFrame, found: DataFrame, powered: DataFrame, batch: list[str], frame: str = "frame", key: str = "ride_id") -> DataFrame:
