@@ -278,3 +278,18 @@ def test_steepest_samples(spark):
     assert {r["clip_name"]: (r["n_samples"], r["avg_grade"], r["peak_grade"]) for r in out.collect()} == {"a": (3, -0.5, -3.0), "b": (2, 0.0, 1.0), "c": (1, None, None), "d": (1, -2.0, -2.0), "e": (3, 2.0, 5.0)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_samples_meet_starts_unsorted(spark):
+    """Where entities are too many to be broadcast, samples aren't sorted to be told their entity's start."""
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([(1, i, t(10 * i), 3.0, 100 + i, 90, 10.0 * i, 100.0 * i) for i in range(4)], "ride_id long, seq long, ts timestamp_ntz, speed double, power int, heart_rate int, altitude double, distance double")
+    samples = spark.createDataFrame([(1, 0, 0.0), (1, 1, 16.0), (2, 2, 5.0)], "ride_id long, sample_no int, at double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = aggregates.sample_points(samples, df, df.groupBy("ride_id").agg(F.min("ts").alias("t0")))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["sample_no"], r["power"], r["grade"]) for r in out.collect()) == [(0, 100, 0.0), (1, 102, 10.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -56,7 +56,7 @@ def sample_points(samples: DataFrame, points: DataFrame, base: DataFrame, back_s
     """Samples (key, ..., at in seconds from `base`'s t0) with the nearest point's speed, power and heart rate, and `grade` from
     the point nearest to `back_secs` before, not before 0; samples whose point has no speed are left out."""
     at = lambda x: F.col("t0") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round(x, 6).cast("decimal(18,6)"))
-    rows = samples.join(base.select(key, "t0"), key)
+    rows = samples.join(base.select(key, "t0").hint("shuffle_hash"), key)  # one row for each entity; spares a sort of all samples
     now = rows.withColumn("probe_ts", at(F.col("at")))
     now = asof_nearest(now, points, ["seq", "speed", "power", "heart_rate", "altitude", "distance"], key=key).drop("asof_ts", "asof_gap")
     then = now.withColumn("probe_ts", at(F.greatest(num(0), F.col("at") - back_secs)))
