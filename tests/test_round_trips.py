@@ -5,12 +5,17 @@ import json
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import aggregates, geo, joins, ranker, scoring
+from trailmark.plans.queries import ORACLE_SQL, QUERIES
 from trailmark.sources import readers, sinks
 
+from .helpers import assert_same, duck
+
 
 def unwrapped(spark, how, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
@@ -217,6 +222,34 @@ def test_clip_feed_over_long_gaps(spark):
     assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("b", 0, 0), ("b", 1, 0), ("b", 2, 1), ("c", 0, 1), ("c", 1, 1), ("c", 2, 1), ("c", 3, 2), ("c", 4, 2)]
 
 
+def test_clip_feed_asks_each_second_of_whole_clips(spark, tmp_path):
+    """Only one 450th of each clip was asked: 7 seconds of the first and 1 of the second."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    events = [(1, at(0), 1, "view", 1.5), (2, at(1000), 1, "click", 8.0), (3, at(2600), 1, "click", 12.0), (4, at(0), 2, "view", 0.1)]
+    columns = [pa.array(c) for c in zip(*events, strict=True)]
+    columns[1] = columns[1].cast(pa.timestamp("us"))
+    pq.write_table(pa.table([*columns, pa.array(["{}"] * len(events))], names=["event_id", "ts", "user_id", "event_type", "value", "props"]), tmp_path / "events.parquet")
+    feed = QUERIES["j17_clip_feed"](spark, str(tmp_path))
+    got = sorted((r["clip_name"], r["video_sec"], r["seq"]) for r in feed.collect())
+    assert got == [(1, float(k), 1 if k <= 500 else 2 if k <= 1800 else 3) for k in range(2701)] + [(4, float(k), 4) for k in range(181)]
+    assert_same(feed, ORACLE_SQL["j17_clip_feed"], duck(str(tmp_path)))
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1000])
+def test_seconds_of_a_clip_are_dealt_in_stretches(spark, monkeypatch, stretch):
+    """All seconds of a few rows were told by one task."""
+    monkeypatch.setattr(joins, "STRETCH", stretch)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate([0, 14, 200])], "ride_id long, seq long, ts timestamp_ntz")
+    base = spark.createDataFrame([(1, at(0))], "ride_id long, t0 timestamp_ntz")
+    clips = spark.createDataFrame([(1, "a", 0.0, 300.0), (1, "b", 7.0, 6.9), (1, "c", 107.0, 0.0)], "ride_id long, clip_name string, clip_start double, duration_secs double")
+    feed = joins.clip_feed(clips, df, base, ["seq"]).withColumn("part", F.spark_partition_id()).collect()
+    near = lambda s: 0 if s <= 7 else 1 if s <= 107 else 2
+    want = [("a", k, near(k)) for k in range(301)] + [("b", k, near(7 + k)) for k in range(7)] + [("c", 0, 1)]
+    assert sorted((r["clip_name"], int(r["video_sec"]), r["seq"]) for r in feed) == want
+    assert stretch == 1000 or len({r["part"] for r in feed if r["clip_name"] == "a"}) > 1
+
+
 def random_tracks(spark, seed, n_ways=60, n_points=300):
     rng = random.Random(seed)
     spot = lambda: (40 + rng.random() * 0.02, -74 + rng.random() * 0.02)
